@@ -13,17 +13,34 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codequarry.llm.pii import annotated, spans_of
+
+    return spans_of(annotated(read(spark, sf_dir, "documents")))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codequarry.llm.minhash import near_duplicates
 
     return near_duplicates(read(spark, sf_dir, "documents"), width=3, percent=85).drop("fp")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codequarry.llm.quality import judged
+
+    measures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words")
+    return judged(read(spark, sf_dir, "documents")).select("doc_id", *measures, "base_failed", "kept")
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op3_pii": op3_pii,
         "op5_minhash": op5_minhash,
+        "op9_quality": op9_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from codequarry.llm import quality
+
+    return {"op9_quality": quality.SQL}
