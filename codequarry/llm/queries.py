@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -13,6 +14,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codequarry.llm.warc import convert, pages_as_arc
+
+    return convert(pages_as_arc(read(spark, sf_dir, "pages"))).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codequarry.llm.pii import annotated, spans_of
 
@@ -32,15 +39,23 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(read(spark, sf_dir, "documents")).select("doc_id", *measures, "base_failed", "kept")
 
 
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codequarry.llm.urls import judged
+
+    return judged(read(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op1_warc": op1_warc,
         "op3_pii": op3_pii,
         "op5_minhash": op5_minhash,
         "op9_quality": op9_quality,
+        "op10_urls": op10_urls,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from codequarry.llm import quality
+    from codequarry.llm import quality, warc
 
-    return {"op9_quality": quality.SQL}
+    return {"op1_warc": warc.SQL, "op9_quality": quality.SQL}
