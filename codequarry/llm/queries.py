@@ -32,6 +32,14 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), width=3, percent=85).drop("fp")
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from codequarry.llm.bpe import encoded
+
+    return encoded(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codequarry.llm.quality import judged
 
@@ -50,6 +58,7 @@ def queries() -> dict[str, Query]:
         "op1_warc": op1_warc,
         "op3_pii": op3_pii,
         "op5_minhash": op5_minhash,
+        "op7_bpe": op7_bpe,
         "op9_quality": op9_quality,
         "op10_urls": op10_urls,
     }
