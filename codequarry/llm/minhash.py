@@ -199,11 +199,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     blocks = F.ceil(F.col("members") / block).cast("int")
     placed = placed.join(spread, "v").withColumn("block", F.pmod(F.xxhash64("vid"), blocks).cast("int"))
     other = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("o")
-    placed = placed.select("v", "vid", "comp", "block", other).withColumn("bi", F.least("block", "o")).withColumn("bj", F.greatest("block", "o"))
     placed = placed.join(dense.select("vid", F.slice("hot", 1, 10).alias("hot")), "vid").join(sets, "vid")
+    placed = placed.select("v", "vid", "comp", "block", "hot", "items", other).withColumn("bi", F.least("block", "o")).withColumn("bj", F.greatest("block", "o"))
     more = placed.groupBy("v", "bi", "bj").applyInPandas(_across(percent, k, least), "a bigint, b bigint")
-    links = links.union(more.distinct())
-    roots = components(links)
+    more = stored(more)
+    if not more.isEmpty():  # links between components join their roots
+        ends = more.join(roots.select(F.col("v").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("v").alias("b"), F.col("root").alias("rb")), "b", "left")
+        joined = components(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))).select(F.col("v").alias("root"), F.col("root").alias("top"))
+        lone = joined.select(F.col("root").alias("v"), F.col("top").alias("root")).join(roots.select("v"), "v", "left_anti")
+        roots = roots.join(joined, "root", "left").select("v", F.coalesce("top", "root").alias("root")).union(lone)
     # back to documents
     label = classes.join(roots, classes.vid == roots.v, "left").select("vid", F.coalesce("root", "vid").alias("root"), F.col("rep.doc_id").alias("rep_id"))
     label = label.join(label.groupBy("root").agg(F.min("rep_id").alias("component_id")), "root").select("vid", "component_id")
