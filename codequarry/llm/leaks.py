@@ -114,10 +114,18 @@ def regions(scan, items: Items):
     diag = np.repeat(hits, many) - off[row] - items.place[pick]
     band = diag // (2 * items.edits[item] + 1) + (1 << 22)
     key = ((row * len(items.ids) + item) << 24) + band
-    key, counts = np.unique(np.concatenate((key, key - 1)), return_counts=True)
+    key, place = np.concatenate((key, key - 1)), np.tile(items.place[pick], 2)
+    least = np.maximum(items.least, 1)
+    bands, which, counts = np.unique(key, return_inverse=True, return_counts=True)
+    some = (counts >= least[(bands >> 24) % len(items.ids)])[which]
+    key, place = key[some], place[some]  # of the rest, count each place of the item once
+    order = np.lexsort((place, key))
+    key, place = key[order], place[order]
+    new = np.concatenate(([True], (key[1:] != key[:-1]) | (place[1:] != place[:-1]))) if len(key) else np.zeros(0, bool)
+    key, counts = np.unique(key[new], return_counts=True)
     pair, band = key >> 24, (key & ((1 << 24) - 1)) - (1 << 22)
     row, item = pair // len(items.ids), pair % len(items.ids)
-    kept = counts >= np.maximum(items.least[item], 1)
+    kept = counts >= least[item]
     found: dict[tuple[int, int], list] = {}
     for r, i, b in zip(row[kept].tolist(), item[kept].tolist(), band[kept].tolist()):
         width = 2 * items.edits[i] + 1
@@ -140,7 +148,7 @@ def regions(scan, items: Items):
         yield from ((r, i, *x) for x in sorted(chosen))
 
 
-def occurrences(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1) -> DataFrame:
+def occurrences(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08) -> DataFrame:
     """doc_id, fp, item_id, start, end (bytes of the UTF-8 text), edits: each benchmark item found in each document.
 
     ``rate`` must be under 1 / 8 for the lemma's bound to be positive. Items of
@@ -178,7 +186,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1) -> Dat
     return out
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1) -> DataFrame:
+def clean_documents(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08) -> DataFrame:
     """The rows of ``docs`` in which no benchmark item is found."""
     bad = occurrences(docs, benchmark, rate).select(F.col("doc_id").alias("_d"), F.col("fp").alias("_f")).distinct()
     rows = docs.withColumn("_fp", F.xxhash64("text"))

@@ -40,6 +40,12 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codequarry.llm.leaks import occurrences
+
+    return occurrences(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("fp")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codequarry.llm.quality import judged
 
@@ -59,6 +65,7 @@ def queries() -> dict[str, Query]:
         "op3_pii": op3_pii,
         "op5_minhash": op5_minhash,
         "op7_bpe": op7_bpe,
+        "op8_leaks": op8_leaks,
         "op9_quality": op9_quality,
         "op10_urls": op10_urls,
     }
