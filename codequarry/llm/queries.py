@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,19 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convert(pages_as_arc(read(spark, sf_dir, "pages"))).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def _held_out() -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codequarry.llm.toxicity import scored, trained
+
+    docs = read(spark, sf_dir, "documents")
+    machine = trained(docs, read(spark, sf_dir, "labels").where(~_held_out()))
+    out = scored(docs, machine)
+    return out.select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codequarry.llm.pii import annotated, spans_of
 
@@ -32,6 +45,14 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), width=3, percent=85).drop("fp")
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codequarry.llm.language import labelled, trained
+
+    docs = read(spark, sf_dir, "documents")
+    model = trained(docs.where(~_held_out()))
+    return labelled(docs, model).select("doc_id", _held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -62,8 +83,10 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_warc": op1_warc,
+        "op2_toxicity": op2_toxicity,
         "op3_pii": op3_pii,
         "op5_minhash": op5_minhash,
+        "op6_language": op6_language,
         "op7_bpe": op7_bpe,
         "op8_leaks": op8_leaks,
         "op9_quality": op9_quality,
