@@ -39,6 +39,17 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans_of(annotated(read(spark, sf_dir, "documents")))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codequarry.llm.shared import shared_dir
+    from codequarry.llm.sharding import arrival, arrive_and_compact
+
+    docs = read(spark, sf_dir, "documents")
+    store = arrive_and_compact(docs, shared_dir(spark))
+    rows = store.read()
+    rows = docs.where("false") if rows is None else rows
+    return rows.select("doc_id", arrival(4).alias("arrival"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), F.lit(store.version()).alias("version"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codequarry.llm.minhash import near_duplicates
 
@@ -85,6 +96,7 @@ def queries() -> dict[str, Query]:
         "op1_warc": op1_warc,
         "op2_toxicity": op2_toxicity,
         "op3_pii": op3_pii,
+        "op4_sharding": op4_sharding,
         "op5_minhash": op5_minhash,
         "op6_language": op6_language,
         "op7_bpe": op7_bpe,
@@ -95,6 +107,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from codequarry.llm import quality, warc
+    from codequarry.llm import quality, sharding, warc
 
-    return {"op1_warc": warc.SQL, "op9_quality": quality.SQL}
+    return {"op1_warc": warc.SQL, "op4_sharding": sharding.SQL, "op9_quality": quality.SQL}
