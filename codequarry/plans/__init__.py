@@ -1 +1,3 @@
-"""See the modules of this package."""
+"""Registered queries; importing this package registers all of them."""
+
+from codequarry.plans import metadata  # noqa: F401
