@@ -1,3 +1,3 @@
 """Registered queries; importing this package registers all of them."""
 
-from codequarry.plans import metadata  # noqa: F401
+from codequarry.plans import changes, metadata  # noqa: F401
