@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from codequarry.llm.textscan import mix64
 
-BITS, BLOCK, SLICE_CHARS = 16, 128, 2_000_000
+BITS, BLOCK, SLICE_CHARS = 16, 128, 1_000_000
 #: First and last code point of the scripts' letters.
 SCRIPTS = {
     "latin": ((0x41, 0x24F), (0x1E00, 0x1EFF), (0xFF21, 0xFF5A)),

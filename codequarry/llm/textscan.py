@@ -17,7 +17,7 @@ import pyarrow as pa
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 #: Bytes of text that are worked on at a time; a longer text stands alone.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
