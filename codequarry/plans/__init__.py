@@ -1,3 +1,3 @@
 """Registered queries; importing this package registers all of them."""
 
-from codequarry.plans import changes, metadata, scalars  # noqa: F401
+from codequarry.plans import changes, checks, metadata, scalars, text  # noqa: F401
