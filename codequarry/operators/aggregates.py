@@ -15,8 +15,8 @@ def percent(part: Column, whole: Column, empty: float = 0.0) -> Column:
     return F.coalesce(F.try_divide(part.cast("double") * 100.0, whole.cast("double")), F.lit(empty))
 
 
-_DONE, _FAILED = F.col("status") == "Completed", F.col("status") == "Failed"
-_OPEN = F.col("status").isin("Pending", "Processing")
+def _is(*states: str) -> Column:
+    return F.col("status").isin(*states)
 
 
 def _sum(c: str) -> Column:
@@ -25,7 +25,7 @@ def _sum(c: str) -> Column:
 
 def chunk_status(chunks: DataFrame, *keys: str) -> DataFrame:
     """Chunks, completed, failed, pending, time, tokens and progress by ``keys``; without keys one row, even of nothing."""
-    out = chunks.groupBy(*keys).agg(F.count("*").alias("total"), total_if(_DONE).alias("completed"), total_if(_FAILED).alias("failed"), total_if(_OPEN).alias("pending"), _sum("processing_time_ms").alias("time_ms"), _sum("tokens_used").alias("tokens"))
+    out = chunks.groupBy(*keys).agg(F.count("*").alias("total"), total_if(_is("Completed")).alias("completed"), total_if(_is("Failed")).alias("failed"), total_if(_is("Pending", "Processing")).alias("pending"), _sum("processing_time_ms").alias("time_ms"), _sum("tokens_used").alias("tokens"))
     return out.withColumn("progress", percent(F.col("completed"), F.col("total")))
 
 
@@ -55,7 +55,7 @@ def file_spans(chunks: DataFrame, *keys: str) -> DataFrame:
 
 def resume_point(chunks: DataFrame, *keys: str) -> DataFrame:
     """The last completed chunk by key, -1 if none is."""
-    return chunks.groupBy(*keys).agg(F.coalesce(F.max(F.when(_DONE, F.col("chunk_index"))), F.lit(-1)).alias("last_completed"))
+    return chunks.groupBy(*keys).agg(F.coalesce(F.max(F.when(_is("Completed"), F.col("chunk_index"))), F.lit(-1)).alias("last_completed"))
 
 
 def dependency_metrics(deps: DataFrame, copies: DataFrame) -> DataFrame:

@@ -9,11 +9,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_LINE = Window.partitionBy("file").orderBy("line")
-_SO_FAR = _LINE.rowsBetween(Window.unboundedPreceding, 0)
 NAME = r"[A-Z0-9][A-Z0-9-]*"
 
 
+def _so_far():
+    """A file's lines up to this one."""
+    return Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+
+
 def lines(sources: DataFrame) -> DataFrame:
     """(file, line, text)"""
     return sources.select("file", F.posexplode(F.split("content", "\n")).alias("p", "text")).select("file", (F.col("p") + 1).alias("line"), "text")
@@ -45,7 +48,7 @@ def _in_sql(sources: DataFrame) -> DataFrame:
     """Lines with the number of EXEC blocks begun so far and of those ended on the lines before."""
     up = F.upper("text")
     start, end = up.rlike(r"EXEC\s+(SQL|CICS|DLI)").cast("int"), up.contains("END-EXEC").cast("int")
-    return code_lines(sources).withColumn("block", F.sum(start).over(_SO_FAR)).withColumn("ended", F.coalesce(F.sum(end).over(Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return code_lines(sources).withColumn("block", F.sum(start).over(_so_far())).withColumn("ended", F.coalesce(F.sum(end).over(Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
 
 def sql_blocks(sources: DataFrame) -> DataFrame:
@@ -91,7 +94,7 @@ def units(sources: DataFrame, strict_area_a: bool = False) -> DataFrame:
     up = F.upper("text")
     paragraph = F.regexp_extract(up, r"^ {7,10}([A-Z0-9][A-Z0-9-]*)\s*\.\s*$" if strict_area_a else _PARAGRAPH, 1)
     l = code_lines(sources).withColumn("division", F.regexp_extract(up, _DIVISION, 1)).withColumn("section", F.regexp_extract(up, _SECTION, 1)).withColumn("paragraph", paragraph)  # noqa: E741
-    l = l.withColumn("in_division", F.last(F.nullif("division", F.lit("")), ignorenulls=True).over(_SO_FAR))  # noqa: E741
+    l = l.withColumn("in_division", F.last(F.nullif("division", F.lit("")), ignorenulls=True).over(_so_far()))  # noqa: E741
     kind = F.when(F.col("division") != "", "division").when(F.col("section") != "", "section").when((F.col("paragraph") != "") & (F.col("in_division") == "PROCEDURE"), "paragraph")
     l = l.withColumn("kind", kind).withColumn("name", F.when(F.col("kind") == "division", F.col("division")).when(F.col("kind") == "section", F.col("section")).otherwise(F.col("paragraph")))  # noqa: E741
     last = F.max("line").over(Window.partitionBy("file"))
@@ -101,7 +104,7 @@ def units(sources: DataFrame, strict_area_a: bool = False) -> DataFrame:
     h = h.withColumn("rank", rank)
     nexts = [F.min(F.when(F.col("rank") <= r, F.col("line"))).over(after) for r in range(3)]
     end = F.coalesce(F.when(F.col("rank") == 0, nexts[0]).when(F.col("rank") == 1, nexts[1]).otherwise(nexts[2]) - 1, F.col("n"))
-    section = F.last(F.when(F.col("rank") <= 1, F.when(F.col("rank") == 1, F.col("name")).otherwise(F.lit(""))), ignorenulls=True).over(_SO_FAR)
+    section = F.last(F.when(F.col("rank") <= 1, F.when(F.col("rank") == 1, F.col("name")).otherwise(F.lit(""))), ignorenulls=True).over(_so_far())
     return h.select("file", "kind", "name", F.col("line").alias("start_line"), end.alias("end_line"), F.when(F.col("rank") == 2, F.nullif(section, F.lit(""))).alias("section"))
 
 
@@ -131,7 +134,7 @@ def variables(sources: DataFrame) -> DataFrame:
 def call_edges(sources: DataFrame) -> DataFrame:
     """(file, line, caller, callee, kind) of PERFORM, CALL and GO TO by the paragraph above; none before the first."""
     up = F.upper("text")
-    l = code_lines(sources).withColumn("caller", F.last(F.nullif(F.regexp_extract(up, _PARAGRAPH, 1), F.lit("")), ignorenulls=True).over(_SO_FAR)).where("caller is not null")  # noqa: E741
+    l = code_lines(sources).withColumn("caller", F.last(F.nullif(F.regexp_extract(up, _PARAGRAPH, 1), F.lit("")), ignorenulls=True).over(_so_far())).where("caller is not null")  # noqa: E741
     kinds = (("PERFORM", rf"\bPERFORM\s+({NAME})"), ("CALL", rf"\bCALL\s+['\"]({NAME})['\"]"), ("GOTO", rf"\bGO\s+TO\s+({NAME})"))
     each = F.flatten(F.array(*[_tagged(up, p, k) for k, p in kinds]))
     return l.select("file", "line", "caller", F.explode(each).alias("e")).select("file", "line", "caller", "e.callee", "e.kind").where("callee not in ('UNTIL', 'VARYING')")

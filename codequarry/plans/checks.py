@@ -65,6 +65,6 @@ add("s7_nested_array", lambda m: m.table("events").select(F.col("event_id").alia
 add("l4_since", lambda m: m.api.where(F.col("ts") >= F.lit("2024-01-15").cast("timestamp_ntz")).select("id"), "select id from api where ts >= timestamp '2024-01-15'")
 add("l5_live_status", lambda m: m.chunks.groupBy("run_id").pivot("status", ["Pending", "Processing", "Completed", "Failed"]).count().na.fill(0).toDF("run_id", "pending", "processing", "completed", "failed"), "select run_id, count(*) filter (status = 'Pending') pending, count(*) filter (status = 'Processing') processing, count(*) filter (status = 'Completed') completed, count(*) filter (status = 'Failed') failed from chunks group by 1")
 add("l6_narrative", lambda m: m.api.select("id", F.row_number().over(Window.partitionBy("model").orderBy("ts", "agent", "id")).alias("n")), "select id, row_number() over (partition by model order by ts, agent, id)::int n from api")
-add("l2_sliding_usage", lambda m: admitted(sliding_usage(m.api.select(F.col("ts").cast("timestamp").alias("ts"), "tokens"), "60 seconds", "30 seconds"), 300, 3).select(F.unix_seconds("start").alias("start"), "tokens", "requests", "admit"), "select b * 30 as start, sum(tokens)::bigint tokens, count(*) requests, sum(tokens) < 300 and count(*) < 3 admit from (select tokens, unnest([epoch(ts)::bigint // 30, epoch(ts)::bigint // 30 - 1]) b from (select tokens, date_trunc('second', ts) ts from api)) group by b")
+add("l2_sliding_usage", lambda m: admitted(sliding_usage(m.api.select("ts", "tokens"), "60 seconds", "30 seconds"), 300, 3).select(F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', start)").alias("start"), "tokens", "requests", "admit"), "select b * 30 as start, sum(tokens)::bigint tokens, count(*) requests, sum(tokens) < 300 and count(*) < 3 admit from (select tokens, unnest([epoch(ts)::bigint // 30, epoch(ts)::bigint // 30 - 1]) b from (select tokens, date_trunc('second', ts) ts from api)) group by b")
 add("l3_anchored_minute", lambda m: minute_counts(m.api).select("id", "used"))
 add("j16_parent_by_level", lambda m: m.chunks.where("chunk_index < 20").select("source_file", "chunk_index", (F.col("tokens_used") % 5).alias("level")).alias("a").join(m.chunks.where("chunk_index < 20").select("source_file", "chunk_index", (F.col("tokens_used") % 5).alias("level")).alias("b"), (F.col("a.source_file") == F.col("b.source_file")) & (F.col("b.chunk_index") < F.col("a.chunk_index")) & (F.col("b.level") < F.col("a.level")), "left").groupBy("a.source_file", "a.chunk_index").agg(F.max("b.chunk_index").alias("parent")), "with x as (select source_file, chunk_index, tokens_used % 5 as lv from chunks where chunk_index < 20) select a.source_file, a.chunk_index, max(b.chunk_index) parent from x a left join x b on a.source_file = b.source_file and b.chunk_index < a.chunk_index and b.lv < a.lv group by 1, 2")

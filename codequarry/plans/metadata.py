@@ -93,8 +93,8 @@ add("a33_extract_totals", lambda m: m.files.select(F.size(F.split("content", "\\
 add("o1_latest_run", lambda m: m.runs.orderBy(F.desc("started_at"), F.desc("id")).limit(1).select("id", "started_at"), "select id, started_at from runs order by started_at desc, id desc limit 1")
 add("o2_last_runs", lambda m: m.runs.orderBy(F.desc("id")).limit(5).select("id", "status"), "select id, status from runs order by id desc limit 5")
 add("o3_multi_key", lambda m: m.deps.orderBy("source_file", "dependency_type", "target_file", "id").limit(100).select("id", "source_file", "dependency_type", "target_file"), "select id, source_file, dependency_type, target_file from deps order by source_file, dependency_type, target_file, id limit 100")
-_rank = F.when(F.col("status") == "Processing", 0).when(F.col("status") == "Pending", 1).otherwise(2)
-add("o4_custom_rank", lambda m: m.chunks.orderBy(_rank, F.col("completed_at").desc_nulls_last(), "id").limit(10).select("id", "status"), "select id, status from chunks order by case status when 'Processing' then 0 when 'Pending' then 1 else 2 end, completed_at desc nulls last, id limit 10")
+_rank = lambda: F.when(F.col("status") == "Processing", 0).when(F.col("status") == "Pending", 1).otherwise(2)
+add("o4_custom_rank", lambda m: m.chunks.orderBy(_rank(), F.col("completed_at").desc_nulls_last(), "id").limit(10).select("id", "status"), "select id, status from chunks order by case status when 'Processing' then 0 when 'Pending' then 1 else 2 end, completed_at desc nulls last, id limit 10")
 add("o5_copybooks_last", lambda m: m.files.orderBy("is_copybook", "file_name").limit(10).select("id", "file_name"), "select id, file_name from files order by is_copybook, file_name limit 10")
 add("o6_feed", lambda m: m.api.orderBy(F.desc("ts"), F.desc("id")).limit(100).select("id", "ts"), "select id, ts from api order by ts desc, id desc limit 100")
 add("o7_conversations", lambda m: m.chat.orderBy(F.desc("conv_id"), F.desc("turn"), "agent").limit(100).select("conv_id", "turn", "agent"), "select conv_id, turn, agent from chat order by conv_id desc, turn desc, agent limit 100")
@@ -111,13 +111,13 @@ add("u6_outbound_inbound", lambda m: m.deps.groupBy("source_file").agg(F.collect
 add("u7_run_ids", lambda m: m.deps.select("run_id").distinct().orderBy(F.desc("run_id")), "select distinct run_id from deps")
 
 # ---- windows ----
-_file = Window.partitionBy("source_file").orderBy("chunk_index")
-add("w1_carry_forward", lambda m: m.chunks.withColumn("last_done", F.last(F.when(F.col("status") == "Completed", F.col("chunk_index")), ignorenulls=True).over(_file)).where("last_done is not null").select("id", "last_done"), "select id, last_done from (select id, last_value(case when status = 'Completed' then chunk_index end ignore nulls) over (partition by source_file order by chunk_index) last_done from chunks) where last_done is not null")
-add("w2_carry_with_reset", lambda m: m.chunks.withColumn("s", F.sum((F.col("status") == "Failed").cast("int")).over(_file)).withColumn("p", F.last(F.when(F.col("status") == "Completed", F.col("chunk_index")), ignorenulls=True).over(Window.partitionBy("source_file", "s").orderBy("chunk_index"))).select("id", F.col("s").cast("bigint").alias("section"), F.col("p").alias("paragraph")), "with a as (select *, sum((status = 'Failed')::int) over (partition by source_file order by chunk_index)::bigint s from chunks) select id, s section, last_value(case when status = 'Completed' then chunk_index end ignore nulls) over (partition by source_file, s order by chunk_index) paragraph from a")
-add("w3_region_end", lambda m: m.chunks.where("status = 'Completed'").withColumn("until", F.coalesce(F.lead("start_line").over(_file) - 1, F.lit(10_000_000))).select("id", "start_line", "until"), "select id, start_line, coalesce(lead(start_line) over (partition by source_file order by chunk_index) - 1, 10000000) until from chunks where status = 'Completed'")
+_file = lambda: Window.partitionBy("source_file").orderBy("chunk_index")
+add("w1_carry_forward", lambda m: m.chunks.withColumn("last_done", F.last(F.when(F.col("status") == "Completed", F.col("chunk_index")), ignorenulls=True).over(_file())).where("last_done is not null").select("id", "last_done"), "select id, last_done from (select id, last_value(case when status = 'Completed' then chunk_index end ignore nulls) over (partition by source_file order by chunk_index) last_done from chunks) where last_done is not null")
+add("w2_carry_with_reset", lambda m: m.chunks.withColumn("s", F.sum((F.col("status") == "Failed").cast("int")).over(_file())).withColumn("p", F.last(F.when(F.col("status") == "Completed", F.col("chunk_index")), ignorenulls=True).over(Window.partitionBy("source_file", "s").orderBy("chunk_index"))).select("id", F.col("s").cast("bigint").alias("section"), F.col("p").alias("paragraph")), "with a as (select *, sum((status = 'Failed')::int) over (partition by source_file order by chunk_index)::bigint s from chunks) select id, s section, last_value(case when status = 'Completed' then chunk_index end ignore nulls) over (partition by source_file, s order by chunk_index) paragraph from a")
+add("w3_region_end", lambda m: m.chunks.where("status = 'Completed'").withColumn("until", F.coalesce(F.lead("start_line").over(_file()) - 1, F.lit(10_000_000))).select("id", "start_line", "until"), "select id, start_line, coalesce(lead(start_line) over (partition by source_file order by chunk_index) - 1, 10000000) until from chunks where status = 'Completed'")
 add("w4_latest_state", lambda m: m.api.groupBy("agent", "model").agg(F.max_by("id", F.struct("ts", -F.col("id"))).alias("id"), F.max("ts").alias("ts")), "select agent, model, min(id) id, max(ts) ts from (select *, max(ts) over (partition by agent, model) t from api) where ts = t group by all")
-add("w5_renumber", lambda m: m.chunks.select("source_file", "id", F.concat(F.lit("BR-"), F.row_number().over(_file).cast("string")).alias("rule")), "select source_file, id, 'BR-' || row_number() over (partition by source_file order by chunk_index) as rule from chunks")
+add("w5_renumber", lambda m: m.chunks.select("source_file", "id", F.concat(F.lit("BR-"), F.row_number().over(_file()).cast("string")).alias("rule")), "select source_file, id, 'BR-' || row_number() over (partition by source_file order by chunk_index) as rule from chunks")
 add("w6_first_occurrence", lambda m: P.one_each(m.copies, ["program", "copybook"], "id").select("id", "program", "copybook"), "select min(id) id, program, copybook from copies group by program, copybook")
 add("w7_detail_window", lambda m: m.chunks.withColumn("last", F.max("chunk_index").over(Window.partitionBy("source_file"))).groupBy("source_file").agg(F.count_if(F.col("chunk_index") > F.col("last") - 3).alias("full"), F.count_if(F.col("chunk_index") <= F.col("last") - 3).alias("compressed")), "select source_file, least(count(*), 3) \"full\", greatest(count(*) - 3, 0) compressed from chunks group by 1")
-_minute = Window.partitionBy("agent").orderBy(F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")).rangeBetween(-60_000_000, 0)
-add("w8_trailing_minute", lambda m: m.api.select("id", F.sum("tokens").over(_minute).alias("tokens"), F.count("*").over(_minute).alias("requests")), "select id, (sum(tokens) over w)::bigint tokens, count(*) over w requests from api window w as (partition by agent order by epoch_us(ts) range between 60000000 preceding and current row)")
+_minute = lambda: Window.partitionBy("agent").orderBy(F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")).rangeBetween(-60_000_000, 0)
+add("w8_trailing_minute", lambda m: m.api.select("id", F.sum("tokens").over(_minute()).alias("tokens"), F.count("*").over(_minute()).alias("requests")), "select id, (sum(tokens) over w)::bigint tokens, count(*) over w requests from api window w as (partition by agent order by epoch_us(ts) range between 60000000 preceding and current row)")

@@ -54,8 +54,8 @@ add("f21_fenced", lambda m: _frame(m, TEXTS).select("i", S.fenced(F.col("x")).al
 add("f22_meaningful_lines", lambda m: _docs(m).select("id", S.meaningful_lines(F.col("content")).alias("n")), "select id, len(list_filter(string_split(content, chr(10)), lambda x: not regexp_matches(x, '^\\s*(\\*.*|//.*|/\\*.*)?$')))::int n from files")
 add("f23_importance", lambda m: m.copies.groupBy("program").agg(F.countDistinct("copybook").alias("degree")).withColumn("rank", S.importance(F.col("degree"))), "select program, count(distinct copybook) degree, case when count(distinct copybook) > 5 then 'Critical' when count(distinct copybook) > 2 then 'Important' else 'Standard' end rank from copies group by 1")
 add("f24_cut_off", lambda m: _frame(m, TEXTS).select("i", S.cut_off(F.col("x")).alias("cut")), f"select i, regexp_matches(x, '(?i)(\\.\\.\\.\\s*$|//\\s*\\.\\.\\.|rest of (the )?code|remaining .* omitted)') or len(regexp_extract_all(x, '```')) % 2 = 1 cut from {_values(TEXTS)}")
-_stage = F.when(F.col("completed") == F.col("total"), "done").when(F.col("completed") > 0, "running").otherwise("waiting")
-add("f25_stage_status", lambda m: chunk_status(m.chunks, "run_id").withColumn("stage", _stage).select("run_id", "stage", F.least(F.lit(90.0), F.greatest(F.lit(10.0), F.col("progress"))).alias("shown")), "with g as (select run_id, count(*) t, count(*) filter (status = 'Completed') c from chunks group by 1) select run_id, case when c = t then 'done' when c > 0 then 'running' else 'waiting' end stage, least(90.0::double, greatest(10.0::double, 100.0::double * c / t)) shown from g")
+_stage = lambda: F.when(F.col("completed") == F.col("total"), "done").when(F.col("completed") > 0, "running").otherwise("waiting")
+add("f25_stage_status", lambda m: chunk_status(m.chunks, "run_id").withColumn("stage", _stage()).select("run_id", "stage", F.least(F.lit(90.0), F.greatest(F.lit(10.0), F.col("progress"))).alias("shown")), "with g as (select run_id, count(*) t, count(*) filter (status = 'Completed') c from chunks group by 1) select run_id, case when c = t then 'done' when c > 0 then 'running' else 'waiting' end stage, least(90.0::double, greatest(10.0::double, 100.0::double * c / t)) shown from g")
 add("f26_older_than_hour", lambda m: m.runs.where(F.col("started_at") < F.lit(__import__("datetime").datetime(1996, 6, 1)) - F.expr("interval 1 hour")).select("id"), "select id from runs where started_at < timestamp '1996-06-01' - interval 1 hour")
 add("f27_backoff", lambda m: m.api.select("id", S.backoff((F.col("tokens") % 10 + 1)).alias("ms")), "select id, least(1000 * pow(2.0, tokens % 10), 120000.0)::double ms from api")
 add("f28_default_kind", lambda m: m.deps.select("id", F.coalesce(F.nullif("dependency_type", F.lit("VIEW")), F.lit("DEPENDS_ON")).alias("kind"), F.lower("target_file").endswith(".cpy").alias("copybook")), "select id, case when dependency_type = 'VIEW' then 'DEPENDS_ON' else dependency_type end kind, lower(target_file) like '%.cpy' copybook from deps")

@@ -7,7 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_STATUS = F.when(F.col("event_type") == "purchase", "Completed").when(F.col("event_type") == "error", "Failed").when(F.col("event_type") == "click", "Processing").otherwise("Pending")
+def _status():
+    return F.when(F.col("event_type") == "purchase", "Completed").when(F.col("event_type") == "error", "Failed").when(F.col("event_type") == "click", "Processing").otherwise("Pending")
 
 
 class Model:
@@ -41,7 +42,7 @@ class Model:
 
         index = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
         e = self.table("events").select("event_id", "ts", "user_id", "event_type", "value").withColumn("chunk_index", index)
-        return e.select(F.col("event_id").alias("id"), (F.col("user_id") % 10).alias("run_id"), F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("source_file"), "chunk_index", (F.col("chunk_index") * 900 + 1).alias("start_line"), (F.col("chunk_index") * 900 + 1000).alias("end_line"), _STATUS.alias("status"), F.floor("value").cast("bigint").alias("tokens_used"), F.floor(F.col("value") * 10).cast("bigint").alias("processing_time_ms"), F.when(F.col("event_type") == "purchase", F.col("ts")).alias("completed_at"))
+        return e.select(F.col("event_id").alias("id"), (F.col("user_id") % 10).alias("run_id"), F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("source_file"), "chunk_index", (F.col("chunk_index") * 900 + 1).alias("start_line"), (F.col("chunk_index") * 900 + 1000).alias("end_line"), _status().alias("status"), F.floor("value").cast("bigint").alias("tokens_used"), F.floor(F.col("value") * 10).cast("bigint").alias("processing_time_ms"), F.when(F.col("event_type") == "purchase", F.col("ts")).alias("completed_at"))
 
     @property
     def deps(self) -> DataFrame:
