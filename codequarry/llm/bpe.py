@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codequarry.llm.textscan import INVERSE, BASE, mix64, powers
+from codequarry.llm.textscan import mix64, powers
 
 #: Bytes that the rolling hash sees, and the mask that makes a cut: about one in 2048 bytes, 256 bytes apart at least.
 SEEN, MASK, LEAST = 32, np.uint64(2047), 256

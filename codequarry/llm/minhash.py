@@ -22,8 +22,8 @@ out. Nothing is capped.
 
 A link of similarity t is lost if none of the k least values of the union is
 shared: probability (1-t)**k, under 1e-25 at k = 32 and t = 0.85. The cut for
-dense classes and the estimate add under 1e-8 for a link right at the threshold.
-Classes are known by 64 bits of a digest of their set.
+dense classes and the estimate add under 1e-6 for a link right at the threshold,
+and far less above it. Classes are known by 64 bits of a digest of their set.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ from codequarry.llm.textscan import mix64, slices
 
 _ODD = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165], dtype=np.uint64)
 
-#: Values of a document that only long lists may hold, by share, before it counts as dense; see the module text.
+#: A class with this many sketch values outside long lists shares one of them with any class that it is linked to.
 DENSE_OWN = 13
 
 
