@@ -23,7 +23,7 @@ add("c3_overlap_text", lambda m: C.windows(C.routed(m.files), 10, 3).join(m.file
 _units = lambda m: m.chunks.select(F.col("source_file").alias("file"), F.col("chunk_index").alias("pos"), F.when(F.col("status") == "Failed", "division").when(F.col("status") == "Completed", "section").otherwise("paragraph").alias("kind"), (F.col("tokens_used") % 40 + 5).alias("lines"), F.col("tokens_used").alias("tokens"))
 add("c4_semantic_packing", lambda m: C.packed(_units(m), 100, 1000))
 add("c5_policy", lambda m: C.policy(C.routed(m.files), m.files.where("id % 3 = 0").select("id", (F.col("id") % 30).alias("lines")), 8), "with " + _z + " select id, case when lines <= 8 then 'single' when id % 3 <> 0 or id % 30 > 8 then 'windows' else 'semantic' end way from sized")
-add("c6_chunk_units", lambda m: C.windows(C.routed(m.files), 10, 3).join(m.files.select("id", F.posexplode(F.split("content", "\n")).alias("p", "t")).select("id", (F.col("p") + 1).alias("line")), "id").where("line between start_line and end_line").groupBy("id", "chunk").agg(F.count("*").alias("held")), _w + "select id, k \"chunk\", least(k * 7 + 10, lines) - k * 7 held from w where lines > k * 7")
+add("c6_chunk_units", lambda m: C.windows(C.routed(m.files), 10, 3).join(m.files.select("id", F.posexplode(F.split("content", "\n")).alias("p", "t")).select("id", (F.col("p") + 1).alias("line")), "id").where("line between start_line and end_line").groupBy("id", "chunk").agg(F.count("*").alias("held")), _w + "select id, k \"chunk\", (least(k * 7 + 10, lines) - k * 7)::bigint held from w where lines > k * 7")
 add("c7_split_point", lambda m: C.split_point(source_lines(m.files.select(F.col("file_name").alias("file"), F.regexp_replace("content", r"(?i)\bthe\b", "SECTION").alias("content")))).select("file", "at"), "with l as (select file_name file, i::int as line, t[i] as text, len(t) n from (select file_name, string_split(regexp_replace(content, '(?i)\\bthe\\b', 'SECTION', 'g'), chr(10)) t, unnest(generate_series(1, len(string_split(content, chr(10))))) i from files)), r as (select *, n // 2 mid, abs(line - n // 2) far, case when regexp_matches(upper(text), '\\bDIVISION\\b') then 0 when regexp_matches(upper(text), '\\bSECTION\\b') then 1 when regexp_matches(upper(text), '^\\s{7}[A-Z0-9-]+\\.\\s*$') then 2 end rk from l), b as (select file, arg_min(line, row(rk, far, line)) found from r where rk is not null and far <= n * 0.25 and line > 10 and line <= n - 10 group by 1) select file, coalesce(found, mid)::int \"at\" from (select distinct file, mid from r) left join b using (file)")
 add("c8_plan_summary", lambda m: C.plan_summary(C.windows(C.routed(m.files), 10, 3), 10), _w + "select id, count(*) chunks, max(least(10, lines - k * 7)) longest, true as valid from w group by 1")
 add("c9_resume", lambda m: m.chunks.join(resume_point(m.chunks, "source_file"), "source_file").where("chunk_index > last_completed").select("id"), "select id from (select id, chunk_index, max(case when status = 'Completed' then chunk_index end) over (partition by source_file) c from chunks) where chunk_index > coalesce(c, -1)")
