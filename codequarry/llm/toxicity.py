@@ -66,12 +66,13 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.raw(at, off), -30, 30)))
 
 
-def fit(found: list[np.ndarray], labels: np.ndarray, least: int = 3, away: float = 4.0, factors: int = 4, epochs: int = 20, rate: float = 0.1, decay: float = 1e-4, batch: int = 64, seed: int = 7) -> Machine:
+def fit(found: list[np.ndarray], labels: np.ndarray, least: int = 2, away: float = 4.0, factors: int = 4, steps: int = 2500, rate: float = 0.1, decay: float = 1e-4, batch: int = 64, seed: int = 7) -> Machine:
     """Fit on the term hashes and 0/1 labels of a sample.
 
     The dictionary holds terms of at least ``least`` texts whose share of toxic
     texts lies ``away`` standard errors from that of all; the others carry noise
-    that a long text adds up.
+    that a long text adds up. At least ``steps`` batches are worked through, small
+    samples again and again.
     """
     flat = np.concatenate([*found, np.zeros(0, np.uint64)])
     terms, where, count = np.unique(flat, return_inverse=True, return_counts=True)
@@ -85,7 +86,7 @@ def fit(found: list[np.ndarray], labels: np.ndarray, least: int = 3, away: float
         return m
     at, off = m.rows(found)
     gw, gv, g0 = np.full(len(terms), 1e-2, np.float32), np.full(m.v.shape, 1e-2, np.float32), 1e-2
-    for _ in range(epochs):
+    for _ in range(max(1, -(-steps * batch // max(1, len(labels))))):
         order = rng.permutation(len(labels))
         for k in range(0, len(order), batch):
             rows = order[k : k + batch]
