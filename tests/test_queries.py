@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 
 from codequarry import registry
@@ -12,7 +13,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def cell(x):
-    if x is None or x != x:
+    if x is None or x is pd.NA or x is pd.NaT or (isinstance(x, float) and x != x):
         return None
     if isinstance(x, float):
         return round(x, 6)
