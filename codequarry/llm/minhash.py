@@ -8,22 +8,25 @@ Steps, each a Spark job over all rows:
    pairs of classes that share one. Lists of at most ``short`` classes give all
    their pairs. Longer lists are treated below.
 3. The sketch of the union of two sketches estimates their Jaccard similarity;
-   pairs whose estimate lies more than 5.6 standard errors below the threshold go.
+   pairs that share fewer of its values than ``least_shared`` go.
 4. The exact Jaccard similarity of the full sets confirms each link.
 
 Long lists (a boilerplate line, thousands of near copies) never give all their
 pairs. A pair that shares no value of a short list has all its shared values in
-long lists, and for similar sets these are most of the sketch: a class with many
-values of its own can't be in such a pair. The remaining ("dense") classes are
-first linked to the densest class of each long list. Where a list then still
+long lists, so a class with fewer values there than the estimate asks for can't be
+in a pair that passes it; how many of its own values the other class shares does
+not matter. The remaining ("dense") classes are first linked to the densest class of each long list. Where a list then still
 spans several components, its classes are compared block by block, across
 components only, estimate before exact test inside the task, and only links come
 out. Nothing is capped.
 
-A link of similarity t is lost if none of the k least values of the union is
-shared: probability (1-t)**k, under 1e-25 at k = 32 and t = 0.85. The cut for
-dense classes and the estimate add under 1e-6 for a link right at the threshold,
-and far less above it. Classes are known by 64 bits of a digest of their set.
+A link is lost if its estimate is too low: for a link right at the threshold with
+a probability of at most P(Binomial(k, t) < c), 3.5e-10 at k = 32 and t = 0.80
+(c = 10), 1.2e-10 at t = 0.85 (c = 12). The cut for dense classes follows from the
+estimate and loses nothing more. A class stands in the lists of its first ``m``
+hot values; a link is missed there if none of them is shared, at most (1-t)**m:
+8.2e-10 at t = 0.80 (m = 13), 8.6e-10 at t = 0.85 (m = 11). Above the threshold
+all of these are far smaller. Classes are known by 64 bits of a digest of their set.
 """
 
 from __future__ import annotations
@@ -44,8 +47,18 @@ from codequarry.llm.textscan import mix64, slices
 
 _ODD = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165], dtype=np.uint64)
 
-#: A class with this many sketch values outside long lists shares one of them with any class that it is linked to.
-DENSE_OWN = 13
+#: The estimate, and the choice of long lists, each lose a link right at the threshold with at most this probability.
+LOSS = 1e-9
+
+
+def least_shared(k: int, t: float) -> int:
+    """The largest c with P(Binomial(k, t) < c) <= LOSS: a link of similarity t shares c of the union's k least values."""
+    below = 0.0
+    for c in range(k + 1):
+        below += math.comb(k, c) * t**c * (1 - t) ** (k - c)
+        if below > LOSS:
+            return c
+    return k
 
 
 def shingle_sets(texts: pa.Array, width: int):
@@ -160,7 +173,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     then. Repeated rows give repeated results. An empty table gives an empty one.
     """
     t = percent / 100
-    least = t - 5.6 * math.sqrt(t * (1 - t) / k)
+    least = least_shared(k, t) / k
+    lists_each = k if t <= 0 else 1 if t >= 1 else min(k, math.ceil(math.log(LOSS) / math.log(1 - t)))
     rows = stored(sketched(docs, k, width))
     classes = stored(
         rows.where("vid is not null").groupBy("vid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
@@ -176,9 +190,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     hot = posts.where(F.col("count") > short)
     own = classes.join(hot.groupBy("vid").agg(F.sort_array(F.collect_list("v")).alias("hot")), "vid").withColumn("own", F.size("sketch") - F.size("hot"))
     small = math.floor(k * t)
-    dense = own.where((F.col("own") < DENSE_OWN) & ((F.col("n") > small) | (100 * F.col("own") <= (100 - percent) * F.col("n"))))
+    dense = own.where((F.size("hot") >= least * F.size("sketch")) & ((F.col("n") > small) | (100 * F.col("own") <= (100 - percent) * F.col("n"))))
     dense = stored(dense.select("vid", "n", "own", "hot"))
-    inside = dense.select("vid", "n", "own", F.explode(F.slice("hot", 1, 10)).alias("v"))
+    inside = dense.select("vid", "n", "own", F.explode(F.slice("hot", 1, lists_each)).alias("v"))
     chief = inside.groupBy("v").agg(F.max_by(F.struct("vid", "n"), F.struct(-F.col("own"), "vid")).alias("c"))
     stars = inside.alias("x").join(chief, "v").select(F.col("x.vid").alias("p"), F.col("x.n").alias("np"), F.col("c.vid").alias("q"), F.col("c.n").alias("nq")).where(f"p <> q and 100 * least(np, nq) >= {percent} * greatest(np, nq)").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
     pairs = pairs.union(stars).distinct()
@@ -199,7 +213,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     blocks = F.ceil(F.col("members") / block).cast("int")
     placed = placed.join(spread, "v").withColumn("block", F.pmod(F.xxhash64("vid"), blocks).cast("int"))
     other = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("o")
-    placed = placed.join(dense.select("vid", F.slice("hot", 1, 10).alias("hot")), "vid").join(sets, "vid")
+    placed = placed.join(dense.select("vid", F.slice("hot", 1, lists_each).alias("hot")), "vid").join(sets, "vid")
     placed = placed.select("v", "vid", "comp", "block", "hot", "items", other).withColumn("bi", F.least("block", "o")).withColumn("bj", F.greatest("block", "o"))
     more = placed.groupBy("v", "bi", "bj").applyInPandas(_across(percent, k, least), "a bigint, b bigint")
     more = stored(more)

@@ -84,6 +84,19 @@ def test_near_duplicates_like_brute_force(spark, width, percent, short):
     assert all(r.kept == (r.doc_id == r.component_id) for r in out)
 
 
+def test_near_duplicates_of_a_template_and_its_extensions(spark, width=5, percent=80, extra=49, most=22):
+    """Variants at the threshold whose sketches hold 13 values or more that no other text has."""
+    rng = np.random.default_rng(8)
+    template = [f"t{i}" for i in range(200)]
+    texts = [" ".join(template)] + [" ".join(template + [f"v{j}x{i}" for i in rng.integers(0, 10**6, extra)]) for j in range(15000)]
+    sets = list(minhash.shingle_sets(pa.array(texts), width))
+    own = [len(np.setdiff1d(s[:32], sets[0])) for s in sets]
+    chosen = list(range(0, 45)) + [j for j in range(45, 15001) if 13 <= own[j] <= most]
+    assert len(chosen) > 45 and all(100 * len(sets[0]) >= percent * len(sets[j]) for j in chosen)
+    out = minhash.near_duplicates(docs(spark, [texts[j] for j in chosen]), width, percent).collect()
+    assert {r.component_id for r in out} == {0}
+
+
 def test_near_duplicates_of_odd_rows(spark):
     out = minhash.near_duplicates(odd(spark), 3, 85).collect()
     assert len(out) == len(ODD) + 2
