@@ -2,15 +2,17 @@
 
 Built-in functions only. Patterns give the base spans. For every protected
 entity (a value found by a pattern, and each kind as a whole) the information
-content is IC(e) = log2(N / df(e)) over all N documents. A term that stands near
-the entity discloses PMI(t; e) / IC(e) of it, with
-PMI(t; e) = log2(N * df(t, e) / (df(t) * df(e))): 1 if the term never occurs
-without the entity. Terms whose disclosure reaches ``generalise`` are replaced
-by a placeholder, those that reach ``remove`` are taken out.
-
-df(t) counts all documents, wherever the term stands; only the candidates'
-counts are kept after the map-side aggregation. A pair needs ``support``
-documents, as the ratio of smaller counts says nothing.
+content is IC(e) = log2(N / df(e)) over all N documents. A term discloses
+PMI(t; e) / IC(e) of the entity, with PMI(t; e) = log2(N * df(t, e) / (df(t) * df(e))):
+1 if the term never occurs without the entity. df(t, e) counts whole documents
+that hold both, wherever the term stands outside the base spans. Terms whose
+disclosure reaches ``generalise`` are replaced by a placeholder, those that reach
+``remove`` are taken out, at every place in every document that holds the entity.
+
+A pair needs ``support`` documents, as the ratio of smaller counts says nothing.
+So entities and terms of fewer such documents go before they are paired, and so
+does a pair with df(t) > N**(1-g) * df(e)**g at g = ``generalise``: even with
+df(t, e) = df(e) its share would be less than g. Neither loses a risky pair.
 """
 
 from __future__ import annotations
@@ -34,8 +36,10 @@ _HINT = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"\+[0
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _WORD = r"\p{L}{3,}"
 _SPAN = "array<struct<start:int,kind:int,end:int,found:string>>"
-#: Code points of context on each side of an entity, and words taken from it.
-CONTEXT, NEAR = 48, 3
+#: Stands for a letter of a base span in ``_masked``: no letter itself, and a code point that texts don't hold.
+_HIDDEN = "\ufdd0"
+#: Whole words of a masked text.
+_CLEAR = rf"(?<![\p{{L}}{_HIDDEN}])\p{{L}}{{3,}}+(?!{_HIDDEN})"
 
 
 def _places(text: Column, pattern: str, kind: int, offset: Column | int = 0) -> Column:
@@ -92,45 +96,68 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _context(text: Column, spans: Column) -> Column:
-    """For each base span its entity and the terms beside it, whole words clear of every base span."""
+def _masked(text: Column, spans: Column) -> Column:
+    """The text with as many code points, in which base spans hold no letter."""
 
-    def near(s: Column) -> Column:
-        first = F.greatest(s["start"] - CONTEXT, F.lit(0))
-        left = F.substring(text, first + 1, s["start"] - first)
-        right = F.substring(text, s["end"] + 1, F.lit(CONTEXT))
-        before = F.filter(_places(left, _WORD, 4, first), lambda w: (w["start"] > first) | (first == 0))
-        after = F.filter(_places(right, _WORD, 4, s["end"]), lambda w: (w["end"] < s["end"] + CONTEXT))
-        words = F.concat(F.slice(F.reverse(before), 1, NEAR), F.slice(after, 1, NEAR))
-        clear = F.filter(words, lambda w: ~F.exists(spans, lambda b: (w["start"] < b["end"]) & (w["end"] > b["start"])))
-        return F.struct(s["kind"].alias("kind"), F.xxhash64(s["found"]).alias("value"), F.transform(clear, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.lower(w["found"]).alias("term"))).alias("terms"))
+    def step(a: Column, s: Column) -> Column:
+        first = F.greatest(s["start"], a["at"])
+        hidden = F.substring(text, first + 1, F.greatest(s["end"] - first, F.lit(0)))
+        hidden = F.regexp_replace(F.regexp_replace(hidden, r"(?s)\P{L}", "\x01"), r"\p{L}", _HIDDEN)
+        return F.struct(F.concat(a["text"], F.substring(text, a["at"] + 1, first - a["at"]), hidden).alias("text"), F.greatest(a["at"], s["end"]).alias("at"))
+
+    return F.aggregate(spans, F.struct(F.lit("").alias("text"), F.lit(0).alias("at")), step, lambda a: F.concat(a["text"], F.substring(text, a["at"] + 1, F.length(text))))
+
+
+def _terms(text: Column, pattern: str) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.lower))
+
+
+def _marked(masked: Column, risky: Column) -> Column:
+    """Every place of the risky terms (term, out) in a masked text, as (start, kind, end, out)."""
+    kind = "array<struct<start:int,kind:int,end:int,out:int>>"
+    gaps, words = F.split(masked, _CLEAR, -1), F.regexp_extract_all(masked, F.lit(_CLEAR), F.lit(0))
+    steps = F.arrays_zip(F.slice(gaps, 1, F.size(words)).alias("gap"), words.alias("found"))
+    outs = F.map_from_entries(risky)
+
+    def step(a: Column, x: Column) -> Column:
+        here = a["at"] + F.length(x["gap"])
+        end = here + F.length(x["found"])
+        out = F.try_element_at(outs, F.lower(x["found"]))
+        span = F.struct(here.alias("start"), F.lit(4).alias("kind"), end.alias("end"), out.alias("out"))
+        return F.struct(end.alias("at"), F.when(out.isNull(), a["out"]).otherwise(F.array_append(a["out"], span)).cast(kind).alias("out"))
 
-    return F.transform(spans, near)
+    return F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), step, lambda a: a["out"])
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) with the base spans and their surroundings; one row per document, stored."""
+    """(doc_id, fp) with the base spans and, where there are any, their entities and the masked text; one row per document, stored."""
     text = F.coalesce(F.col("text"), F.lit(""))
     df = docs.select("doc_id", text.alias("text"), F.xxhash64("text").alias("fp")).withColumn("base", base_spans(F.col("text")))
-    df = df.withColumn("near", _context(F.col("text"), F.col("base")))
-    return stored(df.select("doc_id", "fp", F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))).alias("base"), "near"))
+    entity = lambda s, value: F.struct(s["kind"].alias("kind"), value.alias("value"))
+    each = F.transform("base", lambda s: entity(s, F.xxhash64(s["found"])))
+    kinds = F.transform("base", lambda s: entity(s, F.lit(0).cast("bigint")))
+    masked = F.when(F.size("base") > 0, _masked(F.col("text"), F.col("base")))
+    return stored(df.select("doc_id", "fp", F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))).alias("base"), F.array_distinct(F.concat(kinds, each)).alias("entities"), masked.alias("masked")))
 
 
 def disclosing(docs: DataFrame, base: DataFrame, generalise: float = 0.75, remove: float = 0.95, support: int = 3) -> DataFrame:
-    """(doc_id, fp, terms): the spans of disclosing terms, for the documents that have any."""
+    """(doc_id, fp, risky): the disclosing terms (term, out) of the documents that have any."""
     n = base.count()
-    sides = base.where(F.size("near") > 0).select("doc_id", "fp", F.explode("near").alias("x")).select("doc_id", "fp", F.explode(F.array(F.struct(F.col("x.kind").alias("kind"), F.lit(0).cast("bigint").alias("value")), F.struct("x.kind", "x.value"))).alias("entity"), F.col("x.terms").alias("terms"))
-    near = stored(sides.select("doc_id", "fp", "entity", F.explode("terms").alias("t")).select("doc_id", "fp", "entity", "t.term", "t.start", "t.end"))
-    key = F.struct("doc_id", "fp")
-    df_e = sides.select("entity", key.alias("d")).distinct().groupBy("entity").agg(F.count("*").alias("df_e"))
-    df_te = near.select("term", "entity", key.alias("d")).distinct().groupBy("term", "entity").agg(F.count("*").alias("df_te")).where(F.col("df_te") >= support)
-    wanted = df_te.select("term").distinct()
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))
-    df_t = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("df_t")).join(wanted, "term", "left_semi")
+    sides = base.where(F.size("entities") > 0).dropDuplicates(["doc_id", "fp"])
+    entities = sides.select("doc_id", "fp", F.explode("entities").alias("entity"))
+    df_e = entities.groupBy("entity").agg(F.count("*").alias("df_e")).where((F.col("df_e") >= support) & (F.col("df_e") < n))
+    held = entities.join(df_e, "entity").groupBy("doc_id", "fp").agg(F.collect_list(F.struct("entity", "df_e")).alias("held")).select(F.col("doc_id").alias("d"), F.col("fp").alias("f"), "held")
+    terms = stored(sides.join(held, sides.doc_id.eqNullSafe(held.d) & (sides.fp == held.f)).select("doc_id", "fp", "held", F.explode(_terms(F.col("masked"), _CLEAR)).alias("term")))
+    wanted = terms.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= support).select("term")
+    df_t = docs.select(F.explode(_terms(F.col("text"), _WORD)).alias("term")).groupBy("term").agg(F.count("*").alias("df_t")).join(wanted, "term", "left_semi")
+    can = lambda x: F.log2("df_t") <= (1 - generalise) * F.log2(F.lit(float(n))) + generalise * F.log2(x["df_e"]) + 1e-6
+    pairs = terms.join(df_t, "term").select("doc_id", "fp", "term", "df_t", F.explode(F.filter("held", can)).alias("x")).select("doc_id", "fp", "term", "df_t", "x.entity", "x.df_e")
+    pairs = stored(pairs)
+    df_te = pairs.groupBy("term", "entity").agg(F.count("*").alias("df_te"), F.first("df_t").alias("df_t"), F.first("df_e").alias("df_e")).where(F.col("df_te") >= support)
     bits = F.log2(F.lit(float(n)) * F.col("df_te") / (F.col("df_t") * F.col("df_e"))) / F.log2(F.lit(float(n)) / F.col("df_e"))
-    risky = df_te.join(df_t, "term").join(df_e, "entity").where(F.col("df_e") < n).withColumn("share", bits).where(F.col("share") >= generalise).select("term", "entity", F.when(F.col("share") >= remove, 1).otherwise(0).alias("out"))
-    spans = near.join(risky, ["term", "entity"]).select("doc_id", "fp", F.struct("start", F.lit(4).alias("kind"), "end", "out").alias("s"))
-    return spans.groupBy("doc_id", "fp").agg(F.sort_array(F.collect_set("s")).alias("terms"))
+    risky = df_te.withColumn("share", bits).where(F.col("share") >= generalise).select("term", "entity", F.when(F.col("share") >= remove, 1).otherwise(0).alias("out"))
+    found_ = pairs.join(risky, ["term", "entity"]).groupBy("doc_id", "fp", "term").agg(F.min("out").alias("out"))
+    return found_.groupBy("doc_id", "fp").agg(F.collect_list(F.struct("term", "out")).alias("risky"))
 
 
 def annotated(docs: DataFrame, **thresholds) -> DataFrame:
@@ -141,9 +168,10 @@ def annotated(docs: DataFrame, **thresholds) -> DataFrame:
     table gives an empty one.
     """
     base = found(docs)
-    terms = disclosing(docs, base, **thresholds).select(F.col("doc_id").alias("d"), F.col("fp").alias("f"), "terms")
-    base = base.select("doc_id", "fp", "base")
-    return base.join(terms, base.doc_id.eqNullSafe(terms.d) & (base.fp == terms.f), "left").drop("d", "f")
+    terms = disclosing(docs, base, **thresholds).select(F.col("doc_id").alias("d"), F.col("fp").alias("f"), "risky")
+    base = base.select("doc_id", "fp", "base", "masked")
+    both = base.join(terms, base.doc_id.eqNullSafe(terms.d) & (base.fp == terms.f), "left")
+    return both.select("doc_id", "fp", "base", F.when(F.col("risky").isNotNull(), _marked(F.col("masked"), F.col("risky"))).alias("terms"))
 
 
 def spans_of(marked: DataFrame) -> DataFrame:

@@ -193,6 +193,17 @@ def test_disclosing_terms(spark):
     assert all("[EMAIL]" in r.text and "Zanthor" not in r.text for r in out[:4]) and [r.text for r in out[4:]] == rows[4:]
 
 
+def test_disclosing_terms_far_from_their_entity(spark):
+    rng = random.Random(9)
+    rows = [f"Zanthor wrote. {words(rng, 40)} mail zan@x.com today {words(rng, 40)} so ZANTHOR and zanthor, \U0001f642 Zanthor zan@x.comé {words(rng, 3)}" for _ in range(4)]
+    rows += [f"{words(rng, 60)} mail wrote today and {words(rng, 5)}" for _ in range(40)]
+    for r in pii.spans_of(pii.annotated(docs(spark, rows))).where("n_email > 0").collect():
+        at = [(int(a), int(b)) for kind, a, b in (s.split(":") for s in r.spans.split(",")) if kind == "term"]
+        assert [x for x in at if rows[r.doc_id][x[0] : x[1]].lower() == "zanthor"] == [m.span() for m in re.finditer("zanthor", rows[r.doc_id], re.I)]
+    out = pii.sanitised(docs(spark, rows)).orderBy("doc_id").collect()
+    assert not any("zanthor" in r.text.lower() for r in out) and [r.text for r in out[4:]] == rows[4:]
+
+
 def test_sanitised_odd_rows(spark):
     df = odd(spark)
     out = pii.sanitised(df)
