@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -17,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         found = spark.sparkContext.getCheckpointDir()
+        if not found and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not found:
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-codequarry-"))
             found = spark.sparkContext.getCheckpointDir()
@@ -40,3 +43,19 @@ def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
     at = shared_dir(spark)
     df.write.option("compression", codec).parquet(at)
     return spark.read.schema(df.schema).parquet(at)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, fp): the columns of ``docs``, whatever their names, as one struct beside doc_id and a hash of the text.
+
+    ``select("row.*")`` gives them back.
+    """
+    own = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+    return docs.select(own.alias("row"), "doc_id", F.xxhash64("text").alias("fp"))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id and text are not among ``gone`` (doc_id, fp), with their own columns."""
+    gone = gone.select(F.col("doc_id").alias("d"), F.col("fp").alias("f")).distinct()
+    rows = keyed(docs)
+    return rows.join(gone, rows.doc_id.eqNullSafe(gone.d) & (rows.fp == gone.f), "left_anti").select("row.*")
