@@ -4,8 +4,10 @@ A text's terms are its distinct words and their first four and five bytes, each
 as a 64-bit hash. The machine's score is
 w0 + sum w_i + 1/2 sum_f ((sum v_if)**2 - sum v_if**2)
 over the terms of its dictionary, so that pairs of terms weigh in beyond what
-each adds alone, and the logistic function turns it into 0 to 1. It is fitted by
-Adagrad on a bounded sample of labelled rows; scoring covers every whole text.
+each adds alone, and the logistic function turns it into 0 to 1. Terms enter the
+dictionary for what they say alone or for what a pair says beyond its terms. The
+machine is fitted by Adagrad on a bounded sample of labelled rows; scoring covers
+every whole text.
 """
 
 from __future__ import annotations
@@ -66,26 +68,54 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.raw(at, off), -30, 30)))
 
 
-def fit(found: list[np.ndarray], labels: np.ndarray, least: int = 2, away: float = 4.0, factors: int = 4, steps: int = 2500, rate: float = 0.1, decay: float = 1e-4, batch: int = 64, seed: int = 7) -> Machine:
-    """Fit on the term hashes and 0/1 labels of a sample.
+def _alone(count: np.ndarray, toxic: np.ndarray, share: float) -> np.ndarray:
+    """Standard errors by which the share of toxic texts with each term lies off that of all texts."""
+    return (toxic - count * share) / np.sqrt(count * share * (1 - share))
+
 
-    The dictionary holds terms of at least ``least`` texts whose share of toxic
-    texts lies ``away`` standard errors from that of all; the others carry noise
-    that a long text adds up. At least ``steps`` batches are worked through, small
-    samples again and again.
+def _together(at: np.ndarray, off: np.ndarray, terms: int, error: np.ndarray, spread: np.ndarray, away: float, support: int, width: int = 512) -> np.ndarray:
+    """Terms (places) with a partner such that the texts that hold both are ``away`` standard errors off what is expected of them.
+
+    ``error`` is label less expectation by text, ``spread`` its variance. All pairs of the given terms are
+    looked at, ``width`` times ``width`` at once by matrix products. Of terms that stand in the same texts one is kept.
     """
-    flat = np.concatenate([*found, np.zeros(0, np.uint64)])
-    terms, where, count = np.unique(flat, return_inverse=True, return_counts=True)
-    rng = np.random.default_rng(seed)
-    share = float(np.clip(labels.mean() if len(labels) else 0.0, 1e-3, 1 - 1e-3))
-    toxic = np.bincount(where, np.repeat(labels, [len(f) for f in found]), len(terms)) if len(flat) else np.zeros(0)
-    z = (toxic - count * share) / np.sqrt(count * share * (1 - share))
-    terms = terms[(count >= least) & (np.abs(z) >= away)]
-    m = Machine(terms, float(np.log(share / (1 - share))), np.zeros(len(terms), np.float32), rng.normal(0, 0.01, (len(terms), factors)).astype(np.float32))
-    if not len(terms):
-        return m
+    n = len(off) - 1
+    row = np.repeat(np.arange(n), np.diff(off))
+    mark = np.zeros(terms, dtype=np.uint64)
+    np.add.at(mark, at, np.random.default_rng(3).integers(0, 1 << 63, n, dtype=np.uint64)[row])
+    _, first = np.unique(mark, return_index=True)
+    place = np.full(terms, -1)
+    place[first] = np.arange(len(first))
+    kept = place[at] >= 0
+    row, col = row[kept], place[at[kept]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+
+    def block(i: int) -> np.ndarray:
+        a, b = np.searchsorted(col, (i, i + width))
+        out = np.zeros((n, min(width, len(first) - i)), dtype=np.float32)
+        out[row[a:b], col[a:b] - i] = 1
+        return out
+
+    hit = np.zeros(len(first), dtype=bool)
+    for i in range(0, len(first), width):
+        left = block(i).T
+        less, var = left * error.astype(np.float32), left * spread.astype(np.float32)
+        for j in range(i, len(first), width):
+            right = block(j)
+            found = (np.abs(less @ right) >= away * np.sqrt(np.maximum(var @ right, 1.0))) & (left @ right >= support)
+            if i == j:
+                np.fill_diagonal(found, False)
+            hit[i : i + width] |= found.any(axis=1)
+            hit[j : j + width] |= found.any(axis=0)
+    return first[hit]
+
+
+def _fitted(m: Machine, found: list[np.ndarray], labels: np.ndarray, steps: int, rate: float, decay: float, batch: int, rng: np.random.Generator) -> Machine:
+    """Adagrad over at least ``steps`` batches; small samples are worked through again and again."""
+    factors = m.v.shape[1]
     at, off = m.rows(found)
-    gw, gv, g0 = np.full(len(terms), 1e-2, np.float32), np.full(m.v.shape, 1e-2, np.float32), 1e-2
+    gw, gv, g0 = np.full(len(m.terms), 1e-2, np.float32), np.full(m.v.shape, 1e-2, np.float32), 1e-2
     for _ in range(max(1, -(-steps * batch // max(1, len(labels))))):
         order = rng.permutation(len(labels))
         for k in range(0, len(order), batch):
@@ -112,21 +142,63 @@ def fit(found: list[np.ndarray], labels: np.ndarray, least: int = 2, away: float
     return m
 
 
-def trained(docs: DataFrame, labels: DataFrame, sample: int = 8000, **settings) -> Machine:
-    """Fit on at most ``sample`` labelled rows, those of least doc_id hash; null texts and labels are left out.
+def fit(found: list[np.ndarray], labels: np.ndarray, least: int = 2, away: float = 4.0, apart: float = 6.0, common: float = 0.01, factors: int = 4, steps: int = 2500, rate: float = 0.1, decay: float = 1e-4, batch: int = 64, seed: int = 7) -> Machine:
+    """Fit on the term hashes and 0/1 labels of a sample.
 
-    ``labels`` has doc_id and toxic. Only the hashed terms of the sample reach the driver.
+    The dictionary holds terms of at least ``least`` texts that say something,
+    alone or with a partner; the others carry noise that a long text adds up.
+    Alone: the share of toxic texts lies ``away`` standard errors from that of all.
+    With a partner: a machine of those terms is fitted first, and where the texts
+    that hold two terms are ``apart`` standard errors off what it expects of them,
+    both terms join the dictionary of the final machine, however little either
+    says alone. Pairs are looked for among all terms that at least ``common`` of
+    the texts hold.
+    """
+    flat = np.concatenate([*found, np.zeros(0, np.uint64)])
+    terms, where, count = np.unique(flat, return_inverse=True, return_counts=True)
+    rng = np.random.default_rng(seed)
+    share = float(np.clip(labels.mean() if len(labels) else 0.0, 1e-3, 1 - 1e-3))
+    toxic = np.bincount(where, np.repeat(labels, [len(f) for f in found]), len(terms)) if len(flat) else np.zeros(0)
+    del flat, where
+    alone = (count >= least) & (np.abs(_alone(count, toxic, share)) >= away)
+
+    def machine(chosen: np.ndarray) -> Machine:
+        t = terms[chosen]
+        m = Machine(t, float(np.log(share / (1 - share))), np.zeros(len(t), np.float32), rng.normal(0, 0.1, (len(t), factors)).astype(np.float32) / np.float32(max(1, len(t)) ** 0.25))
+        return _fitted(m, found, labels, steps, rate, decay, batch, rng) if len(t) else m
+
+    first = machine(alone)
+    often = np.flatnonzero((count >= max(least, common * len(labels))))
+    if len(often) < 2:
+        return first
+    expected = first.score(*first.rows(found))
+    at, off = Machine(terms[often], 0.0, first.w, first.v).rows(found)
+    joint = np.zeros(len(terms), dtype=bool)
+    joint[often[_together(at, off, len(often), labels - expected, expected * (1 - expected), apart, least)]] = True
+    return machine(alone | joint) if (joint & ~alone).any() else first
+
+
+def trained(docs: DataFrame, labels: DataFrame, sample: int = 8000, longest: int = 20_000, **settings) -> Machine:
+    """Fit on at most ``sample`` labelled doc_ids, those of least hash; null texts and labels are left out.
+
+    ``labels`` has doc_id and toxic. Only the hashed terms of the sample reach the
+    driver, of each doc_id those of one text and at most ``longest``: a text of
+    more distinct terms is scored, but not fitted on.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded, so small enough to broadcast
 
     def run(batches):
         for batch in batches:
-            found = list(hashed_terms(batch.column(1)))
+            found = [f if len(f) <= longest else f[:0] for f in hashed_terms(batch.column(2))]
             off = np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)))], names=["toxic", "terms"])
+            terms = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), terms], names=["doc_id", "toxic", "terms"]).filter(pa.array([len(f) > 0 for f in found], pa.bool_()))
 
-    rows = docs.where("text is not null").join(F.broadcast(chosen), "doc_id").select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(run, "toxic int, terms array<bigint>").toArrow()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
+    rows = rows.mapInArrow(run, f"doc_id {kind}, toxic int, terms array<bigint>")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("toxic", "terms")).alias("r")).orderBy("doc_id").select("r.*").toArrow()
     terms = rows.column("terms").combine_chunks()
     off, flat = terms.offsets.to_numpy(), terms.values.to_numpy().view(np.uint64)
     return fit([flat[a:b] for a, b in zip(off, off[1:])], rows.column("toxic").to_numpy().astype(float), **settings)
