@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codequarry.llm.shared import stored
+from codequarry.llm.shared import keyed, stored
 
 #: Kinds in the order that breaks ties of a start.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -35,6 +35,8 @@ PATTERNS = {
 _HINT = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"\+[0-9]"}
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _WORD = r"\p{L}{3,}"
+#: Most terms that are broadcast, some tens of MB.
+SMALL_TERMS = 500_000
 _SPAN = "array<struct<start:int,kind:int,end:int,found:string>>"
 #: Stands for a letter of a base span in ``_masked``: no letter itself, and a code point that texts don't hold.
 _HIDDEN = "\ufdd0"
@@ -42,19 +44,78 @@ _HIDDEN = "\ufdd0"
 _CLEAR = rf"(?<![\p{{L}}{_HIDDEN}])\p{{L}}{{3,}}+(?!{_HIDDEN})"
 
 
-def _places(text: Column, pattern: str, kind: int, offset: Column | int = 0) -> Column:
+#: Steps of a fold that are appended to one array, and characters of a text that are cut together.
+_CHUNK, _BLOCK = 256, 1024
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _fold(items: Column, step, kind: str) -> Column:
+    """The elements that ``step`` makes of (place so far, item) one after the other: it gives (at, out).
+
+    Elements are gathered in chunks, so that a long array isn't copied for each of its elements.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def within(a: Column, x: Column) -> Column:
+        at, out = step(a["at"], x)
+        return F.struct(at.cast("int").alias("at"), F.array_append(a["out"], out).cast(f"array<{kind}>").alias("out"))
+
+    def chunks(all_: Column) -> Column:
+        def add(a: Column, c: Column) -> Column:
+            part = F.aggregate(F.slice(all_, c * _CHUNK + 1, F.lit(_CHUNK)), F.struct(a["at"].alias("at"), none.alias("out")), within)
+            return _let(part, lambda r: F.struct(r["at"].alias("at"), F.array_append(a["out"], r["out"]).cast(f"array<array<{kind}>>").alias("out")))
+
+        last = F.greatest((F.size(all_) - 1) / _CHUNK, F.lit(0)).cast("int")
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+        return F.flatten(F.aggregate(F.sequence(F.lit(0), last), start, add, lambda a: a["out"]))
+
+    return _let(items, chunks)
+
+
+def _steps(text: Column, pattern: str) -> Column:
+    """Each match with the gap before it."""
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return _let(matches, lambda m: F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(m)).alias("gap"), m.alias("found")))
+
+
+def _places(text: Column, pattern: str, kind: int) -> Column:
     """All leftmost non-overlapping matches as (start, kind, end, found), in code points."""
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    steps = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("found"))
-    off = F.lit(offset) if isinstance(offset, int) else offset
-    start = F.struct(off.cast("int").alias("at"), F.array().cast(_SPAN).alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
-        here = a["at"] + F.length(x["gap"])
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        here = at + F.length(x["gap"])
         end = here + F.length(x["found"])
-        return F.struct(end.alias("at"), F.array_append(a["out"], F.struct(here.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["found"].alias("found"))).cast(_SPAN).alias("out"))
+        return end, F.struct(here.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["found"].alias("found"))
 
-    return F.aggregate(steps, start, step, lambda a: a["out"])
+    return _fold(_steps(text, pattern), step, "struct<start:int,kind:int,end:int,found:string>")
+
+
+def _replaced(text: Column, spans: Column, put) -> Column:
+    """``text`` with ``put`` of (span, its characters, whether an earlier span reaches into it) for each of ``spans`` (start, kind, end, out), sorted by start.
+
+    Characters under several spans belong to the first. The text is cut in blocks,
+    as finding a place in a string takes time in proportion to the place.
+    """
+    kind = "struct<at:int,start:int,end:int,kind:int,out:int,apart:boolean>"
+
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        start, end = F.greatest(at, s["start"]), F.greatest(at, s["end"])
+        return end, F.struct(at.alias("at"), start.alias("start"), end.alias("end"), s["kind"].alias("kind"), s["out"].alias("out"), (s["start"] >= at).alias("apart"))
+
+    def join(blocks: Column) -> Column:
+        def cut(start: Column, end: Column) -> Column:
+            first = (start / _BLOCK).cast("int")
+            some = F.array_join(F.slice(blocks, first + 1, (end / _BLOCK).cast("int") - first + 1), "")
+            return F.substring(some, start % _BLOCK + 1, end - start)
+
+        parts = F.transform(_fold(spans, step, kind), lambda m: F.concat(cut(m["at"], m["start"]), put(m, cut(m["start"], m["end"]))))
+        last = F.coalesce(F.array_max(F.transform(spans, lambda s: s["end"])), F.lit(0))
+        return F.concat(F.array_join(parts, ""), cut(last, F.length(text)))
+
+    return _let(F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % _BLOCK), F.lit(0)), join)
 
 
 def _luhn(digits: Column) -> Column:
@@ -98,14 +159,8 @@ def _joined(spans: Column) -> Column:
 
 def _masked(text: Column, spans: Column) -> Column:
     """The text with as many code points, in which base spans hold no letter."""
-
-    def step(a: Column, s: Column) -> Column:
-        first = F.greatest(s["start"], a["at"])
-        hidden = F.substring(text, first + 1, F.greatest(s["end"] - first, F.lit(0)))
-        hidden = F.regexp_replace(F.regexp_replace(hidden, r"(?s)\P{L}", "\x01"), r"\p{L}", _HIDDEN)
-        return F.struct(F.concat(a["text"], F.substring(text, a["at"] + 1, first - a["at"]), hidden).alias("text"), F.greatest(a["at"], s["end"]).alias("at"))
-
-    return F.aggregate(spans, F.struct(F.lit("").alias("text"), F.lit(0).alias("at")), step, lambda a: F.concat(a["text"], F.substring(text, a["at"] + 1, F.length(text))))
+    hidden = lambda m, x: F.regexp_replace(F.regexp_replace(x, r"(?s)\P{L}", "\x01"), r"\p{L}", _HIDDEN)
+    return _replaced(text, F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit(0).alias("out"))), hidden)
 
 
 def _terms(text: Column, pattern: str) -> Column:
@@ -114,19 +169,17 @@ def _terms(text: Column, pattern: str) -> Column:
 
 def _marked(masked: Column, risky: Column) -> Column:
     """Every place of the risky terms (term, out) in a masked text, as (start, kind, end, out)."""
-    kind = "array<struct<start:int,kind:int,end:int,out:int>>"
-    gaps, words = F.split(masked, _CLEAR, -1), F.regexp_extract_all(masked, F.lit(_CLEAR), F.lit(0))
-    steps = F.arrays_zip(F.slice(gaps, 1, F.size(words)).alias("gap"), words.alias("found"))
-    outs = F.map_from_entries(risky)
+    kind = "struct<start:int,kind:int,end:int,out:int>"
 
-    def step(a: Column, x: Column) -> Column:
-        here = a["at"] + F.length(x["gap"])
-        end = here + F.length(x["found"])
-        out = F.try_element_at(outs, F.lower(x["found"]))
-        span = F.struct(here.alias("start"), F.lit(4).alias("kind"), end.alias("end"), out.alias("out"))
-        return F.struct(end.alias("at"), F.when(out.isNull(), a["out"]).otherwise(F.array_append(a["out"], span)).cast(kind).alias("out"))
+    def every(outs: Column) -> Column:
+        def step(at: Column, x: Column) -> tuple[Column, Column]:
+            here = at + F.length(x["gap"])
+            end = here + F.length(x["found"])
+            return end, F.struct(here.alias("start"), F.lit(4).alias("kind"), end.alias("end"), F.try_element_at(outs, F.lower(x["found"])).alias("out"))
 
-    return F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), step, lambda a: a["out"])
+        return F.filter(_fold(_steps(masked, _CLEAR), step, kind), lambda s: s["out"].isNotNull())
+
+    return _let(F.map_from_entries(risky), every)
 
 
 def found(docs: DataFrame) -> DataFrame:
@@ -148,8 +201,11 @@ def disclosing(docs: DataFrame, base: DataFrame, generalise: float = 0.75, remov
     df_e = entities.groupBy("entity").agg(F.count("*").alias("df_e")).where((F.col("df_e") >= support) & (F.col("df_e") < n))
     held = entities.join(df_e, "entity").groupBy("doc_id", "fp").agg(F.collect_list(F.struct("entity", "df_e")).alias("held")).select(F.col("doc_id").alias("d"), F.col("fp").alias("f"), "held")
     terms = stored(sides.join(held, sides.doc_id.eqNullSafe(held.d) & (sides.fp == held.f)).select("doc_id", "fp", "held", F.explode(_terms(F.col("masked"), _CLEAR)).alias("term")))
-    wanted = terms.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= support).select("term")
-    df_t = docs.select(F.explode(_terms(F.col("text"), _WORD)).alias("term")).groupBy("term").agg(F.count("*").alias("df_t")).join(wanted, "term", "left_semi")
+    wanted = stored(terms.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= support).select("term"))
+    words = docs.select(F.explode(_terms(F.col("text"), _WORD)).alias("term"))
+    if wanted.count() <= SMALL_TERMS:  # few enough to drop other words before they are dealt
+        words = words.join(F.broadcast(wanted), "term", "left_semi")
+    df_t = words.groupBy("term").agg(F.count("*").alias("df_t")).join(wanted, "term", "left_semi")
     can = lambda x: F.log2("df_t") <= (1 - generalise) * F.log2(F.lit(float(n))) + generalise * F.log2(x["df_e"]) + 1e-6
     pairs = terms.join(df_t, "term").select("doc_id", "fp", "term", "df_t", F.explode(F.filter("held", can)).alias("x")).select("doc_id", "fp", "term", "df_t", "x.entity", "x.df_e")
     pairs = stored(pairs)
@@ -188,19 +244,13 @@ def sanitised(docs: DataFrame, **thresholds) -> DataFrame:
 
     Overlapping spans are taken out once, with the name of the one that starts first.
     """
-    marked = annotated(docs, **thresholds).select(F.col("doc_id").alias("_d"), F.col("fp").alias("_f"), "base", "terms").dropDuplicates(["_d", "_f"])
-    marked = marked.where((F.size("base") > 0) | F.col("terms").isNotNull()).select("_d", "_f", F.struct("base", "terms").alias("_m"))
-    rows = docs.withColumn("_fp", F.xxhash64("text"))
-    both = rows.join(marked, rows.doc_id.eqNullSafe(marked._d) & (rows._fp == marked._f), "left")
+    marked = annotated(docs, **thresholds).select(F.col("doc_id").alias("d"), F.col("fp").alias("f"), "base", "terms").dropDuplicates(["d", "f"])
+    marked = marked.where((F.size("base") > 0) | F.col("terms").isNotNull()).select("d", "f", F.struct("base", "terms").alias("found"))
+    both = keyed(docs).join(marked, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("fp") == F.col("f")), "left")
     cast = "array<struct<start:int,kind:int,end:int,out:int>>"
-    base = F.transform(F.col("_m.base"), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit(0).alias("out"))).cast(cast)
-    spans = F.sort_array(F.concat(base, F.coalesce(F.col("_m.terms").cast(cast), F.array().cast(cast))))
+    base = F.transform(F.col("found.base"), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit(0).alias("out"))).cast(cast)
+    spans = F.sort_array(F.concat(base, F.coalesce(F.col("found.terms").cast(cast), F.array().cast(cast))))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-
-    def step(a: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))
-        put = F.when((s["start"] >= a["at"]) & (s["out"] == 0), F.get(names, s["kind"])).otherwise("")
-        return F.struct(F.concat(a["text"], gap, put).alias("text"), F.greatest(a["at"], s["end"]).alias("at"))
-
-    done = F.aggregate(spans, F.struct(F.lit("").alias("text"), F.lit(0).alias("at")), step, lambda a: F.concat(a["text"], F.substring(F.col("text"), a["at"] + 1, F.length(F.col("text")))))
-    return both.withColumn("text", F.when(F.col("_m").isNull(), F.col("text")).otherwise(done)).select(*docs.columns)
+    put = lambda m, x: F.when(m["apart"] & (m["out"] == 0), F.get(names, m["kind"])).otherwise("")
+    text = F.when(F.col("found").isNull(), F.col("row.text")).otherwise(_let(spans, lambda s: _replaced(F.col("row.text"), s, put)))
+    return both.select(F.col("row").withField("text", text).alias("row")).select("row.*")
