@@ -47,7 +47,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = arrive_and_compact(docs, shared_dir(spark))
     rows = store.read()
     rows = docs.where("false") if rows is None else rows
-    return rows.select("doc_id", arrival(4).alias("arrival"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), F.lit(store.version()).alias("version"))
+    return rows.select("doc_id", arrival(4).alias("arrival"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

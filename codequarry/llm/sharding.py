@@ -4,15 +4,16 @@ Built-in functions only. A store is a folder:
 
     shards/<run>/part-*        Parquet files, never changed once written
     manifests/<version>/       Parquet: one row for each shard of that version
-    versions/<version>         an empty file whose creation commits the version
+    versions/<version>         a file that names the version's manifest; its appearance commits the version
 
 Arrivals are appended as small shards. A compaction puts shards into tiers by
 size (each tier ``fan`` times as large as the one below) and merges the tiers
 that hold at least ``fan`` shards into files of about ``target`` bytes; the scan
 packs small files into tasks by size, so merging needs no shuffle. A version is
-committed by creating its file without overwriting: of two writers of one
-version only one succeeds, and readers see the old or the new version, never a
-mixture. Files that no version names are those of lost attempts.
+committed by renaming its finished file into place without overwriting: of two
+writers of one version only one succeeds, and readers see the old or the new
+version, never a mixture or a part. The folder's file system must rename
+atomically, as HDFS does. Files that no version names are those of lost attempts.
 """
 
 from __future__ import annotations
@@ -51,15 +52,25 @@ class ShardStore:
 
     def _commit(self, version: int, manifest: DataFrame) -> int:
         manifest.write.parquet(f"{self.root}/manifests/{version}-{(own := uuid.uuid4().hex)}")
-        fs, path = self._path(f"{self.root}/versions/{version}")
+        ready = f"{self.root}/versions/.{own}"
+        fs, path = self._path(ready)
+        out = fs.create(path, False)
+        out.write(bytearray(own.encode()))
+        out.close()
         try:
-            out = fs.create(path, False)
+            self._rename(ready, f"{self.root}/versions/{version}")
         except Exception as e:
+            fs.delete(path, False)
             raise CommitConflict(f"version {version}") from e
-        out.write(bytearray(own.encode()))
-        out.close()
         return version
 
+    def _rename(self, old: str, new: str) -> None:
+        """Rename a file; an existing one of the new name makes it fail."""
+        sc = self.spark.sparkContext
+        fs, path = self._path(new)
+        options = sc._gateway.new_array(sc._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(path).toUri(), sc._jsc.hadoopConfiguration()).rename(self._path(old)[1], path, options)
+
     def manifest(self, version: int | None = None) -> DataFrame:
         """path, bytes, rows, tier of the shards of a version."""
         version = self.version() if version is None else version
@@ -68,12 +79,13 @@ class ShardStore:
         own = self.spark.read.text(f"{self.root}/versions/{version}").first()[0]
         return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifests/{version}-{own}")
 
-    def read(self, version: int | None = None) -> DataFrame | None:
-        """The rows of a version with the shard of each in ``_shard``; None while nothing is committed."""
+    def read(self, version: int | None = None, shard: str | None = None) -> DataFrame | None:
+        """The rows of a version, with the shard of each in the column ``shard`` if one is asked for; None while nothing is committed."""
         paths = [r.path for r in self.manifest(version).where("rows > 0").select("path").collect()]
         if not paths:
             return None
-        return self.spark.read.parquet(*paths).withColumn("_shard", F.col("_metadata.file_path"))
+        rows = self.spark.read.parquet(*paths)
+        return rows if shard is None else rows.select("*", F.col("_metadata.file_path").alias(shard))
 
     # ---- writes ----
 
@@ -128,5 +140,5 @@ def arrival(arrivals: int):
 
 #: DuckDB SQL for op4_sharding.
 SQL = """
-select doc_id, coalesce(('0x' || substr(md5(doc_id::varchar), 1, 4))::int % 4, 0)::int arrival, sha256(coalesce(text, '')) text_sha256, 5::int as version from documents
+select doc_id, coalesce(('0x' || substr(md5(doc_id::varchar), 1, 4))::int % 4, 0)::int arrival, sha256(coalesce(text, '')) text_sha256 from documents
 """
