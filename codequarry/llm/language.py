@@ -2,13 +2,16 @@
 
 A word is a run of letters. Its score for a language is the sum of the log
 probabilities of its letters' trigrams (the letter and its neighbours, hashed to
-2**16 buckets). Only languages that were seen with the word's script take part.
-The best path over a text's words pays ``penalty`` for each switch of language;
-neighbouring words of one language make a span.
+2**16 buckets). Only languages that were seen with the word's script take part:
+texts with words of the same scripts are worked on together, and the states of
+their paths are the languages of these scripts and no others. The best path over
+a text's words pays ``penalty`` for each switch of language; neighbouring words of
+one language make a span.
 
 The path is found in blocks of BLOCK words at once: the best way through each
-block from every entry to every exit state, then the blocks of a text in order.
-The result is that of the plain recursion.
+block from every entry to every exit state, then the blocks of a text in order,
+then the way inside each block from its known entry. The result is that of the
+plain recursion.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from pyspark.sql import functions as F
 from codequarry.llm.textscan import mix64
 
 BITS, BLOCK, SLICE_CHARS = 16, 128, 1_000_000
+#: Letters scored together, and entry and exit states of blocks worked on together.
+LETTERS, CELLS = 500_000, 1_000_000
 #: First and last code point of the scripts' letters.
 SCRIPTS = {
     "latin": ((0x41, 0x24F), (0x1E00, 0x1EFF), (0xFF21, 0xFF5A)),
@@ -107,14 +112,41 @@ class Model:
     logp: np.ndarray  # bucket, language
     allowed: np.ndarray  # script, language
 
-    def scores(self, w: Words) -> np.ndarray:
-        """Of each word for each language; languages of other scripts get a score no path would take."""
-        total = np.zeros((len(w.bucket) + 1, len(self.langs)))
-        np.cumsum(self.logp[w.bucket], axis=0, out=total[1:])
-        out = total[w.first[1:]] - total[w.first[:-1]]
-        ok = self.allowed[w.script]
-        out[~ok & ok.any(axis=1)[:, None]] -= 1e4
-        out[~ok.any(axis=1)] = 0
+    def scores(self, w: Words, words: np.ndarray, langs: np.ndarray) -> np.ndarray:
+        """Of some words for some languages; languages of other scripts get a score no path would take."""
+        out = np.zeros((len(words), len(langs)))
+        size = np.diff(w.first)[words]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        logp = self.logp[:, langs]
+        i = 0
+        while i < len(words):  # about LETTERS letters at a time
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] + LETTERS, side="right")) - 1)
+            place = np.repeat(w.first[words[i:j]] - (ends[i:j] - ends[i]), size[i:j]) + np.arange(ends[j] - ends[i])
+            out[i:j] = np.add.reduceat(logp[w.bucket[place]], ends[i:j] - ends[i], axis=0, dtype=np.float64)
+            i = j
+        ok = self.allowed[w.script[words]][:, langs]
+        known = ok.any(axis=1)
+        out[~ok & known[:, None]] -= 1e4
+        out[~known] = 0
+        return out
+
+    def path(self, w: Words, penalty: float) -> np.ndarray:
+        """The best language of each word."""
+        count = np.diff(w.text_off)
+        text = np.repeat(np.arange(len(count)), count)
+        seen = np.zeros((len(count), self.allowed.shape[0]), dtype=bool)
+        seen[text, w.script] = True
+        kinds, kind = np.unique(seen, axis=0, return_inverse=True)
+        kind = kind.reshape(-1)
+        out = np.zeros(len(text), dtype=np.int64)
+        for k, scripts in enumerate(kinds):
+            words = np.flatnonzero(kind[text] == k)
+            langs = np.flatnonzero(self.allowed[scripts].any(axis=0))
+            if len(words) and not len(langs):  # no language was seen with these scripts
+                langs = np.arange(len(self.langs))
+            if len(words):
+                off = np.concatenate(([0], np.cumsum(count[kind == k])))
+                out[words] = langs[paths(self.scores(w, words, langs), off, penalty)]
         return out
 
 
@@ -135,12 +167,12 @@ def paths(scores: np.ndarray, text_off: np.ndarray, penalty: float) -> np.ndarra
     padded[place, block] = scores
     way = np.full((total, m, m), -np.inf)
     way[:, np.arange(m), np.arange(m)] = 0
-    back = np.zeros((BLOCK, total, m, m), dtype=np.uint8 if m < 256 else np.int32)
-    for t in range(BLOCK):
-        best = way.max(axis=2, keepdims=True) - penalty
-        stay = way >= best
-        back[t] = np.where(stay, np.arange(m), way.argmax(axis=2)[:, :, None])
-        way = np.where(stay, way, best) + padded[t][:, None, :]
+    some = max(1, CELLS // (m * m))
+    for i in range(0, total, some):  # few enough blocks at a time for the working arrays
+        part = way[i : i + some]
+        for t in range(BLOCK):
+            part = np.maximum(part, part.max(axis=2, keepdims=True) - penalty) + padded[t, i : i + some][:, None, :]
+        way[i : i + some] = part
     # the blocks of each text in order
     value, entry = np.zeros((len(count), m)), np.zeros((total, m), dtype=np.int64)
     for k in range(int(blocks.max())):
@@ -155,10 +187,20 @@ def paths(scores: np.ndarray, text_off: np.ndarray, penalty: float) -> np.ndarra
         b = first_block[on] + k
         goal[b] = now[on]
         now[on] = came[b] = entry[b, now[on]]
-    which, here, rows = np.zeros((BLOCK, total), dtype=np.int64), goal, np.arange(total)
+    # inside each block from its entry
+    rows = np.arange(total)
+    best = np.full((total, m), -np.inf)
+    best[rows, came] = 0
+    back = np.zeros((BLOCK, total, m), dtype=np.uint8 if m < 256 else np.int32)
+    for t in range(BLOCK):
+        switch = best.max(axis=1, keepdims=True) - penalty
+        stay = best >= switch
+        back[t] = np.where(stay, np.arange(m), best.argmax(axis=1)[:, None])
+        best = np.where(stay, best, switch) + padded[t]
+    which, here = np.zeros((BLOCK, total), dtype=np.int64), goal
     for t in range(BLOCK - 1, -1, -1):
         which[t] = here
-        here = back[t, rows, came, here].astype(np.int64)
+        here = back[t, rows, here].astype(np.int64)
     return which[place, block]
 
 
@@ -214,7 +256,7 @@ def labelled(docs: DataFrame, model: Model, penalty: float = 12.0, spans: bool =
                     score += [0.0] * (j - i)
                     marks += [[]] * (j - i)
                     continue
-                path = paths(m.scores(w), w.text_off, penalty)
+                path = m.path(w, penalty)
                 size = np.diff(w.first)
                 text = np.repeat(np.arange(j - i), np.diff(w.text_off))
                 letters = np.bincount(text * len(m.langs) + path, size, (j - i) * len(m.langs)).reshape(j - i, -1)
