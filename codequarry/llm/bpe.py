@@ -7,22 +7,24 @@ chunk once however many of its documents hold it.
 
 Encoding chunks apart is wrong near their joins. A join is repaired from the
 last place before it to the first place after it where any encoding must break:
-the start of a run of white space behind another character. The window between
-is encoded again and replaces what both chunks had there. It first reaches one
-such place further on each side: if what was re-encoded there does not agree
-with the chunks' own ids, the window is widened until it does.
+the end of a run of letters or of digits, or the start of a run of white space.
+The window between is encoded again and replaces what both chunks had there. It
+first reaches one such place further on each side: if what was re-encoded there
+does not agree with the chunks' own ids, the window is widened until it does.
+A cut that would leave a chunk without such a place is not made, so that a join
+never reaches further back than the chunk before it.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import re
 from collections import OrderedDict
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +34,20 @@ from codequarry.llm.textscan import mix64, powers
 SEEN, MASK, LEAST = 32, np.uint64(2047), 256
 #: Bytes of ids that a task keeps for reuse; the chunks used longest ago go first.
 CACHE_BYTES = 48_000_000
-SPECIAL = b"<|endoftext|>"
-_SAFE = re.compile(r"(?<=\S)(?=[ \t\r\n])")
+_SAFE = r"(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})|(?<=\S)(?=[ \t\r\n])"
+
+
+@lru_cache(maxsize=2)
+def special_tokens(path: str) -> tuple[bytes, ...]:
+    """Strings of the added tokens of a tokenizers file."""
+    with open(path, encoding="utf-8") as f:
+        return tuple(x["content"].encode() for x in json.load(f)["added_tokens"])
+
+
+@lru_cache(maxsize=2)
+def _places(special: tuple[bytes, ...]) -> regex.Pattern:
+    """Matches are empty where any encoding breaks; a special token is matched as a whole."""
+    return regex.compile("|".join([*(regex.escape(x.decode()) for x in special), _SAFE]))
 
 
 @lru_cache(maxsize=2)
@@ -63,7 +77,7 @@ def codec(path: str):
     return (lambda text: coder.encode(text, allowed_special="all")), table, np.array([len(t) for t in table], dtype=np.int64)
 
 
-def cuts(data: bytes) -> list[int]:
+def cuts(data: bytes, special: tuple[bytes, ...] = ()) -> list[int]:
     """Ends of the chunks of a text in UTF-8; no cut falls inside a character or a special token."""
     n = len(data)
     if n <= max(LEAST, SEEN):
@@ -73,19 +87,45 @@ def cuts(data: bytes) -> list[int]:
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
     roll = mix64((sums[SEEN:] - sums[:-SEEN]) * down[: n + 1 - SEEN])
-    out, last = [], 0
+    out, last, tried = [], 0, 0
     for c in (np.flatnonzero((roll & MASK) == 0) + SEEN).tolist():
-        if c - last >= LEAST and n - c >= LEAST and data[c] & 0xC0 != 0x80 and SPECIAL not in data[c - len(SPECIAL) + 1 : c + len(SPECIAL) - 1]:
+        if c - last < LEAST or n - c < LEAST or data[c] & 0xC0 == 0x80 or any(x in data[max(0, c - len(x) + 1) : c + len(x) - 1] for x in special):
+            continue
+        if _breaks(data, max(last, tried), c, last, special, first=True):
             out.append(c)
             last = c
+        else:
+            tried = c  # no place up to here; only a special token may lie across
     return [*out, n]
 
 
+def _breaks(data: bytes, low: int, high: int, edge: int, special: tuple[bytes, ...], first: bool = False) -> list[int]:
+    """Bytes inside (low, high) where any encoding breaks; ``low`` may fall inside a character or, down to ``edge``, a special token."""
+    start = max(edge, low - max(map(len, special), default=0) - 4)
+    while start > edge and data[start] & 0xC0 == 0x80:
+        start -= 1
+    while high < len(data) and data[high] & 0xC0 == 0x80:
+        high += 1
+    text = data[start:high].decode()
+    ascii_, out, last, at = text.isascii(), [], 0, start
+    for m in _places(special).finditer(text):
+        if m.start() < m.end():
+            continue
+        at += m.start() - last if ascii_ else len(text[last : m.start()].encode())
+        last = m.start()
+        if at > low:
+            out.append(at)
+            if first:
+                break
+    return out
+
+
 class Chunks:
     """Encodes chunks of one task, each once while it is kept."""
 
     def __init__(self, path: str) -> None:
         self.encode, self.table, self.size = codec(path)
+        self.special = special_tokens(path)
         self.kept: OrderedDict[bytes, np.ndarray] = OrderedDict()
         self.bytes = self.made = self.used = 0
 
@@ -105,7 +145,7 @@ class Chunks:
 
     def text(self, data: bytes) -> np.ndarray:
         """Ids of a whole text, joins repaired."""
-        ends = cuts(data)
+        ends = cuts(data, self.special)
         if len(ends) == 1:
             return self.ids(data)
         done, base = self.ids(data[: ends[0]]), 0  # what no later join can change any more goes to parts
@@ -127,7 +167,7 @@ class Chunks:
         reach = 64
         while True:
             low, high = max(base, at - reach), min(end, at + reach)
-            lefts, rights = self._breaks(data, low, at, base), self._breaks(data, at, high, at)
+            lefts, rights = _breaks(data, low, at, base, self.special), _breaks(data, at, high, at, self.special)
             whole_left, whole_right = low == base, high == end
             if (len(lefts) >= 2 or whole_left) and (len(rights) >= 2 or whole_right):
                 lo = lefts[-2] if len(lefts) >= 2 else base
@@ -149,35 +189,23 @@ class Chunks:
                     return joined[:0], joined, base
             reach *= 2
 
-    @staticmethod
-    def _breaks(data: bytes, low: int, high: int, edge: int) -> list[int]:
-        """Bytes inside (low, high) where any encoding breaks; ``low`` may fall inside a character."""
-        while low > edge and data[low] & 0xC0 == 0x80:
-            low -= 1
-        while high < len(data) and data[high] & 0xC0 == 0x80:
-            high += 1
-        text = data[low:high].decode()
-        if text.isascii():
-            return [low + m.start() for m in _SAFE.finditer(text)]
-        return [low + len(text[: m.start()].encode()) for m in _SAFE.finditer(text)]
-
 
-def _least_chunk(data: bytes) -> int:
+def _least_chunk(data: bytes, special: tuple[bytes, ...]) -> int:
     at, least = 0, None
-    for end in cuts(data):
+    for end in cuts(data, special):
         h = int.from_bytes(hashlib.blake2b(data[at:end], digest_size=8).digest(), "little", signed=True)
         least = h if least is None or h < least else least
         at = end
     return least
 
 
-def placed(docs: DataFrame) -> DataFrame:
+def placed(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, text) dealt out so that documents with equal chunks mostly meet; large groups are split by size."""
 
     def run(batches):
         for batch in batches:
             texts = [x.as_py().encode() if x.is_valid else b"" for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([_least_chunk(x) for x in texts], pa.int64())], names=["doc_id", "text", "place"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([_least_chunk(x, special_tokens(path)) for x in texts], pa.int64())], names=["doc_id", "text", "place"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, text string, place bigint").hint("rebalance", F.col("place"))
@@ -210,4 +238,4 @@ def encoded(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays(out, names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return placed(docs).mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else ""))
+    return placed(docs, path).mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else ""))
