@@ -5,8 +5,13 @@ An occurrence of an item of m bytes with at most e edits keeps at least
 less place in the item) at most e to either side of the occurrence's own. Shared
 q-grams are counted in diagonal bands of width 2 * (2e + 1) that overlap by half,
 so one band holds all of them. Bands that reach the bound are verified by
-banded alignment. Texts are compared with A-Z lower-cased and any white space as
-a space; e is ``rate`` of the item's length.
+banded alignment. Places and edits are those of characters (code points). Texts
+are compared with A-Z lower-cased and 0x09-0x0D as a space; e is ``rate`` of the
+item's length.
+
+A text's q-grams are looked up in stretches that give at most HITS pairs of
+places, or are two items long; stretches of one text overlap by the longest
+occurrence, so that each lies whole in one.
 """
 
 from __future__ import annotations
@@ -17,27 +22,38 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from codequarry.llm.textscan import _SPACE, slices
+from codequarry.llm.shared import without
+from codequarry.llm.textscan import mix64
 
 Q = 8
 _BITS = 20
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
+_ODD = mix64(np.arange(1, Q + 1, dtype=np.uint64)) | np.uint64(1)
 #: Most bytes of items that are broadcast together; more items are searched in several passes.
 BLOCK_BYTES = 8_000_000
+#: Characters of text that are worked on at a time (a longer text stands alone), and pairs of places looked at together.
+SLICE_CHARS, HITS = 500_000, 1_000_000
 
+_FOLD = np.arange(128, dtype=np.uint32)
+_FOLD[65:91] += 32
+_FOLD[9:14] = 32
 
-def _codes(buf: np.ndarray) -> np.ndarray:
-    """The q bytes from each place as one 64-bit number."""
-    n = len(buf) - Q + 1
-    out = np.empty(max(0, n), dtype=np.uint64)
-    for r in range(min(Q, max(0, n))):
-        out[r::Q] = np.frombuffer(buf[r : r + (len(buf) - r) // Q * Q].tobytes(), dtype="<u8")[: len(out[r::Q])]
-    return out
+
+def plain(text: str) -> np.ndarray:
+    """Code points with A-Z lower-cased and white space as a space."""
+    out = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return np.where(out < 128, _FOLD[np.minimum(out, 127)], out)
 
 
-def _plain(buf: np.ndarray) -> np.ndarray:
-    return np.where(_SPACE[buf], np.uint8(32), buf)
+def _codes(buf: np.ndarray) -> np.ndarray:
+    """A hash of the q characters from each place."""
+    n = max(0, len(buf) - Q + 1)
+    out = np.zeros(n, dtype=np.uint64)
+    for r in range(Q):
+        out += buf[r : r + n].astype(np.uint64) * _ODD[r]
+    return out
 
 
 @dataclass
@@ -74,7 +90,7 @@ def _banded(item: np.ndarray, text: np.ndarray, low: int, width: int, most: int)
     cost = np.where((diag >= 0) & (diag <= n), 0, far)
     origin = diag.copy()
     steps = np.arange(width + 1)
-    padded = np.full(n + m + width + abs(low) + 2, 256, dtype=np.int16)
+    padded = np.full(n + m + width + abs(low) + 2, 1 << 30, dtype=np.uint32)  # no character
     shift = abs(low) + 1
     padded[shift : shift + n] = text
     for i in range(1, m + 1):
@@ -97,43 +113,73 @@ def _banded(item: np.ndarray, text: np.ndarray, low: int, width: int, most: int)
     return int(cost[best]), int(origin[best]), int(ends[best])
 
 
-def regions(scan, items: Items):
-    """(row, item, start, end, edits) of the occurrences in one slice of texts, in bytes of the text."""
-    buf, off = _plain(scan.buf), scan.off
-    codes = _codes(buf)
-    hits = np.flatnonzero(items.table[(codes * _SPREAD) >> np.uint64(64 - _BITS)])
-    at = np.minimum(np.searchsorted(items.codes, codes[hits]), len(items.codes) - 1)
-    same = items.codes[at] == codes[hits]
-    hits, at = hits[same], at[same]
-    row = np.searchsorted(off, hits, side="right") - 1
-    inside = hits + Q <= off[row + 1]
-    hits, at, row = hits[inside], at[inside], row[inside]
+def _stretches(hits: np.ndarray, row: np.ndarray, many: np.ndarray, reach: int):
+    """Ranges of hits: whole texts while they give at most HITS pairs, else overlapping parts of one text."""
+    total = np.concatenate(([0], np.cumsum(many)))
+    edges = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1], [True]))) if len(row) else np.zeros(1, np.int64)
+    i = 0
+    while i < len(edges) - 1:
+        j = max(i + 1, int(np.searchsorted(total[edges], total[edges[i]] + HITS, side="right")) - 1)
+        a, b = int(edges[i]), int(edges[j])
+        i = j
+        while total[b] - total[a] > HITS:
+            c = max(int(np.searchsorted(total, total[a] + HITS, side="right")) - 1, int(np.searchsorted(hits[a:b], hits[a] + 2 * reach)) + a)
+            if c >= b:
+                break
+            yield a, c
+            a = int(np.searchsorted(hits[a:c], hits[c] - reach)) + a
+        yield a, b
+
+
+def _bands(hits: np.ndarray, at: np.ndarray, row: np.ndarray, off: np.ndarray, items: Items):
+    """(row, item, band) that share enough of the item's q-grams."""
     many = items.count[at]
     pick = np.repeat(items.first[at] - np.concatenate(([0], np.cumsum(many)[:-1])) if len(many) else at, many) + np.arange(many.sum())
-    item, row = items.item[pick], np.repeat(row, many)
-    diag = np.repeat(hits, many) - off[row] - items.place[pick]
-    band = diag // (2 * items.edits[item] + 1) + (1 << 22)
-    key = ((row * len(items.ids) + item) << 24) + band
-    key, place = np.concatenate((key, key - 1)), np.tile(items.place[pick], 2)
+    rows, local = np.unique(row, return_inverse=True)
+    item, place = items.item[pick], items.place[pick]
+    width = 2 * items.edits[item] + 1
+    lead = int(items.size.max()) + 2
+    band = (np.repeat(hits - off[row], many) - place) // width + lead
+    count = int(band.max()) + 2 if len(band) else 1
+    key = (np.repeat(local, many) * len(items.ids) + item) * count + band
+    key, place = np.concatenate((key, key - 1)), np.tile(place, 2)
     least = np.maximum(items.least, 1)
-    bands, which, counts = np.unique(key, return_inverse=True, return_counts=True)
-    some = (counts >= least[(bands >> 24) % len(items.ids)])[which]
+    _, which, counts = np.unique(key, return_inverse=True, return_counts=True)
+    some = counts[which] >= least[key // count % len(items.ids)]
     key, place = key[some], place[some]  # of the rest, count each place of the item once
     order = np.lexsort((place, key))
     key, place = key[order], place[order]
     new = np.concatenate(([True], (key[1:] != key[:-1]) | (place[1:] != place[:-1]))) if len(key) else np.zeros(0, bool)
     key, counts = np.unique(key[new], return_counts=True)
-    pair, band = key >> 24, (key & ((1 << 24) - 1)) - (1 << 22)
-    row, item = pair // len(items.ids), pair % len(items.ids)
+    pair, band = key // count, key % count - lead
+    item = pair % len(items.ids)
     kept = counts >= least[item]
+    return rows[pair[kept] // len(items.ids)].tolist(), item[kept].tolist(), band[kept].tolist()
+
+
+def regions(texts: list[np.ndarray], items: Items):
+    """(row, item, start, end, edits) of the occurrences in some texts (see ``plain``), in characters of the text."""
+    off = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    buf = np.concatenate([*texts, np.zeros(0, np.uint32)])
+    codes = _codes(buf)
+    hits = np.flatnonzero(items.table[(codes * _SPREAD) >> np.uint64(64 - _BITS)])
+    at = np.minimum(np.searchsorted(items.codes, codes[hits]), len(items.codes) - 1)
+    same = items.codes[at] == codes[hits]
+    hits, at = hits[same], at[same]
+    row = np.searchsorted(off, hits, side="right") - 1
+    inside = hits + Q <= off[row + 1]
+    hits, at, row = hits[inside], at[inside], row[inside]
+    bands = set()
+    for a, b in _stretches(hits, row, items.count[at], int((items.size + items.edits).max()) + Q):
+        bands.update(zip(*_bands(hits[a:b], at[a:b], row[a:b], off, items)))
     found: dict[tuple[int, int], list] = {}
-    for r, i, b in zip(row[kept].tolist(), item[kept].tolist(), band[kept].tolist()):
+    for r, i, b in sorted(bands):
         width = 2 * items.edits[i] + 1
         text, one = buf[off[r] : off[r + 1]], items.texts[i]
         low = max(int(b * width - items.edits[i]), -int(items.edits[i]))
         start = max(0, low)
         part = text[start : max(start, int(b * width + 2 * width + items.edits[i] + len(one)))]
-        exact = part.tobytes().find(one.tobytes())
+        exact = _exact(part, one)
         if exact >= 0:
             best = (0, exact, exact + len(one))
         else:
@@ -148,39 +194,60 @@ def regions(scan, items: Items):
         yield from ((r, i, *x) for x in sorted(chosen))
 
 
+def _exact(part: np.ndarray, item: np.ndarray) -> int:
+    """The first place of ``item`` in ``part``, or -1."""
+    data, one, at = part.tobytes(), item.tobytes(), -1
+    while (at := data.find(one, at + 1)) >= 0:
+        if at % 4 == 0:
+            return at // 4
+    return -1
+
+
+def _slices(texts: list[str | None]):
+    """Some texts at a time, with the number of the first."""
+    i = 0
+    while i < len(texts):
+        j, size = i, 0
+        while j < len(texts) and (j == i or size + len(texts[j] or "") <= SLICE_CHARS):
+            size += len(texts[j] or "")
+            j += 1
+        yield i, [plain(t or "") for t in texts[i:j]]
+        i = j
+
+
 def occurrences(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08) -> DataFrame:
-    """doc_id, fp, item_id, start, end (bytes of the UTF-8 text), edits: each benchmark item found in each document.
+    """doc_id, fp, item_id, start, end (code points), edits: each benchmark item found in each document.
 
     ``rate`` must be under 1 / 8 for the lemma's bound to be positive. Items of
-    fewer than 8 bytes and null items match nothing; null texts hold nothing. Rows
+    fewer than 8 characters and null items match nothing; null texts hold nothing. Rows
     repeat as documents and items do. The items are broadcast in blocks of at most
     BLOCK_BYTES, one pass over the documents for each block.
     """
     if not 0 <= rate < 1 / Q:
         raise ValueError("rate must be at least 0 and under 1/8")
     spark = docs.sparkSession
-    usable = benchmark.where(F.octet_length("text") >= Q).select("item_id", "text")
+    usable = benchmark.where(F.length("text") >= Q).select("item_id", "text")
     total = usable.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-2 * total // BLOCK_BYTES)) if total > BLOCK_BYTES else 1
     kinds = [docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()]
     schema = f"doc_id {kinds[0]}, fp bigint, item_id {kinds[1]}, start bigint, end bigint, edits int"
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
     out = None
     for k in range(blocks):
         rows = (usable if blocks == 1 else usable.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)).collect()
-        texts = [_plain(s.buf) for _, _, s in (x for r in rows for x in slices(pa.array([r.text])))]
-        sent = spark.sparkContext.broadcast(([r.item_id for r in rows], texts))
+        sent = spark.sparkContext.broadcast(([r.item_id for r in rows], [r.text for r in rows]))
 
         def run(batches, sent=sent):
-            items = Items(*sent.value, rate).build()
+            ids, texts = sent.value
+            items = Items(ids, [plain(t) for t in texts], rate).build()
             for batch in batches:
                 found = []
-                for first, _, scan in slices(batch.column(2)):
-                    if len(items.codes) and len(scan.buf) >= Q:
-                        found += [(first + r, items.ids[i], a, b, e) for r, i, a, b, e in regions(scan, items)]
+                if len(items.codes):
+                    for first, some in _slices(batch.column(2).to_pylist()):
+                        found += [(first + r, items.ids[i], a, b, e) for r, i, a, b, e in regions(some, items)]
                 take = pa.array([f[0] for f in found], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array([f[1] for f in found], batch_type), *[pa.array([f[i] for f in found], t) for i, t in ((2, pa.int64()), (3, pa.int64()), (4, pa.int32()))]], names=["doc_id", "fp", "item_id", "start", "end", "edits"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array([f[1] for f in found], item_type), *[pa.array([f[i] for f in found], t) for i, t in ((2, pa.int64()), (3, pa.int64()), (4, pa.int32()))]], names=["doc_id", "fp", "item_id", "start", "end", "edits"])
 
-        batch_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kinds[1]]
         part = docs.select("doc_id", F.xxhash64("text").alias("fp"), "text").mapInArrow(run, schema)
         out = part if out is None else out.union(part)
     return out
@@ -188,6 +255,4 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08) -> Da
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08) -> DataFrame:
     """The rows of ``docs`` in which no benchmark item is found."""
-    bad = occurrences(docs, benchmark, rate).select(F.col("doc_id").alias("_d"), F.col("fp").alias("_f")).distinct()
-    rows = docs.withColumn("_fp", F.xxhash64("text"))
-    return rows.join(bad, rows.doc_id.eqNullSafe(bad._d) & (rows._fp == bad._f), "left_anti").select(*docs.columns)
+    return without(docs, occurrences(docs, benchmark, rate))
