@@ -21,8 +21,10 @@ RULES = (
     ("mean_word_length", "<=", 16.0),
     ("symbol_ratio", "<=", 0.05),
     ("dup_line_ratio", "<=", 0.5),
-    ("n_stop_words", ">=", 2),
+    ("stop_word_ratio", "<=", 0.8),
 )
+#: For corpora of the listed languages only: running text has stop words. A text of another language has none and would go.
+LISTED_LANGUAGES = (*RULES, ("stop_word_ratio", ">=", 0.02))
 
 _SPACE = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
@@ -47,7 +49,7 @@ def measured(docs: DataFrame) -> DataFrame:
     df = df.withColumn("word_chars", _less(text, _SPACE).cast("long")).withColumn("n_symbols", (F.length(text) - _less(text, _SYMBOLS)).cast("long"))
     df = df.withColumn("_lines", F.filter(F.split(text, "\n"), lambda x: F.translate(x, _SPACE, "") != ""))
     df = df.withColumn("n_lines", F.size("_lines").cast("long")).withColumn("n_dup_lines", F.size("_lines").cast("long") - F.size(F.array_distinct("_lines")))
-    df = df.withColumn("n_stop_words", F.size(F.array_intersect(F.transform("_words", F.lower), F.array(*[F.lit(w) for w in dict.fromkeys(STOP_WORDS)]))).cast("long"))
+    df = df.withColumn("n_stop_words", F.size(F.filter("_words", lambda w: F.lower(w).isin(*dict.fromkeys(STOP_WORDS)))).cast("long"))
     m = F.greatest(F.size("_words") - 2, F.lit(0))
     hashes = F.transform("_words", lambda w: F.xxhash64(w))
     df = df.withColumn("_h", hashes)
@@ -69,7 +71,7 @@ def compiled(rules=RULES) -> Column:
     """The table as one boolean expression over the columns of ``measured``."""
     metrics = {
         "n_words": F.col("n_words"),
-        "n_stop_words": F.col("n_stop_words"),
+        "stop_word_ratio": _ratio(F.col("n_stop_words"), F.col("n_words")),
         "repeat_word_ratio": _ratio(F.col("n_repeat_words"), F.col("n_words")),
         "mean_word_length": _ratio(F.col("word_chars"), F.col("n_words")),
         "symbol_ratio": _ratio(F.col("n_symbols"), F.col("word_chars")),
@@ -106,10 +108,10 @@ c as (select rid, count(distinct p) n from (select rid, i + unnest([0, 1, 2]) p
 m as (select doc_id, len(ws)::bigint n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g'))::bigint word_chars,
   (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint n_symbols,
   len(ls)::bigint n_lines, (len(ls) - len(list_distinct(ls)))::bigint n_dup_lines, coalesce(c.n, 0)::bigint n_repeat_words,
-  len(list_intersect(list_distinct(list_transform(ws, lambda x: lower(x))), [STOP]))::bigint n_stop_words
+  len(list_filter(ws, lambda x: lower(x) in (STOP)))::bigint n_stop_words
   from w left join c using (rid)),
 b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_stop_words, base_failed,
-  not base_failed and word_chars / n_words between 2.0 and 16.0 and n_symbols / word_chars <= 0.05 and n_dup_lines / n_lines <= 0.5 and n_stop_words >= 2 as kept
+  not base_failed and word_chars / n_words between 2.0 and 16.0 and n_symbols / word_chars <= 0.05 and n_dup_lines / n_lines <= 0.5 and n_stop_words / n_words <= 0.8 as kept
 from b
 """.replace("STOP", ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS)))
