@@ -23,6 +23,8 @@ from codequarry.llm.shared import stored
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 #: Characters of the models; digits count as 0 and all others as ~. ^ and $ mark the ends.
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0./:?=&_%#+-~^$"
+#: Most rows of a model that is broadcast, some tens of MB.
+SMALL_GRAMS = 200_000
 _UPPER, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -77,14 +79,24 @@ def model(labelled: DataFrame, order: int = 3, mu: float = 4.0) -> DataFrame:
 
 
 def scored(urls: DataFrame, grams: DataFrame, order: int = 3) -> DataFrame:
-    """(url) -> (url, score): mean log ratio by character. Equal URLs have one row."""
-    text = urls.select("url").distinct().select("url", F.explode(_grams(_marked(F.col("url"), order), order)).alias("g")).groupBy("url", "g").agg(F.count("*").alias("n"))
-    text = stored(text)
-    best = text.select("g").distinct()
-    for m in range(order, -1, -1):
-        part = grams.where(F.length("gram") == m + 1).select(F.col("gram").alias(f"g{m}"), F.col("llr").alias(f"l{m}"))
-        best = best.withColumn(f"g{m}", F.substring("g", order + 1 - m, m + 1)).join(part, f"g{m}", "left")
-    best = best.select("g", F.coalesce(*[F.col(f"l{m}") for m in range(order, -1, -1)], F.lit(0.0)).alias("llr"))
+    """(url) -> (url, score): mean log ratio by character. Equal URLs have one row.
+
+    The model is broadcast while it has at most SMALL_GRAMS rows, and each URL is
+    scored where it stands; a larger one is joined to the distinct contexts first.
+    """
+    text = urls.select("url", F.explode(_grams(_marked(F.col("url"), order), order)).alias("g"))
+    small = grams.count() <= SMALL_GRAMS
+
+    def known(rows: DataFrame) -> DataFrame:
+        for m in range(order, -1, -1):
+            part = grams.where(F.length("gram") == m + 1).select(F.col("gram").alias(f"g{m}"), F.col("llr").alias(f"l{m}"))
+            rows = rows.withColumn(f"g{m}", F.substring("g", order + 1 - m, m + 1)).join(F.broadcast(part) if small else part, f"g{m}", "left")
+        return rows.withColumn("llr", F.coalesce(*[F.col(f"l{m}") for m in range(order, -1, -1)], F.lit(0.0)))
+
+    if small:
+        return known(text).groupBy("url").agg(F.avg("llr").alias("score"))
+    text = stored(text.groupBy("url", "g").agg(F.count("*").alias("n")))
+    best = stored(known(text.select("g").distinct()).select("g", "llr"))  # stored, so that the join may split a frequent context
     return text.join(best, "g").groupBy("url").agg((F.sum(F.col("n") * F.col("llr")) / F.sum("n")).alias("score"))
 
 
