@@ -10,7 +10,9 @@ The length, always last, says how many bytes of block follow the line. The
 converter reads records by these lengths, never by searching for the next
 header, and synthesises what WARC asks for: a record id (a version 5 UUID of
 source and digests, so a repeated attempt names it alike), the date in ISO
-8601, the type, and payload and block digests.
+8601, the type, and payload and block digests. Each WARC file starts with a
+warcinfo record in place of the archives' version blocks. Repeated rows give
+records of the same id, being one record twice.
 
 Records with equal payloads of at least ``least`` bytes: the one with the
 greatest key stays a response, the others become revisits that keep the HTTP
@@ -21,9 +23,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -132,6 +136,14 @@ def warc_member(key: str, fields: dict, block: bytes, refers: str | None) -> byt
     return pack.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n") + pack.flush()
 
 
+def warcinfo(name: str) -> bytes:
+    """The first record of a WARC file, as a gzip member."""
+    body = b"software: codequarry\r\nformat: WARC File Format 1.0\r\ndescription: converted from ARC\r\n"
+    lines = ["WARC/1.0", "WARC-Type: warcinfo", f"WARC-Record-ID: {_id(name, 'warcinfo')}", f"WARC-Date: {datetime.now(timezone.utc):%Y-%m-%dT%H:%M:%SZ}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(body)}"]
+    pack = zlib.compressobj(1, zlib.DEFLATED, 31)
+    return pack.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n") + pack.flush()
+
+
 def warc_records(stream) -> Iterator[tuple[dict, bytes]]:
     """(headers, block) of each record of a file of gzip members, one member in memory at a time."""
     rest = b""
@@ -154,7 +166,7 @@ def warc_records(stream) -> Iterator[tuple[dict, bytes]]:
 def _filesystem(at: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(at)
+    return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", at))
 
 
 def written(records: DataFrame, at: str) -> DataFrame:
@@ -180,8 +192,10 @@ def written(records: DataFrame, at: str) -> DataFrame:
             for key, content, refers in zip(*(batch.column(i) for i in range(3))):
                 for fields, block in arc_records(content.as_py()):
                     if out is None:
-                        path, count, size = f"{root}/{uuid.uuid4().hex}.warc.gz", 0, 0
+                        name = f"{uuid.uuid4().hex}.warc.gz"
+                        path, count, size = f"{root}/{name}", 0, 0
                         out = store.open_output_stream(path, compression=None)
+                        out.write(warcinfo(name))
                     member = warc_member(key.as_py() or "", fields, block, refers.as_py())
                     out.write(member)
                     count, size = count + 1, size + len(member)
@@ -204,6 +218,8 @@ def read_back(spark: SparkSession, manifest: DataFrame, at: str) -> DataFrame:
                 rows = []
                 with store.open_input_stream(path, compression=None) as stream:
                     for h, block in warc_records(stream):
+                        if h["WARC-Type"] == "warcinfo":
+                            continue
                         digest = base64.b32decode(h["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
                         size = int(h["X-Payload-Length"])
                         if h["WARC-Type"] != "revisit":
