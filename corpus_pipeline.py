@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codequarry.llm import bpe, leaks, minhash, pii, quality
-from codequarry.llm.shared import stored
+from codequarry.llm.shared import stored, without
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,10 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: five-word shingles, similarity 0.8 or more."""
     verdict = minhash.near_duplicates(docs, width=5, percent=80)
-    gone = verdict.where(~F.col("kept")).select(F.col("doc_id").alias("_d"), F.col("fp").alias("_f")).distinct()
-    rows = docs.withColumn("_fp", F.xxhash64("text"))
-    kept = rows.join(gone, rows.doc_id.eqNullSafe(gone._d) & (rows._fp == gone._f), "left_anti")
-    return kept.select(*docs.columns)
+    return without(docs, verdict.where(~F.col("kept")))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
