@@ -97,6 +97,44 @@ def test_near_duplicates_of_a_template_and_its_extensions(spark, width=5, percen
     assert {r.component_id for r in out} == {0}
 
 
+def test_near_duplicates_of_a_text_with_tails(spark):
+    """Each text is exactly at the threshold to the base, none to another one, and all share the base's values."""
+    base = " ".join(f"w{i}" for i in range(342))
+    tails = [*range(30001, 30041), 832, 1103, 2682, 3881]
+    texts = [base, *(base + " " + " ".join(f"t{i}_{j}" for j in range(60)) for i in tails)]
+    assert {r.component_id for r in minhash.near_duplicates(docs(spark, texts), 3, 85).collect()} == {0}
+
+
+@pytest.mark.parametrize("width,percent,tail", [(3, 85, 60), (5, 80, 85)])
+def test_near_duplicates_of_many_tails(spark, width, percent, tail):
+    base = " ".join(f"w{i}" for i in range(339 + width))
+    texts = [base, *(base + " " + " ".join(f"t{i}_{j}" for j in range(tail)) for i in range(1500))]
+    out = minhash.near_duplicates(docs(spark, texts), width, percent).collect()
+    assert {r.component_id for r in out} == {0} and sum(r.kept for r in out) == 1
+
+
+def test_near_duplicates_other_settings(spark):
+    """Variants of templates without the template itself: most links go between components of long lists."""
+    rng = random.Random(8)
+    texts = []
+    for _ in range(3):
+        w = words(rng, 90).split()
+        for _ in range(40):
+            v = list(w)
+            for _ in range(rng.randrange(2, 9)):
+                v[rng.randrange(len(v))] = rng.choice(("zz", "qq")) + str(rng.randrange(9))
+            texts.append(" ".join(v))
+    out = minhash.near_duplicates(docs(spark, texts), 3, 60, k=16, short=4, block=16, block_items=1500).orderBy("doc_id").collect()
+    assert [r.component_id for r in out] == brute_components(texts, 3, 60)
+
+
+def test_shared_counts():
+    rng = np.random.default_rng(2)
+    some = [np.unique(rng.integers(0, 300, n)) for n in (0, 5, 80, 200, 31, 7)]
+    got = minhash._shared_counts(some[:3], some[3:], columns=64)
+    assert got.tolist() == [[len(np.intersect1d(x, y)) for y in some[3:]] for x in some[:3]]
+
+
 def test_near_duplicates_of_odd_rows(spark):
     out = minhash.near_duplicates(odd(spark), 3, 85).collect()
     assert len(out) == len(ODD) + 2
@@ -204,6 +242,46 @@ def test_disclosing_terms_far_from_their_entity(spark):
     assert not any("zanthor" in r.text.lower() for r in out) and [r.text for r in out[4:]] == rows[4:]
 
 
+def test_disclosing_terms_like_brute_force(spark):
+    rng = random.Random(6)
+    mails = [f"p{i}@x.org" for i in range(5)]
+    texts = []
+    for i in range(160):
+        m = rng.randrange(12)
+        own = ["name" + "vwxyz"[m]] if m < 5 and rng.random() < 0.9 else []
+        w = words(rng, 30, 60).split() + own + ([mails[m]] if m < 5 else []) + (["linked"] if m < 2 or rng.random() < 0.02 else [])
+        rng.shuffle(w)
+        texts.append(" ".join(w))
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+    n, held, has, every = len(texts), [], [], []
+    for t in texts:
+        found = email.findall(t)
+        held.append(set(found) | ({"any"} if found else set()))
+        term = lambda x: set(re.findall(r"(?<![^\W\d_])[^\W\d_]{3,}", x))
+        has.append(term(email.sub(lambda m: "\x01" * len(m.group()), t)))
+        every.append(term(t))
+    want = {}
+    for d in range(n):
+        for t in has[d]:
+            for e in held[d]:
+                de, dt = sum(e in h for h in held), sum(t in x for x in every)
+                both = sum(e in h and t in x for h, x in zip(held, has))
+                share = np.log2(n * both / (dt * de)) / np.log2(n / de) if de < n else 0
+                if both >= 3 and share >= 0.75 - 1e-9:
+                    want.setdefault(d, set()).add(t)
+    df = docs(spark, texts)
+    got = {r.doc_id: {x.term for x in r.risky} for r in pii.disclosing(df, pii.found(df)).collect()}
+    assert got == want and any("namev" in x for x in want.values())
+
+
+def test_spans_of_very_many_matches(spark):
+    text = " ".join(f"a{i}@b.org no" for i in range(3000))
+    r = pii.spans_of(pii.annotated(docs(spark, [text]))).first()
+    spans = [f"email:{m.start()}:{m.end()}" for m in re.finditer(r"\S+@\S+", text)]
+    assert r.n_email == 3000 and r.base_sha256 == hashlib.sha256(",".join(spans).encode()).hexdigest()
+    assert pii.sanitised(docs(spark, [text])).first().text.startswith("[EMAIL] no [EMAIL]") or pii.sanitised(docs(spark, [text])).first().text.startswith("[EMAIL]  [EMAIL]")
+
+
 def test_sanitised_odd_rows(spark):
     df = odd(spark)
     out = pii.sanitised(df)
@@ -274,6 +352,18 @@ def test_bpe_like_the_library(tokenizer, monkeypatch):
         assert chunks.text(text.encode()).tolist() == lib.encode(text, add_special_tokens=False).ids
 
 
+def test_bpe_without_white_space_like_the_library(tokenizer):
+    library, path = tokenizer
+    rng = random.Random(3)
+    chunks = bpe.Chunks(path)
+    cjk = "".join(chr(rng.randrange(0x4E00, 0x9000)) if rng.random() > 0.06 else "\u3002" for _ in range(20000))
+    odd = "".join(rng.choice(["<|endoftext|>", "don't", "'s", "12", "x", "\u00e9", "e\u0301", "!", " "]) for _ in range(20000))
+    for t in (cjk, odd, "a" * 30000):
+        assert chunks.text(t.encode()).tolist() == library.encode(t, add_special_tokens=False).ids
+    ends = bpe.cuts(cjk.encode(), chunks.special)
+    assert len(ends) > 5 and all("\u3002" in cjk.encode()[a:b].decode() for a, b in zip([0, *ends], ends[:-1]))
+
+
 def test_bpe_rows(spark, tokenizer):
     lib, path = tokenizer
     rows = odd(spark)
@@ -339,9 +429,43 @@ def test_leaks_like_brute_force(spark):
     assert leaks.occurrences(df, bench.where("false")).count() == 0 and leaks.occurrences(df.where("false"), bench).count() == 0
 
 
+def test_leaks_of_a_large_benchmark_in_bounded_memory(spark, monkeypatch):
+    import tracemalloc
+
+    rng = random.Random(12)
+    common = words(rng, 60, 40)
+    items = [leaks.plain(f"{common[rng.randrange(100):][:50]} item {i} {words(rng, 25)}") for i in range(3000)]
+    built = leaks.Items(list(range(3000)), items, 0.08).build()
+    texts = [leaks.plain((common + " ") * 40 + "".join(map(chr, items[i])) + (" " + common) * 40) for i in (5, 1700)]
+    monkeypatch.setattr(leaks, "HITS", 200_000)
+    tracemalloc.start()
+    found = {(r, i) for r, i, *_ in leaks.regions(texts, built)}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {(0, 5), (1, 1700)} <= found and peak < 400_000_000
+
+
+def test_leaks_in_long_texts_and_other_ids(spark):
+    rng = random.Random(13)
+    item = words(rng, 20)
+    text = words(rng, 90000) + " \u00e9" + item.upper() + "\u00e9 " + words(rng, 90000)
+    bench = spark.createDataFrame([(7, item)], "item_id smallint, text string")
+    r = leaks.occurrences(docs(spark, [text]), bench).collect()
+    at = text.index(item.upper())
+    assert [(x.item_id, x.start, x.end, x.edits) for x in r] == [(7, at, at + len(item), 0)]
+    assert leaks.occurrences(docs(spark, [text]), bench.withColumn("item_id", F.lit("x"))).first().item_id == "x"
+
+
 # ---- language ----
 
 
+def test_only_languages_of_the_scripts_take_part():
+    m = language.Model(["el", "en", "fr"], np.zeros((1 << language.BITS, 3), np.float32), np.zeros((len(language.SCRIPTS) + 2, 3), bool))
+    m.allowed[2, 1:] = m.allowed[3, 0] = True  # latin, greek
+    (_, _, w), *_ = language.slices(["plain words", "\u03b1\u03b2\u03b3 \u03b4", "both \u03b1\u03b2", ""])
+    assert [m.langs[i] for i in m.path(w, 12.0)] == ["en", "en", "el", "el", "en", "el"]
+
+
 def test_paths_are_best():
     rng = np.random.default_rng(0)
     for _ in range(10):
@@ -397,6 +521,36 @@ def test_machine_learns_pairs():
     assert ((p >= 0.5) == (y[600:] == 1)).mean() > 0.97 and np.abs(m.v).max() > 0.05
 
 
+def test_machine_learns_what_only_pairs_say():
+    """Label = one of two words, but not both: neither says anything alone. With the settings of production."""
+    rng = random.Random(4)
+    texts, labels = [], []
+    for _ in range(4000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        w = [f"w{rng.randrange(2000)}x" for _ in range(rng.randrange(5, 60))] + ["insulting"] * a + ["groupname"] * b
+        rng.shuffle(w)
+        texts.append(" ".join(w))
+        labels.append(float(a != b))
+    found, y = list(toxicity.hashed_terms(pa.array(texts))), np.array(labels)
+    m = toxicity.fit(found[:3000], y[:3000])
+    right = lambda m: ((m.score(*m.rows(found[3000:])) >= 0.5) == (y[3000:] == 1)).mean()
+    assert right(m) > 0.9
+    additive = toxicity.fit(found[:3000], y[:3000], apart=1e9, away=2.0, factors=1)
+    additive.v[:] = 0
+    assert right(additive) < 0.6
+
+
+def test_scores_by_a_double_loop():
+    rng = np.random.default_rng(3)
+    terms = np.arange(1, 30, dtype=np.uint64) * np.uint64(7)
+    m = toxicity.Machine(terms, -0.3, rng.normal(size=29).astype(np.float32), rng.normal(size=(29, 4)).astype(np.float32))
+    found = [terms[:0], terms[[3]], terms[[1, 5, 20]], np.sort(np.append(terms[4:9], np.uint64(1000)))]
+    for f, got in zip(found, m.score(*m.rows(found))):
+        at = [int(x) // 7 - 1 for x in f if x in terms]
+        raw = -0.3 + sum(m.w[i] for i in at) + sum(float(m.v[i] @ m.v[j]) for i, j in itertools.combinations(at, 2))
+        assert abs(got - 1 / (1 + np.exp(-raw))) < 1e-5
+
+
 def test_toxicity_rows(spark):
     rng = random.Random(2)
     texts = [words(rng, 30) + (" nastyword" if i % 5 == 0 else "") for i in range(200)]
@@ -423,6 +577,63 @@ def test_hosts_and_rules(spark):
     assert urls.judged(df.where("false")).count() == 0
 
 
+def test_verdicts_like_brute_force(spark, sf_dir):
+    """Host, path and rule by DuckDB; scores by the same models in plain Python; the cut from those scores."""
+    import duckdb
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumns({"g": F.lit("mine"), "score": F.lit("mine")})
+    out = {r.page_id: r for r in urls.judged(pages).collect()}
+    sql = f"""with p as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end r from '{sf_dir}/pages.parquet'),
+    h as (select page_id, lower(regexp_extract(r, '^([^/?#]*)', 1)) host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) path from p)
+    select page_id, host, path, case when (host = 'www.example.com' or host like '%.www.example.com') and path like '/en/%' then 'www.example.com/en/'
+      when (host = 'example.com' or host like '%.example.com') and path like '/en/%' then 'example.com/en/'
+      when (host = 'net' or host like '%.net') and path like '/es/%' then 'net/es/' when (host = 'net' or host like '%.net') and path like '/fr/%' then 'net/fr/'
+      when (host = 'com' or host like '%.com') and path like '/%' then 'com/' end rule from h"""
+    for page, host, path, rule in duckdb.sql(sql).fetchall():
+        assert (out[page].host, out[page].path, out[page].rule) == (host, path, rule)
+    text = {r.page_id: r.url or "" for r in pages.collect()}
+    fold = {r.page_id: r.f for r in pages.select("page_id", F.pmod(F.xxhash64(F.coalesce("url", F.lit(""))), F.lit(5)).alias("f")).collect()}
+    marked = lambda u: "^^^" + re.sub(r"[^a-z0./:?=&_%#+-]", "~", re.sub("[1-9]", "0", "".join(c.lower() if c.isascii() else c for c in u))) + "$"
+    counts = {"allow": {}, "block": {}}
+    for page, r in out.items():
+        if r.rule and fold[page] > 0:
+            t = marked(text[page])
+            for i in range(3, len(t)):
+                for m in range(4):
+                    counts[r.verdict].setdefault(t[i - m : i], {}).setdefault(t[i], 0)
+                    counts[r.verdict][t[i - m : i]][t[i]] += 1
+
+    def p(what, context, c):
+        below = p(what, context[1:], c) if context else 1 / len(urls.ALPHABET)
+        seen = counts[what].get(context, {})
+        return (seen.get(c, 0) + 4.0 * below) / (sum(seen.values()) + 4.0)
+
+    def score(u):
+        t, total = marked(u), 0.0
+        for i in range(3, len(t)):
+            context = next((t[i - m : i] for m in (3, 2, 1, 0) if any(t[i] in counts[w].get(t[i - m : i], {}) for w in counts)), None)
+            total += 0.0 if context is None else np.log(p("allow", context, t[i]) / p("block", context, t[i]))
+        return total / (len(t) - 3)
+
+    open_ = [x for x, r in out.items() if not r.rule]
+    assert open_
+    for page in open_:
+        assert abs(out[page].score - score(text[page])) < 1e-6
+    held = {text[x]: out[x].verdict for x in out if out[x].rule and fold[x] == 0}
+    low, high = [sorted(score(u) for u, v in held.items() if v == w) for w in ("allow", "block")]
+    at = (low[max(0, int(np.ceil(0.05 * len(low))) - 1)] + high[max(0, int(np.ceil(0.95 * len(high))) - 1)]) / 2 if low and high else 0.0
+    for page in open_:
+        if abs(out[page].score - at) > 1e-6:
+            assert out[page].verdict == ("allow" if out[page].score >= at else "block")
+
+
+def test_models_of_any_size_score_alike(spark, sf_dir, monkeypatch):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    few = {(r.page_id, r.verdict, round(r.score or 0, 9)) for r in urls.judged(pages).collect()}
+    monkeypatch.setattr(urls, "SMALL_GRAMS", 0)
+    assert few == {(r.page_id, r.verdict, round(r.score or 0, 9)) for r in urls.judged(pages).collect()}
+
+
 def test_models_tell_urls_apart(spark):
     rng = random.Random(7)
     good = [f"http://news{i}.org/{words(rng, 2, 20).replace(' ', '-')}" for i in range(120)]
@@ -452,6 +663,25 @@ def test_store(spark):
 # ---- pipeline and slices ----
 
 
+def test_store_after_a_stop_between_the_steps_of_a_commit(spark, monkeypatch):
+    store = sharding.ShardStore(spark, shared_dir(spark))
+    df = docs(spark, ["a", "b"]).withColumn("_shard", F.lit("mine"))
+    store.append(df)
+
+    def stop(self, old, new):
+        raise RuntimeError("stopped")
+
+    with monkeypatch.context() as m:
+        m.setattr(sharding.ShardStore, "_rename", stop)
+        with pytest.raises(sharding.CommitConflict):
+            store.append(df)
+    assert store.version() == 1 and store.read().count() == 2
+    assert store.append(df) == 2 and store.read().count() == 4 and {r._shard for r in store.read().collect()} == {"mine"}
+    with pytest.raises(sharding.CommitConflict):  # another writer was first
+        store._commit(2, store.manifest(1))
+    assert store.version() == 2 and store.read(shard="at").select("at").distinct().count() >= 2
+
+
 def test_slices_cut_alike(monkeypatch):
     from codequarry.llm import textscan
 
