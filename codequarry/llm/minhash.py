@@ -15,10 +15,13 @@ Long lists (a boilerplate line, thousands of near copies) never give all their
 pairs. A pair that shares no value of a short list has all its shared values in
 long lists, so a class with fewer values there than the estimate asks for can't be
 in a pair that passes it; how many of its own values the other class shares does
-not matter. The remaining ("dense") classes are first linked to the densest class of each long list. Where a list then still
-spans several components, its classes are compared block by block, across
-components only, estimate before exact test inside the task, and only links come
-out. Nothing is capped.
+not matter. The remaining ("dense") classes are first linked to the densest class of
+each long list. Where a list then still spans several components, its classes are
+compared block by block, estimate before exact test inside the task, all pairs of
+two blocks by one matrix product, and only links come out. Pairs of one component
+are left out, and so are pairs whose two classes have the same first long list, as
+they meet there; the largest such group of a list is not compared with itself.
+Blocks are bounded in classes and in shingles. Nothing is capped.
 
 A link is lost if its estimate is too low: for a link right at the threshold with
 a probability of at most P(Binomial(k, t) < c), 3.5e-10 at k = 32 and t = 0.80
@@ -123,42 +126,56 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.withColumn("i", F.size(F.array_intersect("x", "y"))).where(100 * F.col("i") >= percent * (F.size("x") + F.size("y") - F.col("i"))).select("a", "b")
 
 
+def _shared_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of sets, each of ``left`` with each of ``right``."""
+    every = np.concatenate([*left, *right])
+    values, where, count = np.unique(every, return_inverse=True, return_counts=True)
+    rank = np.cumsum(count > 1) - 1  # only values of several sets matter
+    row = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    kept = count[where] > 1
+    row, col = row[kept], rank[where[kept]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    total = np.zeros((len(left), len(right)), dtype=np.float32)
+    last = int(col[-1]) + 1 if len(col) else 0
+    for at in range(0, last, columns):
+        a, b = np.searchsorted(col, (at, at + columns))
+        grid = np.zeros((len(left) + len(right), min(columns, last - at)), dtype=np.float32)
+        grid[row[a:b], col[a:b] - at] = 1
+        total += grid[: len(left)] @ grid[len(left) :].T
+    return total
+
+
 def _across(percent: int, k: int, least: float):
-    """Links between components inside one pair of blocks of a long list."""
+    """Links between components inside one pair of blocks of a long list: estimate, then exact test, all pairs at once."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        v, bi, bj = key
-        pdf = pdf.reset_index(drop=True)
-        items = [np.asarray(x) for x in pdf["items"]]
-        hot = [np.asarray(x) for x in pdf["hot"]]
-        size, comp, block = np.array([len(x) for x in items]), pdf["comp"].to_numpy().copy(), pdf["block"].to_numpy()
-        values, where = np.unique(np.concatenate([x[:k] for x in items]), return_inverse=True)
-        grid = np.zeros((len(items), len(values)), dtype=np.float32)
-        grid[np.repeat(np.arange(len(items)), [len(x[:k]) for x in items]), where] = 1
-        early = np.zeros_like(grid)
-        for r, x in enumerate(hot):
-            early[r, np.searchsorted(values, x[x < v])] = 1
+        _, bi, bj = key
+        items, comp = [np.asarray(x) for x in pdf["items"]], pdf["comp"].to_numpy().copy()
+        vid, block, size = pdf["vid"].to_numpy(), pdf["block"].to_numpy(), np.array([len(x) for x in items])
         left = np.flatnonzero(block == bi)
         right = left if bi == bj else np.flatnonzero(block == bj)
-        shared, before = grid[left] @ grid[right].T, early[left] @ early[right].T
-        kept = np.minimum(np.minimum.outer(size[left], size[right]), k)
-        ratio = np.minimum.outer(size[left], size[right]) * 100 >= percent * np.maximum.outer(size[left], size[right])
-        maybe = ratio & (before == 0) & (shared >= least * kept) & (comp[left][:, None] != comp[right][None, :])
+        low, high = np.minimum.outer(size[left], size[right]), np.maximum.outer(size[left], size[right])
+        maybe = (100 * low >= percent * high) & (comp[left][:, None] != comp[right][None, :])
+        if maybe.any():
+            maybe &= _shared_counts([items[r][:k] for r in left], [items[r][:k] for r in right]) >= least * np.minimum(low, k)
         out = []
-        for p, q in zip(*np.nonzero(maybe)):
-            a, b = int(left[p]), int(right[q])
-            if comp[a] == comp[b] or (bi == bj and a >= b):
-                continue
-            i = len(np.intersect1d(items[a], items[b], assume_unique=True))
-            if 100 * i >= percent * (size[a] + size[b] - i):
-                out.append((pdf["vid"][a], pdf["vid"][b]))
-                comp[comp == comp[b]] = comp[a]
+        if maybe.any():
+            rows, cols = np.flatnonzero(maybe.any(axis=1)), np.flatnonzero(maybe.any(axis=0))
+            shared = _shared_counts([items[r] for r in left[rows]], [items[r] for r in right[cols]])
+            sizes = size[left[rows]][:, None] + size[right[cols]][None, :]
+            sure = maybe[np.ix_(rows, cols)] & (100 * shared >= percent * (sizes - shared))
+            for p, q in zip(*np.nonzero(sure)):
+                a, b = left[rows[p]], right[cols[q]]
+                if comp[a] != comp[b]:
+                    out.append((vid[a], vid[b]))
+                    comp[comp == comp[b]] = comp[a]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = 32, short: int = 32, block: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = 32, short: int = 32, block: int = 512, block_items: int = 1_000_000) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, and the text's ``fp``.
 
     ``docs`` needs doc_id and text; other columns are not read. Documents whose
@@ -192,8 +209,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     small = math.floor(k * t)
     dense = own.where((F.size("hot") >= least * F.size("sketch")) & ((F.col("n") > small) | (100 * F.col("own") <= (100 - percent) * F.col("n"))))
     dense = stored(dense.select("vid", "n", "own", "hot"))
-    inside = dense.select("vid", "n", "own", F.explode(F.slice("hot", 1, lists_each)).alias("v"))
-    chief = inside.groupBy("v").agg(F.max_by(F.struct("vid", "n"), F.struct(-F.col("own"), "vid")).alias("c"))
+    inside = dense.select("vid", "n", "own", F.col("hot")[0].alias("first"), F.explode(F.slice("hot", 1, lists_each)).alias("v"))
+    chief = stored(inside.groupBy("v").agg(F.max_by(F.struct("vid", "n"), F.struct(-F.col("own"), "vid")).alias("c")))  # stored, so that the join may split a long list
     stars = inside.alias("x").join(chief, "v").select(F.col("x.vid").alias("p"), F.col("x.n").alias("np"), F.col("c.vid").alias("q"), F.col("c.n").alias("nq")).where(f"p <> q and 100 * least(np, nq) >= {percent} * greatest(np, nq)").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
     pairs = pairs.union(stars).distinct()
     # estimate on the sketch of the union
@@ -207,14 +224,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     sets = stored(full_sets(wanted, docs, width))
     links = stored(_linked(pairs, sets, percent))
     roots = components(links)
-    # long lists that still span several components
-    placed = inside.join(roots, inside.vid == roots.v, "left").select(inside.vid, inside.v, F.coalesce("root", "vid").alias("comp"))
-    spread = placed.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo < hi")
-    blocks = F.ceil(F.col("members") / block).cast("int")
-    placed = placed.join(spread, "v").withColumn("block", F.pmod(F.xxhash64("vid"), blocks).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("o")
-    placed = placed.join(dense.select("vid", F.slice("hot", 1, lists_each).alias("hot")), "vid").join(sets, "vid")
-    placed = placed.select("v", "vid", "comp", "block", "hot", "items", other).withColumn("bi", F.least("block", "o")).withColumn("bj", F.greatest("block", "o"))
+    # long lists that still span several components: all but the largest group of a list against the whole list
+    placed = inside.join(roots, inside.vid == roots.v, "left").select(inside.vid, inside.n, inside.v, "first", F.coalesce("root", "vid").alias("comp"))
+    size = (F.count("*").alias("c"), F.sum("n").alias("w"))
+    by_comp = placed.groupBy("v", "comp").agg(*size).select("v", F.lit(True).alias("comps"), F.col("comp").alias("key"), "c", "w")
+    by_first = placed.where("first <> v").groupBy("v", "first").agg(*size).select("v", F.lit(False).alias("comps"), F.col("first").alias("key"), "c", "w")
+    all_ = [F.sum(F.when(F.col("comps"), F.col(x)).otherwise(0)).alias(x) for x in ("c", "w")]
+    spread = by_comp.union(by_first).groupBy("v").agg(F.count_if("comps").alias("n_comps"), F.max(F.struct("c", "comps", "key", "w")).alias("m"), *all_).where("n_comps > 1")
+    parts = lambda c, w: F.ceil(F.greatest(c / block, w / block_items)).cast("int")
+    spread = stored(spread.select("v", F.col("m.comps").alias("comps"), F.col("m.key").alias("key"), parts(F.col("c") - F.col("m.c"), F.col("w") - F.col("m.w")).alias("others"), parts(F.col("m.c"), F.col("m.w")).alias("mains")).where("others > 0"))
+    placed = placed.join(spread, "v").withColumn("out", F.when(F.col("comps"), F.col("comp")).otherwise(F.col("first")) != F.col("key"))
+    place = F.pmod(F.xxhash64("vid"), F.when(F.col("out"), F.col("others")).otherwise(F.col("mains"))).cast("int")
+    placed = placed.withColumn("block", F.when(F.col("out"), place).otherwise(F.col("others") + place))
+    last = F.col("others") + F.when(F.col("out"), F.col("mains")).otherwise(0) - 1
+    placed = placed.withColumn("o", F.explode(F.sequence(F.lit(0), last))).join(sets, "vid")
+    placed = placed.select("v", "vid", "comp", "block", "items", F.least("block", "o").alias("bi"), F.greatest("block", "o").alias("bj"))
     more = placed.groupBy("v", "bi", "bj").applyInPandas(_across(percent, k, least), "a bigint, b bigint")
     more = stored(more)
     if not more.isEmpty():  # links between components join their roots
@@ -224,6 +248,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
         roots = roots.join(joined, "root", "left").select("v", F.coalesce("top", "root").alias("root")).union(lone)
     # back to documents
     label = classes.join(roots, classes.vid == roots.v, "left").select("vid", F.coalesce("root", "vid").alias("root"), F.col("rep.doc_id").alias("rep_id"))
-    label = label.join(label.groupBy("root").agg(F.min("rep_id").alias("component_id")), "root").select("vid", "component_id")
+    tops = stored(label.groupBy("root").agg(F.min("rep_id").alias("component_id")))  # stored, so that the join may split a large root
+    label = label.join(tops, "root").select("vid", "component_id")
     out = rows.join(label, "vid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("vid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "fp")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
