@@ -67,6 +67,12 @@ def dependency_metrics(deps: DataFrame, copies: DataFrame) -> DataFrame:
     return d.join(c).join(top, how="left")  # one row each
 
 
+def report_metrics(files: DataFrame, spent: DataFrame) -> DataFrame:
+    """Files, their mean length and lines, and files a minute of the time ``spent`` (one row of minutes; at least one counts)."""
+    f = files.agg(F.count("*").alias("files"), F.try_divide(F.sum(F.length("content")).cast("double"), F.count("*").cast("double")).alias("mean_length"), F.sum(F.size(F.split("content", "\n"))).alias("lines"))
+    return f.join(spent).select("files", "mean_length", "lines", (F.col("files").cast("double") / F.greatest(F.coalesce("minutes", F.lit(1.0)), F.lit(1.0))).alias("per_minute"))  # one row each
+
+
 def usage_index(copies: DataFrame, key: str, value: str) -> DataFrame:
     """Distinct ``value``s of each ``key``, sorted, as comma-joined text and as a count."""
     return copies.groupBy(key).agg(F.sort_array(F.collect_set(value)).alias("l")).select(key, F.array_join("l", ",").alias("members"), F.size("l").alias("n"))

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codequarry.staging import in_order
+
 #: Defaults of the settings.
 MAX_LINES, OVERLAP, MAX_TOKENS = 1500, 300, 28000
 BIG_CHARS, BIG_LINES = 150_000, 3000
@@ -35,36 +37,88 @@ def overlap_text(content: Column, start: Column, overlap: int) -> Column:
     return F.when(start > 1, F.array_join(F.slice(lines, first, start - first), "\n"))
 
 
-#: Rank of the boundaries at which a full chunk may be cut.
+#: Rank of the units after which a full chunk is best cut.
 _RANK = {"division": 3, "section": 2, "paragraph": 1}
 
 
+class _Packing:
+    """Units held for the chunk that is being filled, and those whose chunk is known."""
+
+    def __init__(self, max_lines: int, max_tokens: int) -> None:
+        self.max_lines, self.max_tokens = max_lines, max_tokens
+        self.held: list[tuple] = []  # unit, lines, tokens, rank
+        self.lines = self.tokens = self.chunk = 0
+        self.done: list[tuple] = []
+
+    def close(self, count: int) -> None:
+        """The first ``count`` held units make a chunk; the rest is carried over."""
+        self.done += [(*u[0], self.chunk) for u in self.held[:count]]
+        self.held = self.held[count:]
+        self.chunk += 1
+        self.lines, self.tokens = sum(u[1] for u in self.held), sum(u[2] for u in self.held)
+
+    def add(self, unit: tuple, lines: int, tokens: int, kind: str) -> None:
+        over, first = self.tokens + tokens > self.max_tokens or self.lines + lines > self.max_lines, not self.held
+        if over and not first:
+            self.close(max(range(len(self.held)), key=lambda i: (self.held[i][3], i)) + 1)
+        self.held.append((unit, lines, tokens, _RANK.get(kind, 0)))
+        self.lines, self.tokens = self.lines + lines, self.tokens + tokens
+        if over and first:
+            self.close(1)
+
+
 def packed(units: DataFrame, max_lines: int = MAX_LINES, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """(file, pos, kind, lines, tokens) -> the units with their chunk.
 
-    Units are added in order until one more would exceed a limit; the chunk is
-    then cut before its last division, else section, else paragraph after the
-    first unit, or at its end, and the rest is carried on. The fold is ordered
-    state, so each file is one group of rows.
+    Units are added in order until one more would exceed a limit. The chunk then
+    ends with its last division, else its last section, else its last paragraph,
+    else its last unit; what follows that unit is carried over to the next chunk,
+    together with the new one. A unit too long for an empty chunk is a chunk of its own. State in order by file, in bounded memory.
     """
+    names = ["file", "pos", "kind", "lines", "tokens"]
+
+    def rows(p: _Packing) -> pd.DataFrame | None:
+        out, p.done = p.done, []
+        return pd.DataFrame(out, columns=[*names, "chunk"]) if out else None
+
+    def step(p: _Packing, pdf: pd.DataFrame) -> pd.DataFrame | None:
+        for unit in pdf[names].itertuples(index=False, name=None):
+            p.add(unit, unit[3], unit[4], unit[2])
+        return rows(p)
+
+    def end(p: _Packing) -> pd.DataFrame | None:
+        p.close(len(p.held))
+        return rows(p)
+
+    return in_order(units.select(*names), "file", ["pos"], lambda _: _Packing(max_lines, max_tokens), step, end, units.select(*names).schema.add("chunk", T.IntegerType()).simpleString().removeprefix("struct<").removesuffix(">"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos").reset_index(drop=True)
-        size = list(zip(pdf["lines"], pdf["tokens"], pdf["kind"]))
-        chunk, held, out = 0, [], [0] * len(size)
-        for i, (n, t, _) in enumerate(size):
-            while held and (sum(size[j][0] for j in held) + n > max_lines or sum(size[j][1] for j in held) + t > max_tokens):
-                best = max(range(1, len(held)), key=lambda p: (_RANK.get(size[held[p]][2], 0), p), default=0)
-                at = best if best and _RANK.get(size[held[best]][2], 0) >= 2 else len(held)
-                for j in held[:at]:
-                    out[j] = chunk
-                chunk, held = chunk + 1, held[at:]
-            held.append(i)
-        for j in held:
-            out[j] = chunk
-        return pdf.assign(chunk=out)[["file", "pos", "kind", "lines", "tokens", "chunk"]]
-
-    return units.groupBy("file").applyInPandas(run, units.select("file", "pos", "kind", "lines", "tokens").schema.add("chunk", T.IntegerType()))
+
+def overlaps(chunks: DataFrame, units: DataFrame, width: int = 1000) -> DataFrame:
+    """(chunk, unit) of the same file whose lines overlap; both are (id, source_file, start_line, end_line).
+
+    They meet in buckets of ``width`` lines, and count in the first one that both reach.
+    """
+    bucket = F.explode(F.sequence(F.floor(F.col("start_line") / width), F.floor(F.col("end_line") / width)))
+    c = chunks.select("source_file", F.col("id").alias("chunk"), F.col("start_line").alias("a"), F.col("end_line").alias("b"), bucket.alias("bucket"))
+    u = units.select("source_file", F.col("id").alias("unit"), F.col("start_line").alias("x"), F.col("end_line").alias("y"), bucket.alias("bucket"))
+    first = F.floor(F.greatest("a", "x") / width)
+    return c.join(u, ["source_file", "bucket"]).where((F.col("x") <= F.col("b")) & (F.col("y") >= F.col("a")) & (F.col("bucket") == first)).select("chunk", "unit")
+
+
+def nearest_lower(rows: DataFrame) -> DataFrame:
+    """(file, pos, level) with ``parent``: the nearest earlier place of a lower level; null without one. State in order by file."""
+
+    def step(stack: list, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for pos, level in zip(pdf["pos"].tolist(), pdf["level"].tolist()):
+            while stack and stack[-1][1] >= level:
+                stack.pop()
+            out.append(stack[-1][0] if stack else None)
+            stack.append((pos, level))
+        return pdf.assign(parent=pd.array(out, dtype="Int64"))[["file", "pos", "level", "parent"]]
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return in_order(rows.select("file", "pos", "level"), "file", ["pos"], lambda _: [], step, lambda _: None, f"file {kinds['file']}, pos {kinds['pos']}, level {kinds['level']}, parent bigint")
 
 
 def policy(files: DataFrame, units: DataFrame, max_lines: int = MAX_LINES, enabled: bool = True) -> DataFrame:
@@ -95,6 +149,13 @@ def plan_summary(chunks: DataFrame, max_lines: int) -> DataFrame:
     return chunks.groupBy("id").agg(F.count("*").alias("chunks"), F.max(size).alias("longest"), (F.max(size) <= max_lines).alias("valid"))
 
 
+def checked(summary: DataFrame, files: DataFrame, max_lines: int) -> DataFrame:
+    """``plan_summary`` rows of all ``files`` (id); the job fails at a file without a chunk or with one over the limit."""
+    both = files.select("id").join(summary, "id", "left")
+    error = F.concat(F.lit("no valid chunks within "), F.lit(str(max_lines)), F.lit(" lines: file "), F.col("id").cast("string"))
+    return both.withColumn("valid", F.when(F.coalesce("valid", F.lit(False)), True).otherwise(F.raise_error(error).cast("boolean")))
+
+
 def context(chunks: DataFrame, signatures: DataFrame, refs: DataFrame) -> DataFrame:
     """(file, chunk, signatures, open_refs): what the strictly earlier chunks have left; per (file, chunk) rows of each input."""
     from pyspark.sql import Window

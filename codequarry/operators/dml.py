@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,43 @@ def replace_run(base: DataFrame, new: DataFrame, run_id: int) -> DataFrame:
     return base.where(F.col("run_id") != run_id).unionByName(new)
 
 
+def without_run(tables: dict[str, DataFrame], run_id: int) -> DataFrame:
+    """(t, id) of the rows that stay in each table when a run's context goes."""
+    parts = [df.where(F.col("run_id") != run_id).select(F.lit(name).alias("t"), F.col("id").cast("bigint").alias("id")) for name, df in tables.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def commit_run(spark, tables: dict[str, DataFrame], run_id: int, at: str) -> None:
+    """All of a run's rows in several tables replaced together.
+
+    Each table's rows are written under a name of this attempt; then one pointer
+    names the attempt, and readers only follow pointers. The pointer replaces an
+    older one in a single rename.
+    """
+    attempt = uuid.uuid4().hex
+    for name, df in tables.items():
+        df.write.parquet(f"{at}/{name}/run={run_id}/{attempt}")
+    sc = spark.sparkContext
+    path = lambda p: sc._jvm.org.apache.hadoop.fs.Path(p)
+    fs = path(at).getFileSystem(sc._jsc.hadoopConfiguration())
+    ready, final = path(f"{at}/_runs/.{attempt}"), path(f"{at}/_runs/{run_id}")
+    out = fs.create(ready, False)
+    out.write(bytearray(attempt.encode()))
+    out.close()
+    options = sc._gateway.new_array(sc._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = sc._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(final).toUri(), sc._jsc.hadoopConfiguration()).rename(ready, final, options)
+
+
+def read_run(spark, at: str, name: str, run_id: int) -> DataFrame:
+    """The rows of a committed run in one of its tables."""
+    attempt = spark.read.text(f"{at}/_runs/{run_id}").first()[0]
+    return spark.read.parquet(f"{at}/{name}/run={run_id}/{attempt}")
+
+
 def write_run(new: DataFrame, at: str) -> None:
     """Overwrite only the partitions of the runs in ``new``, then mark each run committed; readers skip unmarked runs."""
     new.write.partitionBy("run_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{at}/data")

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codequarry.staging import in_order, numbered
+
 NAME = r"[A-Z0-9][A-Z0-9-]*"
 
 
@@ -111,15 +113,14 @@ def units(sources: DataFrame, strict_area_a: bool = False) -> DataFrame:
 def variables(sources: DataFrame) -> DataFrame:
     """(file, line, level, name, pic, value, parent): data items; the parent is the nearest group of a lower level above.
 
-    The level stack is ordered state, so each file is one group of rows.
+    The level stack is state in order by file.
     """
     pattern = rf"^\s*(\d\d)\s+({NAME})(?:\s+PIC(?:TURE)?\s+(?:IS\s+)?(\S+?))?(?:\s+VALUE\s+(?:IS\s+)?('[^']*'|\S+?))?\s*\.\s*$"
     up = F.upper("text")
     rows = code_lines(sources).select("file", "line", *[F.regexp_extract(up, pattern, i).alias(n) for i, n in enumerate(("level", "name", "pic", "value"), 1)]).where("level <> '' and level not in ('66', '88')").select("file", "line", F.col("level").cast("int").alias("level"), "name", F.nullif("pic", F.lit("")).alias("pic"), F.nullif("value", F.lit("")).alias("value"))
 
-    def parents(pdf: pd.DataFrame) -> pd.DataFrame:
-        stack, out = [], []
-        pdf = pdf.sort_values("line")
+    def step(stack: list, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
         for level, name, pic in zip(pdf["level"], pdf["name"], pdf["pic"]):
             while stack and stack[-1][0] >= level:
                 stack.pop()
@@ -128,7 +129,7 @@ def variables(sources: DataFrame) -> DataFrame:
                 stack.append((level, name))
         return pdf.assign(parent=out)
 
-    return rows.groupBy("file").applyInPandas(parents, "file string, line int, level int, name string, pic string, value string, parent string")
+    return in_order(rows, "file", ["line"], lambda _: [], step, lambda _: None, "file string, line int, level int, name string, pic string, value string, parent string")
 
 
 def call_edges(sources: DataFrame) -> DataFrame:
@@ -173,10 +174,33 @@ def dependencies(sources: DataFrame) -> DataFrame:
 
 
 def mermaid(edges: DataFrame) -> DataFrame:
-    """One row: the edges (source, target, kind) as flowchart text, in order."""
+    """(n, text): the lines of the edges (source, target, kind) as a flowchart, in order from 0."""
     ident = lambda c: F.regexp_replace(c, "[^A-Za-z0-9]", "_")
     line = F.concat(F.lit("    "), ident(F.col("source")), F.lit(" -->|"), F.col("kind"), F.lit("| "), ident(F.col("target")))
-    return edges.select(line.alias("l")).distinct().agg(F.concat(F.lit("graph TD\n"), F.array_join(F.sort_array(F.collect_list("l")), "\n")).alias("text"))
+    body = numbered(edges.select(line.alias("text")).distinct(), "text").select("n", "text")
+    return edges.sparkSession.createDataFrame([(0, "graph TD")], "n bigint, text string").union(body)
+
+
+#: What a log line says of a file and the stage that it is in.
+ACTIVE = (
+    (r"Analyzing COBOL file:\s*(.+)$", "Analysis"),
+    (r"Analysis progress:.*-\s*(\S+\.cbl)", "Analysis"),
+    (r"File\s+(\S+\.cbl)\s+has", "Analysis"),
+    (r"Extracting business logic from:?\s*(.+)$", "Business Logic"),
+    (r"Processing chunk .*source (.+)$", "Chunking"),
+    (r"Chunk \d+ of \d+.*(\S+\.cbl)", "Chunking"),
+    (r"Converting\s+(\S+\.cbl)", "Converting"),
+    (r"Converting to (?:Java|C#).*(\S+\.cbl)", "Converting"),
+    (r"Saving.*(\S+\.(?:java|cs))", "Saving"),
+    (r"Wrote\s+(\S+\.(?:java|cs))", "Saved"),
+)
+
+
+def active_files(log: DataFrame) -> DataFrame:
+    """(file, stage, ts): the last stage of each file that log lines (id, ts, line) name; of equal times the last line and its first pattern."""
+    hits = F.array(*[F.struct(F.lit(-i).alias("p"), F.lit(stage).alias("stage"), F.regexp_extract("line", p, 1).alias("file")) for i, (p, stage) in enumerate(ACTIVE)])
+    found = log.select("id", "ts", F.explode(hits).alias("h")).where("h.file <> ''")
+    return found.groupBy(F.col("h.file").alias("file")).agg(F.max_by("h.stage", F.struct("ts", "id", "h.p")).alias("stage"), F.max("ts").alias("ts"))
 
 
 def reply_sections(replies: DataFrame) -> DataFrame:

@@ -66,6 +66,22 @@ def visible_edges(edges: DataFrame, nodes: DataFrame, types: list[str]) -> DataF
     return kept.join(shown.withColumnRenamed("file", "target_file"), "target_file", "left_semi")
 
 
+def mentioned(prompts: DataFrame, files: DataFrame, most: int = 5, key: int = 6) -> DataFrame:
+    """(prompt, file_name): the first ``most`` files by name whose name or stem a prompt's text holds, whatever the case.
+
+    Stems and texts meet by the stem's last ``key`` characters (all of a shorter one) before the stem is looked for.
+    """
+    from pyspark.sql import Window
+
+    f = files.select("file_name", F.regexp_replace(F.lower("file_name"), r"\.[^.]*$", "").alias("stem")).withColumn("k", F.expr(f"right(stem, {key})"))
+    sizes = [r.n for r in f.select(F.length("k").alias("n")).distinct().collect() if r.n]  # at most ``key`` of them
+    text = prompts.select("prompt", F.lower("text").alias("t"))
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - n + 1, F.lit(1))), lambda i: F.substring("t", i, F.lit(n)))
+    grams = F.array_distinct(F.flatten(F.array(*[cut(n) for n in sizes]))) if sizes else F.array().cast("array<string>")
+    hits = text.select("prompt", "t", F.explode(grams).alias("k")).join(f, "k").where(F.contains("t", "stem")).select("prompt", "file_name").distinct()
+    return hits.withColumn("n", F.row_number().over(Window.partitionBy("prompt").orderBy("file_name"))).where(F.col("n") <= most).select("prompt", "file_name")
+
+
 #: Dependency types that read or write data.
 DATA_ACCESS = ("EXEC SQL", "EXEC CICS", "READ", "WRITE", "OPEN", "CLOSE")
 

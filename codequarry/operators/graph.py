@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codequarry.staging import stored
+
 
 def plain_edges(deps: DataFrame) -> DataFrame:
     return deps.where("source_file <> target_file").select(F.col("source_file").alias("src"), F.col("target_file").alias("dst")).distinct()
@@ -45,12 +47,25 @@ def cycles(edges: DataFrame, depth: int = 10, limit: int | None = 50) -> DataFra
     """Trails of 2 to ``depth`` edges back to their start, shortest first; each rotation once for its start.
 
     Only vertices with both directions can lie on a cycle, so others go first.
+    With a ``limit``, longer trails are only looked for until that many are found.
     """
     core = edges
     for _ in range(3):
         core = core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-    found = trails(core, core.select(F.col("src").alias("file")), depth).where("start = file and distance >= 2").select("start", F.col("distance").alias("length"), "path")
-    return found.orderBy("length", "start", "path").limit(limit) if limit else found
+    core = stored(core)
+    e = core.select("src", "dst", F.concat_ws(">", "src", "dst").alias("edge"))
+    level = core.select(F.col("src").alias("start"), F.col("src").alias("at"), F.array().cast("array<string>").alias("used")).distinct()
+    out = None
+    for d in range(1, depth + 1):
+        level = level.join(e, F.col("at") == F.col("src")).where(~F.array_contains("used", F.col("edge"))).select("start", F.col("dst").alias("at"), F.array_append("used", F.col("edge")).alias("used"))
+        if d < 2:
+            continue
+        level = stored(level) if limit else level
+        now = level.where("start = at").select("start", F.lit(d).alias("length"), F.array_join("used", " ").alias("path"))
+        out = now if out is None else out.union(now)
+        if limit and out.limit(limit).count() == limit:
+            break
+    return out.orderBy("length", "start", "path").limit(limit) if limit else out
 
 
 def degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -68,18 +83,21 @@ def undirected(edges: DataFrame) -> DataFrame:
     return ends.withColumn("importance", rank).withColumn("size", 20 + 3 * F.col("degree"))
 
 
-def levels(edges: DataFrame, nodes: DataFrame, most: int = 20) -> DataFrame:
+def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Dependency order: 0 for a file without dependencies, else one more than its deepest; null on and above cycles.
 
-    Longest paths by bounded rounds; files deeper than ``most`` stay null.
+    Rounds run until none adds a file, as many as the deepest chain is long. Each
+    is written, so that the next one's plan stays short.
     """
-    done = nodes.select("file").distinct().join(edges.select(F.col("src").alias("file")).distinct(), "file", "left_anti").withColumn("level", F.lit(0))
-    total = edges.groupBy("src").agg(F.count("*").alias("n"))
-    for d in range(1, most + 1):
-        ready = edges.join(done.withColumnRenamed("file", "dst"), "dst").groupBy("src").agg(F.count("*").alias("k")).join(total, "src").where("k = n").select(F.col("src").alias("file"))
-        new = ready.join(done, "file", "left_anti").withColumn("level", F.lit(d))
-        new = new.checkpoint() if d % 4 == 0 and new.sparkSession.sparkContext.getCheckpointDir() else new
-        if new.isEmpty():
-            break
+    files = nodes.select("file").distinct()
+    new = stored(files.join(edges.select(F.col("src").alias("file")).distinct(), "file", "left_anti").withColumn("level", F.lit(0)))
+    open_ = stored(edges.join(new.select(F.col("file").alias("dst")), "dst", "left_anti").select("src", "dst"))
+    waiting = stored(edges.select("src").distinct())
+    done, d = new, 0
+    while not new.isEmpty():
+        d += 1
+        new = stored(waiting.join(open_.select("src").distinct(), "src", "left_anti").select(F.col("src").alias("file"), F.lit(d).alias("level")))
+        waiting = stored(waiting.join(new.select(F.col("file").alias("src")), "src", "left_anti"))
+        open_ = stored(open_.join(new.select(F.col("file").alias("dst")), "dst", "left_anti"))
         done = done.union(new)
-    return nodes.select("file").distinct().join(done, "file", "left")
+    return files.join(done, "file", "left")

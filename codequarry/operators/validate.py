@@ -49,6 +49,13 @@ def leaks(names: DataFrame, code: DataFrame) -> DataFrame:
     return names.join(code, "file").where(hit).select("file", "name").distinct()
 
 
+def unconverted(signatures: DataFrame, code: DataFrame) -> DataFrame:
+    """(file, name, severity): legacy names that the file's code holds without hyphens, whatever the case, while it never calls their method."""
+    held = F.contains(F.lower("code"), F.lower(F.replace("name", F.lit("-"), F.lit(""))))
+    calls = F.contains("code", F.concat("method", F.lit("(")))
+    return signatures.join(code, "file").where(held & ~calls).select("file", "name", F.lit("Warning").alias("severity")).distinct()
+
+
 def fix_plan(issues: DataFrame, most: int) -> DataFrame:
     """The first ``most`` issues by run: signature issues before types, then by id."""
     from pyspark.sql import Window

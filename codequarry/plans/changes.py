@@ -30,7 +30,8 @@ add("d8_patch", lambda m: D.patch(m.runs.select("id", "status", "notes"), m.runs
 add("d9_cancel_stale", lambda m: D.cancel_stale(m.runs, __import__("datetime").datetime(1996, 1, 1)).select("id", "status"), "select id, case when status = 'Running' and started_at < timestamp '1996-01-01' - interval 1 hour then 'Cancelled' else status end status from runs")
 add("d10_terminate_running", lambda m: D.update_where(m.runs, F.col("status") == "Running", status=F.lit("Terminated"), notes=F.lit("terminated at start")).select("id", "status", "notes"), "select id, case when status = 'Running' then 'Terminated' else status end status, case when status = 'Running' then 'terminated at start' else notes end notes from runs")
 add("d11_cancel_one", lambda m: D.update_where(m.runs, (F.col("id") == 1) & (F.col("status") == "Running"), status=F.lit("Cancelled")).select("id", "status"), "select id, case when id = 1 and status = 'Running' then 'Cancelled' else status end status from runs")
-add("d12_delete_context", lambda m: m.chunks.where("run_id <> 3").select(F.lit("chunks").alias("t"), "id").unionByName(m.refs.where("run_id <> 3").select(F.lit("refs").alias("t"), "id")), "select 'chunks' t, id from chunks where run_id <> 3 union all select 'refs', id from refs where run_id <> 3")
+_context = ("chunks", "refs", "sigs", "copies")
+add("d12_delete_context", lambda m: D.without_run({"chunks": m.chunks, "refs": m.refs, "sigs": m.sigs.withColumnRenamed("seq", "id"), "copies": m.copies}, 3), " union all ".join(f"select '{t}' t, {'seq' if t == 'sigs' else 'id'} id from {t} where run_id <> 3" for t in _context))
 _known = lambda m: m.sigs.where("seq % 3 = 0").groupBy("run_id", "method").agg(F.min("return_type").alias("signature"))
 add("d13_resolve_refs", lambda m: D.resolve(m.refs, _known(m)).select("id", "resolved", "actual_signature"), "with k as (select run_id, method, min(return_type) s from sigs where seq % 3 = 0 group by 1, 2) select id, resolved or k.s is not null resolved, case when not resolved and k.s is not null then k.s else actual_signature end actual_signature from refs r left join k on k.run_id = r.run_id and k.method = r.target_method")
 add("d14_placeholders", lambda m: D.with_parents(m.files.where("run_id <> 2").select("id", "file_name"), m.analyses), "select id, file_name from files where run_id <> 2 union all select distinct cobol_file_id, 'missing_' || cobol_file_id from analyses where cobol_file_id not in (select id from files where run_id <> 2)")
@@ -38,10 +39,10 @@ add("d15_merge_edges", lambda m: D.merged_graph(m.deps)[1], "select run_id, sour
 add("d16_normalise", lambda m: D.normalised(m.deps.select("id", F.when(F.col("id") % 3 == 0, "  ").otherwise(F.col("dependency_type")).alias("context"), (F.col("line_number") - 10).alias("line_number")), "context", "line_number"), "select id, case when id % 3 <> 0 then dependency_type end context, case when line_number > 10 then line_number - 10 end line_number from deps")
 
 # ---- graph ----
-_e = "with recursive e as (select distinct source_file src, target_file dst from deps where source_file <> target_file), s as (select distinct src f from e where src like 'f1%')"
-_starts = lambda e: e.where("src like 'f1%'").select(F.col("src").alias("file"))
+_e = "with recursive e as (select distinct source_file src, target_file dst from deps where source_file <> target_file), s as (select distinct src f from e)"
+_starts = lambda e: e.select(F.col("src").alias("file"))
 add("g0_one_edge_per_pair", lambda m: D.merged_graph(m.deps)[0], "select run_id, source_file file from deps union select run_id, target_file from deps")
-add("g1_cycles_trails", lambda m: G.cycles(G.plain_edges(m.deps), 4, None), _e.split(", s as")[0] + ", t as (select src start, dst node, [src || '>' || dst] used, 1 n from e union all select start, e.dst, list_append(used, src || '>' || dst), n + 1 from t join e on e.src = t.node where n < 4 and not list_contains(used, src || '>' || dst)) select start, n::int length, array_to_string(used, ' ') as path from t where start = node and n >= 2")
+add("g1_cycles_trails", lambda m: G.cycles(G.plain_edges(m.deps)))
 _walk = _e + ", w as (select f start, f node, 0 d from s union select start, {0}, d + 1 from w join e on e.{1} = w.node where d < 5)"
 add("g2_dependencies_pairs", lambda m: G.reach(e := G.plain_edges(m.deps), _starts(e)), _walk.format("e.dst", "src") + " select start, node file, d::int distance from w where d > 0")
 add("g2_impact_pairs", lambda m: G.reach(e := G.plain_edges(m.deps), _starts(e), backward=True), _walk.format("e.src", "dst") + " select start, node file, d::int distance from w where d > 0")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from codequarry.operators import chunking as C
@@ -11,7 +10,8 @@ from codequarry.operators import validate as V
 from codequarry.operators.aggregates import percent, resume_point, total_if
 from codequarry.operators.extract import lines as source_lines
 from codequarry.plans.common import add
-from codequarry.streaming.logs import admitted, minute_counts, sliding_usage
+from codequarry.staging import numbered
+from codequarry.streaming.logs import admitted, minute_counts, sliding_usage, within
 
 _lines = "(length(content) - length(replace(content, chr(10), '')) + 1)"
 _z = "sized as (select id, " + _lines + "::int as lines from files)"
@@ -38,33 +38,24 @@ _map = lambda m: m.sigs.groupBy(F.col("legacy_name").alias("key")).agg(F.min("re
 add("v2_type_issues", lambda m: V.type_issues(m.sigs.select(F.col("seq").alias("id"), F.col("legacy_name").alias("key"), F.col("return_type").alias("type"), F.col("method").alias("field")), _map(m)), "with k as (select legacy_name, min(return_type) t, min(method) f from sigs group by 1) select seq id, case when return_type <> t then 'Error' else 'Warning' end severity from sigs join k using (legacy_name) where return_type <> t or method <> f")
 add("v3_severity_counts", lambda m: V.signature_issues(_uses(m), _reg(m)).groupBy("issue", "severity").agg(F.count("*").alias("n")), _iss + "select issue, severity, count(*) n from i group by 1, 2")
 add("v4_validity", lambda m: V.validity(V.signature_issues(_uses(m), _reg(m)), "issue").select("issue", "valid"), _iss + "select issue, max(case severity when 'Critical' then 3 when 'Error' then 2 else 1 end) < 2 as valid from i group by 1")
-_code = lambda m: m.files.select(F.concat(F.lit("r"), F.col("run_id").cast("string")).alias("file"), F.substring("content", 1, 100).alias("code"))
+_code = lambda m: m.files.select(F.concat(F.lit("r"), F.col("run_id").cast("string")).alias("file"), F.col("content").alias("code"))
 _names = lambda m: m.table("nation").select(F.concat(F.lit("r"), (F.col("n_nationkey") % 10).cast("string")).alias("file"), F.concat(F.substring("n_name", 1, 1), F.lit("-"), F.substring("n_name", 2, 1)).alias("name"))
-_leak = "with n as (select 'r' || (n_nationkey % 10) file, n_name[1] || '-' || n_name[2] \"name\" from nation), c as (select 'r' || run_id file, lower(substr(content, 1, 100)) code from files) select distinct n.file, n.name from n join c on c.file = n.file where contains(code, lower(n.name)) or contains(code, replace(lower(n.name), '-', ''))"
-add("v5_name_leaks", lambda m: V.leaks(_names(m), _code(m)), _leak)
+_leak = "with n as (select 'r' || (n_nationkey % 10) file, n_name[1] || '-' || n_name[2] \"name\" from nation), c as (select 'r' || run_id file, lower(content) code, content whole from files) select distinct n.file, n.name from n join c on c.file = n.file where contains(code, lower(n.name)) or contains(code, replace(lower(n.name), '-', ''))"
+add("v5_unconverted_names", lambda m: V.unconverted(_names(m).withColumn("method", F.lower(F.substring("name", 1, 1))), _code(m)), "with n as (select 'r' || (n_nationkey % 10) file, n_name[1] || '-' || n_name[2] \"name\", lower(n_name[1]) || '(' call from nation), c as (select 'r' || run_id file, content from files) select distinct n.file, n.name, 'Warning' severity from n join c on c.file = n.file where contains(lower(content), replace(lower(n.name), '-', '')) and not contains(content, call)")
 add("j13_text_containment", lambda m: V.leaks(_names(m), _code(m)).groupBy("file").agg(F.count("*").alias("n")), f"select file, count(*) n from ({_leak}) group by 1")
-add("v7_variable_leaks", lambda m: V.leaks(_names(m).withColumn("name", F.concat(F.lit("W"), "name")), _code(m)), _leak.replace("select 'r' || (n_nationkey % 10) file, n_name", "select 'r' || (n_nationkey % 10) file, 'W' || n_name"))
+add("v7_variable_leaks", lambda m: V.leaks(m.table("nation").select(F.concat(F.lit("r"), (F.col("n_nationkey") % 10).cast("string")).alias("file"), F.concat(F.substring("n_name", 2, 1), F.lit("-"), F.substring("n_name", 3, 1)).alias("name")), _code(m)), _leak.replace("n_name[1] || '-' || n_name[2]", "n_name[2] || '-' || n_name[3]"))
 add("v6_unresolved_refs", lambda m: D.resolve(m.refs, m.sigs.where("seq % 3 = 0").groupBy("run_id", "method").agg(F.min("return_type").alias("signature"))).where("not resolved").select("id", F.lit("Error").alias("severity")), "select id, 'Error' severity from refs where not resolved and not exists (select 1 from sigs where seq % 3 = 0 and sigs.run_id = refs.run_id and sigs.method = refs.target_method)")
 add("v8_fix_plan", lambda m: V.fix_plan(V.signature_issues(_uses(m), _reg(m)).join(m.sigs.select(F.col("seq").alias("id"), "run_id"), "id"), 5).select("run_id", "id", "issue", "n"), _iss + "select run_id, id, issue, row_number() over (partition by run_id order by id, issue)::int n from i qualify n <= 5")
 add("v9_consistency", lambda m: m.refs.groupBy("run_id").agg(F.count("*").alias("total"), total_if(F.col("resolved")).alias("ok")).select("run_id", percent(F.col("ok"), F.col("total"), 100.0).alias("consistency")), "select run_id, 100.0::double * count(*) filter (resolved) / count(*) consistency from refs group by 1")
 
 # ---- logs and rates ----
-_runs = "(values (0, timestamp '2024-01-02 03:00:00', timestamp '2024-01-05 00:00:00'), (1, timestamp '2024-01-10 00:00:00', null::timestamp)) r(run, s, e)"
-_span = lambda m: m.spark.sql("select * from values (0, timestamp_ntz'2024-01-02 03:00:00', timestamp_ntz'2024-01-05 00:00:00'), (1, timestamp_ntz'2024-01-10 00:00:00', null) r(run, s, e)")
-
-
-def _within(m, margin):
-    t = m.api.select("id", F.col("ts").cast("timestamp_ntz").alias("ts"))
-    return t.join(F.broadcast(_span(m)), (F.col("ts") >= F.col("s") - F.expr(margin)) & (F.col("e").isNull() | (F.col("ts") <= F.col("e") + F.expr(margin)))).select("id", "run")
-
-
-add("j10_run_window", lambda m: _within(m, "interval 5 seconds"), f"select id, run from api join {_runs} on ts >= s - interval 5 second and (e is null or ts <= e + interval 5 second)")
+add("j10_run_window", lambda m: within(m.api.select("id", "ts"), m.spans, 5).select("id", "run"), "select id, run from api join spans on ts >= s - interval 5 second and (e is null or ts <= e + interval 5 second)")
 add("j11_loose_window", lambda m: m.api.select("id", F.when(F.col("id") % 10 == 0, "garbled").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("t")).withColumn("ts", F.expr("try_to_timestamp(t, 'yyyy-MM-dd HH:mm:ss')")).where("ts is null or ts between timestamp'2024-01-02 02:59:00' and timestamp'2024-01-05 00:01:00'").select("id"), "select id from api where id % 10 = 0 or date_trunc('second', ts) between timestamp '2024-01-02 02:59:00' and timestamp '2024-01-05 00:01:00'")
 add("s6_double_encoded", lambda m: m.table("events").select(F.col("event_id").alias("id"), F.to_json(F.struct(F.col("props").alias("data"))).alias("v")).select("id", F.get_json_object(F.get_json_object("v", "$.data"), "$.k").cast("bigint").alias("k")), "select event_id id, (props ->> '$.k')::bigint k from events")
 add("s7_nested_array", lambda m: m.table("events").select(F.col("event_id").alias("id"), F.concat(F.lit('{"calls":['), "props", F.lit(","), "props", F.lit("]}")).alias("v")).select("id", F.explode(F.from_json("v", "calls array<struct<k:bigint>>")["calls"]).alias("c")).select("id", "c.k"), "select event_id id, unnest([(props ->> '$.k')::bigint, (props ->> '$.k')::bigint]) k from events")
 add("l4_since", lambda m: m.api.where(F.col("ts") >= F.lit("2024-01-15").cast("timestamp_ntz")).select("id"), "select id from api where ts >= timestamp '2024-01-15'")
 add("l5_live_status", lambda m: m.chunks.groupBy("run_id").pivot("status", ["Pending", "Processing", "Completed", "Failed"]).count().na.fill(0).toDF("run_id", "pending", "processing", "completed", "failed"), "select run_id, count(*) filter (status = 'Pending') pending, count(*) filter (status = 'Processing') processing, count(*) filter (status = 'Completed') completed, count(*) filter (status = 'Failed') failed from chunks group by 1")
-add("l6_narrative", lambda m: m.api.select("id", F.row_number().over(Window.partitionBy("model").orderBy("ts", "agent", "id")).alias("n")), "select id, row_number() over (partition by model order by ts, agent, id)::int n from api")
+add("l6_narrative", lambda m: numbered(m.api.select("id", "model", "ts", "agent"), "model", "ts", "agent", "id").select("id", "n"), "select id, row_number() over (order by model, ts, agent, id) n from api")
 add("l2_sliding_usage", lambda m: admitted(sliding_usage(m.api.select("ts", "tokens"), "60 seconds", "30 seconds"), 300, 3).select(F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', start)").alias("start"), "tokens", "requests", "admit"), "select b * 30 as start, sum(tokens)::bigint tokens, count(*) requests, sum(tokens) < 300 and count(*) < 3 admit from (select tokens, unnest([epoch(ts)::bigint // 30, epoch(ts)::bigint // 30 - 1]) b from (select tokens, date_trunc('second', ts) ts from api)) group by b")
 add("l3_anchored_minute", lambda m: minute_counts(m.api).select("id", "used"))
-add("j16_parent_by_level", lambda m: m.chunks.where("chunk_index < 20").select("source_file", "chunk_index", (F.col("tokens_used") % 5).alias("level")).alias("a").join(m.chunks.where("chunk_index < 20").select("source_file", "chunk_index", (F.col("tokens_used") % 5).alias("level")).alias("b"), (F.col("a.source_file") == F.col("b.source_file")) & (F.col("b.chunk_index") < F.col("a.chunk_index")) & (F.col("b.level") < F.col("a.level")), "left").groupBy("a.source_file", "a.chunk_index").agg(F.max("b.chunk_index").alias("parent")), "with x as (select source_file, chunk_index, tokens_used % 5 as lv from chunks where chunk_index < 20) select a.source_file, a.chunk_index, max(b.chunk_index) parent from x a left join x b on a.source_file = b.source_file and b.chunk_index < a.chunk_index and b.lv < a.lv group by 1, 2")
+add("j16_parent_by_level", lambda m: C.nearest_lower(m.chunks.select(F.col("source_file").alias("file"), F.col("chunk_index").alias("pos"), (F.col("tokens_used") % 5).alias("level"))), "with x as (select source_file file, chunk_index pos, tokens_used % 5 as level from chunks) select a.file, a.pos, a.level, max(b.pos) parent from x a left join x b on a.file = b.file and b.pos < a.pos and b.level < a.level group by 1, 2, 3")

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from codequarry.operators import aggregates as A
 from codequarry.operators import filters as P
+from codequarry.operators.chunking import overlaps
 from codequarry.plans.common import add
+from codequarry.streaming.logs import trailing_usage
 
 TYPES = ["CLICK", "ERROR", "PURCHASE", "VIEW", "SIGNUP"]
 PCT = "coalesce(100.0 * {a} / nullif({b}, 0), 0)::double"
@@ -47,10 +49,10 @@ add("j6_run_metrics", lambda m: m.runs.select("id", "status").join(m.table("line
 add("j7_semi", lambda m: m.analyses.join(P.by_run(m.files, 5).select(F.col("id").alias("cobol_file_id")), "cobol_file_id", "left_semi").select("id"), "select id from analyses where cobol_file_id in (select id from files where run_id = 5)")
 add("j8_inferred_nodes", lambda m: m.deps.select(F.col("source_file").alias("file")).union(m.deps.select("target_file")).distinct().join(m.chunks.where("run_id < 7").select(F.col("source_file").alias("file")).distinct(), "file", "left_anti"), "select file from (select source_file file from deps union select target_file from deps) where file not in (select source_file from chunks where run_id < 7)")
 add("j9_unknown_signatures", lambda m: m.refs.join(m.sigs.where("seq % 3 = 0").select(F.lower("method").alias("k")).distinct(), F.lower("target_method") == F.col("k"), "left_anti").select("id", "target_method"), "select id, target_method from refs where lower(target_method) not in (select lower(method) from sigs where seq % 3 = 0)")
-add("j12_overlap", lambda m: m.chunks.where("chunk_index < 4").alias("c").join(m.chunks.where("chunk_index < 4").alias("u"), (F.col("c.source_file") == F.col("u.source_file")) & (F.col("u.start_line") <= F.col("c.end_line")) & (F.col("u.end_line") >= F.col("c.start_line"))).select(F.col("c.id").alias("chunk"), F.col("u.id").alias("unit")), "select c.id chunk, u.id unit from (select * from chunks where chunk_index < 4) c join (select * from chunks where chunk_index < 4) u on c.source_file = u.source_file and u.start_line <= c.end_line and u.end_line >= c.start_line")
+add("j12_overlap", lambda m: overlaps(m.chunks, m.chunks), "select c.id \"chunk\", u.id unit from chunks c join chunks u on c.source_file = u.source_file and u.start_line <= c.end_line and u.end_line >= c.start_line")
 add("j14_line_counts", lambda m: m.deps.select("source_file").distinct().join(A.file_spans(m.chunks, "source_file").select("source_file", "last_line"), "source_file", "left"), "select d.source_file, c.last_line from (select distinct source_file from deps) d left join (select source_file, max(end_line) last_line from chunks group by 1) c using (source_file)")
 add("j15_generated_mapping", lambda m: m.files.join(m.analyses.select(F.col("cobol_file_id").alias("id"), F.col("program_description").alias("g")), "id", "left").orderBy("id").limit(20).select("id", F.coalesce("g", F.lit("Not Generated")).alias("generated")), "select f.id, coalesce(a.program_description, 'Not Generated') as generated from files f left join analyses a on a.cobol_file_id = f.id order by f.id limit 20")
-add("j18_prompt_containment", lambda m: m.chat.select("conv_id", "turn", F.lower("message").alias("message")).join(F.broadcast(m.table("region").select("r_name")), F.col("message").contains(F.lower(F.substring("r_name", 1, 2)))).withColumn("n", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("r_name"))).where("n <= 5").select("conv_id", "turn", "r_name"), "select conv_id, turn, r_name from chat join region on contains(lower(message), lower(substr(r_name, 1, 2))) qualify row_number() over (partition by conv_id, turn order by r_name) <= 5")
+add("j18_prompt_containment", lambda m: P.mentioned(m.chat.select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"), "agent").alias("prompt"), F.concat("message", F.lit(" see DOC_"), (F.col("conv_id") * 7 % 1000).cast("string"), F.lit(".cbl")).alias("text")), m.files.select("file_name").distinct()), "with p as (select conv_id || '/' || turn || '/' || agent prompt, lower(message || ' see DOC_' || (conv_id * 7 % 1000) || '.cbl') t from chat), f as (select distinct file_name, regexp_replace(lower(file_name), '[.][^.]*$', '') stem from files) select prompt, file_name from p join f on contains(t, stem) qualify row_number() over (partition by prompt order by file_name) <= 5")
 
 # ---- aggregates ----
 _chunk = "count(*) total, count(*) filter (status = 'Completed') completed, count(*) filter (status = 'Failed') failed, count(*) filter (status in ('Pending', 'Processing')) pending, coalesce(sum(processing_time_ms), 0)::bigint time_ms, coalesce(sum(tokens_used), 0)::bigint tokens, coalesce(count(*) filter (status = 'Completed')::double * 100 / nullif(count(*), 0), 0) progress"
@@ -70,7 +72,7 @@ add("a13_dependency_metrics", lambda m: A.dependency_metrics(m.deps, m.copies),
 add("a14_reverse_index", lambda m: A.usage_index(m.copies, "copybook", "program"), "select copybook, array_to_string(list_sort(list(distinct program)), ',') members, count(distinct program)::int n from copies group by 1")
 add("a15_forward_index", lambda m: A.usage_index(m.copies, "program", "copybook"), "select program, array_to_string(list_sort(list(distinct copybook)), ',') members, count(distinct copybook)::int n from copies group by 1")
 add("a16_top_copybooks", lambda m: m.copies.groupBy("copybook").agg(F.countDistinct("program").alias("programs")).orderBy(F.desc("programs"), "copybook").limit(10), "select copybook, count(distinct program) programs from copies group by 1 order by 2 desc, 1 limit 10")
-add("a17_report_metrics", lambda m: m.files.agg(F.count("*").alias("files"), (F.sum(F.length("content")).cast("double") / F.count("*")).alias("mean_length"), F.sum(F.size(F.split("content", "\n"))).alias("lines")).withColumn("per_minute", F.col("files").cast("double") / F.greatest(F.lit(0.25), F.lit(1.0))), "select count(*) files, sum(length(content))::double / count(*) mean_length, sum(len(string_split(content, chr(10))))::bigint as lines, count(*)::double per_minute from files")
+add("a17_report_metrics", lambda m: A.report_metrics(m.files, m.api.agg(((F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 60e6).alias("minutes"))), "with t as (select (epoch_us(max(ts)) - epoch_us(min(ts))) / 60e6 as minutes from api) select count(*) files, sum(length(content))::double / count(*) mean_length, sum(len(string_split(content, chr(10))))::bigint as lines, count(*)::double / greatest((select minutes from t), 1.0) per_minute from files")
 add("a18_agent_actions", lambda m: m.api.groupBy("agent", "model").agg(F.count("*").alias("n"), F.sum("duration_ms").alias("ms")).groupBy("agent").agg(F.sum("n").alias("calls"), F.sum("ms").alias("total_ms"), F.array_join(F.sort_array(F.collect_list(F.concat_ws("=", "model", F.col("n").cast("string")))), ",").alias("histogram")), "with g as (select agent, model, count(*) n, sum(duration_ms) ms from api group by all) select agent, sum(n)::bigint calls, sum(ms)::bigint total_ms, array_to_string(list_sort(list(model || '=' || n)), ',') histogram from g group by 1")
 _call = "count(*) calls, count(*) filter (ok) succeeded, count(*) filter (not ok) failed, sum(duration_ms)::bigint duration_ms, min(duration_ms) shortest, max(duration_ms) longest, sum(tokens)::bigint tokens, sum(micros)::bigint micros, sum(duration_ms)::double / count(*) mean_ms, coalesce(sum(micros) * 1000.0::double / nullif(sum(tokens), 0), 0)::double per_1k"
 add("a19_call_stats", lambda m: A.call_stats(m.api), f"select {_call} from api")
@@ -119,5 +121,4 @@ add("w4_latest_state", lambda m: m.api.groupBy("agent", "model").agg(F.max_by("i
 add("w5_renumber", lambda m: m.chunks.select("source_file", "id", F.concat(F.lit("BR-"), F.row_number().over(_file()).cast("string")).alias("rule")), "select source_file, id, 'BR-' || row_number() over (partition by source_file order by chunk_index) as rule from chunks")
 add("w6_first_occurrence", lambda m: P.one_each(m.copies, ["program", "copybook"], "id").select("id", "program", "copybook"), "select min(id) id, program, copybook from copies group by program, copybook")
 add("w7_detail_window", lambda m: m.chunks.withColumn("last", F.max("chunk_index").over(Window.partitionBy("source_file"))).groupBy("source_file").agg(F.count_if(F.col("chunk_index") > F.col("last") - 3).alias("full"), F.count_if(F.col("chunk_index") <= F.col("last") - 3).alias("compressed")), "select source_file, least(count(*), 3) \"full\", greatest(count(*) - 3, 0) compressed from chunks group by 1")
-_minute = lambda: Window.partitionBy("agent").orderBy(F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")).rangeBetween(-60_000_000, 0)
-add("w8_trailing_minute", lambda m: m.api.select("id", F.sum("tokens").over(_minute()).alias("tokens"), F.count("*").over(_minute()).alias("requests")), "select id, (sum(tokens) over w)::bigint tokens, count(*) over w requests from api window w as (partition by agent order by epoch_us(ts) range between 60000000 preceding and current row)")
+add("w8_trailing_minute", lambda m: trailing_usage(m.api), "select id, (sum(tokens) over w)::bigint tokens, count(*) over w requests from api window w as (partition by agent order by epoch_us(ts) range between 60000000 preceding and current row)")

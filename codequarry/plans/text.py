@@ -7,66 +7,15 @@ from pyspark.sql import functions as F
 from codequarry.operators import extract as X
 from codequarry.plans.common import add
 
-_A = """       IDENTIFICATION DIVISION.
-       PROGRAM-ID. ORDERS.
-       DATA DIVISION.
-       WORKING-STORAGE SECTION.
-       01  WS-ORDER.
-           05  WS-ORDER-ID   PIC 9(8).
-           05  WS-LINES.
-               10  WS-QTY    PIC 9(4).
-           05  WS-NAME       PIC X(30).
-       01  WS-DONE           PIC X VALUE 'N'.
-       COPY ORDER-REC OF SHOPLIB.
-      *COPY OLD-REC.
-       PROCEDURE DIVISION.
-       MAIN-LINE SECTION.
-       START-UP.
-           OPEN INPUT ORDER-FILE
-           PERFORM READ-ORDER
-           PERFORM READ-ORDER UNTIL WS-DONE = 'Y'
-           GO TO WIND-DOWN.
-       READ-ORDER.
-           READ ORDER-FILE
-           CALL 'PRICE-IT' USING WS-ORDER
-           CALL 'PRICE-IT' USING WS-ORDER.
-       LOOK-UP SECTION.
-       FIND-CUSTOMER.
-           EXEC SQL
-             SELECT NAME INTO :WS-NAME FROM CUSTOMER
-               JOIN ADDRESS ON ID
-           END-EXEC
-           PERFORM READ-ORDER.
-       WIND-DOWN.
-           CLOSE ORDER-FILE
-           GOBACK.
-"""
-_B = """       IDENTIFICATION DIVISION.
-       PROCEDURE DIVISION.
-       SHOW-IT.
-           EXEC CICS LINK PROGRAM('MENU') END-EXEC
-           CALL WS-TARGET
-           PERFORM SHOW-IT
-           PERFORM NOT-THERE
-           EXEC SQL INCLUDE SQLCA END-EXEC
-           EXEC SQL UPDATE STOCK SET N = 1 END-EXEC
-           COPY STOCK-REC.
-           WRITE OUT-REC.
-"""
-SOURCES = [("orders.cbl", _A), ("show.cbl", _B), ("order-rec.cpy", "       01  R.\n           05  R-ID PIC 9(3).\n"), ("empty.cbl", "")]
-_quoted = lambda t: "''" if not t else " || chr(10) || ".join("'" + x.replace("'", "''") + "'" for x in t.split("\n"))
-_src = "src as (select * from (values " + ", ".join(f"('{n}', {_quoted(t)})" for n, t in SOURCES) + ") v(file, content))"
+_src = "src as (select * from sources)"
 _ln = _src + ", l as (select file, i::int as line, t[i] as text from (select file, string_split(content, chr(10)) t, unnest(generate_series(1, len(string_split(content, chr(10))))) i from src)), c as (select *, upper(text) u from l where substr(text, 7, 1) not in ('*', '/'))"
 _sql = _ln + ", m as (select *, sum(regexp_matches(u, 'EXEC\\s+(SQL|CICS|DLI)')::int) over (partition by file order by line) b, coalesce(sum(contains(u, 'END-EXEC')::int) over (partition by file order by line rows between unbounded preceding and 1 preceding), 0) e from c)"
 _N = "[A-Z0-9][A-Z0-9-]*"
 
 
-def _on(f):
-    return lambda m: f(m.spark.createDataFrame(SOURCES, "file string, content string"))
-
-
 def text(name, f, sql=None):
-    add(name, _on(f), "with " + sql if sql else None)
+    """A query over all documents as programs."""
+    add(name, lambda m: f(m.sources), "with " + sql if sql else None)
 
 
 add("t1_line_explode", lambda m: X.lines(m.files.select(F.col("file_name").alias("file"), "content")).select("file", "line", F.md5(F.col("text").cast("binary")).alias("h")), "select file, i::int as line, md5(t[i]) h from (select file_name file, string_split(content, chr(10)) t, unnest(generate_series(1, len(string_split(content, chr(10))))) i from files)")
@@ -91,7 +40,10 @@ text("t10_external_copies", X.external_copies, _ln + f" select file, line, regex
 text("t11_paragraph_dependencies", X.paragraph_dependencies, _cal + f", d as (select file, line, u, last_value(nullif(regexp_extract(u, '^\\s*(IDENTIFICATION|ENVIRONMENT|DATA|PROCEDURE)\\s+DIVISION', 1), '') ignore nulls) over (partition by file order by line) dv from c), q as (select distinct file, {_para} n from d where dv = 'PROCEDURE' and {_para} is not null) select distinct file, caller, callee from edges where kind = 'PERFORM' and caller <> callee and exists (select 1 from q where q.file = edges.file and q.n = callee)")
 add("t12_reply_sections", lambda m: X.reply_sections(m.chat.select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.concat(F.lit("## Rules\n- "), F.replace("message", F.lit(". "), F.lit("\n- "))).alias("text"))).select("id", "section", "pos", F.md5(F.col("item").cast("binary")).alias("h")), "with r as (select conv_id || '/' || turn id, string_split('## Rules' || chr(10) || '- ' || replace(message, '. ', chr(10) || '- '), chr(10)) t from chat), l as (select id, (i - 1)::int pos, t[i] s from (select id, t, unnest(generate_series(1, len(t))) i from r)), q as (select id, pos, s, last_value(nullif(regexp_extract(s, '^#+\\s*(.*?)\\s*$', 1), '') ignore nulls) over (partition by id order by pos) section from l) select id, section, pos, md5(regexp_extract(s, '^\\s*[-*]\\s+(.*?)\\s*$', 1)) h from q where section is not null and regexp_extract(s, '^\\s*[-*]\\s+(.*?)\\s*$', 1) <> ''")
 add("t13_merged_rules", lambda m: X.merged_rules(m.copies.select(F.col("program").alias("file"), (F.col("id") % 7).alias("chunk"), F.col("id").alias("pos"), F.col("copybook").alias("description"))), "with f as (select program file, copybook description, min(row(id % 7, id)) first_at from copies group by 1, 2) select file, 'BR-' || row_number() over (partition by file order by first_at, description) as rule, description from f")
-add("t14_active_file", lambda m: m.api.select(F.regexp_extract(F.concat(F.lit("Converting file "), "agent", F.lit(".cbl stage "), "model"), r"file (\S+\.cbl) stage (\S+)", 1).alias("file"), F.col("model").alias("stage"), "ts", "id").groupBy("file").agg(F.max_by("stage", F.struct("ts", -F.col("id"))).alias("stage"), F.max("ts").alias("ts")), "select agent || '.cbl' file, arg_max(model, row(ts, -id)) stage, max(ts) ts from api group by 1")
+_MESSAGES = ['Analyzing COBOL file: {f}.cbl', 'Analysis progress: 3 of 9 - {f}.cbl', 'File {f}.cbl has 12 lines', 'Extracting business logic from: {f}.cbl', 'Processing chunk 2 of source {f}.cbl', 'Chunk 1 of 4 done for {f}.cbl', 'Converting {f}.cbl', 'Converting to Java now: {f}.cbl', 'Saving output {f}.java', 'Wrote {f}.cs', 'nothing about {f}.cbl']
+_message = "case id % 11 " + " ".join(f"when {i} then '" + x.replace("{f}", "' || {0} || '") + "'" for i, x in enumerate(_MESSAGES)) + " end"
+_t14 = (("Analyzing COBOL file:\\s*(.+)$", "Analysis"), ("Analysis progress:.*-\\s*(\\S+[.]cbl)", "Analysis"), ("File\\s+(\\S+[.]cbl)\\s+has", "Analysis"), ("Extracting business logic from:?\\s*(.+)$", "Business Logic"), ("Processing chunk .*source (.+)$", "Chunking"), ("Chunk \\d+ of \\d+.*?(\\S[.]cbl)", "Chunking"), ("Converting\\s+(\\S+[.]cbl)", "Converting"), ("Converting to (?:Java|C#).*(\\S+[.]cbl)", "Converting"), ("Saving.*(\\S+[.](?:java|cs))", "Saving"), ("Wrote\\s+(\\S+[.](?:java|cs))", "Saved"))
+add("t14_active_file", lambda m: X.active_files(m.api.select("id", "ts", F.expr(_message.format("agent || model")).alias("line"))), "with l as (select id, ts, " + _message.format("agent || model") + " s from api), h as (" + " union all ".join(f"select id, ts, {i} p, '{stage}' stage, regexp_extract(s, '{p}', 1) file from l" for i, (p, stage) in enumerate(_t14)) + ") select file, arg_max(stage, row(ts, id, -p)) stage, max(ts) ts from h where file <> '' group by file")
 text("t15_dependencies", X.dependencies, _blk + f", deps0 as (select file source, p || '.cbl' target, 'CALL' kind, min(line) as line from (select file, line, {_call} p from c) where p is not null group by file, p union select file, x || '.cpy', 'COPY', 0 from (select file, unnest(list_concat({_copy})) x from src where file like '%.cbl') union select file, x, 'EXEC SQL', line from (select file, line, unnest({_tab}) x from k) where x not in (" + ", ".join(f"'{w}'" for w in X.NOT_TABLES) + f") union select file, {_link}, 'EXEC CICS', line from c where {_link} <> '' union select file, regexp_extract(trim(u), {_io}, 2), regexp_extract(trim(u), {_io}, 1), line from m where b <= e and regexp_matches(trim(u), {_io})) select * from deps0")
-add("t16_mermaid", lambda m: X.mermaid(m.deps.select(F.col("source_file").alias("source"), F.col("target_file").alias("target"), F.col("dependency_type").alias("kind"))), "select 'graph TD' || chr(10) || string_agg(l, chr(10) order by l) as text from (select distinct '    ' || regexp_replace(source_file, '[^A-Za-z0-9]', '_', 'g') || ' -->|' || dependency_type || '| ' || regexp_replace(target_file, '[^A-Za-z0-9]', '_', 'g') l from deps)")
+add("t16_mermaid", lambda m: X.mermaid(m.deps.select(F.col("source_file").alias("source"), F.col("target_file").alias("target"), F.col("dependency_type").alias("kind"))), "with l as (select distinct '    ' || regexp_replace(source_file, '[^A-Za-z0-9]', '_', 'g') || ' -->|' || dependency_type || '| ' || regexp_replace(target_file, '[^A-Za-z0-9]', '_', 'g') as text from deps) select row_number() over (order by text) n, text from l union all select 0, 'graph TD'")
 add("t17_merge_analyses", lambda m: m.sigs.groupBy("source_file", "legacy_name").agg(F.min_by("method", "seq").alias("method"), F.min("seq").alias("seq")), "select source_file, legacy_name, arg_min(method, seq) as method, min(seq) seq from sigs group by 1, 2")

@@ -46,8 +46,10 @@ class Model:
 
     @property
     def deps(self) -> DataFrame:
-        k = F.get_json_object("props", "$.k")
-        return self.table("events").where("event_id % 50 = 0").select(F.col("event_id").alias("id"), (F.col("user_id") % 10).alias("run_id"), F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("source_file"), F.concat(F.lit("f"), k).alias("target_file"), F.upper("event_type").alias("dependency_type"), (F.col("event_id") % 97).alias("line_number"))
+        """Every event; each file depends on three others at most, so that trails stay few, and many of them close."""
+        k = F.get_json_object("props", "$.k").cast("bigint")
+        target = F.expr("case k % 3 when 0 then user_id + 1 when 1 then user_id div 2 else user_id div 3 end")
+        return self.table("events").withColumn("k", k).select(F.col("event_id").alias("id"), (F.col("user_id") % 10).alias("run_id"), F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("source_file"), F.concat(F.lit("f"), target.cast("string")).alias("target_file"), F.upper("event_type").alias("dependency_type"), (F.col("event_id") % 97).alias("line_number"))
 
     @property
     def copies(self) -> DataFrame:
@@ -68,24 +70,51 @@ class Model:
     @property
     def refs(self) -> DataFrame:
         """forward_references"""
-        return self.table("events").where("event_id % 5 = 0").select(F.col("event_id").alias("id"), (F.col("user_id") % 10).alias("run_id"), F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("source_file"), F.concat(F.col("event_type"), (F.col("event_id") % 4).cast("string")).alias("target_method"), (F.col("event_id") % 15 == 0).alias("resolved"), F.when(F.col("event_id") % 15 == 0, F.lit("known()")).alias("actual_signature"))
+        return self.table("events").select(F.col("event_id").alias("id"), (F.col("user_id") % 10).alias("run_id"), F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("source_file"), F.concat(F.col("event_type"), (F.col("event_id") % 4).cast("string")).alias("target_method"), (F.col("event_id") % 15 == 0).alias("resolved"), F.when(F.col("event_id") % 15 == 0, F.lit("known()")).alias("actual_signature"))
+
+    @property
+    def sources(self) -> DataFrame:
+        """All documents as programs: some frequent words stand for statements, other than ASCII characters for x."""
+        text = F.regexp_replace("text", r"[^\x00-\x7F]", "x")
+        for word, statement in STATEMENTS:
+            text = F.replace(text, F.lit(f" {word} "), F.lit(statement))
+        return self.files.join(self.table("documents").select(F.col("doc_id").alias("id"), text.alias("code")), "id").select(F.col("file_name").alias("file"), F.col("code").alias("content"))
+
+    @property
+    def spans(self) -> DataFrame:
+        """Runs with their time span among the events; some have no end."""
+        start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.expr("make_dt_interval(0, 0, cast(o_orderkey * 37 % 43200 as int), 0)")
+        return self.table("orders").select(F.col("o_orderkey").alias("run"), start.alias("s")).withColumn("e", F.when(F.col("run") % 1000 != 0, F.col("s") + F.expr("interval 30 minutes")))
 
     @property
     def chat(self) -> DataFrame:
         return self.table("conversations").select("conv_id", "turn", F.col("role").alias("agent"), F.col("text").alias("message"), F.floor(F.length("text") / 4).cast("bigint").alias("tokens"))
 
 
+#: What stands for a frequent word of the documents' languages in ``sources``.
+STATEMENTS = (
+    ("the", "\n       COPY "), ("and", "\n           CALL "), ("of", "\n           PERFORM "), ("is", "\n           READ "), ("was", "\n       01  WS-A PIC X(9).\n           05  WS-B PIC 9(4) VALUE 1.\n       "),
+    ("in", "\n           EXEC SQL SELECT A FROM "), ("to", " END-EXEC\n           "), ("it", "\n       PROCEDURE DIVISION.\n       "), ("that", "\n       MAIN-PARA.\n           GO TO "), ("on", "\n           EXEC CICS LINK PROGRAM('ABC') END-EXEC\n"),
+    ("de", "\n           PERFORM "), ("la", "\n       COPY "), ("que", "\n       DATA DIVISION.\n       WORKING-STORAGE SECTION.\n       "), ("der", "\n       COPY "), ("die", "\n           CALL '"), ("und", "' END-EXEC\n       LOOK-UP SECTION.\n       "), ("en", "\n           OPEN INPUT "), ("et", "\n      *"),
+)
+_quoted = lambda t: " || chr(10) || ".join("'" + x.replace("'", "''") + "'" for x in t.split("\n"))
+_code = "regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g')"
+for _word, _statement in STATEMENTS:
+    _code = f"replace({_code}, ' {_word} ', {_quoted(_statement)})"
+
 #: The same views for DuckDB.
 CTES = {
+    "sources": f"select 'doc_' || doc_id || case when lang <> 'en' then '.cpy' else '.cbl' end file, {_code} as content from documents",
+    "spans": "select *, case when run % 1000 <> 0 then s + interval 30 minute end e from (select o_orderkey run, timestamp '2024-01-01' + to_minutes((o_orderkey * 37 % 43200)::bigint) s from orders)",
     "runs": "select o_orderkey id, o_orderdate started_at, case when o_orderstatus = 'F' then o_orderdate + interval 2 hour end completed_at, case o_orderstatus when 'O' then 'Running' when 'F' then 'Completed' else 'Failed' end status, case o_orderkey % 3 when 0 then 'java-out' when 1 then 'CSharp/out' else 'output' end java_output, case when o_orderkey % 7 <> 0 then 'run ' || o_orderkey || ' done' end notes from orders",
     "files": "select doc_id id, doc_id % 10 run_id, 'doc_' || doc_id || case when lang <> 'en' then '.cpy' else '.cbl' end file_name, 'src/' || source || '/doc_' || doc_id || case when lang <> 'en' then '.cpy' else '.cbl' end file_path, lang <> 'en' is_copybook, text as content from documents",
     "analyses": "select doc_id + 1000000 id, doc_id cobol_file_id, source program_description, text raw_analysis, case when doc_id % 4 <> 0 then '[\"' || lang || '\",\"' || source || '\"]' end paragraphs_json from documents where doc_id % 3 <> 0",
     "chunks": "select event_id id, user_id % 10 run_id, 'f' || user_id source_file, chunk_index, chunk_index * 900 + 1 start_line, chunk_index * 900 + 1000 end_line, case event_type when 'purchase' then 'Completed' when 'error' then 'Failed' when 'click' then 'Processing' else 'Pending' end status, floor(value)::bigint tokens_used, floor(value * 10)::bigint processing_time_ms, case when event_type = 'purchase' then ts end completed_at from (select *, (row_number() over (partition by user_id order by event_id) - 1)::int chunk_index from events)",
-    "deps": "select event_id id, user_id % 10 run_id, 'f' || user_id source_file, 'f' || (props ->> '$.k') target_file, upper(event_type) dependency_type, event_id % 97 line_number from events where event_id % 50 = 0",
+    "deps": "select event_id id, user_id % 10 run_id, 'f' || user_id source_file, 'f' || (case (props ->> '$.k')::bigint % 3 when 0 then user_id + 1 when 1 then user_id // 2 else user_id // 3 end) target_file, upper(event_type) dependency_type, event_id % 97 line_number from events",
     "copies": "select event_id id, user_id % 10 run_id, 'f' || user_id program, 'c' || ((props ->> '$.k')::bigint % 40) || '.cpy' copybook from events",
     "api": "select event_id id, ts, event_type agent, 'm' || (user_id % 3) model, floor(value * 10)::bigint duration_ms, event_type <> 'error' ok, floor(value)::bigint tokens, floor(value)::bigint * 3 micros from events",
     "sigs": "select event_id seq, user_id % 10 run_id, 'f' || user_id source_file, upper(event_type) legacy_name, event_type || (event_id % 3) as method, case event_id % 4 when 0 then 'void' when 1 then 'int' else 'String' end return_type, event_id % 3 n_params from events",
-    "refs": "select event_id id, user_id % 10 run_id, 'f' || user_id source_file, event_type || (event_id % 4) target_method, event_id % 15 = 0 resolved, case when event_id % 15 = 0 then 'known()' end actual_signature from events where event_id % 5 = 0",
+    "refs": "select event_id id, user_id % 10 run_id, 'f' || user_id source_file, event_type || (event_id % 4) target_method, event_id % 15 = 0 resolved, case when event_id % 15 = 0 then 'known()' end actual_signature from events",
     "chat": "select conv_id, turn, role agent, text message, floor(length(text) / 4)::bigint tokens from conversations",
 }
 

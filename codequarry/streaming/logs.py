@@ -6,10 +6,12 @@ Watermarks and the treatment of late rows are this library's own additions.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from codequarry.staging import in_order
+
 
 def log_stream(spark: SparkSession, at: str) -> DataFrame:
     """Lines of *.log files as they appear in a folder."""
@@ -29,20 +31,50 @@ def admitted(usage: DataFrame, tokens_per_minute: int, requests_per_minute: int)
 def minute_counts(calls: DataFrame) -> DataFrame:
     """(agent, id, ts, used): requests in a minute that starts with the first one after the last minute's end.
 
-    The minute is anchored at use, so it is ordered state by agent; rows of a batch table.
+    The minute is anchored at use, so it is state in order by agent; rows of a batch
+    table come sorted and a batch at a time, so that no agent has to fit in memory.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "id"])
-        start, used, out = None, 0, []
+    def step(state: list, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
         for ts in pdf["ts"]:
-            if start is None or ts - start >= pd.Timedelta(seconds=60):
-                start, used = ts, 0
-            used += 1
-            out.append(used)
+            if state[0] is None or ts - state[0] >= pd.Timedelta(seconds=60):
+                state[0], state[1] = ts, 0
+            state[1] += 1
+            out.append(state[1])
         return pdf.assign(used=out)
 
-    return calls.select("agent", "id", "ts").groupBy("agent").applyInPandas(run, calls.select("agent", "id", "ts").withColumn("used", F.lit(0)).schema)
+    rows = calls.select("agent", "id", "ts")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return in_order(rows, "agent", ["ts", "id"], lambda _: [None, 0], step, lambda _: None, kinds + ", used int")
+
+
+def trailing_usage(calls: DataFrame, seconds: int = 60) -> DataFrame:
+    """(id, tokens, requests): of each call and those of its agent in the ``seconds`` before it.
+
+    Calls are windowed by agent and stretch of that length, with those of the
+    stretch before beside them, so that no agent's calls come into one task.
+    """
+    micros = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
+    span = seconds * 1_000_000
+    rows = calls.select("agent", "id", "tokens", micros.alias("at")).withColumn("stretch", F.floor(F.col("at") / span))
+    both = rows.withColumn("own", F.lit(True)).unionByName(rows.withColumn("stretch", F.col("stretch") + 1).withColumn("own", F.lit(False)))
+    w = Window.partitionBy("agent", "stretch").orderBy("at").rangeBetween(-span, 0)
+    return both.select("id", "own", F.sum("tokens").over(w).alias("tokens"), F.count("*").over(w).alias("requests")).where("own").drop("own")
+
+
+def within(events: DataFrame, runs: DataFrame, margin: int, hours: int = 1) -> DataFrame:
+    """(id, ts, run) of events (id, ts) within ``margin`` seconds of a run's span (run, s, e); a run without end goes on to the last event.
+
+    Both meet in buckets of ``hours``.
+    """
+    length = hours * 3600
+    number = lambda t: F.floor(F.expr(f"timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', {t})") / length)
+    last = events.agg(F.max("ts").alias("t")).first().t
+    r = runs.withColumn("a", F.col("s") - F.expr(f"interval {margin} seconds")).withColumn("b", F.coalesce(F.col("e") + F.expr(f"interval {margin} seconds"), F.lit(last).cast("timestamp_ntz")))
+    r = r.where("a <= b").select("run", "a", "b", F.explode(F.sequence(number("a"), number("b"))).alias("bucket"))
+    t = events.withColumn("ts", F.col("ts").cast("timestamp_ntz")).withColumn("bucket", number("ts"))
+    return t.join(r, "bucket").where("ts between a and b").select("id", "ts", "run")
 
 
 def minute_counts_stream(calls: DataFrame) -> DataFrame:

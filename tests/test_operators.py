@@ -1,6 +1,9 @@
 """Operators on small authored inputs: known results, nulls, ties, empty tables."""
 
 import datetime as dt
+import random
+
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -12,7 +15,8 @@ from codequarry.operators import filters as P
 from codequarry.operators import graph as G
 from codequarry.operators import validate as V
 from codequarry.operators.aggregates import chunk_status, resume_point
-from codequarry.plans.text import SOURCES
+from tests.programs import SOURCES
+from codequarry.staging import numbered
 from codequarry.streaming.logs import minute_counts
 
 
@@ -32,11 +36,68 @@ def test_windows_of_5000_lines(spark):
 def test_packing(spark):
     ten = spark.createDataFrame([("a", i, "paragraph", 50, 500) for i in range(10)], "file string, pos int, kind string, lines int, tokens int")
     assert [r.chunk for r in C.packed(ten, 100, 4000).orderBy("pos").collect()] == [0, 0, 1, 1, 2, 2, 3, 3, 4, 4]
-    cut = spark.createDataFrame([("a", 0, "paragraph", 40, 1), ("a", 1, "section", 40, 1), ("a", 2, "paragraph", 40, 1)], ten.schema)
-    assert [r.chunk for r in C.packed(cut, 100, 4000).orderBy("pos").collect()] == [0, 1, 1]
+    cut = spark.createDataFrame([("a", 0, "section", 40, 1), ("a", 1, "paragraph", 40, 1), ("a", 2, "other", 40, 1)], ten.schema)
+    assert [r.chunk for r in C.packed(cut, 100, 4000).orderBy("pos").collect()] == [0, 1, 1]  # the chunk ends with its section
+    long = spark.createDataFrame([("a", 0, "other", 200, 1), ("a", 1, "other", 10, 1), ("b", 0, "other", 10, 1)], ten.schema)
+    assert [(r.file, r.chunk) for r in C.packed(long, 100, 4000).orderBy("file", "pos").collect()] == [("a", 0), ("a", 1), ("b", 0)]
     assert C.packed(ten.where("false")).count() == 0
 
 
+def test_packing_of_many_files(spark):
+    """Against the rule on indices: of the units since the last cut, the last one of the highest rank ends the chunk."""
+    rng, rank = random.Random(3), {"division": 3, "section": 2, "paragraph": 1, "other": 0}
+    units = [(f"f{f}", i, rng.choice([*rank]), rng.randrange(1, 90), rng.randrange(1, 50)) for f in range(6) for i in range(80)]
+    want = {}
+    for f in range(6):
+        u, first, cuts = [x for x in units if x[0] == f"f{f}"], 0, []
+        total = lambda a, b: (sum(x[3] for x in u[a:b]), sum(x[4] for x in u[a:b]))  # noqa: E731,B023
+        for i in range(len(u)):
+            lines, tokens = total(first, i + 1)
+            if (lines > 100 or tokens > 90) and i >= first:
+                last = max(range(first, i), key=lambda j: (rank[u[j][2]], j)) if i > first else i  # noqa: B023
+                cuts.append(last)
+                first = last + 1
+        for i in range(len(u)):
+            want[f"f{f}", i] = sum(c < i for c in cuts)
+    got = C.packed(spark.createDataFrame(units, "file string, pos int, kind string, lines int, tokens int"), 100, 90).collect()
+    assert {(r.file, r.pos): r.chunk for r in got} == want
+
+
+def test_plans_that_fail(spark):
+    plan = spark.createDataFrame([(1, 0, 1, 10), (1, 1, 11, 20)], "id int, chunk int, start_line int, end_line int")
+    files = spark.createDataFrame([(1,)], "id int")
+    assert C.checked(C.plan_summary(plan, 10), files, 10).count() == 1
+    for bad, of in ((plan, files.union(spark.createDataFrame([(2,)], "id int"))), (plan.withColumn("end_line", F.lit(99)), files)):
+        with pytest.raises(Exception, match="no valid chunks"):
+            C.checked(C.plan_summary(bad, 10), of, 10).collect()
+
+
+def test_several_tables_change_together(spark, tmp_path):
+    at = str(tmp_path / "store")
+    rows = lambda *v: spark.createDataFrame([(x,) for x in v], "v string")
+    D.commit_run(spark, {"dependencies": rows("a"), "metrics": rows("m")}, 1, at)
+    D.commit_run(spark, {"dependencies": rows("b", "c"), "metrics": rows("n")}, 1, at)
+    rows("lost").write.parquet(f"{at}/dependencies/run=1/attempt-without-pointer")
+    assert {r.v for r in D.read_run(spark, at, "dependencies", 1).collect()} == {"b", "c"} and D.read_run(spark, at, "metrics", 1).first().v == "n"
+
+
+def test_deep_levels_are_not_cycles(spark):
+    e = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(30)] + [("x", "y"), ("y", "x")], "src string, dst string")
+    out = {r.file: r.level for r in G.levels(e, e.select(F.col("src").alias("file")).union(e.select("dst"))).collect()}
+    assert out["n0"] == 30 and out["n30"] == 0 and out["x"] is None
+
+
+def test_long_cycles(spark):
+    ring = spark.createDataFrame([(f"n{i}", f"n{(i + 1) % 9}") for i in range(9)], "src string, dst string")
+    assert [(r.start, r.length) for r in G.cycles(ring).collect()] == [(f"n{i}", 9) for i in range(9)]
+    assert G.cycles(ring, limit=3).count() == 3 and G.cycles(ring, depth=8).count() == 0
+
+
+def test_numbers_over_partitions(spark):
+    df = spark.range(1000).select(((F.col("id") * 37) % 1000).alias("x"))
+    assert [r.n for r in numbered(df, "x").orderBy("x").collect()] == list(range(1, 1001))
+
+
 def test_resume_and_totals_of_nothing(spark):
     none = spark.createDataFrame([], "run_id int, source_file string, chunk_index int, status string, processing_time_ms long, tokens_used long")
     assert resume_point(none).first()[0] == -1
@@ -110,9 +171,9 @@ def test_units_and_variables(spark):
 
 def test_types_and_names(spark):
     df = spark.createDataFrame([("PIC 9(8)",), ("PIC X(50)",), ("PIC S9(9)V99",), ("PIC X",), (None,)], "p string")
-    assert [r[0] for r in df.select(S.java_type(F.col("p"))).collect()][:4] == ["int", "String", "BigDecimal", "String"]
+    assert [r[0] for r in df.select(S.target_type(F.col("p"))).collect()][:4] == ["int", "String", "BigDecimal", "String"]
     one = spark.range(1)
-    assert one.select(S.field_name(F.lit("WS-CLASS"))).first()[0] == "class_" and one.select(S.class_name(F.lit(""))).first()[0] == "ConvertedCobolProgram"
+    assert one.select(S.legacy_name(F.lit("WS-CLASS"))).first()[0] == "class_" and one.select(S.class_name(F.lit(""))).first()[0] == "ConvertedCobolProgram"
 
 
 def test_validity_and_fix_cap(spark):
