@@ -710,3 +710,45 @@ def test_pipeline(spark, sf_dir):
     leaked = {d for d in out["near-duplicates"] if any(b in re.sub(rb"\s", b" ", text[d].encode()).lower() for b in bench)}
     assert not leaked & out["benchmark decontamination"] and len(out["near-duplicates"]) - len(out["benchmark decontamination"]) <= len(leaked) + 3
     assert out["personal data"] == out["byte-level BPE"] == out["benchmark decontamination"]
+
+
+INNER = "fp kept d f row gd gf _fp _m _d _f _shard _row _words _lines _h _w _twice base terms found masked entities risky held vid n sketch v a b x y comp root place url g score key content item_id start end n_words n_lines toxic".split()
+
+
+def test_stages_keep_columns_of_inner_names(spark, sf_dir):
+    import corpus_pipeline
+
+    some = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 60").unionByName(odd(spark).select("doc_id", "text", "lang", "source", "n_chars").withColumn("doc_id", F.col("doc_id") + 1000))
+    plain = some.withColumn("n_chars", F.col("n_chars").cast("bigint"))
+    clashing_ = plain.withColumns({c: F.lit(f"mine {c}") for c in INNER})
+    for name, stage in corpus_pipeline.STAGES:
+        want, got = stage(spark, plain, sf_dir), stage(spark, clashing_, sf_dir)
+        if name == "byte-level BPE":
+            assert sorted(got.collect(), key=repr) == sorted(want.collect(), key=repr)
+            continue
+        assert got.columns == clashing_.columns and all(r[c] == f"mine {c}" for r in got.collect() for c in INNER)
+        assert sorted(got.select(*plain.columns).collect(), key=repr) == sorted(want.collect(), key=repr)
+        assert stage(spark, clashing_.where("false"), sf_dir).count() == 0
+    assert {r.doc_id for r in near_kept(spark, plain)} >= {1000, 1001, 1002}  # empty, null and blank texts stay
+
+
+def near_kept(spark, docs_):
+    import corpus_pipeline
+
+    return corpus_pipeline.near_dedup(spark, docs_, "").collect()
+
+
+def test_operators_with_columns_of_inner_names(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").limit(30)
+    odd_pages = pages.union(spark.createDataFrame([(None, None, None), (1, "x", ""), (1, "x", "")], pages.schema))
+    clash = odd_pages.withColumns({c: F.lit(1) for c in INNER if c not in odd_pages.columns})
+    for make in (lambda p: warc.convert(warc.pages_as_arc(p)), urls.judged):
+        assert sorted(make(clash).collect(), key=repr) == sorted(make(odd_pages).collect(), key=repr)
+        assert make(clash.where("false")).count() == 0
+    plain = odd(spark).select("doc_id", "text")
+    clash = plain.withColumns({c: F.lit(1) for c in INNER})
+    bench = spark.createDataFrame([(1, "x y x y x y x y"), (2, None)], "item_id long, text string")
+    m = toxicity.Machine(np.array([5], np.uint64), 0.0, np.ones(1, np.float32), np.ones((1, 4), np.float32))
+    model = language.trained(plain.withColumn("lang", F.lit("en")))
+    for make in (lambda d: toxicity.scored(d, m), lambda d: leaks.occurrences(d, bench.withColumn("fp", F.lit(1))), lambda d: language.labelled(d, model), lambda d: minhash.near_duplicates(d), lambda d: pii.spans_of(pii.annotated(d))):
+        assert sorted(make(clash).collect(), key=repr) == sorted(make(plain).collect(), key=repr)
