@@ -90,3 +90,9 @@ def small_files(files: DataFrame, chunks: DataFrame) -> DataFrame:
     c = chunks.agg(F.countDistinct("source_file").alias("chunked"))
     both = p.join(c)  # one row each
     return both.withColumn("small", F.greatest(F.lit(0), F.col("programs") - F.col("chunked"))).withColumn("smart", F.col("chunked") > 0)
+
+
+def extract_totals(extracts: DataFrame) -> DataFrame:
+    """One row (stories, features, rules, copybooks, programs) over (is_copybook, stories_json, features_json, rules_json); what is no JSON array counts 0."""
+    size = lambda k: F.sum(F.coalesce(F.json_array_length(f"{k}_json"), F.lit(0)).cast("bigint")).alias(k)
+    return extracts.agg(*[size(k) for k in ("stories", "features", "rules")], F.count_if("is_copybook").alias("copybooks"), F.count_if(~F.col("is_copybook")).alias("programs"))

@@ -156,12 +156,80 @@ def checked(summary: DataFrame, files: DataFrame, max_lines: int) -> DataFrame:
     return both.withColumn("valid", F.when(F.coalesce("valid", F.lit(False)), True).otherwise(F.raise_error(error).cast("boolean")))
 
 
-def context(chunks: DataFrame, signatures: DataFrame, refs: DataFrame) -> DataFrame:
-    """(file, chunk, signatures, open_refs): what the strictly earlier chunks have left; per (file, chunk) rows of each input."""
+#: The history's heading, what an entry of the context counts in tokens, chunks shown in full.
+HISTORY_HEADING = "// Compressed history from previous chunks:\n"
+SIGNATURE_TOKENS, MAPPING_TOKENS, REFERENCE_TOKENS, FULL_WINDOW = 20, 30, 40, 3
+
+
+def _history_entries() -> tuple[Column, Column]:
+    """What a chunk (chunk_index, status, units) adds to the history of later ones: in full, and compressed to a count and five names."""
+    head = F.concat(F.lit("// Chunk "), F.col("chunk_index").cast("string"), F.lit(": "), F.col("status"))
+    full = F.concat(head, F.lit("\n"), F.array_join(F.transform("units", lambda u: F.concat(F.lit("//   - "), u, F.lit("\n"))), ""))
+    short = F.concat(head, F.lit(" - "), F.size("units").cast("string"), F.lit(" units: "), F.array_join(F.slice("units", 1, 5), ", "), F.lit("...\n"))
+    return full, short
+
+
+def history(chunks: DataFrame, current: DataFrame, window: int = FULL_WINDOW) -> DataFrame:
+    """(source_file, chunk_index, entry): the earlier chunks as chunk ``current`` (source_file, current) of each file sees them.
+
+    The last ``window`` are in full, older ones compressed. A row a chunk, so a
+    file's history is never one value; the heading is the caller's.
+    """
+    full, short = _history_entries()
+    before = chunks.join(current, "source_file").where(F.col("chunk_index") < F.col("current"))
+    return before.select("source_file", "chunk_index", F.when(F.col("chunk_index") < F.col("current") - window, short).otherwise(full).alias("entry"))
+
+
+def context(chunks: DataFrame, signatures: DataFrame, mappings: DataFrame, refs: DataFrame, window: int = FULL_WINDOW) -> DataFrame:
+    """(source_file, chunk_index, signatures, mappings, open_refs, tokens): what the strictly earlier chunks have left.
+
+    ``chunks`` are (source_file, chunk_index, start_line, end_line, status, units),
+    one row each; signatures (source_file, chunk_index, target_signature), mappings
+    and pending refs (source_file, chunk_index) count for all later chunks. tokens
+    is the estimate for the chunk's context: its summary, its signatures, mappings
+    and references, and its history with the last ``window`` chunks in full.
+    """
     from pyspark.sql import Window
 
-    s = signatures.groupBy("source_file", "chunk_index").agg(F.count("*").alias("s"))
-    r = refs.groupBy("source_file", "chunk_index").agg(F.count("*").alias("r"))
-    before = Window.partitionBy("source_file").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, -1)
-    both = chunks.select("source_file", "chunk_index").join(s, ["source_file", "chunk_index"], "left").join(r, ["source_file", "chunk_index"], "left")
-    return both.select("source_file", "chunk_index", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("signatures"), F.coalesce(F.sum("r").over(before), F.lit(0)).alias("open_refs"))
+    keys = ["source_file", "chunk_index"]
+    s = signatures.groupBy(*keys).agg(F.count("*").alias("s"), F.sum(F.floor(F.length("target_signature") / 4) + SIGNATURE_TOKENS).alias("st"))
+    m = mappings.groupBy(*keys).agg(F.count("*").alias("m"))
+    r = refs.groupBy(*keys).agg(F.count("*").alias("r"))
+    full, short = _history_entries()
+    both = chunks.withColumn("f", F.length(full)).withColumn("c", F.length(short)).join(s, keys, "left").join(m, keys, "left").join(r, keys, "left")
+    file = Window.partitionBy("source_file")
+    by = file.orderBy("chunk_index")
+    past = lambda c, a, b: F.coalesce(F.sum(c).over(by.rangeBetween(a, b)), F.lit(0))
+    start = Window.unboundedPreceding
+    both = both.withColumn("n", F.count("*").over(file))
+    for name, of in (("signatures", "s"), ("sig_tokens", "st"), ("mappings", "m"), ("open_refs", "r")):
+        both = both.withColumn(name, past(of, start, -1))
+    both = both.withColumn("history", past("c", start, -window - 1) + past("f", -window, -1) + F.when(F.col("chunk_index") > 0, len(HISTORY_HEADING)).otherwise(0))
+    t = lambda c: F.col(c).cast("string")
+    summary = F.concat(F.lit("Processing chunk "), (F.col("chunk_index") + 1).cast("string"), F.lit(" of "), t("n"), F.lit(" from "), "source_file", F.lit(" (lines "), t("start_line"), F.lit("-"), t("end_line"), F.lit("). Contains "), F.size("units").cast("string"), F.lit(" semantic units."))
+    tokens = F.floor(F.length(summary) / 4) + F.col("sig_tokens") + MAPPING_TOKENS * F.col("mappings") + F.floor(F.col("history") / 4) + REFERENCE_TOKENS * F.col("open_refs")
+    return both.select(*keys, "signatures", "mappings", "open_refs", tokens.alias("tokens"))
+
+
+def assembled(units: DataFrame, links: DataFrame) -> DataFrame:
+    """(file, chunk, start_line, end_line, units, outbound, inbound): chunks of packed units with what crosses their borders.
+
+    ``units`` are (file, chunk, pos, name, start_line, end_line), each in one chunk;
+    ``links`` (file, source, target) say that a unit depends on a target. outbound
+    holds the targets of a chunk's units that are no unit of the chunk, inbound the
+    units elsewhere that depend on one of its units. Names compare whatever their
+    case. The lists are sorted and distinct; a chunk's size bounds its units.
+    """
+    u = units.withColumn("key", F.upper("name"))
+    own = u.select("file", "chunk", "key").distinct()
+    both = links.select("file", "source", "target").distinct()
+
+    def crossing(here: str, there: str, name: str) -> DataFrame:
+        met = own.join(both.withColumn("key", F.upper(here)), ["file", "key"]).select("file", "chunk", F.col(there).alias("other"), F.upper(there).alias("key"))
+        return met.join(own, ["file", "chunk", "key"], "left_anti").groupBy("file", "chunk").agg(F.array_sort(F.collect_set("other")).alias(name))
+
+    names = F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"])
+    chunks = u.groupBy("file", "chunk").agg(F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"), names.alias("units"))
+    none = F.array().cast("array<string>")
+    out = chunks.join(crossing("source", "target", "outbound"), ["file", "chunk"], "left").join(crossing("target", "source", "inbound"), ["file", "chunk"], "left")
+    return out.withColumn("outbound", F.coalesce("outbound", none)).withColumn("inbound", F.coalesce("inbound", none))

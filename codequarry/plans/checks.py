@@ -24,15 +24,23 @@ _units = lambda m: m.chunks.select(F.col("source_file").alias("file"), F.col("ch
 add("c4_semantic_packing", lambda m: C.packed(_units(m), 100, 1000))
 add("c5_policy", lambda m: C.policy(C.routed(m.files), m.files.where("id % 3 = 0").select("id", (F.col("id") % 30).alias("lines")), 8), "with " + _z + " select id, case when lines <= 8 then 'single' when id % 3 <> 0 or id % 30 > 8 then 'windows' else 'semantic' end way from sized")
 add("c6_chunk_units", lambda m: C.windows(C.routed(m.files), 10, 3).join(m.files.select("id", F.posexplode(F.split("content", "\n")).alias("p", "t")).select("id", (F.col("p") + 1).alias("line")), "id").where("line between start_line and end_line").groupBy("id", "chunk").agg(F.count("*").alias("held")), _w + "select id, k \"chunk\", (least(k * 7 + 10, lines) - k * 7)::bigint held from w where lines > k * 7")
+_parts = lambda m: m.chunks.select(F.col("source_file").alias("file"), F.floor(F.col("chunk_index") / 4).cast("int").alias("chunk"), F.col("chunk_index").alias("pos"), F.concat(F.lit("Unit-"), F.col("chunk_index").cast("string")).alias("name"), "start_line", "end_line")
+_links = lambda m: m.chunks.select(F.col("source_file").alias("file"), F.concat(F.lit("UNIT-"), F.col("chunk_index").cast("string")).alias("source"), F.concat(F.lit("unit-"), (F.col("chunk_index") + F.col("id") % 9 - 4).cast("string")).alias("target"))
+_joined = lambda *names: [F.array_join(c, " ").alias(c) for c in names]
+add("c6_assembly", lambda m: C.assembled(_parts(m), _links(m)).select("file", "chunk", "start_line", "end_line", *_joined("units", "outbound", "inbound")), "with u as (select source_file file, chunk_index // 4 as k, chunk_index i, chunk_index + id % 9 - 4 as j, start_line, end_line from chunks), o as (select file, k, string_agg(distinct 'unit-' || j, ' ' order by 'unit-' || j) t from u where not exists (select 1 from u v where v.file = u.file and v.k = u.k and v.i = u.j) group by 1, 2), b as (select a.file, a.k, string_agg(distinct 'UNIT-' || s.i, ' ' order by 'UNIT-' || s.i) t from u a join u s on s.file = a.file and s.j = a.i and s.k <> a.k group by 1, 2), c as (select file, k, min(start_line) start_line, max(end_line) end_line, string_agg('Unit-' || i, ' ' order by i) units from u group by 1, 2) select c.file, c.k::int \"chunk\", start_line, end_line, units, coalesce(o.t, '') outbound, coalesce(b.t, '') inbound from c left join o on o.file = c.file and o.k = c.k left join b on b.file = c.file and b.k = c.k")
 add("c7_split_point", lambda m: C.split_point(source_lines(m.files.select(F.col("file_name").alias("file"), F.regexp_replace("content", r"(?i)\bthe\b", "SECTION").alias("content")))).select("file", "at"), "with l as (select file_name file, i::int as line, t[i] as text, len(t) n from (select file_name, string_split(regexp_replace(content, '(?i)\\bthe\\b', 'SECTION', 'g'), chr(10)) t, unnest(generate_series(1, len(string_split(content, chr(10))))) i from files)), r as (select *, n // 2 mid, abs(line - n // 2) far, case when regexp_matches(upper(text), '\\bDIVISION\\b') then 0 when regexp_matches(upper(text), '\\bSECTION\\b') then 1 when regexp_matches(upper(text), '^\\s{7}[A-Z0-9-]+\\.\\s*$') then 2 end rk from l), b as (select file, arg_min(line, row(rk, far, line)) found from r where rk is not null and far <= n * 0.25 and line > 10 and line <= n - 10 group by 1) select file, coalesce(found, mid)::int \"at\" from (select distinct file, mid from r) left join b using (file)")
 add("c8_plan_summary", lambda m: C.plan_summary(C.windows(C.routed(m.files), 10, 3), 10), _w + "select id, count(*) chunks, max(least(10, lines - k * 7)) longest, true as valid from w group by 1")
 add("c9_resume", lambda m: m.chunks.join(resume_point(m.chunks, "source_file"), "source_file").where("chunk_index > last_completed").select("id"), "select id from (select id, chunk_index, max(case when status = 'Completed' then chunk_index end) over (partition by source_file) c from chunks) where chunk_index > coalesce(c, -1)")
-add("c10_context", lambda m: C.context(m.chunks, m.chunks.where("status = 'Completed'"), m.chunks.where("status = 'Failed'")), "select source_file, chunk_index, coalesce(count(*) filter (status = 'Completed') over w, 0) signatures, coalesce(count(*) filter (status = 'Failed') over w, 0) open_refs from chunks window w as (partition by source_file order by chunk_index rows between unbounded preceding and 1 preceding)")
+_short = "length('// Chunk ' || chunk_index || ': ' || status || ' - ' || len(units) || ' units: ' || array_to_string(units[1:5], ', ') || '...') + 1"
+_full = "length('// Chunk ' || chunk_index || ': ' || status) + 1 + coalesce(list_sum(list_transform(units, lambda u: length(u) + 8)), 0)"
+_ctx = f"with x as (select *, {_short} c, {_full} f, count(*) over (partition by source_file) n from described), y as (select *, count(*) filter (status = 'Completed') over w signatures, coalesce(sum(length('void m' || chunk_index || '()') // 4 + 20) filter (status = 'Completed') over w, 0) st, count(*) filter (id % 3 = 0) over w mappings, count(*) filter (status = 'Failed') over w open_refs, coalesce(sum(c) over (partition by source_file order by chunk_index rows between unbounded preceding and 4 preceding), 0) + coalesce(sum(f) over (partition by source_file order by chunk_index rows between 3 preceding and 1 preceding), 0) + case when chunk_index > 0 then 44 else 0 end hist from x window w as (partition by source_file order by chunk_index rows between unbounded preceding and 1 preceding)) "
+_signed = lambda m: m.chunks.where("status = 'Completed'").withColumn("target_signature", F.concat(F.lit("void m"), F.col("chunk_index").cast("string"), F.lit("()")))
+add("c10_context", lambda m: C.context(m.described, _signed(m), m.chunks.where("id % 3 = 0"), m.chunks.where("status = 'Failed'")), _ctx + "select source_file, chunk_index, signatures, mappings, open_refs, (length('Processing chunk ' || (chunk_index + 1) || ' of ' || n || ' from ' || source_file || ' (lines ' || start_line || '-' || end_line || '). Contains ' || len(units) || ' semantic units.') // 4 + st + 30 * mappings + hist // 4 + 40 * open_refs)::bigint tokens from y")
 
 # ---- validation ----
 _reg = lambda m: D.first_wins(m.sigs, ["run_id", "legacy_name"], "seq")
 _uses = lambda m: m.sigs.withColumnRenamed("seq", "id")
-_iss = "with r as (select run_id, legacy_name, arg_min(method, seq) rm, arg_min(return_type, seq) rt, arg_min(n_params, seq) rn from sigs group by 1, 2), u as (select seq id, s.run_id, method, return_type, n_params, rm, rt, rn from sigs s join r on r.run_id = s.run_id and r.legacy_name = s.legacy_name), i as (select id, run_id, 'MethodNameMismatch' issue, rm expected, method actual, 'Error' severity from u where method <> rm union all select id, run_id, 'ReturnTypeMismatch', rt, return_type, 'Error' from u where return_type <> rt union all select id, run_id, 'ParameterCountMismatch', rn::varchar, n_params::varchar, 'Critical' from u where n_params <> rn) "
+_iss = "with r as (select run_id, legacy_name, arg_min(method, seq) rm, arg_min(return_type, seq) rt, arg_min(n_params, seq) rn, arg_min(params, seq) rp from sigs group by 1, 2), u as (select seq id, s.run_id, method, return_type, n_params, params, rm, rt, rn, rp from sigs s join r on r.run_id = s.run_id and r.legacy_name = s.legacy_name), i as (select id, run_id, 'MethodNameMismatch' issue, rm expected, method actual, 'Error' severity from u where method <> rm union all select id, run_id, 'ReturnTypeMismatch', rt, return_type, 'Error' from u where return_type <> rt union all select id, run_id, 'ParameterCountMismatch', rn::varchar, n_params::varchar, 'Critical' from u where n_params <> rn union all select id, run_id, 'Parameter[' || i || '].Type', rp[i + 1], params[i + 1], 'Error' from (select *, unnest(generate_series(0, n_params - 1)) i from u where n_params = rn) where rp[i + 1] <> params[i + 1]) "
 add("v1_signature_issues", lambda m: V.signature_issues(_uses(m), _reg(m)), _iss + "select id, issue, expected, actual, severity from i")
 _map = lambda m: m.sigs.groupBy(F.col("legacy_name").alias("key")).agg(F.min("return_type").alias("type"), F.min("method").alias("field"))
 add("v2_type_issues", lambda m: V.type_issues(m.sigs.select(F.col("seq").alias("id"), F.col("legacy_name").alias("key"), F.col("return_type").alias("type"), F.col("method").alias("field")), _map(m)), "with k as (select legacy_name, min(return_type) t, min(method) f from sigs group by 1) select seq id, case when return_type <> t then 'Error' else 'Warning' end severity from sigs join k using (legacy_name) where return_type <> t or method <> f")
@@ -46,7 +54,8 @@ add("j13_text_containment", lambda m: V.leaks(_names(m), _code(m)).groupBy("file
 add("v7_variable_leaks", lambda m: V.leaks(m.table("nation").select(F.concat(F.lit("r"), (F.col("n_nationkey") % 10).cast("string")).alias("file"), F.concat(F.substring("n_name", 2, 1), F.lit("-"), F.substring("n_name", 3, 1)).alias("name")), _code(m)), _leak.replace("n_name[1] || '-' || n_name[2]", "n_name[2] || '-' || n_name[3]"))
 add("v6_unresolved_refs", lambda m: D.resolve(m.refs, m.sigs.where("seq % 3 = 0").groupBy("run_id", "method").agg(F.min("return_type").alias("signature"))).where("not resolved").select("id", F.lit("Error").alias("severity")), "select id, 'Error' severity from refs where not resolved and not exists (select 1 from sigs where seq % 3 = 0 and sigs.run_id = refs.run_id and sigs.method = refs.target_method)")
 add("v8_fix_plan", lambda m: V.fix_plan(V.signature_issues(_uses(m), _reg(m)).join(m.sigs.select(F.col("seq").alias("id"), "run_id"), "id"), 5).select("run_id", "id", "issue", "n"), _iss + "select run_id, id, issue, row_number() over (partition by run_id order by id, issue)::int n from i qualify n <= 5")
-add("v9_consistency", lambda m: m.refs.groupBy("run_id").agg(F.count("*").alias("total"), total_if(F.col("resolved")).alias("ok")).select("run_id", percent(F.col("ok"), F.col("total"), 100.0).alias("consistency")), "select run_id, 100.0::double * count(*) filter (resolved) / count(*) consistency from refs group by 1")
+_typed = "with k as (select legacy_name, min(return_type) t, min(method) f from sigs group by 1), t as (select run_id, return_type = t and method = f ok from sigs join k using (legacy_name)), "
+add("v9_consistency", lambda m: V.consistency(V.unflagged(_uses(m), V.signature_issues(_uses(m), _reg(m))), V.unflagged(_uses(m), V.type_issues(_uses(m).select("id", F.col("legacy_name").alias("key"), F.col("return_type").alias("type"), F.col("method").alias("field")), _map(m))), m.refs.select("run_id", F.col("resolved").alias("ok"))), _typed + _iss.removeprefix("with ") + ", s as (select run_id, 100.0::double * count(*) filter (id not in (select id from i)) / count(*) methods from u group by 1), v as (select run_id, 100.0::double * count(*) filter (ok) / count(*) \"variables\" from t group by 1), f as (select run_id, 100.0::double * count(*) filter (resolved) / count(*) refs from refs group by 1) select * from s join v using (run_id) join f using (run_id)")
 
 # ---- logs and rates ----
 add("j10_run_window", lambda m: within(m.api.select("id", "ts"), m.spans, 5).select("id", "run"), "select id, run from api join spans on ts >= s - interval 5 second and (e is null or ts <= e + interval 5 second)")

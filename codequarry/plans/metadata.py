@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codequarry.operators import aggregates as A
 from codequarry.operators import filters as P
-from codequarry.operators.chunking import overlaps
+from codequarry.operators.chunking import history, overlaps
 from codequarry.plans.common import add
 from codequarry.streaming.logs import trailing_usage
 
@@ -85,11 +85,11 @@ add("a25_categories", lambda m: m.api.agg(*[F.count_if(F.upper("agent").contains
 add("a26_mean_progress", lambda m: A.chunk_status(m.chunks, "source_file").agg(F.round(F.avg("progress"), 6).alias("overall")), "select round(avg(p), 6) overall from (select 100.0::double * count(*) filter (status = 'Completed') / count(*) p from chunks group by source_file)")
 add("a27_signature_counts", lambda m: m.sigs.agg(F.countDistinct("legacy_name").alias("names"), F.count("*").alias("n"), F.countDistinct("source_file").alias("files")), "select count(distinct legacy_name) names, count(*) n, count(distinct source_file) files from sigs")
 add("a28_small_files", lambda m: A.small_files(m.files, m.chunks), "with n as (select (select count(*) filter (not is_copybook) from files) programs, (select count(distinct source_file) from chunks) chunked) select programs, chunked, greatest(0, programs - chunked) small, chunked > 0 smart from n")
-add("a29_json_sizes", lambda m: m.analyses.select("id", F.coalesce(F.size(F.from_json("paragraphs_json", "array<string>")), F.lit(0)).alias("n")).select("id", F.greatest("n", F.lit(0)).alias("n")), "select id, coalesce(json_array_length(paragraphs_json), 0)::int n from analyses")
+add("a29_json_sizes", lambda m: m.analyses.select("id", *[F.coalesce(F.json_array_length(f"{k}_json"), F.lit(0)).alias(k) for k in ("paragraphs", "variables")]), "select id, coalesce(json_array_length(paragraphs_json), 0)::int paragraphs, coalesce(json_array_length(variables_json), 0)::int as variables from analyses")
 add("a30_chunked_report", lambda m: A.chunk_status(m.chunks, "source_file").agg(F.sum("total").alias("chunks"), F.sum("completed").alias("ok"), F.sum("failed").alias("failed"), A.total_if(F.col("failed") == 0).alias("consistent")), "with g as (select count(*) n, count(*) filter (status = 'Completed') c, count(*) filter (status = 'Failed') f from chunks group by source_file) select sum(n)::bigint chunks, sum(c)::bigint ok, sum(f)::bigint as failed, count(*) filter (f = 0) consistent from g")
 add("a31_success_rate", lambda m: A.chunk_status(m.chunks, "run_id").select("run_id", A.percent(F.col("completed"), F.col("completed") + F.col("failed")).alias("rate")), "select run_id, coalesce(100.0::double * count(*) filter (status = 'Completed') / nullif(count(*) filter (status in ('Completed', 'Failed')), 0), 0) rate from chunks group by 1")
 add("a32_file_detail", lambda m: A.chunk_status(m.chunks, "source_file").select("source_file", "completed", F.bround("progress", 2).alias("progress"), "tokens", "time_ms").join(A.file_spans(m.chunks, "source_file").select("source_file", "span"), "source_file"), "select source_file, count(*) filter (status = 'Completed') completed, round_even(100.0::double * count(*) filter (status = 'Completed') / count(*), 2) progress, sum(tokens_used)::bigint tokens, sum(processing_time_ms)::bigint time_ms, max(end_line) - min(start_line) + 1 as span from chunks group by 1")
-add("a33_extract_totals", lambda m: m.files.select(F.size(F.split("content", "\\. ")).alias("stories"), F.size(F.split("content", "\n")).alias("rules"), "is_copybook").agg(F.sum("stories").alias("stories"), F.sum("rules").alias("rules"), F.count_if("is_copybook").alias("copybooks"), F.count_if(~F.col("is_copybook")).alias("programs")), "select sum(len(string_split(content, '. ')))::bigint stories, sum(len(string_split(content, chr(10))))::bigint rules, count(*) filter (is_copybook) copybooks, count(*) filter (not is_copybook) programs from files")
+add("a33_extract_totals", lambda m: A.extract_totals(m.extracts), "select " + ", ".join(f"sum(coalesce(json_array_length({k}_json), 0))::bigint {k}" for k in ("stories", "features", "rules")) + ", count(*) filter (is_copybook) copybooks, count(*) filter (not is_copybook) programs from extracts")
 
 # ---- sorts and limits ----
 add("o1_latest_run", lambda m: m.runs.orderBy(F.desc("started_at"), F.desc("id")).limit(1).select("id", "started_at"), "select id, started_at from runs order by started_at desc, id desc limit 1")
@@ -121,4 +121,5 @@ add("w4_latest_state", lambda m: m.api.groupBy("agent", "model").agg(F.max_by("i
 add("w5_renumber", lambda m: m.chunks.select("source_file", "id", F.concat(F.lit("BR-"), F.row_number().over(_file()).cast("string")).alias("rule")), "select source_file, id, 'BR-' || row_number() over (partition by source_file order by chunk_index) as rule from chunks")
 add("w6_first_occurrence", lambda m: P.one_each(m.copies, ["program", "copybook"], "id").select("id", "program", "copybook"), "select min(id) id, program, copybook from copies group by program, copybook")
 add("w7_detail_window", lambda m: m.chunks.withColumn("last", F.max("chunk_index").over(Window.partitionBy("source_file"))).groupBy("source_file").agg(F.count_if(F.col("chunk_index") > F.col("last") - 3).alias("full"), F.count_if(F.col("chunk_index") <= F.col("last") - 3).alias("compressed")), "select source_file, least(count(*), 3) \"full\", greatest(count(*) - 3, 0) compressed from chunks group by 1")
+add("w7_history", lambda m: history(m.described, m.chunks.groupBy("source_file").agg((F.max("chunk_index") + 1).alias("current"))), "select source_file, chunk_index, '// Chunk ' || chunk_index || ': ' || status || case when n - chunk_index > 3 then ' - ' || len(units) || ' units: ' || array_to_string(units[1:5], ', ') || '...' || chr(10) else chr(10) || array_to_string(list_transform(units, lambda u: '//   - ' || u || chr(10)), '') end entry from (select *, count(*) over (partition by source_file) n from described)")
 add("w8_trailing_minute", lambda m: trailing_usage(m.api), "select id, (sum(tokens) over w)::bigint tokens, count(*) over w requests from api window w as (partition by agent order by epoch_us(ts) range between 60000000 preceding and current row)")

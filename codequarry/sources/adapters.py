@@ -34,7 +34,7 @@ class Model:
 
     @property
     def analyses(self) -> DataFrame:
-        return self.table("documents").where("doc_id % 3 <> 0").select((F.col("doc_id") + 1000000).alias("id"), F.col("doc_id").alias("cobol_file_id"), F.col("source").alias("program_description"), F.col("text").alias("raw_analysis"), F.when(F.col("doc_id") % 4 != 0, F.concat(F.lit('["'), F.col("lang"), F.lit('","'), F.col("source"), F.lit('"]'))).alias("paragraphs_json"))
+        return self.table("documents").where("doc_id % 3 <> 0").select((F.col("doc_id") + 1000000).alias("id"), F.col("doc_id").alias("cobol_file_id"), F.col("source").alias("program_description"), F.col("text").alias("raw_analysis"), F.when(F.col("doc_id") % 4 != 0, F.concat(F.lit('["'), F.col("lang"), F.lit('","'), F.col("source"), F.lit('"]'))).alias("paragraphs_json"), F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("["), F.array_join(F.array_repeat(F.lit('{"name":"A"}'), (F.col("doc_id") % 4).cast("int")), ","), F.lit("]"))).alias("variables_json"))
 
     @property
     def chunks(self) -> DataFrame:
@@ -44,6 +44,18 @@ class Model:
         e = self.table("events").select("event_id", "ts", "user_id", "event_type", "value").withColumn("chunk_index", index)
         return e.select(F.col("event_id").alias("id"), (F.col("user_id") % 10).alias("run_id"), F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("source_file"), "chunk_index", (F.col("chunk_index") * 900 + 1).alias("start_line"), (F.col("chunk_index") * 900 + 1000).alias("end_line"), _status().alias("status"), F.floor("value").cast("bigint").alias("tokens_used"), F.floor(F.col("value") * 10).cast("bigint").alias("processing_time_ms"), F.when(F.col("event_type") == "purchase", F.col("ts")).alias("completed_at"))
 
+    @property
+    def described(self) -> DataFrame:
+        """Chunks with the names of their units."""
+        names = F.array(*[F.lit(f"UNIT-{k}") for k in range(1, 8)])
+        return self.chunks.withColumn("units", F.slice(names, F.lit(1), (F.col("id") % 8).cast("int")))
+
+    @property
+    def extracts(self) -> DataFrame:
+        """A file's stories, features and rules as JSON arrays."""
+        part = lambda by: F.to_json(F.split("text", by))
+        return self.table("documents").select((F.col("lang") != "en").alias("is_copybook"), part("\\. ").alias("stories_json"), part(", ").alias("features_json"), part("\n").alias("rules_json"))
+
     @property
     def deps(self) -> DataFrame:
         """Every event; each file depends on three others at most, so that trails stay few, and many of them close."""
@@ -65,7 +77,7 @@ class Model:
     @property
     def sigs(self) -> DataFrame:
         """Registrations of signatures in order of seq; keys repeat."""
-        return self.table("events").select(F.col("event_id").alias("seq"), (F.col("user_id") % 10).alias("run_id"), F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("source_file"), F.upper("event_type").alias("legacy_name"), F.concat(F.col("event_type"), (F.col("event_id") % 3).cast("string")).alias("method"), F.when(F.col("event_id") % 4 == 0, "void").when(F.col("event_id") % 4 == 1, "int").otherwise("String").alias("return_type"), (F.col("event_id") % 3).alias("n_params"))
+        return self.table("events").select(F.col("event_id").alias("seq"), (F.col("user_id") % 10).alias("run_id"), F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("source_file"), F.upper("event_type").alias("legacy_name"), F.concat(F.col("event_type"), (F.col("event_id") % 3).cast("string")).alias("method"), F.when(F.col("event_id") % 4 == 0, "void").when(F.col("event_id") % 4 == 1, "int").otherwise("String").alias("return_type"), (F.col("event_id") % 3).alias("n_params"), F.slice(F.array(F.when(F.col("event_id") % 5 == 0, "int").otherwise("String"), F.when(F.col("event_id") % 7 == 0, "int").otherwise("String")), F.lit(1), (F.col("event_id") % 3).cast("int")).alias("params"))
 
     @property
     def refs(self) -> DataFrame:
@@ -108,16 +120,19 @@ CTES = {
     "spans": "select *, case when run % 1000 <> 0 then s + interval 30 minute end e from (select o_orderkey run, timestamp '2024-01-01' + to_minutes((o_orderkey * 37 % 43200)::bigint) s from orders)",
     "runs": "select o_orderkey id, o_orderdate started_at, case when o_orderstatus = 'F' then o_orderdate + interval 2 hour end completed_at, case o_orderstatus when 'O' then 'Running' when 'F' then 'Completed' else 'Failed' end status, case o_orderkey % 3 when 0 then 'java-out' when 1 then 'CSharp/out' else 'output' end java_output, case when o_orderkey % 7 <> 0 then 'run ' || o_orderkey || ' done' end notes from orders",
     "files": "select doc_id id, doc_id % 10 run_id, 'doc_' || doc_id || case when lang <> 'en' then '.cpy' else '.cbl' end file_name, 'src/' || source || '/doc_' || doc_id || case when lang <> 'en' then '.cpy' else '.cbl' end file_path, lang <> 'en' is_copybook, text as content from documents",
-    "analyses": "select doc_id + 1000000 id, doc_id cobol_file_id, source program_description, text raw_analysis, case when doc_id % 4 <> 0 then '[\"' || lang || '\",\"' || source || '\"]' end paragraphs_json from documents where doc_id % 3 <> 0",
+    "analyses": "select doc_id + 1000000 id, doc_id cobol_file_id, source program_description, text raw_analysis, case when doc_id % 4 <> 0 then '[\"' || lang || '\",\"' || source || '\"]' end paragraphs_json, case when doc_id % 5 <> 0 then '[' || rtrim(repeat('{\"name\":\"A\"},', (doc_id % 4)::int), ',') || ']' end variables_json from documents where doc_id % 3 <> 0",
     "chunks": "select event_id id, user_id % 10 run_id, 'f' || user_id source_file, chunk_index, chunk_index * 900 + 1 start_line, chunk_index * 900 + 1000 end_line, case event_type when 'purchase' then 'Completed' when 'error' then 'Failed' when 'click' then 'Processing' else 'Pending' end status, floor(value)::bigint tokens_used, floor(value * 10)::bigint processing_time_ms, case when event_type = 'purchase' then ts end completed_at from (select *, (row_number() over (partition by user_id order by event_id) - 1)::int chunk_index from events)",
+    "extracts": "select lang <> 'en' is_copybook, to_json(string_split(text, '. ')) stories_json, to_json(string_split(text, ', ')) features_json, to_json(string_split(text, chr(10))) rules_json from documents",
     "deps": "select event_id id, user_id % 10 run_id, 'f' || user_id source_file, 'f' || (case (props ->> '$.k')::bigint % 3 when 0 then user_id + 1 when 1 then user_id // 2 else user_id // 3 end) target_file, upper(event_type) dependency_type, event_id % 97 line_number from events",
     "copies": "select event_id id, user_id % 10 run_id, 'f' || user_id program, 'c' || ((props ->> '$.k')::bigint % 40) || '.cpy' copybook from events",
     "api": "select event_id id, ts, event_type agent, 'm' || (user_id % 3) model, floor(value * 10)::bigint duration_ms, event_type <> 'error' ok, floor(value)::bigint tokens, floor(value)::bigint * 3 micros from events",
-    "sigs": "select event_id seq, user_id % 10 run_id, 'f' || user_id source_file, upper(event_type) legacy_name, event_type || (event_id % 3) as method, case event_id % 4 when 0 then 'void' when 1 then 'int' else 'String' end return_type, event_id % 3 n_params from events",
+    "sigs": "select event_id seq, user_id % 10 run_id, 'f' || user_id source_file, upper(event_type) legacy_name, event_type || (event_id % 3) as method, case event_id % 4 when 0 then 'void' when 1 then 'int' else 'String' end return_type, event_id % 3 n_params, [case when event_id % 5 = 0 then 'int' else 'String' end, case when event_id % 7 = 0 then 'int' else 'String' end][1:event_id % 3] params from events",
     "refs": "select event_id id, user_id % 10 run_id, 'f' || user_id source_file, event_type || (event_id % 4) target_method, event_id % 15 = 0 resolved, case when event_id % 15 = 0 then 'known()' end actual_signature from events",
     "chat": "select conv_id, turn, role agent, text message, floor(length(text) / 4)::bigint tokens from conversations",
 }
 
+CTES["described"] = f"select *, ['UNIT-1', 'UNIT-2', 'UNIT-3', 'UNIT-4', 'UNIT-5', 'UNIT-6', 'UNIT-7'][1:id % 8] units from ({CTES['chunks']})"
+
 
 def with_views(sql: str) -> str:
     """``sql`` with the views that it names in front."""

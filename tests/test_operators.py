@@ -186,3 +186,44 @@ def test_anchored_minute(spark):
     t = dt.datetime(2024, 1, 1)
     rows = spark.createDataFrame([("a", i, t + dt.timedelta(seconds=s)) for i, s in enumerate((50, 70, 109, 110, 200))], "agent string, id int, ts timestamp")
     assert [r.used for r in minute_counts(rows).orderBy("id").collect()] == [1, 2, 3, 1, 1]
+
+
+CHUNK = "source_file string, chunk_index int, start_line int, end_line int, status string, units array<string>"
+
+
+def test_history_keeps_last_chunks_in_full(spark):
+    units = [f"U{k}" for k in range(7)]
+    rows = spark.createDataFrame([("a", k, 1, 2, "Completed", units if k == 0 else ["X"]) for k in range(5)] + [("b", 0, 1, 2, "Failed", [])], CHUNK)
+    current = spark.createDataFrame([("a", 4), ("b", 1)], "source_file string, current int")
+    out = tuples(C.history(rows, current), "source_file", "chunk_index")
+    full = "// Chunk {}: Completed\n//   - X\n"
+    assert out == [("a", 0, "// Chunk 0: Completed - 7 units: U0, U1, U2, U3, U4...\n"), *(("a", k, full.format(k)) for k in (1, 2, 3)), ("b", 0, "// Chunk 0: Failed\n")]
+
+
+def test_context_counts_what_earlier_chunks_left(spark):
+    rows = spark.createDataFrame([("a.cbl", k, k * 10 + 1, k * 10 + 10, "Completed", ["X"]) for k in range(2)], CHUNK)
+    at = "source_file string, chunk_index int"
+    sigs = spark.createDataFrame([("a.cbl", 0, "void a()"), ("a.cbl", 1, "void b()")], at + ", target_signature string")
+    maps, refs = spark.createDataFrame([("a.cbl", 0)] * 2, at), spark.createDataFrame([("a.cbl", 0)], at)
+    summary = "Processing chunk {} of 2 from a.cbl (lines {}). Contains 1 semantic units."
+    heading = len(C.HISTORY_HEADING) + len("// Chunk 0: Completed\n//   - X\n")
+    second = len(summary.format(2, "11-20")) // 4 + 8 // 4 + 20 + 2 * 30 + heading // 4 + 40
+    assert tuples(C.context(rows, sigs, maps, refs), "chunk_index") == [("a.cbl", 0, 0, 0, 0, len(summary.format(1, "1-10")) // 4), ("a.cbl", 1, 1, 2, 1, second)]
+    assert C.context(rows.limit(0), sigs, maps, refs).count() == 0
+
+
+def test_assembled_chunks_name_what_crosses_them(spark):
+    units = spark.createDataFrame([("f", 0, 0, "MAIN", 1, 5), ("f", 0, 1, "Init", 6, 9), ("f", 1, 2, "CALC", 10, 20)], "file string, chunk int, pos int, name string, start_line int, end_line int")
+    links = spark.createDataFrame([("f", "MAIN", "init"), ("f", "MAIN", "calc"), ("f", "main", "calc"), ("f", "INIT", "LIB"), ("g", "MAIN", "OTHER")], "file string, source string, target string")
+    out = tuples(C.assembled(units, links).select("chunk", "start_line", "end_line", "units", "outbound", "inbound"), "chunk")
+    assert out == [(0, 1, 9, ["MAIN", "Init"], ["LIB", "calc"], []), (1, 10, 20, ["CALC"], [], ["MAIN", "main"])]
+
+
+def test_signatures_compare_parameters_by_place(spark):
+    kind = "id int, run_id int, legacy_name string, method string, return_type string, params array<string>"
+    registry = spark.createDataFrame([(0, 1, "P", "p", "int", ["int", "String"])], kind)
+    uses = spark.createDataFrame([(1, 1, "P", "p", "int", ["int", "int"]), (2, 1, "P", "p", "int", ["String"]), (3, 1, "P", "p", "int", ["int", "String"]), (4, 1, "Q", "q", "int", [])], kind)
+    issues = V.signature_issues(uses, registry)
+    assert tuples(issues, "id") == [(1, "Parameter[1].Type", "String", "int", "Error"), (2, "ParameterCountMismatch", "2", "1", "Critical")]
+    ok = V.unflagged(uses, issues)
+    assert tuples(V.consistency(ok, ok.limit(0), spark.createDataFrame([(2, True)], "run_id int, ok boolean")), "run_id") == [(1, 50.0, 100.0, 100.0), (2, 100.0, 100.0, 100.0)]
