@@ -212,6 +212,68 @@ def reply_sections(replies: DataFrame) -> DataFrame:
     return l.where("item <> '' and section is not null").select("id", "section", "pos", "item")
 
 
+def reply_entries(replies: DataFrame) -> DataFrame:
+    """(id, kind, n, title, role, text, items): purpose, stories, features and rules of Markdown replies (id, text).
+
+    purpose: the lines after the first that names the Business Purpose, up to an empty
+    line or one that names use cases or features. story: a ### heading of a use case or
+    user story, with its trigger (role), description (text) and key steps (items).
+    feature: a ### heading that names a feature, with its last description and its list
+    items. rule: the list items of over three characters after the first heading of
+    business rules or validations, up to the next other ## heading. n counts each kind
+    from 1. Stories and features last to the next heading of their kind, whatever other
+    headings stand between, so kinds share lines. A null or empty text, or one
+    without headings, gives no row.
+    """
+    has = lambda *names: F.lower("l").rlike("|".join(names))
+    trim = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    after = lambda mark: trim(F.replace("l", F.lit(mark), F.lit("")))
+    starts = lambda mark: F.lower("l").startswith(mark.lower())
+    upto = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    l = replies.select("id", F.posexplode(F.split("text", "\n")).alias("pos", "l")).withColumn("l", trim("l"))  # noqa: E741
+    story, feature = F.col("l").startswith("###") & has("use case", "user story"), F.col("l").startswith("###") & has("feature")
+    aim, rules = has("business purpose"), has("business rules", "validations")
+    part = F.when(story, "title").when(starts("**Trigger:**"), "role").when(starts("**Description:**"), "text").when(starts("**Key Steps:**"), "item")
+    l = (
+        l.withColumn("story", F.count_if(story).over(upto)).withColumn("feature", F.count_if(feature).over(upto)).withColumn("part", F.last(F.when(F.col("story") > 0, part), True).over(upto))
+        .withColumn("in_aim", F.count_if(aim).over(upto) > 0).withColumn("aim_over", F.count_if(F.col("in_aim") & ~aim & ((F.col("l") == "") | has("use cases", "features"))).over(upto) > 0)
+        .withColumn("in_rules", F.count_if(rules).over(upto) > 0).withColumn("rules_over", F.count_if(F.col("in_rules") & ~rules & F.col("l").startswith("##")).over(upto) > 0)
+    )
+    listed = F.col("l").rlike("^[-\u2022]")
+    rule = trim(F.regexp_replace("l", "^[-\u2022 ]+", ""))
+    rule = F.when(rule.startswith("**"), trim(F.replace(rule, F.lit("**"), F.lit("")))).otherwise(rule)
+    l = l.withColumn("rule", F.when(F.col("in_rules") & ~F.col("rules_over") & ~rules & listed & (F.length(rule) > 3), rule))  # noqa: E741
+    l = l.withColumn("rule_n", F.count("rule").over(upto))  # noqa: E741
+    entry = lambda kind, n, field, value: F.struct(F.lit(kind).alias("kind"), n.cast("bigint").alias("n"), field.alias("field"), value.alias("value"))
+    plain = (F.col("l") != "") & ~F.col("l").startswith("##")
+    said = lambda f, v: F.struct(F.lit(f).alias("f"), v.alias("v"))
+    told = (
+        F.when(story, said("title", trim(F.regexp_replace(F.replace("l", F.lit("###"), F.lit("")), "^:+|:+$", ""))))
+        .when(starts("**Trigger:**"), said("role", after("**Trigger:**")))
+        .when(starts("**Description:**"), said("text", after("**Description:**")))
+        .when(starts("**Key Steps:**"), F.lit(None))
+        .when(plain & (F.col("part") == "text") & ~F.col("l").startswith("**"), said("text", F.col("l")))
+        .when(plain & (F.col("part") == "item") & F.col("l").rlike(r"^[-0-9]"), said("item", trim(F.regexp_replace("l", r"^[-0-9. ]+", ""))))
+    )
+    shown = (
+        F.when(feature, said("title", trim(F.replace(F.replace("l", F.lit("###"), F.lit("")), F.lit("Feature:"), F.lit("")))))
+        .when(starts("Description:"), said("last", after("Description:")))
+        .when(listed, said("item", trim(F.regexp_replace("l", "^[-\u2022]+", ""))))
+    )
+    l = l.withColumn("told", F.when(F.col("story") > 0, told)).withColumn("shown", F.when(F.col("feature") > 0, shown))  # noqa: E741
+    found = F.array(
+        F.when(F.col("in_aim") & ~F.col("aim_over") & ~aim, entry("purpose", F.lit(1), F.lit("text"), F.col("l"))),
+        F.when(F.col("told").isNotNull(), entry("story", F.col("story"), F.col("told.f"), F.col("told.v"))),
+        F.when(F.col("shown").isNotNull(), entry("feature", F.col("feature"), F.col("shown.f"), F.col("shown.v"))),
+        F.when(F.col("rule").isNotNull(), entry("rule", F.col("rule_n"), F.lit("text"), F.col("rule"))),
+    )
+    e = l.select("id", "pos", F.explode(F.array_compact(found)).alias("e")).select("id", "pos", "e.*")
+    one = lambda f: F.max_by(F.when(F.col("field") == f, F.col("value")), F.when(F.col("field") == f, F.col("pos")))
+    many = lambda f: F.transform(F.array_sort(F.collect_list(F.when(F.col("field") == f, F.struct("pos", "value")))), lambda x: x["value"])
+    text = F.coalesce(one("last"), F.array_join(many("text"), " "))
+    return e.groupBy("id", "kind", "n").agg(one("title").alias("title"), one("role").alias("role"), text.alias("text"), many("item").alias("items"))
+
+
 def merged_rules(rules: DataFrame) -> DataFrame:
     """(file, chunk, pos, description) merged by description, first occurrence kept, renumbered BR-1 and on."""
     first = rules.groupBy("file", "description").agg(F.min(F.struct("chunk", "pos")).alias("at"))

@@ -39,6 +39,25 @@ _ext = f"'\\bCOPY\\s+[''\"]?({_N})[''\"]?(?:\\s+(?:OF|IN)\\s+({_N}))?'"
 text("t10_external_copies", X.external_copies, _ln + f" select file, line, regexp_extract(u, {_ext}, 1) \"name\", nullif(regexp_extract(u, {_ext}, 2), '') library from c where regexp_matches(u, {_ext})")
 text("t11_paragraph_dependencies", X.paragraph_dependencies, _cal + f", d as (select file, line, u, last_value(nullif(regexp_extract(u, '^\\s*(IDENTIFICATION|ENVIRONMENT|DATA|PROCEDURE)\\s+DIVISION', 1), '') ignore nulls) over (partition by file order by line) dv from c), q as (select distinct file, {_para} n from d where dv = 'PROCEDURE' and {_para} is not null) select distinct file, caller, callee from edges where kind = 'PERFORM' and caller <> callee and exists (select 1 from q where q.file = edges.file and q.n = callee)")
 add("t12_reply_sections", lambda m: X.reply_sections(m.chat.select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.concat(F.lit("## Rules\n- "), F.replace("message", F.lit(". "), F.lit("\n- "))).alias("text"))).select("id", "section", "pos", F.md5(F.col("item").cast("binary")).alias("h")), "with r as (select conv_id || '/' || turn id, string_split('## Rules' || chr(10) || '- ' || replace(message, '. ', chr(10) || '- '), chr(10)) t from chat), l as (select id, (i - 1)::int pos, t[i] s from (select id, t, unnest(generate_series(1, len(t))) i from r)), q as (select id, pos, s, last_value(nullif(regexp_extract(s, '^#+\\s*(.*?)\\s*$', 1), '') ignore nulls) over (partition by id order by pos) section from l) select id, section, pos, md5(regexp_extract(s, '^\\s*[-*]\\s+(.*?)\\s*$', 1)) h from q where section is not null and regexp_extract(s, '^\\s*[-*]\\s+(.*?)\\s*$', 1) <> ''")
+_entries = """with r as (select id, list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) t from replies),
+l as (select id, i, t[i] l, lower(t[i]) w from (select id, t, unnest(generate_series(1, len(t))) i from r)),
+h as (select *, starts_with(l, '###') and (contains(w, 'use case') or contains(w, 'user story')) s, starts_with(l, '###') and contains(w, 'feature') f, contains(w, 'business purpose') a, contains(w, 'business rules') or contains(w, 'validations') b from l),
+a as (select id, min(i) filter (a) a0, min(i) filter (b) b0 from h group by 1),
+e as (select h.id, min(i) filter (i > a0 and not a and (l = '' or contains(w, 'use cases') or contains(w, 'features'))) a1, min(i) filter (i > b0 and not b and starts_with(l, '##')) b1 from h join a using (id) group by 1),
+p as (select id, 'purpose' kind, 1 n, string_agg(l, ' ' order by i) as text from h join a using (id) join e using (id) where i > a0 and i < coalesce(a1, 1 << 30) and not a group by 1),
+u as (select id, i, trim(ltrim(l, '-• '), ' ') x from h join a using (id) join e using (id) where i > b0 and i < coalesce(b1, 1 << 30) and not b and (starts_with(l, '-') or starts_with(l, '•'))),
+v as (select id, i, case when starts_with(x, '**') then trim(replace(x, '**', '')) else x end x from u),
+q as (select id, 'rule' kind, row_number() over (partition by id order by i) n, x as text from v where length(x) > 3),
+g as (select *, count(*) filter (s) over o sn, count(*) filter (f) over o fn from h window o as (partition by id order by i rows unbounded preceding)),
+k as (select *, last_value(case when s then 'title' when starts_with(w, '**trigger:**') then 'role' when starts_with(w, '**description:**') then 'text' when starts_with(w, '**key steps:**') then 'item' end ignore nulls) over (partition by id order by i rows unbounded preceding) part from g where sn > 0),
+st as (select id, sn n, i, case when s then 'title' when starts_with(w, '**trigger:**') then 'role' when starts_with(w, '**description:**') then 'text' when starts_with(w, '**key steps:**') or l = '' or starts_with(l, '##') then null when part = 'text' and not starts_with(l, '**') then 'text' when part = 'item' and regexp_matches(l, '^[-0-9]') then 'item' end c,
+  case when s then trim(trim(replace(l, '###', ''), ':')) when starts_with(w, '**trigger:**') then trim(replace(l, '**Trigger:**', '')) when starts_with(w, '**description:**') then trim(replace(l, '**Description:**', '')) when part = 'item' then trim(ltrim(l, '-0123456789. ')) else l end x from k),
+ft as (select id, fn n, i, case when f then 'title' when starts_with(w, 'description:') then 'text' when starts_with(l, '-') or starts_with(l, '•') then 'item' end c,
+  case when f then trim(replace(replace(l, '###', ''), 'Feature:', '')) when starts_with(w, 'description:') then trim(replace(l, 'Description:', '')) else trim(ltrim(l, '-•')) end x from g where fn > 0)
+select id, kind, n::bigint n, null title, null as role, text, '' items from (select * from p union all select * from q)
+union all select id, 'story', n, max(x) filter (c = 'title'), arg_max(x, i) filter (c = 'role'), coalesce(string_agg(x, ' ' order by i) filter (c = 'text'), ''), coalesce(string_agg(x, '|' order by i) filter (c = 'item'), '') from st where c is not null group by id, n
+union all select id, 'feature', n, max(x) filter (c = 'title'), null, coalesce(arg_max(x, i) filter (c = 'text'), ''), coalesce(string_agg(x, '|' order by i) filter (c = 'item'), '') from ft where c is not null group by id, n"""
+add("t12_reply_entries", lambda m: X.reply_entries(m.replies).withColumn("items", F.array_join("items", "|")), _entries)
 add("t13_merged_rules", lambda m: X.merged_rules(m.copies.select(F.col("program").alias("file"), (F.col("id") % 7).alias("chunk"), F.col("id").alias("pos"), F.col("copybook").alias("description"))), "with f as (select program file, copybook description, min(row(id % 7, id)) first_at from copies group by 1, 2) select file, 'BR-' || row_number() over (partition by file order by first_at, description) as rule, description from f")
 _MESSAGES = ['Analyzing COBOL file: {f}.cbl', 'Analysis progress: 3 of 9 - {f}.cbl', 'File {f}.cbl has 12 lines', 'Extracting business logic from: {f}.cbl', 'Processing chunk 2 of source {f}.cbl', 'Chunk 1 of 4 done for {f}.cbl', 'Converting {f}.cbl', 'Converting to Java now: {f}.cbl', 'Saving output {f}.java', 'Wrote {f}.cs', 'nothing about {f}.cbl']
 _message = "case id % 11 " + " ".join(f"when {i} then '" + x.replace("{f}", "' || {0} || '") + "'" for i, x in enumerate(_MESSAGES)) + " end"

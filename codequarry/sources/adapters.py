@@ -92,6 +92,14 @@ class Model:
             text = F.replace(text, F.lit(f" {word} "), F.lit(statement))
         return self.files.join(self.table("documents").select(F.col("doc_id").alias("id"), text.alias("code")), "id").select(F.col("file_name").alias("file"), F.col("code").alias("content"))
 
+    @property
+    def replies(self) -> DataFrame:
+        """All documents as Markdown replies: some frequent words stand for headings and list items."""
+        text = F.col("text")
+        for word, mark in MARKS:
+            text = F.replace(text, F.lit(f" {word} "), F.lit(mark))
+        return self.table("documents").select(F.col("doc_id").alias("id"), text.alias("text"))
+
     @property
     def spans(self) -> DataFrame:
         """Runs with their time span among the events; some have no end."""
@@ -109,14 +117,24 @@ STATEMENTS = (
     ("in", "\n           EXEC SQL SELECT A FROM "), ("to", " END-EXEC\n           "), ("it", "\n       PROCEDURE DIVISION.\n       "), ("that", "\n       MAIN-PARA.\n           GO TO "), ("on", "\n           EXEC CICS LINK PROGRAM('ABC') END-EXEC\n"),
     ("de", "\n           PERFORM "), ("la", "\n       COPY "), ("que", "\n       DATA DIVISION.\n       WORKING-STORAGE SECTION.\n       "), ("der", "\n       COPY "), ("die", "\n           CALL '"), ("und", "' END-EXEC\n       LOOK-UP SECTION.\n       "), ("en", "\n           OPEN INPUT "), ("et", "\n      *"),
 )
+#: What stands for a frequent word in ``replies``.
+MARKS = (
+    ("the", "\n- "), ("of", "\n### Use Case: "), ("and", "\n**Description:** "), ("in", "\n**Key Steps:**\n2. "), ("is", "\n### Feature: "), ("to", "\n**Trigger:** "),
+    ("that", "\n## Business Rules\n- "), ("was", "\nDescription: "), ("it", "\n\n## Other\n"), ("for", "\nBusiness Purpose\n"), ("de", "\n- "), ("la", "\n### User Story "),
+    ("que", "\n**Key Steps:**\n1. "), ("der", "\n### Feature "), ("die", "\n## Validations\n- **"), ("und", "\n**Description:** "), ("en", "\n**Trigger:** "), ("el", "\n**Description:** "),
+)
 _quoted = lambda t: " || chr(10) || ".join("'" + x.replace("'", "''") + "'" for x in t.split("\n"))
 _code = "regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g')"
 for _word, _statement in STATEMENTS:
     _code = f"replace({_code}, ' {_word} ', {_quoted(_statement)})"
+_reply = "text"
+for _word, _mark in MARKS:
+    _reply = f"replace({_reply}, ' {_word} ', {_quoted(_mark)})"
 
 #: The same views for DuckDB.
 CTES = {
     "sources": f"select 'doc_' || doc_id || case when lang <> 'en' then '.cpy' else '.cbl' end file, {_code} as content from documents",
+    "replies": f"select doc_id id, {_reply} as text from documents",
     "spans": "select *, case when run % 1000 <> 0 then s + interval 30 minute end e from (select o_orderkey run, timestamp '2024-01-01' + to_minutes((o_orderkey * 37 % 43200)::bigint) s from orders)",
     "runs": "select o_orderkey id, o_orderdate started_at, case when o_orderstatus = 'F' then o_orderdate + interval 2 hour end completed_at, case o_orderstatus when 'O' then 'Running' when 'F' then 'Completed' else 'Failed' end status, case o_orderkey % 3 when 0 then 'java-out' when 1 then 'CSharp/out' else 'output' end java_output, case when o_orderkey % 7 <> 0 then 'run ' || o_orderkey || ' done' end notes from orders",
     "files": "select doc_id id, doc_id % 10 run_id, 'doc_' || doc_id || case when lang <> 'en' then '.cpy' else '.cbl' end file_name, 'src/' || source || '/doc_' || doc_id || case when lang <> 'en' then '.cpy' else '.cbl' end file_path, lang <> 'en' is_copybook, text as content from documents",

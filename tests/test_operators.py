@@ -227,3 +227,36 @@ def test_signatures_compare_parameters_by_place(spark):
     assert tuples(issues, "id") == [(1, "Parameter[1].Type", "String", "int", "Error"), (2, "ParameterCountMismatch", "2", "1", "Critical")]
     ok = V.unflagged(uses, issues)
     assert tuples(V.consistency(ok, ok.limit(0), spark.createDataFrame([(2, True)], "run_id int, ok boolean")), "run_id") == [(1, 50.0, 100.0, 100.0), (2, 100.0, 100.0, 100.0)]
+
+
+def test_reply_entries(spark):
+    text = """## Business Purpose
+Pays the
+staff.
+
+### Use Case 1: Pay:
+**Trigger:** Month end
+**Description:** Sum hours
+and pay.
+**Key Steps:**
+1. Read
+- Write
+note
+### Feature: Payroll
+Description: First
+Description: Last
+- step
+## Business Rules
+- **Hours** are positive
+- no
+• Rates exist
+## Notes
+- not a rule"""
+    rows = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "### Nothing\n- x")], "id int, text string")
+    assert sorted((r.kind, r.n, r.title, r.role, r.text, r["items"]) for r in X.reply_entries(rows).collect()) == [
+        ("feature", 1, "Payroll", None, "Last", ["step", "**Hours** are positive", "no", "Rates exist", "not a rule"]),
+        ("purpose", 1, None, None, "Pays the staff.", []),
+        ("rule", 1, None, None, "Hours are positive", []),
+        ("rule", 2, None, None, "Rates exist", []),
+        ("story", 1, "Use Case 1: Pay", "Month end", "Sum hours and pay.", ["Read", "Write", "step", "**Hours** are positive", "no", "not a rule"]),
+    ]
