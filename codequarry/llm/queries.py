@@ -91,6 +91,17 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(read(spark, sf_dir, "pages"))
 
 
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from codequarry.llm.chat import TRICKY, formatted, read_back
+    from codequarry.llm.shared import stored
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    added = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], "conv_id bigint, turn bigint, role string, text string")
+    return read_back(stored(formatted(read(spark, sf_dir, "conversations").select(*added.columns).union(added), path)), path)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_warc": op1_warc,
@@ -103,10 +114,11 @@ def queries() -> dict[str, Query]:
         "op8_leaks": op8_leaks,
         "op9_quality": op9_quality,
         "op10_urls": op10_urls,
+        "op13_chat": op13_chat,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from codequarry.llm import quality, sharding, warc
+    from codequarry.llm import chat, quality, sharding, warc
 
-    return {"op1_warc": warc.SQL, "op4_sharding": sharding.SQL, "op9_quality": quality.SQL}
+    return {"op1_warc": warc.SQL, "op4_sharding": sharding.SQL, "op9_quality": quality.SQL, "op13_chat": chat.SQL}
