@@ -91,6 +91,12 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(read(spark, sf_dir, "pages"))
 
 
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codequarry.llm.trie import nodes, rebuilt, sequences
+
+    return nodes(rebuilt(sequences(read(spark, sf_dir, "conversations"))))
+
+
 def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -114,11 +120,12 @@ def queries() -> dict[str, Query]:
         "op8_leaks": op8_leaks,
         "op9_quality": op9_quality,
         "op10_urls": op10_urls,
+        "op12_trie": op12_trie,
         "op13_chat": op13_chat,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from codequarry.llm import chat, quality, sharding, warc
+    from codequarry.llm import chat, quality, sharding, trie, warc
 
-    return {"op1_warc": warc.SQL, "op4_sharding": sharding.SQL, "op9_quality": quality.SQL, "op13_chat": chat.SQL}
+    return {"op1_warc": warc.SQL, "op4_sharding": sharding.SQL, "op9_quality": quality.SQL, "op12_trie": trie.SQL, "op13_chat": chat.SQL}
