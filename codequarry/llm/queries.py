@@ -91,6 +91,15 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(read(spark, sf_dir, "pages"))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codequarry.llm.negatives import hard_negatives, usable
+
+    rows = read(spark, sf_dir, "embeddings").where(usable(F.col("embedding")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = rows.select(F.col("vec_id").alias("id"), label.alias("label"), F.transform("embedding", lambda x: F.floor(256 * x.cast("double"))).alias("v"))
+    return hard_negatives(vectors, F.col("id") % 100 == 0)
+
+
 def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codequarry.llm.trie import nodes, rebuilt, sequences
 
@@ -120,12 +129,13 @@ def queries() -> dict[str, Query]:
         "op8_leaks": op8_leaks,
         "op9_quality": op9_quality,
         "op10_urls": op10_urls,
+        "op11_negatives": op11_negatives,
         "op12_trie": op12_trie,
         "op13_chat": op13_chat,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from codequarry.llm import chat, quality, sharding, trie, warc
+    from codequarry.llm import chat, negatives, quality, sharding, trie, warc
 
-    return {"op1_warc": warc.SQL, "op4_sharding": sharding.SQL, "op9_quality": quality.SQL, "op12_trie": trie.SQL, "op13_chat": chat.SQL}
+    return {"op1_warc": warc.SQL, "op4_sharding": sharding.SQL, "op9_quality": quality.SQL, "op11_negatives": negatives.SQL, "op12_trie": trie.SQL, "op13_chat": chat.SQL}
