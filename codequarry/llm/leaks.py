@@ -1,7 +1,8 @@
 """Benchmark passages in documents, by the q-gram lemma.
 
-An occurrence of an item of m bytes with at most e edits keeps at least
-(m - q + 1) - q * e of the item's q-grams, all on diagonals (place in the text
+An occurrence of an item of m characters with at most e edits keeps at least
+(m - q + 1) - q * e of the item's q-grams. With q = min(8, m // (e + 1)) that is at
+least 1, so items of any length are found. The q-grams kept are all on diagonals (place in the text
 less place in the item) at most e to either side of the occurrence's own. Shared
 q-grams are counted in diagonal bands of width 2 * (2e + 1) that overlap by half,
 so one band holds all of them. Bands that reach the bound are verified by
@@ -27,10 +28,11 @@ from pyspark.sql.pandas.types import to_arrow_type
 from codequarry.llm.shared import without
 from codequarry.llm.textscan import mix64
 
-Q = 8
+#: Characters of the longest q-grams.
+MOST_Q = 8
 _BITS = 20
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
-_ODD = mix64(np.arange(1, Q + 1, dtype=np.uint64)) | np.uint64(1)
+_ODD = mix64(np.arange(1, MOST_Q + 1, dtype=np.uint64)) | np.uint64(1)
 #: Most bytes of items that are broadcast together; more items are searched in several passes.
 BLOCK_BYTES = 8_000_000
 #: Characters of text that are worked on at a time (a longer text stands alone), and pairs of places looked at together.
@@ -47,28 +49,29 @@ def plain(text: str) -> np.ndarray:
     return np.where(out < 128, _FOLD[np.minimum(out, 127)], out)
 
 
-def _codes(buf: np.ndarray) -> np.ndarray:
+def _codes(buf: np.ndarray, q: int) -> np.ndarray:
     """A hash of the q characters from each place."""
-    n = max(0, len(buf) - Q + 1)
+    n = max(0, len(buf) - q + 1)
     out = np.zeros(n, dtype=np.uint64)
-    for r in range(Q):
+    for r in range(q):
         out += buf[r : r + n].astype(np.uint64) * _ODD[r]
     return out
 
 
 @dataclass
 class Items:
-    """The benchmark's q-grams: distinct codes with the items and places they come from."""
+    """The q-grams of items of one q: distinct codes with the items and places they come from."""
 
     ids: list
     texts: list[np.ndarray]
     rate: float
+    q: int
 
     def build(self) -> Items:
         size = np.array([len(t) for t in self.texts], dtype=np.int64)
         self.size, self.edits = size, np.floor(size * self.rate).astype(np.int64)
-        self.least = size - Q + 1 - Q * self.edits
-        codes = [_codes(t) for t in self.texts]
+        self.least = size - self.q + 1 - self.q * self.edits
+        codes = [_codes(t, self.q) for t in self.texts]
         flat = np.concatenate([*codes, np.zeros(0, np.uint64)])
         item = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
         place = np.concatenate([*[np.arange(len(c)) for c in codes], np.zeros(0, np.int64)])
@@ -80,6 +83,17 @@ class Items:
         return self
 
 
+def by_length(ids: list, texts: list[str], rate: float) -> list[Items]:
+    """The items, together where they have the same q. Empty ones are left out."""
+    groups: dict[int, tuple[list, list]] = {}
+    for i, t in zip(ids, map(plain, texts)):
+        if len(t):
+            same = groups.setdefault(min(MOST_Q, len(t) // (int(np.floor(len(t) * rate)) + 1)), ([], []))
+            same[0].append(i)
+            same[1].append(t)
+    return [Items(*same, rate, q).build() for q, same in groups.items()]
+
+
 def _banded(item: np.ndarray, text: np.ndarray, low: int, width: int, most: int) -> tuple[int, int, int] | None:
     """Best occurrence of ``item`` in ``text`` on diagonals low .. low + width: (edits, start, end), if edits <= most.
 
@@ -143,7 +157,7 @@ def _bands(hits: np.ndarray, at: np.ndarray, row: np.ndarray, off: np.ndarray, i
     count = int(band.max()) + 2 if len(band) else 1
     key = (np.repeat(local, many) * len(items.ids) + item) * count + band
     key, place = np.concatenate((key, key - 1)), np.tile(place, 2)
-    least = np.maximum(items.least, 1)
+    least = items.least
     _, which, counts = np.unique(key, return_inverse=True, return_counts=True)
     some = counts[which] >= least[key // count % len(items.ids)]
     key, place = key[some], place[some]  # of the rest, count each place of the item once
@@ -161,16 +175,16 @@ def regions(texts: list[np.ndarray], items: Items):
     """(row, item, start, end, edits) of the occurrences in some texts (see ``plain``), in characters of the text."""
     off = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
     buf = np.concatenate([*texts, np.zeros(0, np.uint32)])
-    codes = _codes(buf)
+    codes = _codes(buf, items.q)
     hits = np.flatnonzero(items.table[(codes * _SPREAD) >> np.uint64(64 - _BITS)])
     at = np.minimum(np.searchsorted(items.codes, codes[hits]), len(items.codes) - 1)
     same = items.codes[at] == codes[hits]
     hits, at = hits[same], at[same]
     row = np.searchsorted(off, hits, side="right") - 1
-    inside = hits + Q <= off[row + 1]
+    inside = hits + items.q <= off[row + 1]
     hits, at, row = hits[inside], at[inside], row[inside]
     bands = set()
-    for a, b in _stretches(hits, row, items.count[at], int((items.size + items.edits).max()) + Q):
+    for a, b in _stretches(hits, row, items.count[at], int((items.size + items.edits).max()) + items.q):
         bands.update(zip(*_bands(hits[a:b], at[a:b], row[a:b], off, items)))
     found: dict[tuple[int, int], list] = {}
     for r, i, b in sorted(bands):
@@ -218,15 +232,17 @@ def _slices(texts: list[str | None]):
 def occurrences(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08) -> DataFrame:
     """doc_id, fp, item_id, start, end (code points), edits: each benchmark item found in each document.
 
-    ``rate`` must be under 1 / 8 for the lemma's bound to be positive. Items of
-    fewer than 8 characters and null items match nothing; null texts hold nothing. Rows
-    repeat as documents and items do. The items are broadcast in blocks of at most
-    BLOCK_BYTES, one pass over the documents for each block.
+    An item of m characters is found wherever a text has it with at most
+    floor(``rate`` * m) edits, so short ones exactly; of occurrences that overlap the one of
+    fewest edits is given, of equal edits the first. Null and empty items match nothing;
+    null and empty texts hold nothing; a text may be of any length. Rows repeat as
+    documents and items do; an empty table on either side gives no row. The items are
+    broadcast in blocks of at most BLOCK_BYTES, one pass over the documents for each block.
     """
-    if not 0 <= rate < 1 / Q:
-        raise ValueError("rate must be at least 0 and under 1/8")
+    if not 0 <= rate < 0.5:
+        raise ValueError("rate must be at least 0 and under 0.5")
     spark = docs.sparkSession
-    usable = benchmark.where(F.length("text") >= Q).select("item_id", "text")
+    usable = benchmark.where(F.length("text") > 0).select("item_id", "text")
     total = usable.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-2 * total // BLOCK_BYTES)) if total > BLOCK_BYTES else 1
     kinds = [docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()]
@@ -239,12 +255,12 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08) -> Da
 
         def run(batches, sent=sent):
             ids, texts = sent.value
-            items = Items(ids, [plain(t) for t in texts], rate).build()
+            groups = by_length(ids, texts, rate)
             for batch in batches:
                 found = []
-                if len(items.codes):
+                if groups:
                     for first, some in _slices(batch.column(2).to_pylist()):
-                        found += [(first + r, items.ids[i], a, b, e) for r, i, a, b, e in regions(some, items)]
+                        found += [(first + r, items.ids[i], a, b, e) for items in groups for r, i, a, b, e in regions(some, items)]
                 take = pa.array([f[0] for f in found], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array([f[1] for f in found], item_type), *[pa.array([f[i] for f in found], t) for i, t in ((2, pa.int64()), (3, pa.int64()), (4, pa.int32()))]], names=["doc_id", "fp", "item_id", "start", "end", "edits"])
 

@@ -429,13 +429,31 @@ def test_leaks_like_brute_force(spark):
     assert leaks.occurrences(df, bench.where("false")).count() == 0 and leaks.occurrences(df.where("false"), bench).count() == 0
 
 
+@pytest.mark.parametrize("rate", [0.08, 0.124, 0.3])
+def test_leaks_of_any_length_with_an_edit_anywhere(rate):
+    rng = random.Random(4)
+    for m in range(1, 31):
+        item = "".join(rng.choice("abcdefghij") for _ in range(m))
+        groups = leaks.by_length([m], [item], rate)
+        allowed = int(np.floor(m * rate))
+        changed = [item]
+        for i in range(m):
+            changed += [item[:i] + "#" + item[i + 1 :], item[:i] + item[i + 1 :], item[:i] + "#" + item[i:]]
+        for t in changed:
+            text = f"xyxyx {t} yxyxy"
+            found = [r for g in groups for r in leaks.regions([leaks.plain(text)], g)]
+            true = edits(item, text)
+            assert bool(found) == (true <= allowed), (item, t)
+            assert not found or min(f[4] for f in found) == true
+
+
 def test_leaks_of_a_large_benchmark_in_bounded_memory(spark, monkeypatch):
     import tracemalloc
 
     rng = random.Random(12)
     common = words(rng, 60, 40)
     items = [leaks.plain(f"{common[rng.randrange(100):][:50]} item {i} {words(rng, 25)}") for i in range(3000)]
-    built = leaks.Items(list(range(3000)), items, 0.08).build()
+    (built,) = leaks.by_length(list(range(3000)), ["".join(map(chr, x)) for x in items], 0.08)
     texts = [leaks.plain((common + " ") * 40 + "".join(map(chr, items[i])) + (" " + common) * 40) for i in (5, 1700)]
     monkeypatch.setattr(leaks, "HITS", 200_000)
     tracemalloc.start()
