@@ -4,8 +4,8 @@ Built-in functions only. Patterns give the base spans. For every protected
 entity (a value found by a pattern, and each kind as a whole) the information
 content is IC(e) = log2(N / df(e)) over all N documents. A term discloses
 PMI(t; e) / IC(e) of the entity, with PMI(t; e) = log2(N * df(t, e) / (df(t) * df(e))):
-1 if the term never occurs without the entity. df(t, e) counts whole documents
-that hold both, wherever the term stands outside the base spans. Terms whose
+1 if the term never occurs without the entity. df(t) and df(t, e) count whole
+documents, in which the term may stand anywhere outside the base spans. Terms whose
 disclosure reaches ``generalise`` are replaced by a placeholder, those that reach
 ``remove`` are taken out, at every place in every document that holds the entity.
 
@@ -183,14 +183,16 @@ def _marked(masked: Column, risky: Column) -> Column:
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) with the base spans and, where there are any, their entities and the masked text; one row per document, stored."""
+    """(doc_id, fp) with the base spans and, where there are any, their entities, the masked text and the words it has no more; one row per document, stored."""
     text = F.coalesce(F.col("text"), F.lit(""))
     df = docs.select("doc_id", text.alias("text"), F.xxhash64("text").alias("fp")).withColumn("base", base_spans(F.col("text")))
     entity = lambda s, value: F.struct(s["kind"].alias("kind"), value.alias("value"))
     each = F.transform("base", lambda s: entity(s, F.xxhash64(s["found"])))
     kinds = F.transform("base", lambda s: entity(s, F.lit(0).cast("bigint")))
     masked = F.when(F.size("base") > 0, _masked(F.col("text"), F.col("base")))
-    return stored(df.select("doc_id", "fp", F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))).alias("base"), F.array_distinct(F.concat(kinds, each)).alias("entities"), masked.alias("masked")))
+    df = df.select("doc_id", "fp", "text", F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))).alias("base"), F.array_distinct(F.concat(kinds, each)).alias("entities"), masked.alias("masked"))
+    hidden = F.when(F.col("masked").isNotNull(), F.array_except(_terms(F.col("text"), _WORD), _terms(F.col("masked"), _CLEAR)))
+    return stored(df.select("doc_id", "fp", "base", "entities", "masked", hidden.alias("hidden")))
 
 
 def disclosing(docs: DataFrame, base: DataFrame, generalise: float = 0.75, remove: float = 0.95, support: int = 3) -> DataFrame:
@@ -202,12 +204,15 @@ def disclosing(docs: DataFrame, base: DataFrame, generalise: float = 0.75, remov
     held = entities.join(df_e, "entity").groupBy("doc_id", "fp").agg(F.collect_list(F.struct("entity", "df_e")).alias("held")).select(F.col("doc_id").alias("d"), F.col("fp").alias("f"), "held")
     terms = stored(sides.join(held, sides.doc_id.eqNullSafe(held.d) & (sides.fp == held.f)).select("doc_id", "fp", "held", F.explode(_terms(F.col("masked"), _CLEAR)).alias("term")))
     wanted = stored(terms.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= support).select("term"))
-    words = docs.select(F.explode(_terms(F.col("text"), _WORD)).alias("term"))
+    # in how many documents a term stands outside base spans: all that hold it less those where it stands in spans only
+    words = docs.select(F.explode(_terms(F.col("text"), _WORD)).alias("term"), F.lit(1).alias("n")).union(base.where(F.size("hidden") > 0).select(F.explode("hidden").alias("term"), F.lit(-1).alias("n")))
     if wanted.count() <= SMALL_TERMS:  # few enough to drop other words before they are dealt
         words = words.join(F.broadcast(wanted), "term", "left_semi")
-    df_t = words.groupBy("term").agg(F.count("*").alias("df_t")).join(wanted, "term", "left_semi")
-    can = lambda x: F.log2("df_t") <= (1 - generalise) * F.log2(F.lit(float(n))) + generalise * F.log2(x["df_e"]) + 1e-6
-    pairs = terms.join(df_t, "term").select("doc_id", "fp", "term", "df_t", F.explode(F.filter("held", can)).alias("x")).select("doc_id", "fp", "term", "df_t", "x.entity", "x.df_e")
+    can = lambda of: F.log2("df_t") <= (1 - generalise) * F.log2(F.lit(float(n))) + generalise * F.log2(of) + 1e-6
+    most = df_e.agg(F.max("df_e")).first()[0] or 1
+    # without the terms that no entity can pass; stored, so that the join may split a frequent term
+    df_t = stored(words.groupBy("term").agg(F.sum("n").alias("df_t")).where(can(F.lit(float(most)))).join(wanted, "term", "left_semi"))
+    pairs = terms.join(df_t, "term").select("doc_id", "fp", "term", "df_t", F.explode(F.filter("held", lambda x: can(x["df_e"]))).alias("x")).select("doc_id", "fp", "term", "df_t", "x.entity", "x.df_e")
     pairs = stored(pairs)
     df_te = pairs.groupBy("term", "entity").agg(F.count("*").alias("df_te"), F.first("df_t").alias("df_t"), F.first("df_e").alias("df_e")).where(F.col("df_te") >= support)
     bits = F.log2(F.lit(float(n)) * F.col("df_te") / (F.col("df_t") * F.col("df_e"))) / F.log2(F.lit(float(n)) / F.col("df_e"))
