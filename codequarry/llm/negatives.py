@@ -160,7 +160,7 @@ class Index:
         found = self.blocks.groupBy("interval").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")).orderBy("interval").toPandas()
         self.intervals = {"interval": found["interval"].to_numpy(np.int64), "pivot": owner[found["interval"].to_numpy(np.int64)], "low": found["low"].to_numpy(), "high": found["high"].to_numpy(), "n": found["n"].to_numpy()}
 
-    def search(self, queries: DataFrame, same: bool, k: int, chunk: int = 1024, first: int = 16_384) -> DataFrame:
+    def search(self, queries: DataFrame, same: bool, k: int, chunk: int = 1024, first: int = 2048) -> DataFrame:
         """(qid, band, score, id, cid): the first k rows of each band of each query, highest scores first, ties by id.
 
         ``queries`` are (qid, label, v, lows, highs): a band takes scores from its low to
@@ -239,7 +239,7 @@ class Index:
             found, wanted = found.drop("r"), wanted * 8
 
 
-def hard_negatives(vectors: DataFrame, anchor: Column, positives: int = 5, negatives: int = 10, low: int = 30, high: int = 90, pivots: int = 64, cuts: int = 64, block: int = 4096, sample: int = 4096, first: int = 16_384) -> DataFrame:
+def hard_negatives(vectors: DataFrame, anchor: Column, positives: int = 5, negatives: int = 10, low: int = 30, high: int = 90, pivots: int = 64, cuts: int = 64, block: int = 4096, sample: int = 4096, first: int = 2048) -> DataFrame:
     """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score) of vectors (id, label, v: array of bigint).
 
     Rows of which ``anchor`` holds are anchors. Their positives are the first
