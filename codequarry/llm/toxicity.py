@@ -178,30 +178,42 @@ def fit(found: list[np.ndarray], labels: np.ndarray, least: int = 2, away: float
     return machine(alone | joint) if (joint & ~alone).any() else first
 
 
-def trained(docs: DataFrame, labels: DataFrame, sample: int = 8000, longest: int = 20_000, **settings) -> Machine:
+def trained(docs: DataFrame, labels: DataFrame, sample: int = 8000, **settings) -> Machine:
     """Fit on at most ``sample`` labelled doc_ids, those of least hash; null texts and labels are left out.
 
-    ``labels`` has doc_id and toxic. Only the hashed terms of the sample reach the
-    driver, of each doc_id those of one text and at most ``longest``: a text of
-    more distinct terms is scored, but not fitted on.
+    ``labels`` has doc_id and toxic; of a doc_id with several labels the largest
+    counts, of one with several texts the text of least hash, whatever its length.
+    Terms are brought together by their hash before the driver sees them, and only
+    those of enough texts go there, as numbers of texts: a term of a single text
+    can't enter the dictionary. So the driver holds the sample's repeated terms, not
+    its texts. Texts without such terms, and an empty table, add nothing.
     """
+    spark = docs.sparkSession
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded, so small enough to broadcast
+    rows = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", F.col("toxic").cast("int").alias("toxic")).collect()
+    labels_of = np.array([r.toxic for r in rows], dtype=float)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    chosen = F.broadcast(spark.createDataFrame([(r.doc_id, i) for i, r in enumerate(rows)], f"doc_id {kind}, text_no int"))  # of bounded size
+    texts = docs.where("text is not null").select("doc_id", "text").join(chosen, "doc_id").select("text_no", F.xxhash64("text").alias("fp"), "text")
+    one = texts.groupBy("text_no").agg(F.min("fp").alias("fp"))
+    texts = texts.join(F.broadcast(one), ["text_no", "fp"]).select("text_no", "text")
 
     def run(batches):
         for batch in batches:
-            found = [f if len(f) <= longest else f[:0] for f in hashed_terms(batch.column(2))]
+            found = list(hashed_terms(batch.column(1)))
             off = np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int32)
             terms = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), terms], names=["doc_id", "toxic", "terms"]).filter(pa.array([len(f) > 0 for f in found], pa.bool_()))
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
-    rows = rows.mapInArrow(run, f"doc_id {kind}, toxic int, terms array<bigint>")
-    rows = rows.groupBy("doc_id").agg(F.min(F.struct("toxic", "terms")).alias("r")).orderBy("doc_id").select("r.*").toArrow()
-    terms = rows.column("terms").combine_chunks()
-    off, flat = terms.offsets.to_numpy(), terms.values.to_numpy().view(np.uint64)
-    return fit([flat[a:b] for a, b in zip(off, off[1:])], rows.column("toxic").to_numpy().astype(float), **settings)
+            yield pa.RecordBatch.from_arrays([batch.column(0), terms], names=["text_no", "terms"])
+
+    each = texts.mapInArrow(run, "text_no int, terms array<bigint>").select("text_no", F.explode("terms").alias("term"))
+    holders = each.groupBy("term").agg(F.array_sort(F.collect_set("text_no")).alias("held")).where(F.size("held") >= settings.get("least", 2)).toArrow()
+    held = holders.column("held").combine_chunks()
+    term = np.repeat(holders.column("term").to_numpy().view(np.uint64), held.value_lengths().to_numpy()) if len(holders) else np.zeros(0, np.uint64)
+    text = held.flatten().to_numpy() if len(holders) else np.zeros(0, np.int64)
+    order = np.lexsort((term, text))
+    term, text = term[order], text[order]
+    numbers, first = np.unique(text, return_index=True)
+    return fit(np.split(term, first[1:]) if len(numbers) else [], labels_of[numbers], **settings)
 
 
 def scored(docs: DataFrame, machine: Machine) -> DataFrame:
