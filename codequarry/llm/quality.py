@@ -13,7 +13,11 @@ STOP_WORDS = (
     "el los las del que y en un una por con para es se no su como lo"
 ).split()
 
-#: metric, comparison that a kept text satisfies, threshold.
+#: Letters of those languages.
+LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ\u00e0\u00e2\u00e4\u00e1\u00e7\u00e9\u00e8\u00ea\u00eb\u00ed\u00ee\u00ef\u00f1\u00f3\u00f4\u00f6\u0153\u00f9\u00fa\u00fb\u00fc\u00df\u00c0\u00c2\u00c4\u00c1\u00c7\u00c9\u00c8\u00ca\u00cb\u00cd\u00ce\u00cf\u00d1\u00d3\u00d4\u00d6\u0152\u00d9\u00da\u00db\u00dc"
+#: metric, comparison that a kept text satisfies, threshold; with a fourth entry, for texts only in which that measure holds.
+#: Running text of the listed languages has at least 10 stop words in 100 here, so one with fewer than 2 is a list or a
+#: heap of words. A text of another language has none either, so the rule asks first whether the letters are theirs.
 RULES = (
     ("n_words", ">=", 50),
     ("repeat_word_ratio", "<=", 0.5),
@@ -22,9 +26,8 @@ RULES = (
     ("symbol_ratio", "<=", 0.05),
     ("dup_line_ratio", "<=", 0.5),
     ("stop_word_ratio", "<=", 0.8),
+    ("stop_word_ratio", ">=", 0.02, "listed_letters"),
 )
-#: For corpora of the listed languages only: running text has stop words. A text of another language has none and would go.
-LISTED_LANGUAGES = (*RULES, ("stop_word_ratio", ">=", 0.02))
 
 _SPACE = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
@@ -35,18 +38,21 @@ def _less(text: Column, chars: str) -> Column:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """``docs`` (text) with the measures of each whole text added; columns of these names are replaced.
+    """``docs`` (text) with the measures of each whole text added; columns of these names, and _words, _lines, _h, _w and _twice, are replaced.
 
     Words are runs of characters other than 0x20 and 0x09-0x0D. n_repeat_words
     counts words inside a 3-word window that the text holds at least twice:
     windows are compared by 64-bit hashes, the places of the repeated ones are
-    sorted, and the union of their words is counted. A null text counts as empty
-    and has 0 in every measure.
+    sorted, and the union of their words is counted. n_e are the letters e of any
+    case and accent, n_other letters that the listed languages don't have. A null text
+    counts as empty and has 0 in every measure; rows repeat as those of ``docs``; an
+    empty table gives an empty one.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     df = docs.withColumn("_words", F.array_remove(F.split(F.translate(text, _SPACE, " " * 6), " "), ""))
     df = df.withColumn("n_words", F.size("_words").cast("long"))
     df = df.withColumn("word_chars", _less(text, _SPACE).cast("long")).withColumn("n_symbols", (F.length(text) - _less(text, _SYMBOLS)).cast("long"))
+    df = df.withColumn("n_e", (F.length(text) - _less(text, "eE\u00e9\u00e8\u00ea\u00eb\u00c9\u00c8\u00ca\u00cb")).cast("long")).withColumn("n_other", F.length(F.regexp_replace(text, rf"[\P{{L}}{LETTERS}]+", "")).cast("long"))
     df = df.withColumn("_lines", F.filter(F.split(text, "\n"), lambda x: F.translate(x, _SPACE, "") != ""))
     df = df.withColumn("n_lines", F.size("_lines").cast("long")).withColumn("n_dup_lines", F.size("_lines").cast("long") - F.size(F.array_distinct("_lines")))
     df = df.withColumn("n_stop_words", F.size(F.filter("_words", lambda w: F.lower(w).isin(*dict.fromkeys(STOP_WORDS)))).cast("long"))
@@ -77,9 +83,12 @@ def compiled(rules=RULES) -> Column:
         "symbol_ratio": _ratio(F.col("n_symbols"), F.col("word_chars")),
         "dup_line_ratio": _ratio(F.col("n_dup_lines"), F.col("n_lines")),
     }
+    # nearly all letters are those of the listed languages, and as many of them e as in each of those (11 to 17 in 100)
+    only_for = {"listed_letters": (50 * F.col("n_other") <= F.col("word_chars")) & (12 * F.col("n_e") >= F.col("word_chars"))}
     verdict = F.lit(True)
-    for metric, sign, bound in rules:
-        verdict = verdict & (metrics[metric] >= bound if sign == ">=" else metrics[metric] <= bound)
+    for metric, sign, bound, *when in rules:
+        holds = metrics[metric] >= bound if sign == ">=" else metrics[metric] <= bound
+        verdict = verdict & (~only_for[when[0]] | holds if when else holds)
     return verdict
 
 
@@ -108,10 +117,12 @@ c as (select rid, count(distinct p) n from (select rid, i + unnest([0, 1, 2]) p
 m as (select doc_id, len(ws)::bigint n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g'))::bigint word_chars,
   (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint n_symbols,
   len(ls)::bigint n_lines, (len(ls) - len(list_distinct(ls)))::bigint n_dup_lines, coalesce(c.n, 0)::bigint n_repeat_words,
-  len(list_filter(ws, lambda x: lower(x) in (STOP)))::bigint n_stop_words
+  len(list_filter(ws, lambda x: lower(x) in (STOP)))::bigint n_stop_words,
+  (length(t) - length(regexp_replace(t, '[eE\u00e9\u00e8\u00ea\u00eb\u00c9\u00c8\u00ca\u00cb]', '', 'g')))::bigint n_e, length(regexp_replace(t, '[\\P{L}LETTERS]+', '', 'g'))::bigint n_other
   from w left join c using (rid)),
 b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed from m)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_stop_words, base_failed,
-  not base_failed and word_chars / n_words between 2.0 and 16.0 and n_symbols / word_chars <= 0.05 and n_dup_lines / n_lines <= 0.5 and n_stop_words / n_words <= 0.8 as kept
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_stop_words, n_e, n_other, base_failed,
+  not base_failed and word_chars / n_words between 2.0 and 16.0 and n_symbols / word_chars <= 0.05 and n_dup_lines / n_lines <= 0.5 and n_stop_words / n_words <= 0.8
+    and (n_stop_words / n_words >= 0.02 or 50 * n_other > word_chars or 12 * n_e < word_chars) as kept
 from b
-""".replace("STOP", ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS)))
+""".replace("LETTERS", LETTERS).replace("STOP", ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS)))

@@ -81,7 +81,7 @@ def op8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codequarry.llm.quality import judged
 
-    measures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words")
+    measures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words", "n_e", "n_other")
     return judged(read(spark, sf_dir, "documents")).select("doc_id", *measures, "base_failed", "kept")
 
 

@@ -172,6 +172,17 @@ def test_quality_measures(spark):
         assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
 
 
+def test_quality_stop_words(spark):
+    rng = random.Random(2)
+    heap = " ".join("".join(rng.choice(["re", "ne", "te", "le", "se", "mo", "ka"]) for _ in range(3)) for _ in range(150))
+    turkish = " ".join("".join(rng.choice(["\u011fe", "\u0131r", "\u015fe", "lar", "me"]) for _ in range(3)) for _ in range(150))
+    swahili = " ".join("".join(rng.choice(["wa", "ka", "ni", "ku", "ya", "le"]) for _ in range(3)) for _ in range(150))
+    prose = " ".join(f"the {w} of" for w in words(rng, 60).split())
+    russian = " ".join("".join(rng.choice("\u0434\u0435\u043d\u044c\u043b") for _ in range(5)) for _ in range(150))
+    got = [r.kept for r in quality.judged(docs(spark, [heap, turkish, swahili, prose, russian])).orderBy("doc_id").collect()]
+    assert got == [False, True, True, True, True]
+
+
 def test_quality_keeps_columns(spark):
     df = odd(spark)
     good = " ".join(f"the word{i} and of other{i}" for i in range(20))
@@ -580,6 +591,11 @@ def test_toxicity_rows(spark):
     m = toxicity.trained(df, labels)
     out = toxicity.scored(docs(spark, ["all nastyword here", words(rng, 40)] + ODD), m).orderBy("doc_id").collect()
     assert len(out) == 2 + len(ODD) and out[0].score > 0.5 > out[1].score and all(0 <= r.score <= 1 for r in out)
+    # very long texts are fitted on as any others; of two texts of one id one counts
+    long = docs(spark, [" ".join(f"w{i}x{j}" for i in range(21_000)) + " longmark" for j in range(12)], 5000)
+    more = labels.union(spark.createDataFrame([(5000 + j, 1) for j in range(12)], labels.schema))
+    terms = set(toxicity.trained(df.union(long).union(df.limit(3)), more).terms.tolist())
+    assert set(next(toxicity.hashed_terms(pa.array(["longmark"]))).tolist()) & terms
     empty = toxicity.trained(df, labels.where("false"))
     assert toxicity.scored(df.limit(1), empty).first().score < 0.3 and toxicity.scored(df.where("false"), m).count() == 0
 
