@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codequarry.operators.graph import circular, plain_edges, strong_components
+
 
 def total_if(condition: Column) -> Column:
     return F.count(F.when(condition, 1))
@@ -59,12 +61,20 @@ def resume_point(chunks: DataFrame, *keys: str) -> DataFrame:
 
 
 def dependency_metrics(deps: DataFrame, copies: DataFrame) -> DataFrame:
-    """Programs, copybooks, dependencies, mean by program, and the copybook of most uses (of equals the first by name)."""
+    """Programs, copybooks, dependencies, mean by program, the copybook of most uses (of equals the first by name), and the circular dependencies."""
     d = deps.agg(F.countDistinct("source_file").alias("programs"), F.count("*").alias("dependencies")).withColumn("average", F.coalesce(F.try_divide(F.col("dependencies").cast("double"), F.col("programs").cast("double")), F.lit(0.0)))
     by = copies.groupBy("copybook").agg(F.count("*").alias("uses"))
     c = by.agg(F.count("*").alias("copybooks"), F.max("uses").alias("most_used_count"))
     top = by.orderBy(F.desc("uses"), "copybook").limit(1).select(F.col("copybook").alias("most_used"))
-    return d.join(c).join(top, how="left")  # one row each
+    return d.join(c).join(top, how="left").join(circular(strong_components(plain_edges(deps))))  # one row each
+
+
+def run_circular(deps: DataFrame) -> DataFrame:
+    """(run_id, circular_components, circular_files) of each run that has circular dependencies among its own rows; all runs are searched together."""
+    named = lambda c: F.concat_ws("/", F.col("run_id").cast("string"), F.col(c)).alias(c)
+    found = strong_components(plain_edges(deps.select(named("source_file"), named("target_file")))).where("size > 1")
+    run = F.split("scc", "/")[0].cast("bigint").alias("run_id")
+    return found.groupBy(run).agg(F.countDistinct("scc").alias("circular_components"), F.count("*").alias("circular_files"))
 
 
 def report_metrics(files: DataFrame, spent: DataFrame) -> DataFrame:

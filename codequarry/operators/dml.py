@@ -121,6 +121,11 @@ def merged_graph(deps: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
+def collapse_parallel_edges(deps: DataFrame) -> DataFrame:
+    """(source_file, target_file, dependency_type, run_id, merged): one edge a pair over all runs, with the type and run of its last row by id, and how many rows it stands for."""
+    return deps.groupBy("source_file", "target_file").agg(F.max_by("dependency_type", "id").alias("dependency_type"), F.max_by("run_id", "id").alias("run_id"), F.count("*").alias("merged"))
+
+
 def normalised(df: DataFrame, text: str, number: str) -> DataFrame:
     """Blank text and numbers of 0 or less become null."""
     return df.withColumn(text, F.nullif(F.trim(text), F.lit(""))).withColumn(number, F.when(F.col(number) > 0, F.col(number)))

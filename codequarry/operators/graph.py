@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,16 +44,125 @@ def trails(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     return out
 
 
+def least_reaching(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(file, label): the least vertex from which each of ``vertices`` (file) is reached over ``edges`` (src, dst), itself included.
+
+    Labels move along edges, and each round also takes over the label of a label
+    (who reaches my label reaches me), so a long path takes a number of rounds that
+    grows with the logarithm of its length, unless names are in an adverse order.
+    A round is written; joins read written tables, which adaptive execution may split.
+    """
+    now = stored(vertices.select("file", F.col("file").alias("label")))
+    edges = edges.select(F.col("src").alias("file"), F.col("dst").alias("to"))
+    while True:
+        sent = edges.join(now, "file").groupBy(F.col("to").alias("file")).agg(F.min("label").alias("sent"))
+        new = stored(now.join(sent, "file", "left").select("file", F.col("label").alias("old"), F.least("label", "sent").alias("label")))
+        beyond = new.where("label <> file").select("label").distinct().join(new.select(F.col("file").alias("label"), F.col("label").alias("beyond")), "label")
+        now = stored(new.join(beyond, "label", "left").select("file", "old", F.least("label", "beyond").alias("label")))
+        if now.where("label <> old").isEmpty():
+            return now.select("file", "label")
+        now = now.select("file", "label")
+
+
+def _components_of(edges: list[tuple[str, str]]) -> dict[str, str]:
+    """Each vertex with the least one of its component, by a depth-first search without recursion."""
+    out, back = {}, {}
+    for a, b in edges:
+        out.setdefault(a, []).append(b)
+        back.setdefault(b, []).append(a)
+
+    def walk(start: str, ways: dict, seen: set) -> list[str]:
+        """Vertices reached from ``start``, in the order in which they are done."""
+        seen.add(start)
+        stack, done = [(start, iter(ways.get(start, ())))], []
+        while stack:
+            v, rest = stack[-1]
+            w = next((w for w in rest if w not in seen), None)
+            if w is None:
+                done.append(v)
+                stack.pop()
+            else:
+                seen.add(w)
+                stack.append((w, iter(ways.get(w, ()))))
+        return done
+
+    seen, order, found = set(), [], {}
+    for v in sorted({*out, *back}):
+        if v not in seen:
+            order += walk(v, out, seen)
+    seen = set()
+    for v in reversed(order):
+        if v not in seen:
+            group = walk(v, back, seen)
+            found |= dict.fromkeys(group, min(group))
+    return found
+
+
+def strong_components(edges: DataFrame, trims: int = 1, few: int = 20_000) -> DataFrame:
+    """(file, scc, size) of all ends of ``edges`` (src, dst): each strongly connected component, by its least file.
+
+    Vertices without an edge in or out are components of their own and go first
+    (``trims`` times). Of the others, two vertices of one component are reached from
+    the same vertices, so have the same least one; within the vertices of one such
+    label, those that also reach it are its component. What is left is labelled
+    again, without the edges between labels. Once at most ``few`` edges are left, a
+    number that does not grow with the input, one task finishes them. Self-loops and
+    null ends don't count; an empty table gives no row.
+    """
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = _components_of(list(zip(pdf["src"].tolist(), pdf["dst"].tolist())))
+        return pd.DataFrame({"file": list(found), "scc": list(found.values())}, dtype=object)
+
+
+    edges = stored(edges.where("src <> dst").select("src", "dst").distinct())
+    left = stored(edges.select(F.col("src").alias("file")).union(edges.select("dst")).distinct())
+    parts = []
+    while not left.isEmpty():
+        for _ in range(trims):
+            through = edges.select(F.col("src").alias("file")).distinct().join(edges.select(F.col("dst").alias("file")).distinct(), "file", "left_semi")
+            edges = stored(edges.join(through.withColumnRenamed("file", "src"), "src", "left_semi").join(through.withColumnRenamed("file", "dst"), "dst", "left_semi").select("src", "dst"))
+        core = stored(edges.select(F.col("src").alias("file")).union(edges.select("dst")).distinct())
+        parts.append(left.join(core, "file", "left_anti").select("file", F.col("file").alias("scc")))
+        if edges.count() <= few:
+            parts.append(edges.groupBy().applyInPandas(finish, "file string, scc string"))
+            break
+        reached = least_reaching(edges, core)
+        ends = edges.join(reached.select(F.col("file").alias("src"), F.col("label").alias("a")), "src").join(reached.select(F.col("file").alias("dst"), F.col("label").alias("b")), "dst")
+        edges = stored(ends.where("a = b").select("src", "dst"))
+        back = least_reaching(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), core).withColumnRenamed("label", "least")
+        found = stored(reached.join(back, "file").select("file", F.when(F.col("label") == F.col("least"), F.col("label")).alias("scc")))
+        parts.append(found.where("scc is not null"))
+        left = stored(found.where("scc is null").select("file"))
+        edges = stored(edges.join(left.withColumnRenamed("file", "src"), "src", "left_semi").join(left.withColumnRenamed("file", "dst"), "dst", "left_semi").select("src", "dst"))
+    if not parts:
+        return left.select("file", F.col("file").alias("scc"), F.lit(1).cast("bigint").alias("size"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    out = stored(out)
+    return out.join(stored(out.groupBy("scc").agg(F.count("*").alias("size"))), "scc").select("file", "scc", "size")
+
+
+def circular(components: DataFrame) -> DataFrame:
+    """One row of components (file, scc, size): how many are circular, their files, and what they are, largest first: ``scc: size files``.
+
+    The list is a row a circular component, and each names its least file only.
+    """
+    each = components.where("size > 1").groupBy("scc", "size").agg(F.count("*").alias("files"))
+    named = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("s"), "scc"))), lambda x: F.concat(x["scc"], F.lit(": "), (-x["s"]).cast("string"), F.lit(" files")))
+    return each.agg(F.count("*").alias("circular_components"), F.coalesce(F.sum("files"), F.lit(0)).alias("circular_files"), named.alias("circular_dependencies"))
+
+
 def cycles(edges: DataFrame, depth: int = 10, limit: int | None = 50) -> DataFrame:
     """Trails of 2 to ``depth`` edges back to their start, shortest first; each rotation once for its start.
 
-    Only vertices with both directions can lie on a cycle, so others go first.
+    A cycle stays in one strongly connected component, so only edges inside one are walked.
     With a ``limit``, longer trails are only looked for until that many are found.
     """
-    core = edges
-    for _ in range(3):
-        core = core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-    core = stored(core)
+    home = strong_components(edges).where("size > 1")
+    core = edges.join(home.select(F.col("file").alias("src"), F.col("scc").alias("a")), "src").join(home.select(F.col("file").alias("dst"), F.col("scc").alias("b")), "dst")
+    core = stored(core.where("a = b").select("src", "dst"))
     e = core.select("src", "dst", F.concat_ws(">", "src", "dst").alias("edge"))
     level = core.select(F.col("src").alias("start"), F.col("src").alias("at"), F.array().cast("array<string>").alias("used")).distinct()
     out = None
@@ -84,7 +194,9 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 
 def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Dependency order: 0 for a file without dependencies, else one more than its deepest; null on and above cycles.
+    """Dependency order (file, level, state): 0 for a file without dependencies, else one more than its deepest; null on and above cycles.
+
+    state is ``ordered``, ``cycle`` for a file on a cycle, or ``waits`` for one that depends on such a file.
 
     Rounds run until none adds a file, as many as the deepest chain is long. Each
     is written, so that the next one's plan stays short.
@@ -100,4 +212,6 @@ def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         waiting = stored(waiting.join(new.select(F.col("file").alias("src")), "src", "left_anti"))
         open_ = stored(open_.join(new.select(F.col("file").alias("dst")), "dst", "left_anti"))
         done = done.union(new)
-    return files.join(done, "file", "left")
+    on = strong_components(edges).where("size > 1").select("file", F.lit(True).alias("on"))
+    state = F.when(F.col("level").isNotNull(), "ordered").when(F.col("on"), "cycle").otherwise("waits")
+    return files.join(done, "file", "left").join(on, "file", "left").select("file", "level", state.alias("state"))

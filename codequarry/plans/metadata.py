@@ -36,7 +36,7 @@ add("p10_target_language", lambda m: m.runs.select("id", P.target_language(F.col
 add("p11_visible_edges", lambda m: P.visible_edges(m.deps, m.deps.where("line_number < 60").select(F.col("source_file").alias("file")), ["CLICK", "VIEW"]).select("id", "source_file", "target_file"), "with n as (select distinct source_file f from deps where line_number < 60) select id, source_file, target_file from deps where dependency_type in ('CLICK', 'VIEW') and source_file in (select f from n) and target_file in (select f from n)")
 add("p12_data_access", lambda m: P.data_access(m.deps, ("CLICK", "ERROR")).select("id"), "select id from deps where dependency_type in ('CLICK', 'ERROR')")
 add("p13_seconds", lambda m: m.chunks.select("id", (F.col("processing_time_ms") / 1000.0).cast("double").alias("seconds")), "select id, (processing_time_ms / 1000.0)::double as seconds from chunks")
-add("p14_exact_name", lambda m: P.one_each(m.files.where(F.lower("file_name") == F.lower(F.lit("DOC_42.CBL"))), ["run_id"], "id").select("id", "file_name"), "select min(id) id, any_value(file_name) file_name from files where lower(file_name) = 'doc_42.cbl' group by run_id")
+add("p14_exact_name", lambda m: P.one_each(m.files.where(F.lower("file_name").isin("doc_1.cbl", "doc_1.cpy", "doc_7.cbl") | (F.lower("file_name") == F.lower(F.lit("DOC_7.CPY")))), ["run_id"], "id").select("id", "file_name"), "select min(id) id, arg_min(file_name, id) file_name from files where file_name in ('doc_1.cbl', 'doc_1.cpy', 'doc_7.cbl', 'doc_7.cpy') group by run_id")
 add("p15_resume_target", lambda m: m.runs.orderBy(F.desc("started_at"), F.desc("id")).limit(1).select("id", "status"), "select id, status from runs order by started_at desc, id desc limit 1")
 
 # ---- joins ----
@@ -68,7 +68,9 @@ add("a9_file_extent", lambda m: A.file_spans(m.chunks, "source_file").drop("span
 add("a10_having", lambda m: m.chunks.groupBy("source_file").agg(F.count("*").alias("n")).where("n > 5").orderBy("source_file").limit(1), "select source_file, count(*) n from chunks group by 1 having count(*) > 5 order by 1 limit 1")
 add("a11_resume_point", lambda m: A.resume_point(m.chunks, "source_file"), "select source_file, coalesce(max(chunk_index) filter (status = 'Completed'), -1)::int last_completed from chunks group by 1")
 add("a12_exists", lambda m: m.sigs.agg((A.total_if((F.col("source_file") == "f7") & (F.col("legacy_name") == "CLICK")) > 0).alias("found")), "select count(*) > 0 as found from sigs where source_file = 'f7' and legacy_name = 'CLICK'")
-add("a13_dependency_metrics", lambda m: A.dependency_metrics(m.deps, m.copies), "with u as (select copybook, count(*) n from copies group by 1) select (select count(distinct source_file) from deps) programs, (select count(*) from deps) dependencies, (select count(*)::double / count(distinct source_file) from deps) average, (select count(*) from u) copybooks, (select max(n) from u) most_used_count, (select copybook from u order by n desc, copybook limit 1) most_used")
+add("j6_run_circular", lambda m: m.runs.where("id < 10").select("id", "status").join(A.run_circular(m.links), F.col("id") == F.col("run_id"), "left").select("id", "status", F.coalesce("circular_components", F.lit(0)).alias("circular_components"), F.coalesce("circular_files", F.lit(0)).alias("circular_files")), "with recursive e as (select distinct run_id r, source_file src, target_file dst from links where source_file <> target_file), w as (select distinct r, src a, src b from e union select w.r, a, dst from w join e on e.r = w.r and e.src = w.b), c as (select x.r, x.a file, min(x.b) scc from w x join w y on y.r = x.r and y.a = x.b and y.b = x.a group by 1, 2), z as (select r, scc, count(*) size from c group by 1, 2 having count(*) > 1), g as (select r, count(*) n, sum(size)::bigint f from z group by 1) select id, status, coalesce(n, 0) circular_components, coalesce(f, 0) circular_files from runs left join g on g.r = id where id < 10")
+_circular = "with recursive e as (select distinct source_file src, target_file dst from links where source_file <> target_file), w as (select distinct src a, src b from e union select a, dst from w join e on e.src = w.b), c as (select x.a file, min(x.b) scc from w x join w y on y.a = x.b and y.b = x.a group by 1), z as (select scc, count(*) size from c group by 1 having count(*) > 1)"
+add("a13_dependency_metrics", lambda m: A.dependency_metrics(m.links, m.copies).withColumn("circular_dependencies", F.array_join("circular_dependencies", "; ")), _circular + ", u as (select copybook, count(*) n from copies group by 1) select (select count(distinct source_file) from links) programs, (select count(*) from links) dependencies, (select count(*)::double / count(distinct source_file) from links) average, (select count(*) from u) copybooks, (select max(n) from u) most_used_count, (select copybook from u order by n desc, copybook limit 1) most_used, (select count(*) from z) circular_components, (select coalesce(sum(size), 0)::bigint from z) circular_files, (select string_agg(scc || ': ' || size || ' files', '; ' order by size desc, scc) from z) circular_dependencies")
 add("a14_reverse_index", lambda m: A.usage_index(m.copies, "copybook", "program"), "select copybook, array_to_string(list_sort(list(distinct program)), ',') members, count(distinct program)::int n from copies group by 1")
 add("a15_forward_index", lambda m: A.usage_index(m.copies, "program", "copybook"), "select program, array_to_string(list_sort(list(distinct copybook)), ',') members, count(distinct copybook)::int n from copies group by 1")
 add("a16_top_copybooks", lambda m: m.copies.groupBy("copybook").agg(F.countDistinct("program").alias("programs")).orderBy(F.desc("programs"), "copybook").limit(10), "select copybook, count(distinct program) programs from copies group by 1 order by 2 desc, 1 limit 10")

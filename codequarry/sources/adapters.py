@@ -11,6 +11,10 @@ def _status():
     return F.when(F.col("event_type") == "purchase", "Completed").when(F.col("event_type") == "error", "Failed").when(F.col("event_type") == "click", "Processing").otherwise("Pending")
 
 
+def _file_name():
+    return F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.when(F.col("lang") != "en", ".cpy").otherwise(".cbl"))
+
+
 class Model:
     """Lazy DataFrames of one scale's tables."""
 
@@ -28,8 +32,7 @@ class Model:
 
     @property
     def files(self) -> DataFrame:
-        copy = F.col("lang") != "en"
-        name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.when(copy, ".cpy").otherwise(".cbl"))
+        copy, name = F.col("lang") != "en", _file_name()
         return self.table("documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 10).alias("run_id"), name.alias("file_name"), F.concat(F.lit("src/"), F.col("source"), F.lit("/"), name).alias("file_path"), copy.alias("is_copybook"), F.col("text").alias("content"))
 
     @property
@@ -63,6 +66,11 @@ class Model:
         target = F.expr("case k % 3 when 0 then user_id + 1 when 1 then user_id div 2 else user_id div 3 end")
         return self.table("events").withColumn("k", k).select(F.col("event_id").alias("id"), (F.col("user_id") % 10).alias("run_id"), F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("source_file"), F.concat(F.lit("f"), target.cast("string")).alias("target_file"), F.upper("event_type").alias("dependency_type"), (F.col("event_id") % 97).alias("line_number"))
 
+    @property
+    def links(self) -> DataFrame:
+        """Every event as a dependency of its user's file on the file that its data names."""
+        return self.table("events").select(F.col("event_id").alias("id"), (F.col("user_id") % 10).alias("run_id"), F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("source_file"), F.concat(F.lit("f"), F.get_json_object("props", "$.k")).alias("target_file"), F.upper("event_type").alias("dependency_type"))
+
     @property
     def copies(self) -> DataFrame:
         """copybook_usage"""
@@ -90,7 +98,7 @@ class Model:
         text = F.regexp_replace("text", r"[^\x00-\x7F]", "x")
         for word, statement in STATEMENTS:
             text = F.replace(text, F.lit(f" {word} "), F.lit(statement))
-        return self.files.join(self.table("documents").select(F.col("doc_id").alias("id"), text.alias("code")), "id").select(F.col("file_name").alias("file"), F.col("code").alias("content"))
+        return self.table("documents").select(_file_name().alias("file"), text.alias("content"))
 
     @property
     def replies(self) -> DataFrame:
@@ -142,6 +150,7 @@ CTES = {
     "chunks": "select event_id id, user_id % 10 run_id, 'f' || user_id source_file, chunk_index, chunk_index * 900 + 1 start_line, chunk_index * 900 + 1000 end_line, case event_type when 'purchase' then 'Completed' when 'error' then 'Failed' when 'click' then 'Processing' else 'Pending' end status, floor(value)::bigint tokens_used, floor(value * 10)::bigint processing_time_ms, case when event_type = 'purchase' then ts end completed_at from (select *, (row_number() over (partition by user_id order by event_id) - 1)::int chunk_index from events)",
     "extracts": "select lang <> 'en' is_copybook, to_json(string_split(text, '. ')) stories_json, to_json(string_split(text, ', ')) features_json, to_json(string_split(text, chr(10))) rules_json from documents",
     "deps": "select event_id id, user_id % 10 run_id, 'f' || user_id source_file, 'f' || (case (props ->> '$.k')::bigint % 3 when 0 then user_id + 1 when 1 then user_id // 2 else user_id // 3 end) target_file, upper(event_type) dependency_type, event_id % 97 line_number from events",
+    "links": "select event_id id, user_id % 10 run_id, 'f' || user_id source_file, 'f' || (props ->> '$.k') target_file, upper(event_type) dependency_type from events",
     "copies": "select event_id id, user_id % 10 run_id, 'f' || user_id program, 'c' || ((props ->> '$.k')::bigint % 40) || '.cpy' copybook from events",
     "api": "select event_id id, ts, event_type agent, 'm' || (user_id % 3) model, floor(value * 10)::bigint duration_ms, event_type <> 'error' ok, floor(value)::bigint tokens, floor(value)::bigint * 3 micros from events",
     "sigs": "select event_id seq, user_id % 10 run_id, 'f' || user_id source_file, upper(event_type) legacy_name, event_type || (event_id % 3) as method, case event_id % 4 when 0 then 'void' when 1 then 'int' else 'String' end return_type, event_id % 3 n_params, [case when event_id % 5 = 0 then 'int' else 'String' end, case when event_id % 7 = 0 then 'int' else 'String' end][1:event_id % 3] params from events",
