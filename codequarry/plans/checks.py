@@ -10,8 +10,9 @@ from codequarry.operators import validate as V
 from codequarry.operators.aggregates import percent, resume_point, total_if
 from codequarry.operators.extract import lines as source_lines
 from codequarry.plans.common import add
-from codequarry.staging import numbered
-from codequarry.streaming.logs import admitted, minute_counts, sliding_usage, within
+from codequarry.staging import numbered, shared_folder
+from codequarry.streaming.live import apply_updates, current_status, status_counts
+from codequarry.streaming.logs import admissions, admitted, minute_counts, sliding_usage, within
 
 _lines = "(length(content) - length(replace(content, chr(10), '')) + 1)"
 _z = "sized as (select id, " + _lines + "::int as lines from files)"
@@ -66,5 +67,20 @@ add("l4_since", lambda m: m.api.where(F.col("ts") >= F.lit("2024-01-15").cast("t
 add("l5_live_status", lambda m: m.chunks.groupBy("run_id").pivot("status", ["Pending", "Processing", "Completed", "Failed"]).count().na.fill(0).toDF("run_id", "pending", "processing", "completed", "failed"), "select run_id, count(*) filter (status = 'Pending') pending, count(*) filter (status = 'Processing') processing, count(*) filter (status = 'Completed') completed, count(*) filter (status = 'Failed') failed from chunks group by 1")
 add("l6_narrative", lambda m: numbered(m.api.select("id", "model", "ts", "agent"), "model", "ts", "agent", "id").select("id", "n"), "select id, row_number() over (order by model, ts, agent, id) n from api")
 add("l2_sliding_usage", lambda m: admitted(sliding_usage(m.api.select("ts", "tokens"), "60 seconds", "30 seconds"), 300, 3).select(F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', start)").alias("start"), "tokens", "requests", "admit"), "select b * 30 as start, sum(tokens)::bigint tokens, count(*) requests, sum(tokens) < 300 and count(*) < 3 admit from (select tokens, unnest([epoch(ts)::bigint // 30, epoch(ts)::bigint // 30 - 1]) b from (select tokens, date_trunc('second', ts) ts from api)) group by b")
-add("l3_anchored_minute", lambda m: minute_counts(m.api).select("id", "used"))
+_anchored = "with recursive c as (select agent, id, ts, row_number() over (order by agent, ts, id) n from api), b as (select agent, ts t, 1 k, n from c union all select agent, ts + interval {0} second, 0, n from c), f as (select k, n, min(case when k = 1 then n end) over (partition by agent order by t, k, n rows between current row and unbounded following) nxt from b), j as (select n, nxt from f where k = 0), a as (select min(n) n from c group by agent union all select nxt from a join j using (n) where nxt is not null) select id, (c.n - max(a.n) over (partition by agent order by c.n) + 1)::int used from c left join a on a.n = c.n"
+add("l3_anchored_minute", lambda m: minute_counts(m.api).select("id", "used"), _anchored.format(60))
+add("l3_anchored_hour", lambda m: minute_counts(m.api, 3600).select("id", "used"), _anchored.format(3600))
+add("l2_admission", lambda m: admissions(m.api, 100, 4, 3600), "with w as (select id, ts, tokens, coalesce(sum(tokens) over p, 0) t, count(*) over p n, min(ts) over p o from api window p as (partition by agent order by ts range between interval 3600 second preceding and current row exclude current row)) select id, t + tokens <= 100 and n + 1 <= 4 admit, case when t + tokens <= 100 and n + 1 <= 4 then 0 else epoch_us(coalesce(o, ts) + interval 3600 second - ts) // 1000 end::bigint wait_ms, case when t + tokens > 100 then 'TPM' when n + 1 > 4 then 'RPM' else 'OK' end reason from w")
+
+
+def _live(m):
+    """Updates in three batches, one of which comes twice."""
+    at = shared_folder(m.spark)
+    rows = m.chunks.select("run_id", "source_file", F.floor(F.col("chunk_index") / 3).alias("chunk_index"), "status", F.col("id").alias("ts"))
+    for batch in (0, 1, 2, 1):
+        apply_updates(rows.where(F.col("ts") % 3 == batch), batch, at)
+    return status_counts(current_status(m.spark, at))
+
+
+add("l5_live_upsert", _live, "with s as (select run_id, source_file, chunk_index // 3 k, arg_max(status, id) status from chunks group by 1, 2, 3) select run_id, count(*) filter (status = 'Pending') pending, count(*) filter (status = 'Processing') processing, count(*) filter (status = 'Completed') completed, count(*) filter (status = 'Failed') failed from s group by 1")
 add("j16_parent_by_level", lambda m: C.nearest_lower(m.chunks.select(F.col("source_file").alias("file"), F.col("chunk_index").alias("pos"), (F.col("tokens_used") % 5).alias("level"))), "with x as (select source_file file, chunk_index pos, tokens_used % 5 as level from chunks) select a.file, a.pos, a.level, max(b.pos) parent from x a left join x b on a.file = b.file and b.pos < a.pos and b.level < a.level group by 1, 2, 3")

@@ -7,25 +7,26 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet below ``spark.checkpoint.dir`` and read again: computed once, its plan cut.
-
-    Only a local session without such a folder gets one on this machine.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder's address below ``spark.checkpoint.dir``. Only a local session without such a folder gets one on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="spark-codequarry-")
         spark.sparkContext.setCheckpointDir(root)
-    at = f"{root.rstrip('/')}/codequarry-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/codequarry-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to a new shared folder and read again: computed once, its plan cut."""
+    at = shared_folder(df.sparkSession)
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 def numbered(df: DataFrame, *order) -> DataFrame:
@@ -41,6 +42,21 @@ def numbered(df: DataFrame, *order) -> DataFrame:
     return rows.withColumn("p", part).join(F.broadcast(offsets), "p").withColumn("n", F.col("before") + place + 1).drop("p", "before")
 
 
+def carried(df: DataFrame, column: str, block: int = 4096) -> DataFrame:
+    """``df`` (n: places from 1, as ``numbered`` gives them) with ``column`` filled by its last value at or before each row.
+
+    Filled within blocks of rows; what a block begins with comes from one row a block.
+    """
+    from pyspark.sql import Window
+
+    rows = df.withColumn("_b", F.floor((F.col("n") - 1) / block))
+    ends = rows.where(F.col(column).isNotNull()).groupBy("_b").agg(F.max_by(column, "n").alias("_v"))
+    all_ = rows.select("_b").distinct().join(ends, "_b", "left")
+    before = all_.select("_b", F.last("_v", ignorenulls=True).over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_v"))
+    here = F.last(column, ignorenulls=True).over(Window.partitionBy("_b").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn(column, here).join(before, "_b").withColumn(column, F.coalesce(column, "_v")).drop("_b", "_v")
+
+
 def in_order(df: DataFrame, key: str, order: list[str], start: Callable, step: Callable, end: Callable, schema: str) -> DataFrame:
     """Ordered state by key, in bounded memory: rows come sorted, a batch at a time.
 

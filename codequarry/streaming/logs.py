@@ -8,9 +8,10 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from codequarry.staging import in_order
+from codequarry.staging import numbered, stored
 
 
 def log_stream(spark: SparkSession, at: str) -> DataFrame:
@@ -28,25 +29,126 @@ def admitted(usage: DataFrame, tokens_per_minute: int, requests_per_minute: int)
     return usage.withColumn("admit", (F.col("tokens") < tokens_per_minute) & (F.col("requests") < requests_per_minute))
 
 
-def minute_counts(calls: DataFrame) -> DataFrame:
+def _micros(column: str = "ts"):
+    return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {column})")
+
+
+def minute_counts(calls: DataFrame, seconds: int = 60) -> DataFrame:
     """(agent, id, ts, used): requests in a minute that starts with the first one after the last minute's end.
 
-    The minute is anchored at use, so it is state in order by agent; rows of a batch
-    table come sorted and a batch at a time, so that no agent has to fit in memory.
+    A minute is anchored at use: its first call is the agent's first one at least
+    ``seconds`` after the first call of the minute before. Each call's successor in this
+    sense is found among the calls of the next stretch of that length, or is the first
+    one of the next stretch that has any. The anchors are the calls that the agent's
+    first call leads to; they are marked by doubling the successors, so in a number of
+    joins that grows with the logarithm of the minutes, and no agent's calls come into
+    one task. Calls count in order of ts, then id.
     """
-
-    def step(state: list, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for ts in pdf["ts"]:
-            if state[0] is None or ts - state[0] >= pd.Timedelta(seconds=60):
-                state[0], state[1] = ts, 0
-            state[1] += 1
-            out.append(state[1])
-        return pdf.assign(used=out)
-
-    rows = calls.select("agent", "id", "ts")
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    return in_order(rows, "agent", ["ts", "id"], lambda _: [None, 0], step, lambda _: None, kinds + ", used int")
+    span = seconds * 1_000_000
+    rows = numbered(calls.select("agent", "id", "ts"), "agent", "ts", "id").withColumn("at", _micros())
+    rows = stored(rows.withColumn("stretch", F.floor(F.col("at") / span)))
+    # the first call of each stretch, and those of the next two stretches that have calls: one row a stretch
+    by = Window.partitionBy("agent").orderBy("stretch")
+    firsts = rows.groupBy("agent", "stretch").agg(F.min("n").alias("first"))
+    firsts = firsts.select("agent", "stretch", F.lead("stretch").over(by).alias("next"), F.lead("first").over(by).alias("first_1"), F.lead("first", 2).over(by).alias("first_2"))
+    asks = rows.select("agent", (F.col("stretch") + 1).alias("stretch"), (F.col("at") + span).alias("at"), F.lit(0).alias("call"), "n")
+    both = rows.select("agent", "stretch", "at", F.lit(1).alias("call"), "n").union(asks)
+    after = Window.partitionBy("agent", "stretch").orderBy("at", "call", "n").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    found = both.select("agent", (F.col("stretch") - 1).alias("stretch"), "call", "n", F.min(F.when(F.col("call") == 1, F.col("n"))).over(after).alias("to")).where("call = 0")
+    beyond = F.when(F.col("next") == F.col("stretch") + 1, F.col("first_2")).otherwise(F.col("first_1"))
+    jump = stored(found.join(firsts, ["agent", "stretch"]).select("n", F.coalesce("to", beyond).alias("to")).where("to is not null"))
+    anchors = stored(rows.groupBy("agent").agg(F.min("n").alias("n")).select("n"))
+    while not jump.isEmpty():
+        new = stored(anchors.join(jump, "n").select(F.col("to").alias("n")).union(anchors).distinct())
+        jump = stored(jump.join(jump.select(F.col("n").alias("to"), F.col("to").alias("far")), "to").select("n", F.col("far").alias("to")))
+        anchors = new
+    # at most one in each stretch
+    marked = rows.join(anchors, "n").select("agent", "stretch", F.col("n").alias("anchor"))
+    earlier = marked.select("agent", (F.col("stretch") + 1).alias("stretch"), F.col("anchor").alias("earlier"))
+    out = rows.join(marked, ["agent", "stretch"], "left").join(earlier, ["agent", "stretch"], "left")
+    start = F.when(F.col("anchor") <= F.col("n"), F.col("anchor")).otherwise(F.col("earlier"))
+    return out.select("agent", "id", "ts", (F.col("n") - start + 1).cast("int").alias("used"))
+
+
+def _decided(n_tokens, n_requests, oldest, now, tokens, most_tokens: int, most_requests: int, span: int) -> list:
+    """admit, wait_ms and reason of a request at ``now`` with what was used in the ``span`` before it."""
+    over_tokens, over_requests = n_tokens + tokens > most_tokens, n_requests + 1 > most_requests
+    left = F.coalesce(oldest, now) + span - now
+    wait = F.when(over_tokens | over_requests, F.floor(F.when(left < 0, 1_000_000).otherwise(left) / 1000)).otherwise(0)
+    return [(~(over_tokens | over_requests)).alias("admit"), wait.cast("bigint").alias("wait_ms"), F.when(over_tokens, "TPM").when(over_requests, "RPM").otherwise("OK").alias("reason")]
+
+
+def admissions(calls: DataFrame, tokens_per_minute: int, requests_per_minute: int, seconds: int = 60) -> DataFrame:
+    """(id, admit, wait_ms, reason) of each call (agent, id, ts, tokens) as a request, after the agent's calls of the ``seconds`` before it.
+
+    Refused for tokens (TPM) before requests (RPM), it waits until the oldest of those
+    calls is ``seconds`` old; without any, that long. Calls of one time count in order of
+    id. They are windowed by agent and stretch, with the stretch before beside it.
+    """
+    span = seconds * 1_000_000
+    rows = calls.select("agent", "id", "tokens", _micros().alias("at")).withColumn("stretch", F.floor(F.col("at") / span))
+    both = rows.withColumn("own", F.lit(True)).unionByName(rows.withColumn("stretch", F.col("stretch") + 1).withColumn("own", F.lit(False)))
+    w = Window.partitionBy("agent", "stretch").orderBy("at").rangeBetween(-span, 0)
+    peers = Window.partitionBy("agent", "stretch", "at").orderBy("id").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    none = F.lit(0).cast("bigint")
+    # of the calls up to this time those that are not this one or after it
+    both = both.withColumn("n", F.count("*").over(w) - F.count("*").over(peers)).withColumn("t", F.coalesce(F.sum("tokens").over(w) - F.sum("tokens").over(peers), none)).withColumn("oldest", F.min("at").over(w))
+    oldest = F.when(F.col("n") > 0, F.col("oldest"))
+    return both.where("own").select("id", *_decided(F.col("t"), F.col("n"), oldest, F.col("at"), F.coalesce("tokens", none), tokens_per_minute, requests_per_minute, span))
+
+
+class _Admission(StatefulProcessor):
+    """Requests of one agent: those that wait for the watermark, and the calls of the last minute."""
+
+    def __init__(self, tokens: int, requests: int, seconds: int) -> None:
+        self.tokens, self.requests, self.span = tokens, requests, seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at bigint, id bigint, tokens bigint")
+        self.used = handle.getListState("used", "at bigint, tokens bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        """New requests wait, until no earlier one can come."""
+        new = [(pd.Timestamp(t).value // 1000, int(i), int(n)) for pdf in rows for t, i, n in zip(pdf["ts"], pdf["id"], pdf["tokens"])]
+        yield from self._decide(key, [*map(tuple, self.waiting.get()), *new], timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield from self._decide(key, list(map(tuple, self.waiting.get())), timerValues)
+
+    def _decide(self, key, waiting: list, timers):
+        ready = timers.getCurrentWatermarkInMs() * 1000
+        used, out = list(map(tuple, self.used.get())), []
+        for at, i, tokens in sorted(w for w in waiting if w[0] < ready):
+            used = [u for u in used if u[0] >= at - self.span]
+            over = "TPM" if sum(u[1] for u in used) + tokens > self.tokens else "RPM" if len(used) + 1 > self.requests else "OK"
+            left = (used[0][0] if used else at) + self.span - at
+            out.append((key[0], i, over == "OK", (1_000_000 if left < 0 else left) // 1000 if over != "OK" else 0, over))
+            used.append((at, tokens))
+        later = [w for w in waiting if w[0] >= ready]
+        for state, rows in ((self.waiting, later), (self.used, used)):
+            state.clear()
+            if rows:
+                state.put(rows)
+        if later:
+            self.handle.registerTimer(min(w[0] for w in later) // 1000 + 1)
+        if out:
+            yield pd.DataFrame(out, columns=["agent", "id", "admit", "wait_ms", "reason"])
+
+    def close(self) -> None:
+        pass
+
+
+def admissions_stream(calls: DataFrame, tokens_per_minute: int, requests_per_minute: int, seconds: int = 60, late: str = "2 minutes") -> DataFrame:
+    """The same over a stream of (agent, id, ts, tokens): (agent, id, admit, wait_ms, reason), each given once the watermark has passed it.
+
+    Rows may come in any order within ``late``; later ones are left out. An agent's
+    state is what waits for the watermark, and its last ``seconds``; timers by event
+    time let it go on. The session needs the RocksDB state store.
+    """
+    rows = calls.withWatermark("ts", late).groupBy("agent")
+    schema = "agent string, id bigint, admit boolean, wait_ms bigint, reason string"
+    return rows.transformWithStateInPandas(_Admission(tokens_per_minute, requests_per_minute, seconds), schema, "Append", "EventTime")
 
 
 def trailing_usage(calls: DataFrame, seconds: int = 60) -> DataFrame:
