@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codequarry.staging import in_order
+from codequarry.staging import in_order, stored
 
 #: Defaults of the settings.
 MAX_LINES, OVERLAP, MAX_TOKENS = 1500, 300, 28000
@@ -233,3 +233,68 @@ def assembled(units: DataFrame, links: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     out = chunks.join(crossing("source", "target", "outbound"), ["file", "chunk"], "left").join(crossing("target", "source", "inbound"), ["file", "chunk"], "left")
     return out.withColumn("outbound", F.coalesce("outbound", none)).withColumn("inbound", F.coalesce("inbound", none))
+
+
+def _bucketed(ranges: DataFrame, first: str, last: str, width: int) -> DataFrame:
+    """``ranges`` with a row for each bucket of ``width`` lines from ``first`` to ``last``."""
+    return ranges.where(F.col(first) <= F.col(last)).withColumn("bucket", F.explode(F.sequence(F.floor(F.col(first) / width), F.floor(F.col(last) / width))))
+
+
+def gathered(lines: DataFrame, ranges: DataFrame, width: int = 1000) -> DataFrame:
+    """(file, chunk, text): the lines (file, line, text) of ranges (file, chunk, first, last), joined; they meet in buckets by file and lines."""
+    placed = lines.withColumn("bucket", F.floor(F.col("line") / width)).withColumnRenamed("text", "said")
+    met = _bucketed(ranges, "first", "last", width).join(placed, ["file", "bucket"]).where("line between first and last")
+    return met.groupBy("file", "chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "said"))), lambda x: x["said"]), "\n").alias("text"))
+
+
+#: The order in which units are packed.
+_PACKED = ("division", "data section", "section", "paragraph")
+
+
+def plan(sources: DataFrame, max_lines: int = MAX_LINES, overlap: int = OVERLAP, max_tokens: int = MAX_TOKENS, enabled: bool = True) -> DataFrame:
+    """(file, chunk, total_chunks, way, start_line, end_line, units): the chunks of each of ``sources`` (file, content), as ``policy`` says.
+
+    ``single`` files are one chunk, ``windows`` share ``overlap`` lines, ``semantic``
+    chunks hold units as ``packed`` gives them: divisions first, then data sections,
+    sections and paragraphs, each in order, with a quarter of their characters as tokens.
+    A chunk goes from its first unit's line to its last one's, and ``units`` are the ids
+    it holds (for windows, those that it overlaps); so semantic chunks may overlap too.
+    """
+    from pyspark.sql import Window
+
+    from codequarry.operators.extract import units as found_units
+
+    sized = sources.select(F.col("file").alias("id"), (F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit(""))) + 1).alias("lines"))
+    units = stored(found_units(sources).withColumn("lines", F.col("end_line") - F.col("start_line") + 1))
+    ways = stored(policy(sized, units.select(F.col("file").alias("id"), "lines"), max_lines, enabled).join(sized, "id"))
+    of = lambda way: ways.where(F.col("way") == way).select("id", "lines")
+    one = of("single").select(F.col("id").alias("file"), F.lit(0).alias("chunk"), F.lit("single").alias("way"), F.lit(1).alias("start_line"), F.col("lines").cast("int").alias("end_line"))
+    by_line = windows(of("windows"), max_lines, overlap).select(F.col("id").alias("file"), "chunk", F.lit("windows").alias("way"), F.col("start_line").cast("int").alias("start_line"), F.col("end_line").cast("int").alias("end_line"))
+    rank = F.array_position(F.array(*[F.lit(k) for k in _PACKED]), F.col("kind"))
+    of_files = units.join(of("semantic").select(F.col("id").alias("file")), "file", "left_semi").withColumn("pos", F.row_number().over(Window.partitionBy("file").orderBy(rank, "start_line", "unit")))
+    of_files = stored(of_files)
+    kind = F.when(F.col("kind") == "data section", "section").otherwise(F.col("kind"))
+    placed = packed(of_files.select("file", "pos", kind.alias("kind"), "lines", F.floor(F.col("chars") / 4).alias("tokens")), max_lines, max_tokens).select("file", "pos", "chunk").join(of_files, ["file", "pos"])
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "unit"))), lambda x: x["unit"])
+    semantic = placed.groupBy("file", "chunk").agg(F.lit("semantic").alias("way"), F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"), ordered.alias("units"))
+    cut = stored(one.union(by_line))
+    held = _bucketed(cut, "start_line", "end_line", 1000).join(_bucketed(units.select("file", "unit", F.col("start_line").alias("x"), F.col("end_line").alias("y"), rank.alias("rank")), "x", "y", 1000), ["file", "bucket"])
+    held = held.where("x <= end_line and y >= start_line").groupBy("file", "chunk").agg(F.transform(F.array_sort(F.collect_set(F.struct("rank", "x", "unit"))), lambda u: u["unit"]).alias("units"))
+    cut = cut.join(held, ["file", "chunk"], "left").withColumn("units", F.coalesce("units", F.array().cast("array<string>")))
+    every = stored(semantic.unionByName(cut))
+    total = every.groupBy("file").agg(F.count("*").cast("int").alias("total_chunks"))
+    return every.join(total, "file").select("file", "chunk", "total_chunks", "way", "start_line", "end_line", "units")
+
+
+def with_texts(chunks: DataFrame, sources: DataFrame, overlap: int = OVERLAP) -> DataFrame:
+    """``plan``'s chunks with ``content`` and, from the second of a file on, ``before``: the ``overlap`` lines above it.
+
+    Lines go to their chunks by file and range, so that only a chunk's own lines meet in a task.
+    """
+    from codequarry.operators.extract import lines as source_lines
+
+    lines = source_lines(sources)
+    content = gathered(lines, chunks.select("file", "chunk", F.col("start_line").alias("first"), F.col("end_line").alias("last"))).withColumnRenamed("text", "content")
+    above = chunks.where("chunk > 0").select("file", "chunk", F.greatest(F.col("start_line") - overlap, F.lit(1)).alias("first"), (F.col("start_line") - 1).alias("last"))
+    before = gathered(lines, above).withColumnRenamed("text", "before")
+    return chunks.join(content, ["file", "chunk"], "left").join(before, ["file", "chunk"], "left")

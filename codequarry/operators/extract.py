@@ -29,116 +29,197 @@ def code_lines(sources: DataFrame) -> DataFrame:
     return lines(sources).where(~F.substring("text", 7, 1).isin("*", "/"))
 
 
+def _programs(sources: DataFrame) -> DataFrame:
+    return sources.where(F.col("file").endswith(".cbl"))
+
+
+#: How a program names copybooks, in order.
+COPYBOOKS = (r"COPY\s+([A-Za-z0-9_-]+)", r"COPY\s+([A-Za-z0-9_-]+)\.cpy", r"INCLUDE\s+([A-Za-z0-9_-]+)", r"COPY\s+'([A-Za-z0-9_-]+)'")
+#: How a line calls a program; the first that fits counts.
+CALLS = (r"CALL\s+'([A-Za-z0-9_-]+)'", r'CALL\s+"([A-Za-z0-9_-]+)"', r"CALL\s+([A-Z][A-Z0-9_-]+)\s+USING")
+
+
 def copybooks(sources: DataFrame) -> DataFrame:
-    """Distinct copybooks of each .cbl file: COPY, -INC, ++INCLUDE and EXEC SQL INCLUDE."""
-    upper = F.upper("content")
-    patterns = (rf"\bCOPY\s+['\"]?({NAME})", rf"-INC\s+({NAME})", rf"\+\+INCLUDE\s+({NAME})", rf"EXEC\s+SQL\s+INCLUDE\s+({NAME})")
-    found = F.flatten(F.array(*[F.regexp_extract_all(upper, F.lit(p), F.lit(1)) for p in patterns]))
-    return sources.where(F.col("file").endswith(".cbl")).select("file", F.explode(F.array_distinct(found)).alias("c")).select("file", F.concat("c", F.lit(".cpy")).alias("copybook"))
+    """(file, copybook): the distinct copybooks of each .cbl file, in the case in which they are written."""
+    found = F.flatten(F.array(*[F.regexp_extract_all("content", F.lit("(?i)" + p), F.lit(1)) for p in COPYBOOKS]))
+    return _programs(sources).select("file", F.explode(F.array_distinct(found)).alias("c")).select("file", F.concat("c", F.lit(".cpy")).alias("copybook"))
 
 
 def calls(sources: DataFrame) -> DataFrame:
-    """First call of each program by a file: CALL 'X', CALL X, and CICS XCTL; (file, line, program)."""
-    up = F.upper("text")
-    patterns = (rf"\bCALL\s+['\"]({NAME})['\"]", rf"\bCALL\s+({NAME})", rf"\bXCTL\s+PROGRAM\s*\(\s*['\"]({NAME})['\"]")
-    program = F.coalesce(*[F.nullif(F.regexp_extract(up, p, 1), F.lit("")) for p in patterns])
-    hit = code_lines(sources).withColumn("p", program).where("p is not null")
+    """(file, line, program): the first line of each .cbl file that calls a program; one call a line counts, in comments too."""
+    program = F.coalesce(*[F.nullif(F.regexp_extract("text", "(?i)" + p, 1), F.lit("")) for p in CALLS])
+    hit = lines(_programs(sources)).withColumn("p", program).where("p is not null")
     return hit.groupBy("file", "p").agg(F.min("line").alias("line")).select("file", "line", F.concat("p", F.lit(".cbl")).alias("program"))
 
 
 def _in_sql(sources: DataFrame) -> DataFrame:
-    """Lines with the number of EXEC blocks begun so far and of those ended on the lines before."""
-    up = F.upper("text")
-    start, end = up.rlike(r"EXEC\s+(SQL|CICS|DLI)").cast("int"), up.contains("END-EXEC").cast("int")
-    return code_lines(sources).withColumn("block", F.sum(start).over(_so_far())).withColumn("ended", F.coalesce(F.sum(end).over(Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    """Code lines of .cbl files, trimmed, with the EXEC SQL block that they stand in or come after, its last line, and whether they are inside.
+
+    A block ends with the line of its END-EXEC. One that is not closed before the next
+    begins, or before the file ends, goes on up to there and has no last line.
+    """
+    rows = code_lines(_programs(sources)).withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", "")).where("text <> ''")
+    rows = rows.withColumn("block", F.count_if(F.col("text").rlike(r"(?i)EXEC\s+SQL")).over(_so_far()))
+    last = F.min(F.when(F.col("text").rlike("(?i)END-EXEC"), F.col("line"))).over(Window.partitionBy("file", "block"))
+    rows = rows.withColumn("last", F.when(F.col("block") > 0, last))
+    return rows.withColumn("inside", (F.col("block") > 0) & F.coalesce(F.col("line") <= F.col("last"), F.lit(True)))
 
 
 def sql_blocks(sources: DataFrame) -> DataFrame:
-    """(file, block, line, sql): EXEC SQL to END-EXEC as one text, with its first line."""
-    inside = _in_sql(sources).where(F.col("block") > F.col("ended"))
-    return inside.groupBy("file", "block").agg(F.min("line").alias("line"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: F.trim(x["text"])), " ").alias("sql")).where(F.col("sql").rlike(r"(?i)EXEC\s+SQL"))
+    """(file, block, line, sql): closed EXEC SQL blocks as one text, with their first line."""
+    inside = _in_sql(sources).where("inside and last is not null")
+    return inside.groupBy("file", "block").agg(F.min("line").alias("line"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), " ").alias("sql"))
 
 
-#: Words that are no table.
-NOT_TABLES = ("SELECT", "WHERE", "SET", "VALUES", "ORDER", "GROUP", "BY", "INTO", "FROM", "ON", "AND", "OR", "AS", "SQLCA")
+#: Words before a table's name, and words that are no table.
+BEFORE_TABLES = ("FROM", "JOIN", "INTO", "UPDATE", "TABLE", "INCLUDE")
+NOT_TABLES = ("DCLGEN", "OF", "IN", "A", "B", "SELECT", "INSERT", "UPDATE", "DELETE", "WHERE", "GROUP", "ORDER", "BY", "HAVING")
 
 
 def sql_tables(sources: DataFrame) -> DataFrame:
-    """Distinct (file, line, table) named after FROM, JOIN, INTO, UPDATE, TABLE or INCLUDE."""
-    names = F.regexp_extract_all(F.upper("sql"), F.lit(r"(?:FROM|JOIN|INTO|UPDATE|TABLE|INCLUDE)\s+([A-Z][A-Z0-9_.-]*)"), F.lit(1))
+    """Distinct (file, line, table) of the names after each of ``BEFORE_TABLES``, in upper case."""
+    names = F.flatten(F.array(*[F.regexp_extract_all(F.upper("sql"), F.lit(rf"{word}\s+([A-Z0-9_-]+)"), F.lit(1)) for word in BEFORE_TABLES]))
     return sql_blocks(sources).select("file", "line", F.explode(F.array_distinct(names)).alias("table")).where(~F.col("table").isin(*NOT_TABLES))
 
 
 def cics_links(sources: DataFrame) -> DataFrame:
-    program = F.regexp_extract(F.upper("text"), rf"LINK\s+PROGRAM\s*\(\s*['\"]({NAME})['\"]", 1)
-    return code_lines(sources).select("file", "line", program.alias("program")).where("program <> ''")
+    """(file, line, program) of EXEC CICS LINK on one line, outside EXEC SQL."""
+    program = F.regexp_extract("text", r"(?i)LINK\s+PROGRAM\s*\('([^']+)'\)", 1)
+    return _in_sql(sources).where(~F.col("inside") & F.col("text").rlike(r"(?i)EXEC\s+CICS")).select("file", "line", program.alias("program")).where("program <> ''")
 
 
 def file_io(sources: DataFrame) -> DataFrame:
-    """(file, line, verb, name): OPEN, READ, WRITE, CLOSE at the start of a line outside EXEC blocks."""
-    up = F.upper(F.trim("text"))
-    pattern = rf"^(OPEN|READ|WRITE|CLOSE)\s+(?:(?:INPUT|OUTPUT|I-O|EXTEND)\s+)?({NAME})"
-    rows = _in_sql(sources).where(F.col("block") <= F.col("ended"))
-    return rows.select("file", "line", F.regexp_extract(up, pattern, 1).alias("verb"), F.regexp_extract(up, pattern, 2).alias("name")).where("verb <> ''")
-
-
-_DIVISION = r"^\s*(IDENTIFICATION|ENVIRONMENT|DATA|PROCEDURE)\s+DIVISION"
-_SECTION = rf"^\s*({NAME})\s+SECTION\s*\."
-_PARAGRAPH = rf"^\s*({NAME})\s*\.\s*$"
+    """(file, line, verb, name): OPEN with a mode, READ, WRITE, CLOSE at the start of a line outside EXEC SQL."""
+    pattern = r"(?i)^(?:(OPEN)\s+(?:INPUT|OUTPUT|I-O|EXTEND)|(READ|WRITE|CLOSE))\s+([A-Z0-9_-]+)"
+    part = lambda i: F.regexp_extract("text", pattern, i)
+    return _in_sql(sources).where(~F.col("inside") & (part(3) != "")).select("file", "line", F.upper(F.concat(part(1), part(2))).alias("verb"), part(3).alias("name"))
+
+
+_DIVISION = r"(?i)^\s*(IDENTIFICATION|ENVIRONMENT|DATA|PROCEDURE)\s+DIVISION"
+_DATA_SECTION = r"(?i)^\s*(FILE|WORKING-STORAGE|LINKAGE)\s+SECTION\s*\."
+_SECTION = r"(?i)^\s*([A-Z0-9][-A-Z0-9]*)\s+SECTION\s*\."
+_PARAGRAPH = r"(?i)^\s*([A-Z0-9][-A-Z0-9]*)\s*\.\s*$"
+#: Hexadecimal digits of a line's digest that are summed up.
+_DIGITS = 12
+
+
+def _headed(sources: DataFrame, strict_area_a: bool) -> DataFrame:
+    """All lines, with rank, kind and name of the unit that a line begins: 0 a division, 1 a section, 2 a paragraph."""
+    code = F.when(~F.substring("text", 7, 1).isin("*", "/"), F.col("text"))
+    get = lambda pattern: F.nullif(F.regexp_extract(code, pattern, 1), F.lit(""))
+    l = lines(sources).withColumn("division", F.upper(get(_DIVISION)))  # noqa: E741
+    l = l.withColumn("within", F.last("division", ignorenulls=True).over(_so_far()))  # noqa: E741
+    paragraph = get(r"(?i)^ {7,10}([A-Z0-9][-A-Z0-9]*)\s*\.\s*$" if strict_area_a else _PARAGRAPH)
+    head = lambda rank, kind, name: F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), F.upper(name).alias("name"))
+    found = F.when(F.col("division").isNotNull(), head(0, "division", F.col("division")))
+    for of, rank, kind, name in (("DATA", 1, "data section", get(_DATA_SECTION)), ("PROCEDURE", 1, "section", get(_SECTION)), ("PROCEDURE", 2, "paragraph", paragraph)):
+        found = found.when((F.col("within") == of) & name.isNotNull(), head(rank, kind, name))
+    return l.withColumn("head", found)
 
 
 def units(sources: DataFrame, strict_area_a: bool = False) -> DataFrame:
-    """(file, kind, name, start_line, end_line, section): divisions, sections, and paragraphs of the PROCEDURE DIVISION.
-
-    A region ends where the next of its kind or of a larger kind starts.
-    ``strict_area_a`` takes only paragraphs that start in columns 8 to 11.
+    """(file, unit, kind, name, parent, section, start_line, end_line, chars, digest): a program's structure.
+
+    Divisions; the FILE, WORKING-STORAGE and LINKAGE sections of the DATA DIVISION;
+    sections and paragraphs of the PROCEDURE DIVISION. A unit goes on to the next one of
+    its rank or of a higher one, and its parent is the last one of a higher rank above
+    it. ``chars`` is the length of its text, ``digest`` the sum of its lines' digests,
+    each with its number, so that no unit's text is gathered. Units of one name in a file
+    have the same id. ``strict_area_a`` takes only paragraphs that start in columns 8 to 11.
     """
-    up = F.upper("text")
-    paragraph = F.regexp_extract(up, r"^ {7,10}([A-Z0-9][A-Z0-9-]*)\s*\.\s*$" if strict_area_a else _PARAGRAPH, 1)
-    l = code_lines(sources).withColumn("division", F.regexp_extract(up, _DIVISION, 1)).withColumn("section", F.regexp_extract(up, _SECTION, 1)).withColumn("paragraph", paragraph)  # noqa: E741
-    l = l.withColumn("in_division", F.last(F.nullif("division", F.lit("")), ignorenulls=True).over(_so_far()))  # noqa: E741
-    kind = F.when(F.col("division") != "", "division").when(F.col("section") != "", "section").when((F.col("paragraph") != "") & (F.col("in_division") == "PROCEDURE"), "paragraph")
-    l = l.withColumn("kind", kind).withColumn("name", F.when(F.col("kind") == "division", F.col("division")).when(F.col("kind") == "section", F.col("section")).otherwise(F.col("paragraph")))  # noqa: E741
-    last = F.max("line").over(Window.partitionBy("file"))
-    h = l.withColumn("n", last).where("kind is not null")
-    rank = F.when(F.col("kind") == "division", 0).when(F.col("kind") == "section", 1).otherwise(2)
-    after = Window.partitionBy("file").orderBy("line").rowsBetween(1, Window.unboundedFollowing)
-    h = h.withColumn("rank", rank)
-    nexts = [F.min(F.when(F.col("rank") <= r, F.col("line"))).over(after) for r in range(3)]
-    end = F.coalesce(F.when(F.col("rank") == 0, nexts[0]).when(F.col("rank") == 1, nexts[1]).otherwise(nexts[2]) - 1, F.col("n"))
-    section = F.last(F.when(F.col("rank") <= 1, F.when(F.col("rank") == 1, F.col("name")).otherwise(F.lit(""))), ignorenulls=True).over(_so_far())
-    return h.select("file", "kind", "name", F.col("line").alias("start_line"), end.alias("end_line"), F.when(F.col("rank") == 2, F.nullif(section, F.lit(""))).alias("section"))
+    l = _headed(sources, strict_area_a)  # noqa: E741
+    rank = F.col("head.rank")
+    ident = F.concat(F.when(rank == 0, "").when(rank == 1, "SECTION:").otherwise("PARAGRAPH:"), F.col("head.name"), F.when(rank == 0, "-DIVISION").otherwise(""))
+    l = l.withColumn("own", F.when(F.col("head").isNotNull(), F.struct(rank.alias("rank"), F.col("line").alias("start"), ident.alias("unit"), F.col("head.kind").alias("kind"), F.col("head.name").alias("name"))))  # noqa: E741
+    for r in range(3):  # the last header of this rank or a higher one: the unit of this rank that the line is in, if it is of this rank
+        l = l.withColumn(f"in{r}", F.last(F.when(rank <= r, F.col("own")), ignorenulls=True).over(_so_far()))  # noqa: E741
+    at = lambda r: F.when(F.col(f"in{r}.rank") == r, F.col(f"in{r}"))
+    none = F.lit(None).cast("string")
+    parent = (none, at(0)["unit"], F.coalesce(at(1)["unit"], at(0)["unit"]))
+    each = F.array(*[F.when(at(r).isNotNull(), F.struct(at(r).alias("u"), parent[r].alias("parent"), (at(1)["name"] if r == 2 else none).alias("section"))) for r in range(3)])
+    digest = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("line").cast("string"), "text").cast("binary")), 1, _DIGITS), 16, 10).cast("decimal(20,0)")
+    rows = l.select("file", "line", F.length("text").alias("size"), digest.alias("digest"), F.explode(F.array_compact(each)).alias("e"))
+    names = {"e.u.unit": "unit", "e.u.kind": "kind", "e.u.name": "name", "e.parent": "parent", "e.section": "section", "e.u.start": "start_line"}
+    found = rows.groupBy("file", *[F.col(k).alias(v) for k, v in names.items()])
+    found = found.agg(F.max("line").alias("end_line"), (F.sum("size") + F.count("*") - 1).alias("chars"), F.sum("digest").cast("decimal(38,0)").cast("string").alias("digest"))
+    return found.select("file", *names.values(), "end_line", "chars", "digest")
+
+
+#: Usages that make an item elementary without a picture.
+_ELEMENTARY = ("COMP-1", "COMP-2", "COMPUTATIONAL-1", "COMPUTATIONAL-2", "INDEX", "POINTER")
+_QUOTED = r"""'[^']*'|"[^"]*\""""
+
+
+def entries(sources: DataFrame) -> DataFrame:
+    """(file, line, level, name, pic, usage, value, occurs, depending, redefines, is_group): data description entries.
+
+    An entry is a sentence that begins with a level number: columns 8 to 72 of its code
+    lines, up to a full stop before white space and outside literals; it may go over
+    several lines, and a line may hold several. Its clauses come in any order: ``pic``,
+    ``usage``, ``value``, ``occurs`` (the largest number), ``depending``, ``redefines``.
+    Levels 66 and 88, and groups named FILLER, EXIT, STOP or END-PROGRAM, are left out. A
+    group has neither a picture nor a usage that stands for one.
+    """
+    stop = rf"""\.(?=\s|$)(?=(?:[^'"]|{_QUOTED})*$)"""
+    area = F.upper(F.substring("text", 8, 65))
+    pieces = F.split(F.regexp_replace(area, stop, "\u0001"), "(?<=\u0001)")
+    rows = code_lines(sources).select("file", "line", F.posexplode(pieces).alias("p", "piece")).where(F.trim("piece") != "")
+    order = Window.partitionBy("file").orderBy("line", "p")
+    closed = F.col("piece").endswith("\u0001").cast("int")
+    rows = rows.withColumn("sentence", F.coalesce(F.sum(closed).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    first = F.first("piece").over(Window.partitionBy("file", "sentence").orderBy("line", "p").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("first", first).where(F.col("first").rlike(r"^\s*\d{1,2}\s+[A-Z0-9]"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "p", "piece"))), lambda x: F.trim(x["piece"])), " ")
+    whole = rows.groupBy("file", "sentence").agg(F.min("line").alias("line"), joined.alias("t")).where(F.col("t").endswith("\u0001"))
+    t = F.rtrim(F.replace("t", F.lit("\u0001"), F.lit(" ")))
+    whole = whole.select("file", "line", "sentence", t.alias("t"), F.regexp_replace(t, _QUOTED, "''").alias("bare"))
+    clause = lambda column, pattern: F.nullif(F.regexp_extract(column, pattern, 1), F.lit(""))
+    head = r"^\s*(\d{1,2})\s+([A-Z0-9][-A-Z0-9]*)(?=\s|$)"
+    out = whole.select(
+        "file", "line", "sentence", F.regexp_extract("bare", head, 1).cast("int").alias("level"), F.regexp_extract("bare", head, 2).alias("name"),
+        clause("bare", r"\sPIC(?:TURE)?\s+(?:IS\s+)?(\S+)").alias("pic"),
+        clause("bare", r"\s(COMP(?:UTATIONAL)?(?:-[1-5X])?|BINARY|PACKED-DECIMAL|DISPLAY|INDEX|POINTER)(?=\s|$)").alias("usage"),
+        clause("t", rf"\sVALUES?\s+(?:IS\s+|ARE\s+)?({_QUOTED}|\S+)").alias("value"),
+        clause("bare", r"\sOCCURS\s+(?:\d+\s+TO\s+)?(\d+)").cast("int").alias("occurs"),
+        clause("bare", r"\sDEPENDING\s+(?:ON\s+)?([A-Z0-9][-A-Z0-9]*)").alias("depending"),
+        clause("bare", r"\sREDEFINES\s+([A-Z0-9][-A-Z0-9]*)").alias("redefines"),
+    ).where("name <> '' and level not in (66, 88)")
+    group = F.col("pic").isNull() & ~F.coalesce(F.col("usage").isin(*_ELEMENTARY), F.lit(False))
+    return out.withColumn("is_group", group).where("not (is_group and name in ('FILLER', 'EXIT', 'STOP', 'END-PROGRAM'))")
 
 
 def variables(sources: DataFrame) -> DataFrame:
-    """(file, line, level, name, pic, value, parent): data items; the parent is the nearest group of a lower level above.
-
-    The level stack is state in order by file.
-    """
-    pattern = rf"^\s*(\d\d)\s+({NAME})(?:\s+PIC(?:TURE)?\s+(?:IS\s+)?(\S+?))?(?:\s+VALUE\s+(?:IS\s+)?('[^']*'|\S+?))?\s*\.\s*$"
-    up = F.upper("text")
-    rows = code_lines(sources).select("file", "line", *[F.regexp_extract(up, pattern, i).alias(n) for i, n in enumerate(("level", "name", "pic", "value"), 1)]).where("level <> '' and level not in ('66', '88')").select("file", "line", F.col("level").cast("int").alias("level"), "name", F.nullif("pic", F.lit("")).alias("pic"), F.nullif("value", F.lit("")).alias("value"))
+    """``entries`` with ``parent``: the nearest group of a lower level above; the level stack is state in order by file."""
+    rows = entries(sources)
 
     def step(stack: list, pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for level, name, pic in zip(pdf["level"], pdf["name"], pdf["pic"]):
+        for level, name, is_group in zip(pdf["level"], pdf["name"], pdf["is_group"]):
             while stack and stack[-1][0] >= level:
                 stack.pop()
             out.append(stack[-1][1] if stack else None)
-            if pic is None:
+            if is_group:
                 stack.append((level, name))
-        return pdf.assign(parent=out)
+        return pdf.assign(parent=out, occurs=pdf["occurs"].astype("Int32"))
 
-    return in_order(rows, "file", ["line"], lambda _: [], step, lambda _: None, "file string, line int, level int, name string, pic string, value string, parent string")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return in_order(rows, "file", ["sentence"], lambda _: [], step, lambda _: None, kinds + ", parent string").drop("sentence")
+
+
+#: How a paragraph refers to others.
+EDGES = (("PERFORM", r"PERFORM\s+([A-Z0-9][-A-Z0-9]*)"), ("CALL", r"""CALL\s+['"]?([A-Z0-9][-A-Z0-9]*)['"]?"""), ("GO TO", r"GO\s+TO\s+([A-Z0-9][-A-Z0-9]*)"))
 
 
 def call_edges(sources: DataFrame) -> DataFrame:
-    """(file, line, caller, callee, kind) of PERFORM, CALL and GO TO by the paragraph above; none before the first."""
-    up = F.upper("text")
-    l = code_lines(sources).withColumn("caller", F.last(F.nullif(F.regexp_extract(up, _PARAGRAPH, 1), F.lit("")), ignorenulls=True).over(_so_far())).where("caller is not null")  # noqa: E741
-    kinds = (("PERFORM", rf"\bPERFORM\s+({NAME})"), ("CALL", rf"\bCALL\s+['\"]({NAME})['\"]"), ("GOTO", rf"\bGO\s+TO\s+({NAME})"))
-    each = F.flatten(F.array(*[_tagged(up, p, k) for k, p in kinds]))
-    return l.select("file", "line", "caller", F.explode(each).alias("e")).select("file", "line", "caller", "e.callee", "e.kind").where("callee not in ('UNTIL', 'VARYING')")
+    """(file, line, caller, callee, kind) of PERFORM, CALL and GO TO by the paragraph above, in the case in which they are written.
+
+    None before the first paragraph, which may stand in any division. All lines count,
+    and what follows PERFORM is taken as it stands, UNTIL and VARYING too.
+    """
+    paragraph = F.when(~F.upper("text").contains("SECTION"), F.nullif(F.regexp_extract("text", r"(?i)^\s{6}\s*([A-Z0-9][-A-Z0-9]*)\s*\.\s*$", 1), F.lit("")))
+    l = lines(sources).withColumn("caller", F.last(paragraph, ignorenulls=True).over(_so_far())).where("caller is not null")  # noqa: E741
+    each = F.flatten(F.array(*[_tagged(F.col("text"), "(?i)" + p, k) for k, p in EDGES]))
+    return l.select("file", "line", "caller", F.explode(each).alias("e")).select("file", "line", "caller", "e.callee", "e.kind")
 
 
 def _tagged(text, pattern: str, kind: str):
@@ -153,9 +234,10 @@ def external_copies(sources: DataFrame) -> DataFrame:
 
 
 def paragraph_dependencies(sources: DataFrame) -> DataFrame:
-    """Distinct (file, caller, callee): PERFORMs of another paragraph of the file that exists."""
+    """Distinct (file, caller, callee), in upper case: PERFORMs of another paragraph of the file's PROCEDURE DIVISION."""
     known = units(sources).where("kind = 'paragraph'").select("file", F.col("name").alias("callee")).distinct()
-    return call_edges(sources).where("kind = 'PERFORM' and caller <> callee").select("file", "caller", "callee").distinct().join(known, ["file", "callee"], "left_semi").select("file", "caller", "callee")
+    performed = call_edges(sources).where("kind = 'PERFORM'").select("file", F.upper("caller").alias("caller"), F.upper("callee").alias("callee"))
+    return performed.where("caller <> callee").distinct().join(known, ["file", "callee"], "left_semi").select("file", "caller", "callee")
 
 
 def dependencies(sources: DataFrame) -> DataFrame:

@@ -25,6 +25,9 @@ _units = lambda m: m.chunks.select(F.col("source_file").alias("file"), F.col("ch
 add("c4_semantic_packing", lambda m: C.packed(_units(m), 100, 1000))
 add("c5_policy", lambda m: C.policy(C.routed(m.files), m.files.where("id % 3 = 0").select("id", (F.col("id") % 30).alias("lines")), 8), "with " + _z + " select id, case when lines <= 8 then 'single' when id % 3 <> 0 or id % 30 > 8 then 'windows' else 'semantic' end way from sized")
 add("c6_chunk_units", lambda m: C.windows(C.routed(m.files), 10, 3).join(m.files.select("id", F.posexplode(F.split("content", "\n")).alias("p", "t")).select("id", (F.col("p") + 1).alias("line")), "id").where("line between start_line and end_line").groupBy("id", "chunk").agg(F.count("*").alias("held")), _w + "select id, k \"chunk\", (least(k * 7 + 10, lines) - k * 7)::bigint held from w where lines > k * 7")
+_plan = lambda m, *limits: (c := C.plan(m.sources, *limits), C.with_texts(c, m.sources, limits[1]))[1]
+_hashed = lambda c: F.md5(F.coalesce(c, F.lit("")).cast("binary"))
+add("c5_chunk_plan", lambda m: _plan(m, 60, 8, 400).select("file", "chunk", "total_chunks", "way", "start_line", "end_line", F.array_join("units", " ").alias("units"), _hashed("content").alias("content_hash"), _hashed("before").alias("overlap_hash")))
 _parts = lambda m: m.chunks.select(F.col("source_file").alias("file"), F.floor(F.col("chunk_index") / 4).cast("int").alias("chunk"), F.col("chunk_index").alias("pos"), F.concat(F.lit("Unit-"), F.col("chunk_index").cast("string")).alias("name"), "start_line", "end_line")
 _links = lambda m: m.chunks.select(F.col("source_file").alias("file"), F.concat(F.lit("UNIT-"), F.col("chunk_index").cast("string")).alias("source"), F.concat(F.lit("unit-"), (F.col("chunk_index") + F.col("id") % 9 - 4).cast("string")).alias("target"))
 _joined = lambda *names: [F.array_join(c, " ").alias(c) for c in names]

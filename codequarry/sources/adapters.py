@@ -121,9 +121,9 @@ class Model:
 
 #: What stands for a frequent word of the documents' languages in ``sources``.
 STATEMENTS = (
-    ("the", "\n       COPY "), ("and", "\n           CALL "), ("of", "\n           PERFORM "), ("is", "\n           READ "), ("was", "\n       01  WS-A PIC X(9).\n           05  WS-B PIC 9(4) VALUE 1.\n       "),
+    ("the", "\n       COPY "), ("and", "\n           CALL PROG-A USING "), ("of", "\n           PERFORM "), ("is", "\n           READ "), ("was", "\n       01  WS-REC.\n           05  WS-QTY PIC S9(4)\n               COMP-3 VALUE 0.\n           05  WS-TAB OCCURS 1 TO 9 TIMES DEPENDING ON WS-QTY\n               PIC X(3). 05 WS-R REDEFINES WS-TAB PIC X(27) VALUE 'A. B'.\n       "),
     ("in", "\n           EXEC SQL SELECT A FROM "), ("to", " END-EXEC\n           "), ("it", "\n       PROCEDURE DIVISION.\n       "), ("that", "\n       MAIN-PARA.\n           GO TO "), ("on", "\n           EXEC CICS LINK PROGRAM('ABC') END-EXEC\n"),
-    ("de", "\n           PERFORM "), ("la", "\n       COPY "), ("que", "\n       DATA DIVISION.\n       WORKING-STORAGE SECTION.\n       "), ("der", "\n       COPY "), ("die", "\n           CALL '"), ("und", "' END-EXEC\n       LOOK-UP SECTION.\n       "), ("en", "\n           OPEN INPUT "), ("et", "\n      *"),
+    ("de", "\n           PERFORM "), ("la", "\n       COPY "), ("que", "\n       DATA DIVISION.\n       WORKING-STORAGE SECTION.\n       "), ("der", "\n       COPY "), ("die", "\n           CALL 'sub_1' "), ("und", "' END-EXEC\n       LOOK-UP SECTION.\n       "), ("en", "\n           OPEN INPUT "), ("et", "\n      *"),
 )
 #: What stands for a frequent word in ``replies``.
 MARKS = (

@@ -46,4 +46,24 @@ _B = """       IDENTIFICATION DIVISION.
            COPY STOCK-REC.
            WRITE OUT-REC.
 """
+CLAUSES = """       DATA DIVISION.
+       WORKING-STORAGE SECTION.
+000100 01  WS-REC.                                                      REMARK1
+           05  QTY PIC S9(4) COMP.
+           05  TOTAL-X PIC S9(7)V99
+               COMP-3
+      * a comment in between
+               VALUE ZERO.
+           05  RATE COMP-2.
+           05  TAB OCCURS 1 TO 50 TIMES
+               DEPENDING ON QTY INDEXED BY IX.
+               10  CELL PIC X(3) VALUE 'A. B'. 10 CELL-2 PIC 9.
+           05  AS-TEXT REDEFINES TOTAL-X PIC X(5).
+           05  FILLER.
+               10  FILLER PIC X.
+           88  IS-BIG VALUE 1 THRU 9.
+       77  DONE PICTURE IS X VALUE IS "Y.N".
+       PROCEDURE DIVISION.
+           MOVE 1 TO QTY.
+"""
 SOURCES = [("orders.cbl", _A), ("show.cbl", _B), ("order-rec.cpy", "       01  R.\n           05  R-ID PIC 9(3).\n"), ("empty.cbl", "")]

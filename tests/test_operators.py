@@ -154,21 +154,66 @@ def test_search_without_term(spark):
 
 def test_extraction_of_the_samples(spark):
     s = sources(spark)
-    assert {tuple(r) for r in X.copybooks(s).collect()} >= {("orders.cbl", "ORDER-REC.cpy"), ("show.cbl", "STOCK-REC.cpy")}
-    assert {(r.file, r.program) for r in X.calls(s).collect()} == {("orders.cbl", "PRICE-IT.cbl"), ("show.cbl", "WS-TARGET.cbl")}
-    assert {r.table for r in X.sql_tables(s).collect()} == {"CUSTOMER", "ADDRESS", "STOCK"}
+    assert {tuple(r) for r in X.copybooks(s).collect()} == {("orders.cbl", "ORDER-REC.cpy"), ("orders.cbl", "OLD-REC.cpy"), ("show.cbl", "STOCK-REC.cpy"), ("show.cbl", "SQLCA.cpy")}
+    assert {(r.file, r.program) for r in X.calls(s).collect()} == {("orders.cbl", "PRICE-IT.cbl")}
+    assert {r.table for r in X.sql_tables(s).collect()} == {"CUSTOMER", "ADDRESS", "STOCK", "SQLCA"}
     assert {(r.verb, r.name) for r in X.file_io(s).collect()} == {("OPEN", "ORDER-FILE"), ("READ", "ORDER-FILE"), ("CLOSE", "ORDER-FILE"), ("WRITE", "OUT-REC")}
 
 
+def one_file(spark, content, name="x.cbl"):
+    return spark.createDataFrame([(name, content)], "file string, content string")
+
+
+def test_rules_of_references(spark):
+    s = one_file(spark, "INCLUDE MEM1\ncopy my_copy.\nCOPY 'quoted'\nCALL SUB-A\nCALL sub-b USING X\ncall \"Q_1\" CALL 'Z'\n      * CALL 'IN-COMMENT'")
+    assert {r.copybook for r in X.copybooks(s).collect()} == {"MEM1.cpy", "my_copy.cpy", "quoted.cpy"}
+    assert {(r.line, r.program) for r in X.calls(s).collect()} == {(5, "sub-b.cbl"), (6, "Z.cbl"), (7, "IN-COMMENT.cbl")}
+    other = one_file(spark, "COPY A1\nCALL 'B1'", "x.cpy")
+    assert X.copybooks(other).count() == X.calls(other).count() == X.dependencies(other).count() == 0
+
+
+def test_rules_of_sql_blocks(spark):
+    s = one_file(spark, "\n".join(["  EXEC SQL select a from t_1", "  INTO VALUES, A", "  END-EXEC", "  READ F-1", "  EXEC SQL UPDATE LOST", "  READ NOT-SEEN", "  exec sql INSERT INTO T2 END-EXEC", "  OPEN F-2", "  OPEN I-O F-3", "  EXEC CICS LINK PROGRAM('p-1') END-EXEC", "  LINK PROGRAM('P-2')", "      *EXEC SQL FROM T9 END-EXEC", "  EXEC SQL FROM OPEN1", "  CLOSE NEVER"]))
+    assert {(r.line, r.table) for r in X.sql_tables(s).collect()} == {(1, "T_1"), (1, "VALUES"), (7, "T2")}
+    assert {tuple(r)[1:] for r in X.file_io(s).collect()} == {(4, "READ", "F-1"), (9, "OPEN", "F-3")}
+    assert [tuple(r)[1:] for r in X.cics_links(s).collect()] == [(10, "p-1")]
+
+
+def test_call_edges(spark):
+    s = one_file(spark, "           PERFORM BEFORE\n       Main-Para.\n           PERFORM UNTIL X CALL SUB-A\n           GO TO End-It. CALL 'q'\n       X SECTION.\n           PERFORM Z\n       end-it.\n      *    perform c")
+    assert [tuple(r)[1:] for r in X.call_edges(s).orderBy("line", "kind", "callee").collect()] == [(3, "Main-Para", "SUB-A", "CALL"), (3, "Main-Para", "UNTIL", "PERFORM"), (4, "Main-Para", "q", "CALL"), (4, "Main-Para", "End-It", "GO TO"), (6, "Main-Para", "Z", "PERFORM"), (8, "end-it", "c", "PERFORM")]
+
+
 def test_units_and_variables(spark):
     s = sources(spark).where("file = 'orders.cbl'")
-    u = [(r.kind, r.name, r.section) for r in X.units(s).orderBy("start_line").collect()]
-    assert ("paragraph", "READ-ORDER", "MAIN-LINE") in u and ("paragraph", "FIND-CUSTOMER", "LOOK-UP") in u
+    u = {r.unit: r for r in X.units(s).collect()}
+    assert (u["PARAGRAPH:READ-ORDER"].section, u["PARAGRAPH:READ-ORDER"].parent) == ("MAIN-LINE", "SECTION:MAIN-LINE") and u["PARAGRAPH:FIND-CUSTOMER"].section == "LOOK-UP"
+    assert (u["SECTION:WORKING-STORAGE"].kind, u["SECTION:WORKING-STORAGE"].parent) == ("data section", "DATA-DIVISION") and u["SECTION:MAIN-LINE"].parent == "PROCEDURE-DIVISION" and u["DATA-DIVISION"].parent is None
+    text = s.first().content.split("\n")
+    for r in u.values():
+        assert r.chars == len("\n".join(text[r.start_line - 1 : r.end_line]))
+    assert u["PROCEDURE-DIVISION"].end_line == len(text) and u["PARAGRAPH:START-UP"].end_line == u["PARAGRAPH:READ-ORDER"].start_line - 1
     v = {r.name: (r.level, r.parent, r.value) for r in X.variables(s).collect()}
     assert v["WS-QTY"] == (10, "WS-LINES", None) and v["WS-NAME"] == (5, "WS-ORDER", None) and v["WS-DONE"] == (1, None, "'N'")
     assert X.units(s, strict_area_a=True).where("kind = 'paragraph'").count() == 4
 
 
+def test_clauses_of_data_entries(spark):
+    from tests.programs import CLAUSES
+
+    got = {r.name: r for r in X.variables(one_file(spark, CLAUSES)).collect()}
+    of = lambda n: tuple(getattr(got[n], c) for c in ("line", "level", "pic", "usage", "value", "occurs", "depending", "redefines", "is_group", "parent"))
+    assert of("WS-REC") == (3, 1, None, None, None, None, None, None, True, None)
+    assert of("QTY") == (4, 5, "S9(4)", "COMP", None, None, None, None, False, "WS-REC")
+    assert of("TOTAL-X") == (5, 5, "S9(7)V99", "COMP-3", "ZERO", None, None, None, False, "WS-REC")
+    assert of("RATE") == (9, 5, None, "COMP-2", None, None, None, None, False, "WS-REC")
+    assert of("TAB") == (10, 5, None, None, None, 50, "QTY", None, True, "WS-REC")
+    assert of("CELL") == (12, 10, "X(3)", None, "'A. B'", None, None, None, False, "TAB") and of("CELL-2")[:3] == (12, 10, "9") and of("CELL-2")[-1] == "TAB"
+    assert of("AS-TEXT") == (13, 5, "X(5)", None, None, None, None, "TOTAL-X", False, "WS-REC")
+    assert of("DONE") == (17, 77, "X", None, '"Y.N"', None, None, None, False, "WS-REC")
+    assert "IS-BIG" not in got and of("FILLER")[2:3] == ("X",) and set(got) == {"WS-REC", "QTY", "TOTAL-X", "RATE", "TAB", "CELL", "CELL-2", "AS-TEXT", "FILLER", "DONE"}
+
+
 def test_types_and_names(spark):
     df = spark.createDataFrame([("PIC 9(8)",), ("PIC X(50)",), ("PIC S9(9)V99",), ("PIC X",), (None,)], "p string")
     assert [r[0] for r in df.select(S.target_type(F.col("p"))).collect()][:4] == ["int", "String", "BigDecimal", "String"]
