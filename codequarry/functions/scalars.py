@@ -163,14 +163,17 @@ SIGNS = (
 
 def complexity(text: Column, signs=SIGNS, pic_floor: float = 0.25, level_floor: float = 0.30, copy_bonus: int = 3, exec_bonus: int = 4) -> Column:
     """Weighted signs, and points for dense pictures and levels, for COPY near storage and for embedded SQL; 0 for blank texts."""
-    score = F.lit(0)
+    from codequarry.functions.rules import counted
+
+    score, upper = F.lit(0), F.upper(text)
     for pattern, weight in signs:
-        score = score + F.regexp_count(text, F.lit("(?i)" + pattern)) * weight
+        score = score + counted(text, upper, pattern) * weight
     lines = F.greatest(meaningful_lines(text), F.lit(1))
-    score = score + F.when(F.regexp_count(text, F.lit(r"(?i)\bPIC\b")) / lines > pic_floor, 3).otherwise(0)
+    score = score + F.when(upper.contains("PIC") & (F.regexp_count(text, F.lit(r"(?i)\bPIC\b")) / lines > pic_floor), 3).otherwise(0)
     score = score + F.when(F.regexp_count(text, F.lit(r"(?m)^\s*\d{2}\s+")) / lines > level_floor, 2).otherwise(0)
-    score = score + F.when(text.rlike(r"(?i)(WORKING-STORAGE|LINKAGE)\s+SECTION[\s\S]{0,500}COPY\b"), copy_bonus).otherwise(0)
-    score = score + F.when(text.rlike(r"(?i)EXEC\s+(SQL|DLI)\b"), exec_bonus).otherwise(0)
+    storage = upper.contains("COPY") & (upper.contains("WORKING-STORAGE") | upper.contains("LINKAGE"))
+    score = score + F.when(storage & text.rlike(r"(?i)(WORKING-STORAGE|LINKAGE)\s+SECTION[\s\S]{0,500}COPY\b"), copy_bonus).otherwise(0)
+    score = score + F.when(upper.contains("EXEC") & text.rlike(r"(?i)EXEC\s+(SQL|DLI)\b"), exec_bonus).otherwise(0)
     return F.when(F.coalesce(text, F.lit("")).rlike(r"\S"), score).otherwise(0)
 
 

@@ -39,15 +39,15 @@ COPYBOOKS = (r"COPY\s+([A-Za-z0-9_-]+)", r"COPY\s+([A-Za-z0-9_-]+)\.cpy", r"INCL
 CALLS = (r"CALL\s+'([A-Za-z0-9_-]+)'", r'CALL\s+"([A-Za-z0-9_-]+)"', r"CALL\s+([A-Z][A-Z0-9_-]+)\s+USING")
 
 
-def copybooks(sources: DataFrame) -> DataFrame:
+def copybooks(sources: DataFrame, patterns: tuple[str, ...] = COPYBOOKS) -> DataFrame:
     """(file, copybook): the distinct copybooks of each .cbl file, in the case in which they are written."""
-    found = F.flatten(F.array(*[F.regexp_extract_all("content", F.lit("(?i)" + p), F.lit(1)) for p in COPYBOOKS]))
+    found = F.flatten(F.array(*[F.regexp_extract_all("content", F.lit("(?i)" + p), F.lit(1)) for p in patterns]))
     return _programs(sources).select("file", F.explode(F.array_distinct(found)).alias("c")).select("file", F.concat("c", F.lit(".cpy")).alias("copybook"))
 
 
-def calls(sources: DataFrame) -> DataFrame:
+def calls(sources: DataFrame, patterns: tuple[str, ...] = CALLS) -> DataFrame:
     """(file, line, program): the first line of each .cbl file that calls a program; one call a line counts, in comments too."""
-    program = F.coalesce(*[F.nullif(F.regexp_extract("text", "(?i)" + p, 1), F.lit("")) for p in CALLS])
+    program = F.coalesce(*[F.nullif(F.regexp_extract("text", "(?i)" + p, 1), F.lit("")) for p in patterns])
     hit = lines(_programs(sources)).withColumn("p", program).where("p is not null")
     return hit.groupBy("file", "p").agg(F.min("line").alias("line")).select("file", "line", F.concat("p", F.lit(".cbl")).alias("program"))
 
@@ -210,7 +210,7 @@ def variables(sources: DataFrame) -> DataFrame:
 EDGES = (("PERFORM", r"PERFORM\s+([A-Z0-9][-A-Z0-9]*)"), ("CALL", r"""CALL\s+['"]?([A-Z0-9][-A-Z0-9]*)['"]?"""), ("GO TO", r"GO\s+TO\s+([A-Z0-9][-A-Z0-9]*)"))
 
 
-def call_edges(sources: DataFrame) -> DataFrame:
+def call_edges(sources: DataFrame, edges: tuple[tuple[str, str], ...] = EDGES) -> DataFrame:
     """(file, line, caller, callee, kind) of PERFORM, CALL and GO TO by the paragraph above, in the case in which they are written.
 
     None before the first paragraph, which may stand in any division. All lines count,
@@ -218,7 +218,7 @@ def call_edges(sources: DataFrame) -> DataFrame:
     """
     paragraph = F.when(~F.upper("text").contains("SECTION"), F.nullif(F.regexp_extract("text", r"(?i)^\s{6}\s*([A-Z0-9][-A-Z0-9]*)\s*\.\s*$", 1), F.lit("")))
     l = lines(sources).withColumn("caller", F.last(paragraph, ignorenulls=True).over(_so_far())).where("caller is not null")  # noqa: E741
-    each = F.flatten(F.array(*[_tagged(F.col("text"), "(?i)" + p, k) for k, p in EDGES]))
+    each = F.flatten(F.array(*[_tagged(F.col("text"), "(?i)" + p, k) for k, p in edges]))
     return l.select("file", "line", "caller", F.explode(each).alias("e")).select("file", "line", "caller", "e.callee", "e.kind")
 
 

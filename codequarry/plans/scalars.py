@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codequarry.functions import scalars as S
-from codequarry.plans.common import add
+from codequarry.plans.common import add, rules
 
 #: Authored inputs of the rules.
 NAMES = ["WS-CUSTOMER-ID", "LS-CLASS", "CUSTOMER_NAME", "FD-INT", "ACCT--NO", "X", "WK-9-LIVES", "SD-RETURN"]
@@ -59,7 +59,7 @@ _full = f"greatest(len(list_filter(string_split(content, chr(10)), lambda x: not
 _score = " + ".join("len(regexp_extract_all(content, '(?i)" + x.rsplit(":", 1)[0] + "')) * " + x.rsplit(":", 1)[1] for x in _signs.split(" "))
 _score += f" + case when len(regexp_extract_all(content, '(?i)\\bPIC\\b'))::double / {_full} > 0.25 then 3 else 0 end + case when len(regexp_extract_all(content, '(?m)^\\s*\\d{{2}}\\s+'))::double / {_full} > 0.30 then 2 else 0 end"
 _score += " + case when regexp_matches(content, '(?i)(WORKING-STORAGE|LINKAGE)\\s+SECTION[\\s\\S]{0,500}COPY\\b') then 3 else 0 end + case when regexp_matches(content, '(?i)EXEC\\s+(SQL|DLI)\\b') then 4 else 0 end"
-add("f19_complexity", lambda m: m.sources.select("file", S.complexity(F.col("content")).alias("score")), f"select file, (case when regexp_matches(content, '\\S') then {_score} else 0 end)::int score from sources")
+add("f19_complexity", lambda m: m.sources.select("file", S.complexity(F.col("content"), rules(m).signs()).alias("score")), f"select file, (case when regexp_matches(content, '\\S') then {_score} else 0 end)::int score from sources")
 add("f20_tier_and_budget", lambda m: m.api.select("id", S.tier(F.col("tokens") % 20).alias("tier"), S.token_budget(F.col("tokens") * 100, F.col("tokens") % 20).alias("budget")), "with a as (select id, tokens * 100 n, tokens % 20 c from api), b as (select *, trunc(n * (case when c >= 15 then 3.5 when c >= 5 then 2.5 else 1.5 end))::int need from a) select id, case when c >= 15 then 'High' when c >= 5 then 'Medium' else 'Low' end tier, least(greatest(need, case when c >= 5 or n >= 16384 then 32768 else greatest(4096, need) end), 100000) budget from b")
 add("f21_fenced", lambda m: _frame(m, TEXTS).select("i", S.fenced(F.col("x")).alias("code")), f"with a as (select i, x, regexp_extract(x, '(?s)```cobol\\n(.*?)```', 1) a, regexp_extract(x, '(?s)```[a-z]*\\n(.*?)```', 1) b from {_values(TEXTS)}) select i, trim(case when a <> '' then a when b <> '' then b else x end) code from a")
 add("f22_meaningful_lines", lambda m: m.sources.select("file", S.meaningful_lines(F.col("content")).alias("n")), f"select file, len(list_filter(string_split(content, chr(10)), lambda x: not regexp_matches(x, {_noise})))::int n from sources")

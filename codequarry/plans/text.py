@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codequarry.operators import extract as X
-from codequarry.plans.common import add
+from codequarry.plans.common import add, rules
 
 _src = "src as (select * from sources)"
 _ln = _src + ", l as (select file, i::int as line, t[i] as text from (select file, string_split(content, chr(10)) t, unnest(generate_series(1, len(string_split(content, chr(10))))) i from src)), c as (select *, upper(text) u from l where substr(text, 7, 1) not in ('*', '/'))"
@@ -23,10 +23,10 @@ add("t1_line_explode", lambda m: X.lines(m.files.select(F.col("file_name").alias
 _name = "[A-Za-z0-9_-]+"
 _copy = f"regexp_extract_all(content, '(?i)COPY\\s+({_name})', 1), regexp_extract_all(content, '(?i)INCLUDE\\s+({_name})', 1), regexp_extract_all(content, '(?i)COPY\\s+''({_name})''', 1)"
 _copybooks = f"select distinct file, x || '.cpy' copybook from (select file, unnest(list_concat({_copy})) x from src where file like '%.cbl')"
-text("t2_copybooks", X.copybooks, _src + " " + _copybooks)
+add("t2_copybooks", lambda m: X.copybooks(m.sources, rules(m).patterns("copybook")), "with " + _src + " " + _copybooks)
 _call = f"coalesce(nullif(regexp_extract(text, '(?i)CALL\\s+''({_name})''', 1), ''), nullif(regexp_extract(text, '(?i)CALL\\s+\"({_name})\"', 1), ''), nullif(regexp_extract(text, '(?i)CALL\\s+([A-Z][A-Z0-9_-]+)\\s+USING', 1), ''))"
 _calls = f"select file, min(line) as line, p || '.cbl' program from (select file, line, {_call} p from l where file like '%.cbl') where p is not null group by file, p"
-text("t3_calls", X.calls, _ln + " " + _calls)
+add("t3_calls", lambda m: X.calls(m.sources, rules(m).patterns("call")), "with " + _ln + " " + _calls)
 _blocks = "select file, b, min(line)::int as line, upper(string_agg(s, ' ' order by line)) s from m where b > 0 and line <= e group by file, b"
 _tables = "select distinct file, line, x \"table\" from (select file, line, unnest(list_concat(" + ", ".join(f"regexp_extract_all(s, '{w}\\s+([A-Z0-9_-]+)', 1)" for w in ("FROM", "JOIN", "INTO", "UPDATE", "TABLE", "INCLUDE")) + ")) x from k) where x not in ('DCLGEN', 'OF', 'IN', 'A', 'B', 'SELECT', 'INSERT', 'UPDATE', 'DELETE', 'WHERE', 'GROUP', 'ORDER', 'BY', 'HAVING')"
 text("t4_sql_tables", X.sql_tables, _sql + f", k as ({_blocks}) {_tables}")
@@ -47,7 +47,7 @@ text("t8_entries", lambda src: X.entries(src).drop("sentence"), _items)
 _para = f"case when not contains(upper(text), 'SECTION') then nullif(regexp_extract(text, '(?i)^\\s{{6}}\\s*({_N2})\\s*\\.\\s*$', 1), '') end"
 _edge = lambda k, p: f"list_transform(regexp_extract_all(text, '(?i){p}', 1), lambda x: {{'c': x, 'k': '{k}'}})"
 _cal = _ln + f", pp as (select file, line, text, last_value({_para} ignore nulls) over (partition by file order by line) caller from l), ee as (select file, line, caller, unnest(list_concat({_edge('PERFORM', f'PERFORM\\s+({_N2})')}, {_edge('CALL', 'CALL' + chr(92) + 's+[' + chr(39) * 2 + chr(34) + f']?({_N2})')}, {_edge('GO TO', f'GO\\s+TO\\s+({_N2})')})) e from pp where caller is not null), edges as (select file, line, caller, e.c callee, e.k kind from ee)"
-text("t9_call_edges", X.call_edges, _cal + " select * from edges")
+add("t9_call_edges", lambda m: X.call_edges(m.sources, rules(m).edges()), "with " + _cal + " select * from edges")
 _ext = f"'\\bCOPY\\s+[''\"]?({_N})[''\"]?(?:\\s+(?:OF|IN)\\s+({_N}))?'"
 text("t10_external_copies", X.external_copies, _ln + f" select file, line, regexp_extract(u, {_ext}, 1) \"name\", nullif(regexp_extract(u, {_ext}, 2), '') library from c where regexp_matches(u, {_ext})")
 text("t11_paragraph_dependencies", X.paragraph_dependencies, _cal + _heads + " select distinct file, upper(caller) caller, upper(callee) callee from edges where kind = 'PERFORM' and upper(caller) <> upper(callee) and exists (select 1 from v where v.rk = 2 and v.file = edges.file and v.nm = upper(callee))")
