@@ -361,3 +361,26 @@ def merged_rules(rules: DataFrame) -> DataFrame:
     first = rules.groupBy("file", "description").agg(F.min(F.struct("chunk", "pos")).alias("at"))
     n = F.row_number().over(Window.partitionBy("file").orderBy("at", "description"))
     return first.select("file", F.concat(F.lit("BR-"), n.cast("string")).alias("rule"), "description")
+
+
+def merged_logic(entries: DataFrame, replies: DataFrame) -> DataFrame:
+    """(file, kind, id, title, role, text, items): what the chunks of each file say, merged.
+
+    ``entries`` are ``reply_entries`` with (file, chunk), ``replies`` all (file, chunk).
+    Stories and features follow each other by chunk and n and are numbered US-1 and F-1 on;
+    of rules of one text the first stays, numbered BR-1 on. A file's one purpose names
+    the number of its chunks and joins their distinct purposes, without blank ones and those
+    that hold ERROR, in order.
+    """
+    order = F.struct("chunk", "n")
+    rules = entries.where("kind = 'rule'").groupBy("file", "kind", "text").agg(F.min(order).alias("at")).select("file", "kind", "at", F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("role"), "text", F.array().cast("array<string>").alias("items"))
+    told = entries.where("kind in ('story', 'feature')").select("file", "kind", order.alias("at"), "title", "role", "text", "items")
+    mark = F.when(F.col("kind") == "story", "US-").when(F.col("kind") == "feature", "F-").otherwise("BR-")
+    n = F.row_number().over(Window.partitionBy("file", "kind").orderBy("at", "text"))
+    out = told.union(rules).select("file", "kind", F.concat(mark, n.cast("string")).alias("id"), "title", "role", "text", "items")
+    said = entries.where("kind = 'purpose' and trim(text) <> '' and not contains(text, 'ERROR')").groupBy("file", "text").agg(F.min("chunk").alias("chunk"))
+    said = said.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "text"))), lambda x: x["text"]), " ").alias("said"))
+    chunks = replies.groupBy("file").agg(F.countDistinct("chunk").alias("chunks"))
+    aim = F.concat(F.lit("Extracted from "), F.col("chunks").cast("string"), F.lit(" chunks. "), F.coalesce("said", F.lit("")))
+    none = F.lit(None).cast("string")
+    return out.union(chunks.join(said, "file", "left").select("file", F.lit("purpose"), none, none, none, aim, F.array().cast("array<string>")))

@@ -71,6 +71,8 @@ select id, kind, n::bigint n, null title, null as role, text, '' items from (sel
 union all select id, 'story', n, max(x) filter (c = 'title'), arg_max(x, i) filter (c = 'role'), coalesce(string_agg(x, ' ' order by i) filter (c = 'text'), ''), coalesce(string_agg(x, '|' order by i) filter (c = 'item'), '') from st where c is not null group by id, n
 union all select id, 'feature', n, max(x) filter (c = 'title'), null, coalesce(arg_max(x, i) filter (c = 'text'), ''), coalesce(string_agg(x, '|' order by i) filter (c = 'item'), '') from ft where c is not null group by id, n"""
 add("t12_reply_entries", lambda m: X.reply_entries(m.replies).withColumn("items", F.array_join("items", "|")), _entries)
+_chunked = lambda df: df.withColumn("file", F.floor(F.col("id") / 4)).withColumn("chunk", F.col("id") % 4)
+add("t13_merged_logic", lambda m: X.merged_logic(_chunked(X.reply_entries(m.replies)).drop("id"), _chunked(m.replies)).withColumn("items", F.array_join("items", "|")), "with x as (" + _entries + "), y as (select *, id // 4 as f, id % 4 c from x), ru as (select f, 'rule' kind, text, min(row(c, n)) q from y where kind = 'rule' group by f, text), al as (select f, kind, row(c, n) q, title, role, text, items from y where kind in ('story', 'feature') union all select f, kind, q, null, null, text, '' from ru), pu as (select f, text, min(c) c from y where kind = 'purpose' and trim(text) <> '' and not contains(text, 'ERROR') group by 1, 2), ps as (select f, string_agg(text, ' ' order by c, text) said from pu group by 1), ck as (select id // 4 as f, count(distinct id % 4) k from replies group by 1) select f file, kind, case kind when 'story' then 'US-' when 'feature' then 'F-' else 'BR-' end || row_number() over (partition by f, kind order by q, text) id, title, role, text, items from al union all select f, 'purpose', null, null, null, 'Extracted from ' || k || ' chunks. ' || coalesce(said, ''), '' from ck left join ps using (f)")
 add("t13_merged_rules", lambda m: X.merged_rules(m.copies.select(F.col("program").alias("file"), (F.col("id") % 7).alias("chunk"), F.col("id").alias("pos"), F.col("copybook").alias("description"))), "with f as (select program file, copybook description, min(row(id % 7, id)) first_at from copies group by 1, 2) select file, 'BR-' || row_number() over (partition by file order by first_at, description) as rule, description from f")
 _MESSAGES = ['Analyzing COBOL file: {f}.cbl', 'Analysis progress: 3 of 9 - {f}.cbl', 'File {f}.cbl has 12 lines', 'Extracting business logic from: {f}.cbl', 'Processing chunk 2 of source {f}.cbl', 'Chunk 1 of 4 done for {f}.cbl', 'Converting {f}.cbl', 'Converting to Java now: {f}.cbl', 'Saving output {f}.java', 'Wrote {f}.cs', 'nothing about {f}.cbl']
 _message = "case id % 11 " + " ".join(f"when {i} then '" + x.replace("{f}", "' || {0} || '") + "'" for i, x in enumerate(_MESSAGES)) + " end"

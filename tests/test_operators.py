@@ -305,3 +305,12 @@ Description: Last
         ("rule", 2, None, None, "Rates exist", []),
         ("story", 1, "Use Case 1: Pay", "Month end", "Sum hours and pay.", ["Read", "Write", "step", "**Hours** are positive", "no", "not a rule"]),
     ]
+
+
+def test_merged_logic(spark):
+    kind = "file string, chunk int, kind string, n long, title string, role string, text string, items array<string>"
+    rows = [("f", 1, "story", 1, "B", None, "", []), ("f", 0, "story", 2, "A2", "r", "t", ["x"]), ("f", 0, "story", 1, "A1", None, "", []), ("f", 1, "feature", 1, "F", None, "", []), ("f", 0, "rule", 1, None, None, "same", []), ("f", 1, "rule", 1, None, None, "same", []), ("f", 1, "rule", 2, None, None, "other", []),
+            ("f", 0, "purpose", 1, None, None, "aim", []), ("f", 1, "purpose", 1, None, None, "aim", []), ("f", 2, "purpose", 1, None, None, "an ERROR", [])]
+    replies = spark.createDataFrame([("f", c) for c in range(3)] + [("g", 0)], "file string, chunk int")
+    got = [(r.file, r.kind, r.id, r.title or r.text) for r in X.merged_logic(spark.createDataFrame(rows, kind), replies).orderBy("file", "kind", "id").collect()]
+    assert got == [("f", "feature", "F-1", "F"), ("f", "purpose", None, "Extracted from 3 chunks. aim"), ("f", "rule", "BR-1", "same"), ("f", "rule", "BR-2", "other"), ("f", "story", "US-1", "A1"), ("f", "story", "US-2", "A2"), ("f", "story", "US-3", "B"), ("g", "purpose", None, "Extracted from 1 chunks. ")]
