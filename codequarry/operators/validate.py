@@ -46,17 +46,20 @@ def validity(issues: DataFrame, *keys: str) -> DataFrame:
 
 
 def leaks(names: DataFrame, code: DataFrame) -> DataFrame:
-    """(file, name): legacy names that the file's converted code still holds, with or without hyphens, whatever the case."""
-    low = F.lower("code")
-    hit = F.contains(low, F.lower("name")) | F.contains(low, F.replace(F.lower("name"), F.lit("-"), F.lit("")))
-    return names.join(code, "file").where(hit).select("file", "name").distinct()
+    """(file, name): legacy names that the file's converted code still holds, with or without hyphens, whatever the case.
+
+    A file's names come together and are looked for in each of its texts, so that no text is copied for each name.
+    """
+    own = names.where("name is not null").groupBy("file").agg(F.collect_set("name").alias("names"))
+    hit = lambda n: F.contains(F.lower("code"), F.lower(n)) | F.contains(F.lower("code"), F.replace(F.lower(n), F.lit("-"), F.lit("")))
+    return code.join(own, "file").select("file", F.explode(F.filter("names", hit)).alias("name")).distinct()
 
 
 def unconverted(signatures: DataFrame, code: DataFrame) -> DataFrame:
-    """(file, name, severity): legacy names that the file's code holds without hyphens, whatever the case, while it never calls their method."""
-    held = F.contains(F.lower("code"), F.lower(F.replace("name", F.lit("-"), F.lit(""))))
-    calls = F.contains("code", F.concat("method", F.lit("(")))
-    return signatures.join(code, "file").where(held & ~calls).select("file", "name", F.lit("Warning").alias("severity")).distinct()
+    """(file, name, severity): legacy names (file, name, method) that the file's code holds without hyphens, whatever the case, while it never calls their method."""
+    own = signatures.groupBy("file").agg(F.collect_set(F.struct("name", "method")).alias("names"))
+    held = lambda n: F.contains(F.lower("code"), F.lower(F.replace(n["name"], F.lit("-"), F.lit("")))) & ~F.contains("code", F.concat(n["method"], F.lit("(")))
+    return code.join(own, "file").select("file", F.explode(F.transform(F.filter("names", held), lambda n: n["name"])).alias("name"), F.lit("Warning").alias("severity")).distinct()
 
 
 def fix_plan(issues: DataFrame, most: int) -> DataFrame:

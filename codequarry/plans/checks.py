@@ -8,7 +8,9 @@ from codequarry.operators import chunking as C
 from codequarry.operators import dml as D
 from codequarry.operators import validate as V
 from codequarry.operators.aggregates import percent, resume_point, total_if
+from codequarry.operators.extract import call_edges, external_copies
 from codequarry.operators.extract import lines as source_lines
+from codequarry.plans import text as T
 from codequarry.plans.common import add
 from codequarry.staging import numbered, shared_folder
 from codequarry.streaming.live import apply_updates, current_status, status_counts
@@ -50,12 +52,16 @@ _map = lambda m: m.sigs.groupBy(F.col("legacy_name").alias("key")).agg(F.min("re
 add("v2_type_issues", lambda m: V.type_issues(m.sigs.select(F.col("seq").alias("id"), F.col("legacy_name").alias("key"), F.col("return_type").alias("type"), F.col("method").alias("field")), _map(m)), "with k as (select legacy_name, min(return_type) t, min(method) f from sigs group by 1) select seq id, case when return_type <> t then 'Error' else 'Warning' end severity from sigs join k using (legacy_name) where return_type <> t or method <> f")
 add("v3_severity_counts", lambda m: V.signature_issues(_uses(m), _reg(m)).groupBy("issue", "severity").agg(F.count("*").alias("n")), _iss + "select issue, severity, count(*) n from i group by 1, 2")
 add("v4_validity", lambda m: V.validity(V.signature_issues(_uses(m), _reg(m)), "issue").select("issue", "valid"), _iss + "select issue, max(case severity when 'Critical' then 3 when 'Error' then 2 else 1 end) < 2 as valid from i group by 1")
-_code = lambda m: m.files.select(F.concat(F.lit("r"), F.col("run_id").cast("string")).alias("file"), F.col("content").alias("code"))
-_names = lambda m: m.table("nation").select(F.concat(F.lit("r"), (F.col("n_nationkey") % 10).cast("string")).alias("file"), F.concat(F.substring("n_name", 1, 1), F.lit("-"), F.substring("n_name", 2, 1)).alias("name"))
-_leak = "with n as (select 'r' || (n_nationkey % 10) file, n_name[1] || '-' || n_name[2] \"name\" from nation), c as (select 'r' || run_id file, lower(content) code, content whole from files) select distinct n.file, n.name from n join c on c.file = n.file where contains(code, lower(n.name)) or contains(code, replace(lower(n.name), '-', ''))"
-add("v5_unconverted_names", lambda m: V.unconverted(_names(m).withColumn("method", F.lower(F.substring("name", 1, 1))), _code(m)), "with n as (select 'r' || (n_nationkey % 10) file, n_name[1] || '-' || n_name[2] \"name\", lower(n_name[1]) || '(' call from nation), c as (select 'r' || run_id file, content from files) select distinct n.file, n.name, 'Warning' severity from n join c on c.file = n.file where contains(lower(content), replace(lower(n.name), '-', '')) and not contains(content, call)")
-add("j13_text_containment", lambda m: V.leaks(_names(m), _code(m)).groupBy("file").agg(F.count("*").alias("n")), f"select file, count(*) n from ({_leak}) group by 1")
-add("v7_variable_leaks", lambda m: V.leaks(m.table("nation").select(F.concat(F.lit("r"), (F.col("n_nationkey") % 10).cast("string")).alias("file"), F.concat(F.substring("n_name", 2, 1), F.lit("-"), F.substring("n_name", 3, 1)).alias("name")), _code(m)), _leak.replace("n_name[1] || '-' || n_name[2]", "n_name[2] || '-' || n_name[3]"))
+#: A file's text, and the names that the program beside it refers to: its copybooks, and what its paragraphs call.
+_code = lambda m: m.files.select(F.col("file_name").alias("file"), F.col("content").alias("code"))
+_copied = lambda m: external_copies(m.sources).select("file", F.concat_ws("-", F.substring("name", 1, 2), F.expr("substr(name, 3)")).alias("name")).distinct()
+_called = lambda m: call_edges(m.sources).select("file", F.col("callee").alias("name")).distinct()
+_n_copied = T._ln + f", n as (select distinct file, s[1:2] || '-' || s[3:] as name from (select file, regexp_extract(u, {T._ext}, 1) s from c where regexp_matches(u, {T._ext}))), code as (select file_name file, content from files)"
+_n_called = T._cal + ", n as (select distinct file, callee as name from edges), code as (select file_name file, content from files)"
+_leak = " select n.file, n.name from n join code c on c.file = n.file where contains(lower(content), lower(n.name)) or contains(lower(content), replace(lower(n.name), '-', ''))"
+add("v5_unconverted_names", lambda m: V.unconverted(_copied(m).withColumn("method", F.lower(F.substring("name", 1, 1))), _code(m)), "with " + _n_copied + " select n.file, n.name, 'Warning' severity from n join code c on c.file = n.file where contains(lower(content), replace(lower(n.name), '-', '')) and not contains(content, lower(n.name[1]) || '(')")
+add("j13_text_containment", lambda m: V.leaks(_copied(m), _code(m)).groupBy("file").agg(F.count("*").alias("n")), "with " + _n_copied + f" select file, count(*) n from ({_leak}) group by 1")
+add("v7_variable_leaks", lambda m: V.leaks(_called(m), _code(m)), "with " + _n_called + _leak)
 add("v6_unresolved_refs", lambda m: D.resolve(m.refs, m.sigs.where("seq % 3 = 0").groupBy("run_id", "method").agg(F.min("return_type").alias("signature"))).where("not resolved").select("id", F.lit("Error").alias("severity")), "select id, 'Error' severity from refs where not resolved and not exists (select 1 from sigs where seq % 3 = 0 and sigs.run_id = refs.run_id and sigs.method = refs.target_method)")
 add("v8_fix_plan", lambda m: V.fix_plan(V.signature_issues(_uses(m), _reg(m)).join(m.sigs.select(F.col("seq").alias("id"), "run_id"), "id"), 5).select("run_id", "id", "issue", "n"), _iss + "select run_id, id, issue, row_number() over (partition by run_id order by id, issue)::int n from i qualify n <= 5")
 _typed = "with k as (select legacy_name, min(return_type) t, min(method) f from sigs group by 1), t as (select run_id, return_type = t and method = f ok from sigs join k using (legacy_name)), "
