@@ -76,9 +76,10 @@ BEFORE_TABLES = ("FROM", "JOIN", "INTO", "UPDATE", "TABLE", "INCLUDE")
 NOT_TABLES = ("DCLGEN", "OF", "IN", "A", "B", "SELECT", "INSERT", "UPDATE", "DELETE", "WHERE", "GROUP", "ORDER", "BY", "HAVING")
 
 
-def sql_tables(sources: DataFrame) -> DataFrame:
-    """Distinct (file, line, table) of the names after each of ``BEFORE_TABLES``, in upper case."""
-    names = F.flatten(F.array(*[F.regexp_extract_all(F.upper("sql"), F.lit(rf"{word}\s+([A-Z0-9_-]+)"), F.lit(1)) for word in BEFORE_TABLES]))
+def sql_tables(sources: DataFrame, whole_words: bool = False) -> DataFrame:
+    """Distinct (file, line, table) of the names after each of ``BEFORE_TABLES``, in upper case; also where such a word ends a longer one, unless ``whole_words``."""
+    edge = r"\b" if whole_words else ""
+    names = F.flatten(F.array(*[F.regexp_extract_all(F.upper("sql"), F.lit(rf"{edge}{word}\s+([A-Z0-9_-]+)"), F.lit(1)) for word in BEFORE_TABLES]))
     return sql_blocks(sources).select("file", "line", F.explode(F.array_distinct(names)).alias("table")).where(~F.col("table").isin(*NOT_TABLES))
 
 

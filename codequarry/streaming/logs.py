@@ -168,7 +168,9 @@ def trailing_usage(calls: DataFrame, seconds: int = 60) -> DataFrame:
 def within(events: DataFrame, runs: DataFrame, margin: int, hours: int = 1) -> DataFrame:
     """(id, ts, run) of events (id, ts) within ``margin`` seconds of a run's span (run, s, e); a run without end goes on to the last event.
 
-    Both meet in buckets of ``hours``.
+    Both meet in buckets of ``hours``. A run without end holds every later event, as
+    asked for, so rows grow with open runs times events; ``within`` gives them, a caller
+    that only needs numbers counts by run.
     """
     length = hours * 3600
     number = lambda t: F.floor(F.expr(f"timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', {t})") / length)

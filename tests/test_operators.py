@@ -175,6 +175,8 @@ def test_rules_of_references(spark):
 def test_rules_of_sql_blocks(spark):
     s = one_file(spark, "\n".join(["  EXEC SQL select a from t_1", "  INTO VALUES, A", "  END-EXEC", "  READ F-1", "  EXEC SQL UPDATE LOST", "  READ NOT-SEEN", "  exec sql INSERT INTO T2 END-EXEC", "  OPEN F-2", "  OPEN I-O F-3", "  EXEC CICS LINK PROGRAM('p-1') END-EXEC", "  LINK PROGRAM('P-2')", "      *EXEC SQL FROM T9 END-EXEC", "  EXEC SQL FROM OPEN1", "  CLOSE NEVER"]))
     assert {(r.line, r.table) for r in X.sql_tables(s).collect()} == {(1, "T_1"), (1, "VALUES"), (7, "T2")}
+    joined = one_file(spark, "EXEC SQL SELECT 1 XFROM T1 END-EXEC")
+    assert [r.table for r in X.sql_tables(joined).collect()] == ["T1"] and X.sql_tables(joined, whole_words=True).count() == 0
     assert {tuple(r)[1:] for r in X.file_io(s).collect()} == {(4, "READ", "F-1"), (9, "OPEN", "F-3")}
     assert [tuple(r)[1:] for r in X.cics_links(s).collect()] == [(10, "p-1")]
 
