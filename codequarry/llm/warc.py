@@ -260,7 +260,7 @@ def convert(arcs: DataFrame, least: int = 1000) -> DataFrame:
     seen = inventory(arcs).where(F.col("bytes") >= least)
     groups = seen.select("digest", "key", "fp").distinct()
     groups = stored(groups)
-    chief = groups.groupBy("digest").agg(F.max("key").alias("chief"), F.count("*").alias("n")).where("n > 1 and chief is not null")
+    chief = stored(groups.groupBy("digest").agg(F.max("key").alias("chief"), F.count("*").alias("n")).where("n > 1 and chief is not null"))  # stored, so that the join may split a payload of many pages
     again = groups.join(chief, "digest").where("key is null or key <> chief").select(F.col("key").alias("k"), F.col("fp").alias("f"), F.col("chief").cast("string").alias("refers"))
     rows = arcs.select(F.col("key").cast("bigint").alias("n"), "content", F.xxhash64("content").alias("fp"))
     rows = rows.join(again, rows.n.eqNullSafe(again.k) & (rows.fp == again.f), "left").select(F.col("n").cast("string").alias("key"), "content", "refers")
