@@ -17,8 +17,9 @@ long lists, so a class with fewer values there than the estimate asks for can't
 in a pair that passes it; how many of its own values the other class shares does
 not matter. The remaining ("dense") classes are first linked to the densest class of
 each long list. Where a list then still spans several components, its classes are
-compared block by block, estimate before exact test inside the task, all pairs of
-two blocks by one matrix product, and only links come out. Pairs of one component
+compared block by block, all pairs of two blocks by one matrix product. The blocks
+are sketches first; only classes that pass the estimate with another come again
+with their full sets, and only links come out. Pairs of one component
 are left out, and so are pairs whose two classes have the same first long list, as
 they meet there; the largest such group of a list is not compared with itself.
 Blocks are bounded in classes and in shingles. Nothing is capped.
@@ -146,19 +147,36 @@ def _shared_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int
     return total
 
 
+def _maybe(sketches: list[np.ndarray], size: np.ndarray, comp: np.ndarray, block: np.ndarray, key: tuple, percent: int, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of the two blocks, and which pairs of them fit in size, lie in two components and pass the estimate."""
+    _, bi, bj = key
+    left = np.flatnonzero(block == bi)
+    right = left if bi == bj else np.flatnonzero(block == bj)
+    low, high = np.minimum.outer(size[left], size[right]), np.maximum.outer(size[left], size[right])
+    maybe = (100 * low >= percent * high) & (comp[left][:, None] != comp[right][None, :])
+    if maybe.any():
+        maybe &= _shared_counts([sketches[r] for r in left], [sketches[r] for r in right]) >= least * np.minimum(low, k)
+    return left, right, maybe
+
+
+def _hopeful(percent: int, k: int, least: float):
+    """The rows of one pair of blocks that pass the estimate with any other; sketches alone are looked at."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right, maybe = _maybe([np.asarray(x) for x in pdf["sketch"]], pdf["n"].to_numpy(), pdf["comp"].to_numpy(), pdf["block"].to_numpy(), key, percent, k, least)
+        rows = np.union1d(left[maybe.any(axis=1)], right[maybe.any(axis=0)])
+        return pdf.iloc[rows][["v", "vid", "comp", "block", "bi", "bj"]]
+
+    return run
+
+
 def _across(percent: int, k: int, least: float):
     """Links between components inside one pair of blocks of a long list: estimate, then exact test, all pairs at once."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        _, bi, bj = key
-        items, comp = [np.asarray(x) for x in pdf["items"]], pdf["comp"].to_numpy().copy()
-        vid, block, size = pdf["vid"].to_numpy(), pdf["block"].to_numpy(), np.array([len(x) for x in items])
-        left = np.flatnonzero(block == bi)
-        right = left if bi == bj else np.flatnonzero(block == bj)
-        low, high = np.minimum.outer(size[left], size[right]), np.maximum.outer(size[left], size[right])
-        maybe = (100 * low >= percent * high) & (comp[left][:, None] != comp[right][None, :])
-        if maybe.any():
-            maybe &= _shared_counts([items[r][:k] for r in left], [items[r][:k] for r in right]) >= least * np.minimum(low, k)
+        items, comp, vid = [np.asarray(x) for x in pdf["items"]], pdf["comp"].to_numpy().copy(), pdf["vid"].to_numpy()
+        size = np.array([len(x) for x in items])
+        left, right, maybe = _maybe([x[:k] for x in items], size, comp, pdf["block"].to_numpy(), key, percent, k, least)
         out = []
         if maybe.any():
             rows, cols = np.flatnonzero(maybe.any(axis=1)), np.flatnonzero(maybe.any(axis=0))
@@ -237,9 +255,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     place = F.pmod(F.xxhash64("vid"), F.when(F.col("out"), F.col("others")).otherwise(F.col("mains"))).cast("int")
     placed = placed.withColumn("block", F.when(F.col("out"), place).otherwise(F.col("others") + place))
     last = F.col("others") + F.when(F.col("out"), F.col("mains")).otherwise(0) - 1
-    placed = placed.withColumn("o", F.explode(F.sequence(F.lit(0), last))).join(sets, "vid")
-    placed = placed.select("v", "vid", "comp", "block", "items", F.least("block", "o").alias("bi"), F.greatest("block", "o").alias("bj"))
-    more = placed.groupBy("v", "bi", "bj").applyInPandas(_across(percent, k, least), "a bigint, b bigint")
+    placed = placed.join(classes.select("vid", "sketch"), "vid").withColumn("o", F.explode(F.sequence(F.lit(0), last)))
+    placed = placed.select("v", "vid", "n", "comp", "block", "sketch", F.least("block", "o").alias("bi"), F.greatest("block", "o").alias("bj"))
+    hopeful = stored(placed.groupBy("v", "bi", "bj").applyInPandas(_hopeful(percent, k, least), "v bigint, vid bigint, comp bigint, block int, bi int, bj int"))
+    more = hopeful.join(sets, "vid").groupBy("v", "bi", "bj").applyInPandas(_across(percent, k, least), "a bigint, b bigint")
     more = stored(more)
     if not more.isEmpty():  # links between components join their roots
         ends = more.join(roots.select(F.col("v").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("v").alias("b"), F.col("root").alias("rb")), "b", "left")
