@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from codequarry import registry
 from codequarry.operators import aggregates as A
 from codequarry.operators import graph as G
 
@@ -70,3 +71,32 @@ def test_levels_tell_cycles_from_what_waits_for_them(spark):
     names = spark.createDataFrame([(v,) for v in set(itertools.chain(*CHAINED)) | {"top"}], "file string")
     got = {r.file: (r.level, r.state) for r in G.levels(df, names).collect()}
     assert got["end"] == (0, "ordered") and got["top"] == (1, "ordered") and got["start"] == (None, "waits") and got["t"] == (None, "cycle")
+
+
+def walks(edges, starts, depth=5):
+    now, found = {(s, s) for s in starts}, set()
+    for d in range(1, depth + 1):
+        now = {(s, b) for s, v in now for a, b in edges if a == v}
+        found |= {(s, b, d) for s, b in now}
+    return found
+
+
+@pytest.mark.parametrize("edges", [NESTED + CHAINED, random_edges(3), [(f"u{i}", f"t{k}") for i in range(12) for k in range(5) if i % 3 != k] + [(f"t{k}", f"t{(k + s) % 5}") for k in range(5) for s in (1, 2)]])
+@pytest.mark.parametrize("backward", [False, True])
+def test_reach_like_brute_force(spark, edges, backward):
+    df, ways = spark.createDataFrame([*edges, edges[0]], "src string, dst string"), {(b, a) if backward else (a, b) for a, b in edges}
+    starts = df.select(df.src.alias("file")).union(df.select("dst"))
+    assert sorted(tuple(r) for r in G.reach(df, starts, backward=backward).collect()) == sorted(walks(ways, {v for e in edges for v in e}))
+
+
+EVENTS = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 101), (5, 5), (6, None), (7, 2), (100, 7), (7, 2)]
+
+
+@pytest.mark.parametrize("name", ["g2_dependencies_pairs"])
+def test_every_file_is_a_start(spark, tmp_path, name):
+    spark.createDataFrame([(i, u, "view", None if k is None else f'{{"k": {k}}}') for i, (u, k) in enumerate(EVENTS)], "event_id long, user_id long, event_type string, props string").write.parquet(str(tmp_path / "events.parquet"))
+    edges = {(f"f{u}", f"f{k}") for u, k in EVENTS if k is not None and u != k}
+    want = walks({(b, a) for a, b in edges}, {b for _, b in edges}) if name == "g2_impact_pairs" else walks(edges, {a for a, _ in edges})
+    if name == "g2_min_distance":
+        want = {(s, f, min(d for t, g, d in want if (s, f) == (t, g))) for s, f, _ in want}
+    assert sorted(tuple(r) for r in registry.queries()[name](spark, str(tmp_path)).collect()) == sorted(want)
