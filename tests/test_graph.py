@@ -92,7 +92,7 @@ def test_reach_like_brute_force(spark, edges, backward):
 EVENTS = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 101), (5, 5), (6, None), (7, 2), (100, 7), (7, 2)]
 
 
-@pytest.mark.parametrize("name", ["g2_dependencies_pairs", "g2_impact_pairs"])
+@pytest.mark.parametrize("name", ["g2_dependencies_pairs", "g2_impact_pairs", "g2_min_distance"])
 def test_every_file_is_a_start(spark, tmp_path, name):
     spark.createDataFrame([(i, u, "view", None if k is None else f'{{"k": {k}}}') for i, (u, k) in enumerate(EVENTS)], "event_id long, user_id long, event_type string, props string").write.parquet(str(tmp_path / "events.parquet"))
     edges = {(f"f{u}", f"f{k}") for u, k in EVENTS if k is not None and u != k}
