@@ -7,6 +7,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from codequarry import registry
 from codequarry.functions import scalars as S
 from codequarry.operators import chunking as C
 from codequarry.operators import dml as D
@@ -316,3 +317,10 @@ def test_merged_logic(spark):
     replies = spark.createDataFrame([("f", c) for c in range(3)] + [("g", 0)], "file string, chunk int")
     got = [(r.file, r.kind, r.id, r.title or r.text) for r in X.merged_logic(spark.createDataFrame(rows, kind), replies).orderBy("file", "kind", "id").collect()]
     assert got == [("f", "feature", "F-1", "F"), ("f", "purpose", None, "Extracted from 3 chunks. aim"), ("f", "rule", "BR-1", "same"), ("f", "rule", "BR-2", "other"), ("f", "story", "US-1", "A1"), ("f", "story", "US-2", "A2"), ("f", "story", "US-3", "B"), ("g", "purpose", None, "Extracted from 1 chunks. ")]
+
+
+def test_calls_name_the_words_of_the_text(spark, tmp_path):
+    docs = [(1, "x and alpha y and beta-2 z and alpha", "en"), (2, "the one and of two and 5", "en"), (3, "x and alpha y", "de"), (4, None, "en")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.queries()["t3_calls"](spark, str(tmp_path))
+    assert tuples(got, "file", "line") == [("doc_1.cbl", 2, "alpha.cbl"), ("doc_1.cbl", 3, "beta-2.cbl"), ("doc_2.cbl", 2, "of.cbl"), ("doc_2.cbl", 3, "PROG-A.cbl")]  # a number is no name
