@@ -217,6 +217,31 @@ def test_clauses_of_data_entries(spark):
     assert "IS-BIG" not in got and of("FILLER")[2:3] == ("X",) and set(got) == {"WS-REC", "QTY", "TOTAL-X", "RATE", "TAB", "CELL", "CELL-2", "AS-TEXT", "FILLER", "DONE"}
 
 
+ODD_ENTRIES = [
+    "01  A PIC X.  05 B VALUE 'DON. T. 05 C PIC 9.",
+    "01  A PIC X(3)..  05 B PIC X. .  05 C.'X. 05 D PIC 9.",
+    "01  A PIC X.\t05 B PIC\t9. \r",
+    '01  A VALUE "X. Y" PIC X. 05 B "WS. 05 C PIC X.',
+    "01  A\x0bB PIC X. 05 C PIC X.\x0b05 D PIC 9.",
+    "01  A VALUE IT'S. 05  B VALUE '' PIC X. 05 C OCCURS 3 TO 9.",
+]
+
+
+def test_odd_entries_like_the_sql(spark):
+    import duckdb
+
+    from codequarry.plans.text import _items
+
+    texts = [*ODD_ENTRIES, "\n".join("       " + x for x in ODD_ENTRIES)]
+    rows = [(f"{i}.cbl", t if i >= len(ODD_ENTRIES) else "       " + t) for i, t in enumerate(texts)]
+    con = duckdb.connect()
+    con.execute("create table sources(file varchar, content varchar)")
+    con.executemany("insert into sources values (?, ?)", rows)
+    want = sorted(map(repr, con.execute("with " + _items).fetchall()))
+    got = sorted(repr(tuple(r)) for r in X.entries(spark.createDataFrame(rows, "file string, content string")).drop("sentence").collect())
+    assert got == want and len(got) > 12
+
+
 def test_types_and_names(spark):
     df = spark.createDataFrame([("PIC 9(8)",), ("PIC X(50)",), ("PIC S9(9)V99",), ("PIC X",), (None,)], "p string")
     assert [r[0] for r in df.select(S.target_type(F.col("p"))).collect()][:4] == ["int", "String", "BigDecimal", "String"]
