@@ -73,6 +73,39 @@ def test_levels_tell_cycles_from_what_waits_for_them(spark):
     assert got["end"] == (0, "ordered") and got["top"] == (1, "ordered") and got["start"] == (None, "waits") and got["t"] == (None, "cycle")
 
 
+def longest_walks(edges):
+    """Length of each vertex's longest walk, null if one is endless."""
+    ways = {}
+    for a, b in edges:
+        ways.setdefault(a, set()).add(b)
+    level = {v: 0 for v in set(itertools.chain(*edges)) - set(ways)}
+    while new := {v: 1 + max(level[w] for w in to) for v, to in ways.items() if v not in level and to <= set(level)}:
+        level |= new
+    return {v: level.get(v) for v in itertools.chain(*edges)}
+
+
+@pytest.mark.parametrize("few", [0, 7, 10**6])
+def test_levels_in_rounds_and_in_one_task(spark, few):
+    rng = random.Random(few)
+    edges = [*CHAINED, *{(f"d{a}", f"d{b}") for a, b in (sorted((rng.randrange(20), rng.randrange(20))) for _ in range(30)) if a < b}, ("u0", "d0"), ("u1", "p")]
+    df = spark.createDataFrame(edges, "src string, dst string")
+    names = spark.createDataFrame([(v,) for v in {*itertools.chain(*edges), "alone"}], "file string")
+    got = {r.file: r.level for r in G.levels(df, names, few=few).collect()}
+    assert got == longest_walks(edges) | {"alone": 0}
+
+
+def test_deep_levels_and_components_take_few_jobs(spark):
+    n = 3000
+    chain = spark.range(n).selectExpr("'c' || id src", "'c' || (id + 1) dst")
+    ring = spark.range(30_000).selectExpr("'r' || id src", f"'r' || (id + 1) % 30000 dst")
+    names = chain.union(ring).selectExpr("explode(array(src, dst)) file").distinct()
+    status = spark.sparkContext.statusTracker()
+    before = max(status.getJobIdsForGroup(None), default=0)
+    got = G.levels(chain.union(ring), names).groupBy("state").agg({"level": "max", "*": "count"}).collect()
+    assert sorted((r.state, r["max(level)"], r["count(1)"]) for r in got) == [("cycle", None, 30_000), ("ordered", n, n + 1)]
+    assert max(status.getJobIdsForGroup(None)) - before < 200
+
+
 def walks(edges, starts, depth=5):
     now, found = {(s, s) for s in starts}, set()
     for d in range(1, depth + 1):
