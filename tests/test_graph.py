@@ -66,6 +66,19 @@ def test_cycles_stay_in_their_component(spark):
     assert got == want - {("s1", 4), ("s2", 4)}  # a trail takes an edge once
 
 
+def test_only_halves_of_cycles_are_walked(spark, monkeypatch):
+    edges = [(a, b) for a in "abcde" for b in "abcde" if a != b]
+    now, want = [[e] for e in edges], set()
+    for d in range(2, 7):
+        now = [[*t, e] for t in now for e in edges if e[0] == t[-1][1] and e not in t]
+        want |= {(t[0][0], d, " ".join(f"{a}>{b}" for a, b in t)) for t in now if t[0][0] == t[-1][1]}
+    sizes, stored = [], G.stored
+    monkeypatch.setattr(G, "stored", lambda df: (out := stored(df), sizes.append(out.count()))[0])
+    got = [tuple(r) for r in G.cycles(spark.createDataFrame(edges, "src string, dst string"), depth=6, limit=10**6).collect()]
+    assert sorted(got) == sorted(want) and got == sorted(got, key=lambda r: (r[1], r[0], r[2]))
+    assert max(sizes) < len(now) / 3
+
+
 def test_levels_tell_cycles_from_what_waits_for_them(spark):
     df = spark.createDataFrame([*CHAINED, ("top", "end")], "src string, dst string")
     names = spark.createDataFrame([(v,) for v in set(itertools.chain(*CHAINED)) | {"top"}], "file string")
