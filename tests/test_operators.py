@@ -242,6 +242,23 @@ def test_odd_entries_like_the_sql(spark):
     assert got == want and len(got) > 12
 
 
+def test_mentioned_files_like_a_loop(spark):
+    import random
+
+    from codequarry.operators import filters as P
+
+    rng = random.Random(5)
+    names = ["doc_7.cbl", "doc_77.cpy", "DOC_77.cbl", "ab.c.cbl", "ümlaut-größe.cbl", "x.cbl", "a\U0001f600b.cpy", "no_dot", "long_long_name_12345.cbl", "other_long_name_12345.cbl", None]
+    stems = {n: n.lower().rsplit(".", 1)[0] for n in names if n}
+    words = ["Doc_7", "doc_77", "AB.C", "ÜMLAUT-GRÖSSE", "ümlaut-größe", "X", "a\U0001f600B", "NO_DOT", "long_name_12345", "Long_Long_Name_12345", "zz", "", "q " * 300]
+    texts = [(f"p{i}", "".join(rng.choice(words) + rng.choice(["", " ", "_"]) for _ in range(rng.randint(0, 5)))) for i in range(120)] + [("none", None)]
+    df = P.mentioned(spark.createDataFrame(texts, "prompt string, text string"), spark.createDataFrame([(n,) for n in names], "file_name string"), most=3)
+    want = [(p, n) for p, t in texts if t is not None for n in sorted(n for n, s in stems.items() if s in t.lower())[:3]]
+    assert sorted(map(tuple, df.collect())) == sorted(want) and len(want) > 100
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "explode" not in plan
+
+
 def test_types_and_names(spark):
     df = spark.createDataFrame([("PIC 9(8)",), ("PIC X(50)",), ("PIC S9(9)V99",), ("PIC X",), (None,)], "p string")
     assert [r[0] for r in df.select(S.target_type(F.col("p"))).collect()][:4] == ["int", "String", "BigDecimal", "String"]
