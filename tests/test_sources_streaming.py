@@ -4,6 +4,7 @@ import datetime as dt
 import json
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -173,6 +174,24 @@ def test_admissions_like_a_loop(spark):
     assert (alone.admit, alone.wait_ms, alone.reason) == (False, 60_000, "TPM")
 
 
+def test_admissions_of_one_time_like_the_sql(spark):
+    rows = requests(4)
+    got = {r.id: (r.admit, r.wait_ms, r.reason) for r in L.admissions(spark.createDataFrame(rows, "agent string, id long, ts timestamp_ntz, tokens long"), 60, 4, peers=True).collect()}
+    want = {}
+    for agent, i, ts, n in rows:
+        used = [(t, k) for a, j, t, k in rows if a == agent and j != i and 0 <= (ts - t).total_seconds() <= 60]
+        why = "TPM" if sum(k for _, k in used) + n > 60 else "RPM" if len(used) + 1 > 4 else "OK"
+        left = (min((t for t, _ in used), default=ts) - ts).total_seconds() + 60
+        want[i] = (why == "OK", 0 if why == "OK" else int(left * 1000), why)
+    assert got == want
+
+
+def test_no_frame_of_admissions_is_scanned_again(spark):
+    df = L.admissions(spark.createDataFrame(requests(3), "agent string, id long, ts timestamp_ntz, tokens long"), 60, 4)
+    frames = re.findall(r"specifiedwindowframe\((\w+), ([^,]+), ([^)]+\)?)\)", df._jdf.queryExecution().analyzed().toString())
+    assert frames and {start for _, start, _ in frames} == {"unboundedpreceding$()"}
+
+
 @pytest.mark.parametrize("seed,seconds", [(1, 60), (2, 7), (3, 400)])
 def test_anchored_minutes_like_a_loop(spark, seed, seconds):
     rows = requests(seed)
