@@ -14,8 +14,10 @@ bound of the scores, asks for. Results are exact: scores are integers, distances
 only decide what may be left out, with a margin far above their rounding.
 
 Equal vectors of one label are one entry with its least ids; queries that are
-equal are searched once. Entries are stored in blocks, queries are dealt in chunks,
-and a task takes a chunk and a block at a time.
+equal are searched once. Entries are stored in blocks, blocks gathered to tiles of at
+most 65,536 entries, queries dealt in chunks of about as many; a task takes a chunk's
+queries and a tile's blocks that they visit. So what is shipped is the entries
+once for each chunk and the queries once for each tile, and not for each block.
 """
 
 from __future__ import annotations
@@ -58,8 +60,8 @@ class _Space:
         self.dim, self.square = dim, longest
         self.slack = 1e-6 * longest**0.5 + 1e-9
         self.kind = "<i2" if largest < 2**15 else "<i4" if largest < 2**31 else "<i8"
-        # products of whole numbers below 2**53 are exact in floating point
-        self.exact = dim * largest**2 < 2**53
+        # sums of products of whole numbers below 2**24 and 2**53 are exact in floating point
+        self.short, self.exact = (dim * largest**2 < 2**n for n in (24, 53))
         self.pivots = np.zeros((1, dim + 1))
 
     def augmented(self, x: np.ndarray) -> np.ndarray:
@@ -85,6 +87,8 @@ class _Space:
         return max(0.0, norm + self.square - 2 * score) ** 0.5
 
     def products(self, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+        if self.short:
+            return np.rint(q.astype(np.float32) @ x.astype(np.float32).T).astype(np.int64)
         if self.exact:
             return np.rint(q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64)
         return q.astype(np.int64) @ x.astype(np.int64).T
@@ -159,8 +163,21 @@ class Index:
         self.blocks = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(packs, "interval bigint, block bigint, low double, high double, n bigint, cids binary, labels binary, v binary, sizes binary, ids binary"))
         found = self.blocks.groupBy("interval").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")).orderBy("interval").toPandas()
         self.intervals = {"interval": found["interval"].to_numpy(np.int64), "pivot": owner[found["interval"].to_numpy(np.int64)], "low": found["low"].to_numpy(), "high": found["high"].to_numpy(), "n": found["n"].to_numpy()}
-
-    def search(self, queries: DataFrame, same: bool, k: int, chunk: int = 1024, first: int = 2048) -> DataFrame:
+        # intervals are gathered to tiles, and one that is larger is split into several
+        tile, now, filled = min(65_536, max(block, -(-self.count // 32))), 0, 0
+        base, splits = np.zeros(len(found), np.int64), np.ones(len(found), np.int64)
+        for i, n in enumerate(self.intervals["n"].tolist()):
+            splits[i] = -(-n // tile)
+            if filled and filled + n > tile:
+                now, filled = now + 1, 0
+            base[i] = now
+            if splits[i] > 1:
+                now, filled = now + splits[i], 0
+            else:
+                filled += n
+        self.tiles = base, splits
+
+    def search(self, queries: DataFrame, same: bool, k: int, chunk: int = 65_536, first: int = 2048) -> DataFrame:
         """(qid, band, score, id, cid): the first k rows of each band of each query, highest scores first, ties by id.
 
         ``queries`` are (qid, label, v, lows, highs): a band takes scores from its low to
@@ -169,65 +186,134 @@ class Index:
         next one scans eight times as many. A round's table is written, so a lost executor
         costs a part of one round.
         """
-        space, it = self.space, self.intervals
+        space, it, base, splits = self.space, self.intervals, *self.tiles
         kind = "qid bigint, label bigint, v array<bigint>, lows array<bigint>, highs array<bigint>, seen int, over boolean"
 
+        def ordered(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, float]]:
+            """Each query's place, the intervals it may scan by least distance, these distances and the one beyond which none counts."""
+            q = _matrix(b.column("v"), space.dim)
+            norms = np.einsum("ij,ij->i", q.astype(np.float64), q.astype(np.float64))
+            far = space.distances(np.concatenate((q.astype(np.float64), np.zeros((len(q), 1))), axis=1))
+            for i, (norm, d, lows, highs) in enumerate(zip(norms.tolist(), far, b.column("lows").to_pylist(), b.column("highs").to_pylist())):
+                d = d[it["pivot"]]
+                inner = space.radius(norm, max(highs)) - space.slack
+                near, most = np.maximum(np.maximum(it["low"] - d, d - it["high"]), inner), d + it["high"]
+                order = np.argsort(near, kind="stable")
+                order = order[most[order] + space.slack >= inner]
+                yield i, order, near[order], space.radius(norm, min(lows)) + space.slack
+
         def planned(wanted: int):
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for b in batches:
-                    q = _matrix(b.column("v"), space.dim)
-                    norms = np.einsum("ij,ij->i", q.astype(np.float64), q.astype(np.float64))
-                    far = space.distances(np.concatenate((q.astype(np.float64), np.zeros((len(q), 1))), axis=1))
-                    upto, over, visits = [], [], []
-                    for norm, d, lows, highs, seen in zip(norms.tolist(), far, b.column("lows").to_pylist(), b.column("highs").to_pylist(), b.column("seen").to_pylist()):
-                        d = d[it["pivot"]]
-                        inner = space.radius(norm, max(highs)) - space.slack
-                        near, most = np.maximum(np.maximum(it["low"] - d, d - it["high"]), inner), d + it["high"]
-                        order = np.argsort(near, kind="stable")
-                        order = order[most[order] + space.slack >= inner]
-                        outer = space.radius(norm, min(lows)) + space.slack
-                        asked = int(np.searchsorted(near[order], outer, "right"))  # beyond, nothing is near enough
+                    upto, over, before = [], [], b.column("seen").to_pylist()
+                    for i, order, near, outer in ordered(b):
+                        seen, asked = before[i], int(np.searchsorted(near, outer, "right"))  # beyond, nothing is near enough
                         last = max(seen, min(asked, seen + 1 + int(np.searchsorted(np.cumsum(it["n"][order[seen:]]), wanted))))
                         upto.append(last)
                         over.append(last >= asked)
-                        visits.append(it["interval"][order[seen:last]])
-                    cols = [b.column(c) for c in ("qid", "label", "v", "lows", "highs")]
-                    yield pa.RecordBatch.from_arrays([*cols, pa.array(upto, pa.int32()), pa.array(over, pa.bool_()), pa.array(visits, pa.list_(pa.int64()))], names=["qid", "label", "v", "lows", "highs", "seen", "over", "visits"])
+                    cols = [b.column(c) for c in ("qid", "label", "v", "lows", "highs", "seen")]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array(upto, pa.int32()), pa.array(over, pa.bool_())], names=["qid", "label", "v", "lows", "highs", "was", "seen", "over"])
 
             return run
 
+        def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """A row for each query and tile that it visits, with its intervals there; the order of intervals is that of the plan."""
+            names = ["qid", "label", "lows", "highs"]
+            for whole in batches:
+                for begin in range(0, len(whole), 64):
+                    b = whole.slice(begin, 64)
+                    packed = _matrix(b.column("v"), space.dim).astype(np.int64)
+                    was, seen, at, tiles, visits = b.column("was").to_pylist(), b.column("seen").to_pylist(), [], [], []
+                    for i, order, _, _ in ordered(b):
+                        new = np.sort(order[was[i] : seen[i]])
+                        tile = np.repeat(base[new], splits[new]) + np.concatenate([np.arange(n) for n in splits[new].tolist()] or [np.zeros(0, np.int64)])
+                        new = np.repeat(new, splits[new])
+                        by_tile = np.argsort(tile, kind="stable")
+                        tile, new = tile[by_tile], it["interval"][new[by_tile]]
+                        cuts = np.flatnonzero(np.diff(tile)) + 1
+                        for part in np.split(np.arange(len(tile)), cuts) if len(tile) else []:
+                            at.append(i)
+                            tiles.append(int(tile[part[0]]))
+                            visits.append(new[part].astype("<i4").tobytes())
+                    rows = b.take(pa.array(at, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(tiles, pa.int64()), *[rows.column(n) for n in names], pa.array([packed[i].tobytes() for i in at], pa.binary()), pa.array(visits, pa.binary())], names=["tile", *names, "v", "visits"])
+
+        def cut(q: np.ndarray, score: np.ndarray, ident: np.ndarray, rest: list[np.ndarray]) -> list[np.ndarray]:
+            """The first k of each query by score, then id."""
+            order = np.lexsort((ident, -score, q))
+            first = np.searchsorted(q[order], q[order], "left")
+            order = order[np.arange(len(order)) - first < k]
+            return [x[order] for x in (q, score, ident, *rest)]
+
         def scanned(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             columns = ["qid", "band", "score", "id", "cid"]
             if not len(left) or not len(right):
                 return pd.DataFrame(columns=columns)
-            b, n = right.iloc[0], int(right["n"].iloc[0])
-            labels, cids = np.frombuffer(b["labels"], np.int64), np.frombuffer(b["cids"], np.int64)
-            sizes, ids = np.frombuffer(b["sizes"], np.int64), np.frombuffer(b["ids"], np.int64)
-            starts, x = np.cumsum(sizes) - sizes, np.frombuffer(b["x"], space.kind).reshape(n, space.dim)
-            q = _matrix(pa.array(left["v"].to_list(), pa.list_(pa.int64())), space.dim)
-            scores = space.products(q, x)
-            fits = (left["label"].to_numpy()[:, None] == labels) == same
+            q = np.frombuffer(b"".join(left["v"]), np.int64).reshape(len(left), space.dim)
+            label, many = left["label"].to_numpy(np.int64), max(map(len, left["lows"]))
+            # a band that a query lacks takes nothing
+            lows, highs = np.full((len(left), many), _HIGHEST), np.full((len(left), many), _LOWEST)
+            for i, (low, high) in enumerate(zip(left["lows"], left["highs"])):
+                lows[i, : len(low)], highs[i, : len(high)] = low, high
+            visits = [np.frombuffer(v, "<i4") for v in left["visits"]]
+            who, where = np.repeat(np.arange(len(left)), [len(v) for v in visits]), np.concatenate(visits)
+            by_interval = np.argsort(where, kind="stable")
+            who, where = who[by_interval], where[by_interval]
+            kept: list[list[np.ndarray]] = [[np.zeros(0, np.int64) for _ in range(5)] for _ in range(many)]  # query, score, least id, block, entry
+            held = []
+            for number, b in enumerate(right.itertuples(index=False)):
+                labels, sizes, ids = np.frombuffer(b.labels, np.int64), np.frombuffer(b.sizes, np.int64), np.frombuffer(b.ids, np.int64)
+                starts, x = np.cumsum(sizes) - sizes, np.frombuffer(b.x, space.kind).reshape(int(b.n), space.dim)
+                held.append((np.frombuffer(b.cids, np.int64), sizes, ids, starts))
+                asking = who[np.searchsorted(where, b.interval, "left") : np.searchsorted(where, b.interval, "right")]
+                for begin in range(0, len(asking), 256):
+                    some = asking[begin : begin + 256]
+                    scores = space.products(q[some], x)
+                    fits = ((label[some][:, None] == labels) == same) & (scores >= lows[some].min(axis=1)[:, None]) & (scores <= highs[some].max(axis=1)[:, None])
+                    row, entry = np.nonzero(fits)
+                    score = scores[row, entry]
+                    for band in range(many):
+                        takes = (score >= lows[some[row], band]) & (score <= highs[some[row], band])
+                        if not takes.any():
+                            continue
+                        # the order within a block is that of the ids
+                        one = cut(some[row[takes]], score[takes], ids[starts[entry[takes]]], [np.full(int(takes.sum()), number), entry[takes]])
+                        mine = np.isin(kept[band][0], some)
+                        both = cut(*[np.concatenate((old[mine], new)) for old, new in zip(kept[band][:3], one[:3])], [np.concatenate((old[mine], new)) for old, new in zip(kept[band][3:], one[3:])])
+                        kept[band] = [np.concatenate((old[~mine], new)) for old, new in zip(kept[band], both)]
+                        # with k entries, none below the last of them is asked for
+                        full, last, times = np.unique(both[0], return_index=True, return_counts=True)
+                        full, last = full[times == k], (last + times - 1)[times == k]
+                        lows[full, band] = np.maximum(lows[full, band], both[1][last])
             out = []
-            for i, (qid, lows, highs) in enumerate(zip(left["qid"].tolist(), left["lows"], left["highs"])):
-                at = np.flatnonzero(fits[i] & (scores[i] >= min(lows)) & (scores[i] <= max(highs)))
-                at = at[np.argsort(-scores[i][at], kind="stable")]  # places are in order of ids
-                falling = -scores[i][at]
-                for band, (low, high) in enumerate(zip(lows, highs)):
-                    lo, hi = np.searchsorted(falling, -high, "left"), np.searchsorted(falling, -low, "right")
-                    # of the first k entries, all ids that are kept
-                    rows = [(qid, band, int(scores[i, e]), int(v), int(cids[e])) for e in at[lo : min(hi, lo + k)].tolist() for v in ids[starts[e] : starts[e] + sizes[e]].tolist()]
-                    out += sorted(rows, key=lambda r: (-r[2], r[3]))[:k]
-            return pd.DataFrame(out, columns=columns)
+            qids = left["qid"].to_numpy(np.int64)
+            for band, (asker, score, _, number, entry) in enumerate(kept):
+                for i in np.unique(number).tolist():
+                    cids, sizes, ids, starts = held[i]
+                    at = number == i
+                    e = entry[at]
+                    each = np.repeat(np.arange(len(e)), sizes[e])
+                    place = np.arange(len(each)) - np.repeat(np.cumsum(sizes[e]) - sizes[e], sizes[e]) + starts[e][each]
+                    out.append((asker[at][each], np.full(len(each), band), score[at][each], ids[place], cids[e][each]))
+            if not out:
+                return pd.DataFrame(columns=columns)
+            asker, band, score, ident, cid = (np.concatenate(x) for x in zip(*out))
+            # of the first k entries, the first k ids
+            _, score, ident, asker, band, cid = cut(asker * many + band, score, ident, [asker, band, cid])
+            return pd.DataFrame({"qid": qids[asker], "band": band.astype(np.int32), "score": score, "id": ident, "cid": cid})
 
         by = Window.partitionBy("qid", "band").orderBy(F.desc("score"), "id", "cid")
         found, open_, wanted = None, queries.withColumns({"seen": F.lit(0), "over": F.lit(False)}).select(*[x.split()[0] for x in kind.split(", ")]), first
         chunks = -(-queries.count() // chunk)
+        places = queries.sparkSession.createDataFrame([(int(i), int(t), int(n)) for i, t, n in zip(it["interval"], base, splits)], "interval bigint, base bigint, splits bigint")  # at most pivots x cuts
+        blocks = self.blocks.join(F.broadcast(places), "interval").withColumn("t", F.col("base") + F.pmod("block", "splits"))
         while True:
-            plan = stored(open_.mapInArrow(planned(wanted), kind + ", visits array<bigint>"))
-            dealt = plan.withColumn("chunk", F.pmod(F.xxhash64("qid"), F.lit(max(1, chunks)))).withColumn("interval", F.explode("visits")).join(self.blocks.select("interval", "block"), "interval").select("block", "chunk", "qid", "label", "v", "lows", "highs")
-            pairs = dealt.select(F.col("block").alias("b"), F.col("chunk").alias("c")).distinct()
-            right = self.blocks.join(pairs, F.col("block") == F.col("b")).select("b", "c", "n", "cids", "labels", F.col("v").alias("x"), "sizes", "ids")
-            rows = dealt.groupBy("block", "chunk").cogroup(right.groupBy("b", "c")).applyInPandas(scanned, "qid bigint, band int, score bigint, id bigint, cid bigint")
+            plan = stored(open_.mapInArrow(planned(wanted), kind.replace("seen int", "was int, seen int")))
+            rows = plan.mapInArrow(dealt, "tile bigint, qid bigint, label bigint, lows array<bigint>, highs array<bigint>, v binary, visits binary")
+            rows = stored(rows.withColumn("chunk", F.pmod(F.xxhash64("qid"), F.lit(max(1, chunks)))))
+            pairs = rows.select(F.col("tile").alias("t"), F.col("chunk").alias("c")).distinct()
+            right = blocks.join(pairs, "t").select("t", "c", "interval", "block", "n", "cids", "labels", F.col("v").alias("x"), "sizes", "ids")
+            rows = rows.groupBy("tile", "chunk").cogroup(right.groupBy("t", "c")).applyInPandas(scanned, "qid bigint, band int, score bigint, id bigint, cid bigint")
             rows = rows if found is None else found.union(rows)
             found = stored(rows.withColumn("r", F.row_number().over(by)).where(F.col("r") <= k))
             if plan.where("not over").isEmpty():
@@ -235,7 +321,7 @@ class Index:
             # a band with k results asks for none below the last of them
             last = found.where(F.col("r") == k).groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("band", "score"))).alias("last"))
             raised = F.transform("lows", lambda low, i: F.greatest(low, F.coalesce(F.try_element_at("last", i), low)))
-            open_ = plan.where("not over").drop("visits").join(last, "qid", "left").withColumn("lows", raised).drop("last")
+            open_ = plan.where("not over").drop("was").join(last, "qid", "left").withColumn("lows", raised).drop("last")
             found, wanted = found.drop("r"), wanted * 8
 
 

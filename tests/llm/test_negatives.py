@@ -42,6 +42,18 @@ def test_like_brute_force(spark, seed, size, options):
     assert got
 
 
+def test_queries_are_shipped_by_tile(spark, monkeypatch):
+    """One interval over many blocks and tiles: a query goes to a tile once, whatever the tile's blocks."""
+    tables, stored = [], negatives.stored
+    monkeypatch.setattr(negatives, "stored", lambda df: (out := stored(df), tables.append(out))[0])
+    rows = random_rows(6, n=300)
+    got = negatives.hard_negatives(spark.createDataFrame(rows, ROWS), F.col("id") % 50 == 0, pivots=1, cuts=1, block=2)
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows, lambda i: i % 50 == 0)
+    blocks = next(t for t in tables if "block" in t.columns).count()
+    dealt = [t.groupBy("tile", "qid").count().agg(F.count("*").alias("pairs"), F.max("count").alias("most"), F.countDistinct("tile").alias("tiles")).first() for t in tables if "tile" in t.columns]
+    assert dealt and max(d.most for d in dealt) == 1 and 1 < max(d.tiles for d in dealt) < blocks / 2
+
+
 def test_other_numbers_of_results(spark):
     rows = random_rows(5)
     got = negatives.hard_negatives(spark.createDataFrame(rows, ROWS), F.col("id") < 20, positives=2, negatives=3, low=0, high=100, block=32, first=40).collect()
